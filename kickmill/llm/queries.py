@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from kickmill.llm.decontaminate import OP7_SQL, op7_decontaminate
+from kickmill.llm.jaccard_join import op10_jaccard_join
 from kickmill.llm.substring_dedup import op2_substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op7_decontaminate": op7_decontaminate,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_decontaminate": OP7_SQL,
+}
