@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from kickmill.llm.decontaminate import OP7_SQL, op7_decontaminate
 from kickmill.llm.jaccard_join import op10_jaccard_join
+from kickmill.llm.language_id import op6_language_id
+from kickmill.llm.packing import op4_packing
 from kickmill.llm.substring_dedup import op2_substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_packing": op4_packing,
+    "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
     "op10_jaccard_join": op10_jaccard_join,
 }

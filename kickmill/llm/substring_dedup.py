@@ -101,8 +101,8 @@ class Paths:
         out[at] |= hit | (np.repeat(self.owner, self.count)[at] > least[place[at]])
         return out
 
-    def cut(self, hit: np.ndarray):
-        """Per block of documents: row range, words, removed words, spans of words and the kept text."""
+    def cut(self, hit: np.ndarray, joined: bool = True):
+        """Per block of documents: row range, words, removed words, runs of removed words, first words and the kept text."""
         for lo, hi, start, ws, we, first, windows, base in self.words:
             cover = np.zeros(len(ws) + 1, np.int32)
             at = windows[hit[base : base + len(windows)]]
@@ -113,13 +113,20 @@ class Paths:
             doc = np.searchsorted(first, kept, side="right") - 1
             data = np.array(self.data[start : self.offsets[hi]])
             offsets = self.offsets[lo : hi + 1] - start
-            inside = np.zeros(len(data) + 1, np.int8)
-            inside[ws[kept]] += 1
-            np.subtract.at(inside, we[kept], 1)
-            keep = np.cumsum(inside[:-1]) > 0
-            gap = we[kept[:-1]][doc[1:] == doc[:-1]]  # a word of the same document follows
-            keep[gap] = True
-            data[gap] = 0x20
+            mark = np.zeros(len(data) + 1, np.int8)
+            if joined:
+                mark[ws[kept]] += 1
+                np.subtract.at(mark, we[kept], 1)
+                keep = np.cumsum(mark[:-1]) > 0
+                gap = we[kept[:-1]][doc[1:] == doc[:-1]]  # a word of the same document follows
+                keep[gap] = True
+                data[gap] = 0x20
+            else:  # a removed word goes with the separators up to the next word
+                lost = np.flatnonzero(gone)
+                ends = np.minimum(np.append(ws, len(data))[lost + 1], offsets[np.searchsorted(first, lost, side="right")])
+                mark[ws[lost]] += 1
+                np.subtract.at(mark, ends, 1)
+                keep = np.cumsum(mark[:-1]) == 0
             sizes = np.append(0, np.cumsum(keep))
             text = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(sizes[offsets].astype(np.int64)), pa.py_buffer(data[keep])]).cast(pa.large_string())
             removed = np.append(0, np.cumsum(gone))
@@ -141,12 +148,13 @@ def split_runs(run: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return row[full], (s - first[row])[full], (e - first[row])[full]
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, carry: Sequence[str] = ()) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, carry: Sequence[str] = (), joined: bool = True) -> DataFrame:
     """Remove from every text the words of ``k``-word windows that also start in a document with a smaller id.
 
     Words are ``[^\\x20\\x09-\\x0D]+``.  Windows are judged on the input.  Returns ``id_col``, the columns
-    ``carry``, ``kept_text`` (kept words joined by one space), ``n_words``, ``n_removed`` and ``spans``
-    (removed runs as word offsets [start, end)), one row per input row.
+    ``carry``, ``kept_text``, ``n_words``, ``n_removed`` and ``spans`` (removed runs as word offsets
+    [start, end)), one row per input row.  ``kept_text`` is the kept words joined by one space, or, unless
+    ``joined``, the text without the removed words and the separators after them.
 
     Null or empty text: no words, ``kept_text`` is ''.  A row with a null id keeps its text and
     removes nothing elsewhere.  Rows with equal ids don't remove each other's words.  An empty
@@ -154,10 +162,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).alias("carry"))
     n_chunks, n_buckets = C.layout(rows, "text")
-    return _dedup(rows, docs, id_col, k, list(carry), n_chunks, n_buckets)
+    return _dedup(rows, id_col, k, list(carry), joined, n_chunks, n_buckets)
 
 
-def _dedup(rows: DataFrame, docs: DataFrame, id_col: str, k: int, carry: list[str], n_chunks: int, n_buckets: int) -> DataFrame:
+def _dedup(rows: DataFrame, id_col: str, k: int, carry: list[str], joined: bool, n_chunks: int, n_buckets: int) -> DataFrame:
     chunked = C.in_chunks(rows, n_chunks, "id", "text")
     grouped = chunked.groupBy("chunk")
 
@@ -195,7 +203,7 @@ def _dedup(rows: DataFrame, docs: DataFrame, id_col: str, k: int, carry: list[st
         rounds = answers.column("round").to_numpy()
         codes = [C.codes_in_order(answers.filter(pa.array(rounds == r))) for r in (1, 2)]
         text, n_words, n_removed, spans = [], [], [], []
-        for lo, hi, words, removed, run, first, kept in p.cut(p.repeated(*codes, n_buckets)):
+        for lo, hi, words, removed, run, first, kept in p.cut(p.repeated(*codes, n_buckets), joined):
             row, s, e = split_runs(run, first)
             text.append(kept.cast(pa.string()))
             n_words.append(words)
