@@ -7,15 +7,21 @@ from kickmill.llm.jaccard_join import op10_jaccard_join
 from kickmill.llm.language_id import op6_language_id
 from kickmill.llm.packing import op4_packing
 from kickmill.llm.substring_dedup import op2_substring_dedup
+from kickmill.llm.topk import OP9_SQL, op9_topk
+from kickmill.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_packing": op4_packing,
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
+    "op9_topk": op9_topk,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_url_filter": OP1_SQL,
     "op7_decontaminate": OP7_SQL,
+    "op9_topk": OP9_SQL,
 }
