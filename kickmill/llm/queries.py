@@ -9,6 +9,7 @@ from kickmill.llm.packing import op4_packing
 from kickmill.llm.substring_dedup import op2_substring_dedup
 from kickmill.llm.topk import OP9_SQL, op9_topk
 from kickmill.llm.url_filter import OP1_SQL, op1_url_filter
+from kickmill.llm.warc import op8_warc
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
+    "op8_warc": op8_warc,
     "op9_topk": op9_topk,
     "op10_jaccard_join": op10_jaccard_join,
 }
