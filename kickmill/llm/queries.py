@@ -7,6 +7,7 @@ from kickmill.llm.jaccard_join import op10_jaccard_join
 from kickmill.llm.language_id import op6_language_id
 from kickmill.llm.packing import op4_packing
 from kickmill.llm.substring_dedup import op2_substring_dedup
+from kickmill.llm.suffix_dedup import op3_suffix_dedup
 from kickmill.llm.topk import OP9_SQL, op9_topk
 from kickmill.llm.url_filter import OP1_SQL, op1_url_filter
 from kickmill.llm.warc import op8_warc
@@ -14,6 +15,7 @@ from kickmill.llm.warc import op8_warc
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_packing": op4_packing,
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
