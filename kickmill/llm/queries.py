@@ -5,6 +5,7 @@ from __future__ import annotations
 from kickmill.llm.decontaminate import OP7_SQL, op7_decontaminate
 from kickmill.llm.jaccard_join import op10_jaccard_join
 from kickmill.llm.language_id import op6_language_id
+from kickmill.llm.license_scan import op5_license_scan
 from kickmill.llm.packing import op4_packing
 from kickmill.llm.substring_dedup import op2_substring_dedup
 from kickmill.llm.suffix_dedup import op3_suffix_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_packing": op4_packing,
+    "op5_license_scan": op5_license_scan,
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
     "op8_warc": op8_warc,
