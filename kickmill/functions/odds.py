@@ -15,7 +15,7 @@ _methods: dict[str, Devig] = {}
 
 
 def register_devig(name: str):
-    """Register a builder: array of raw implied probabilities -> array of fair ones (null where impossible)."""
+    """Register a builder: array of raw implied probabilities -> array of fair ones that add up to 1 (null where impossible)."""
 
     def add(build: Devig) -> Devig:
         if name in _methods:
@@ -52,7 +52,7 @@ def overround(values: Column) -> Column:
 
 
 def devig(method: str, values: Column, strict: bool = False) -> Column:
-    """Fair probabilities by a registered method, renormalised.
+    """Fair probabilities by a registered method.
 
     ``values``: raw implied probabilities.  Null, non-positive or unsolvable input gives null, or an error if strict.
     """
@@ -60,7 +60,7 @@ def devig(method: str, values: Column, strict: bool = False) -> Column:
         raise KeyError(f"unknown margin removal {method!r}; have {devig_methods()}")
     usable = values.isNotNull() & F.forall(values, lambda p: p > 0)
     fair = F.when(usable, _methods[method](values))
-    fair = F.when(F.abs(total(fair) - 1.0) <= 1e-6, F.transform(fair, lambda p: p / total(fair)))
+    fair = F.when(F.abs(total(fair) - 1.0) <= 1e-6, fair)
     if strict:
         return F.when(values.isNull() | fair.isNotNull(), fair).otherwise(F.raise_error(F.lit(f"{method}: no fair probabilities")))
     return fair
@@ -131,6 +131,8 @@ def _solver(solve):
             good = np.isfinite(p).all(1) & (p > 0).all(1)
             fair = np.full(p.shape, np.nan)
             fair[good] = solve(p[good])
+            total = fair.sum(1)[:, None]
+            fair = np.where(np.abs(total - 1) <= 1e-6, fair / total, np.nan)
             for i, row in zip(at, fair):
                 if np.isfinite(row).all():
                     out.iloc[i] = row

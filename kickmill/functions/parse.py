@@ -29,7 +29,13 @@ def whole_number(value: Column) -> Column:
 def day(value: Column, dayfirst: bool = True) -> Column:
     """A date in one of the known layouts; two- and four-digit years can't be mistaken for each other."""
     text = present(value)
-    return F.coalesce(*[F.try_to_date(text, f) for f in (DAY_FIRST if dayfirst else MONTH_FIRST)])
+
+    def read(layout: str) -> Column:
+        date = F.try_to_date(text, layout)
+        # years 70 to 99 without a century belong to the last one
+        return date if "yyyy" in layout else F.when(F.year(date) >= 2070, F.add_months(date, -1200)).otherwise(date)
+
+    return F.coalesce(*[read(f) for f in (DAY_FIRST if dayfirst else MONTH_FIRST)])
 
 
 def time_of_day(value: Column) -> Column:

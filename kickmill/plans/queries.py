@@ -93,9 +93,9 @@ def count_by_league(spark, sf_dir):
 
 @query("SELECT o_custkey AS custkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) + 1000 AS id, o_orderkey AS orderkey FROM orders")
 def appended_ids(spark, sf_dir):
-    stored = spark.createDataFrame([(1000, 0, 0)], "id long, custkey long, orderkey long")
+    stored = spark.createDataFrame([(1000, -1, -1)], "id long, custkey long, orderkey long")
     new = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"), "o_orderdate")
-    return ST.appended(stored, new, ["o_orderdate", "orderkey"]).filter("orderkey <> 0")
+    return ST.appended(stored, new, ["o_orderdate", "orderkey"]).filter("orderkey >= 0")
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'final' ELSE o_orderstatus END AS status, o_custkey AS custkey FROM orders")
@@ -170,7 +170,7 @@ def parsed_dates(spark, sf_dir):
     return o.select("o_orderkey", P.day(F.date_format(d, "dd/MM/yyyy")).alias("four_digit"), P.day(F.date_format(d, "dd/MM/yy")).alias("two_digit"), P.day(F.date_format(d, "MM/dd/yyyy"), dayfirst=False).alias("month_first"), P.day(F.concat(F.lit("x"), d.cast("string"))).alias("bad"))
 
 
-@query(f"{CTE} SELECT match_id, concat(league_key, '|', home_team_id, '|', away_team_id, '|', match_date, '|', coalesce(strftime(((match_date::TIMESTAMP + kickoff_time::TIME::INTERVAL) AT TIME ZONE 'Europe/Berlin') AT TIME ZONE 'UTC', '%H:%M'), 'NA')) AS dedupe_key FROM m")
+@query(f"{CTE} SELECT match_id, concat(league_key, '|', home_team_id, '|', away_team_id, '|', match_date, '|', coalesce(strftime(((match_date + kickoff_time::TIME) AT TIME ZONE 'Europe/Berlin') AT TIME ZONE 'UTC', '%H:%M'), 'NA')) AS dedupe_key FROM m")
 def dedupe_keys(spark, sf_dir):
     m = LG.matches(spark, sf_dir)
     kickoff = P.kickoff_utc(F.col("match_date"), F.col("kickoff_time"))
