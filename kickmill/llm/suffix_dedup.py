@@ -207,8 +207,8 @@ def marks_of_bucket(lengths: np.ndarray, text: bytes, width: int) -> np.ndarray:
     at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
     joined[at] = np.frombuffer(text, np.uint8)
     longest = int(size.max()) if len(size) else 0
-    # a match stops at the stretch's end, which two suffixes can pass together
-    found = RunIndex(joined, -(-(longest + 8) // 8) * 8).matching_statistics() if len(joined) else np.zeros(0, np.int64)
+    # two suffixes can pass the ends of their stretches together, but not those of the next ones: all stretches differ
+    found = RunIndex(joined, 2 * longest + 16).matching_statistics() if len(joined) else np.zeros(0, np.int64)
     asked = np.flatnonzero(lengths > 0)
     n = size[asked] - width + 1
     place = np.repeat(first[asked] - np.cumsum(n) + n, n) + np.arange(n.sum())
