@@ -71,17 +71,18 @@ class Paths:
         owner = self.ids[self.doc] if len(self.doc) else np.zeros(0, np.int64)
         order = np.lexsort((owner, path, node, C.bucket_of(node, n_buckets)))
         at = C.heads(node[order], path[order])
-        self.node, self.path, self.least, self.lead = node[order][at], path[order][at], owner[order][at], order[at]
+        self.node, self.path, self.least = node[order][at], path[order][at], owner[order][at]
         self.entry = np.empty(len(order), np.int64)
         self.entry[order] = C.runs(at, len(order))
         self.owner = owner
 
     def open_edges(self, codes: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct windows of the branching paths first held here, their least id, and for each window of the chunk its place there or -1."""
-        lead = self.lead[codes == 2]
-        count = self.count[lead]
-        at = np.repeat(self.first[lead] - np.append(0, np.cumsum(count))[:-1], count) + np.arange(count.sum())
-        keys, owner = self.edge[at], np.repeat(self.owner[lead], count)
+        # a document can hold its path more than once
+        held = np.flatnonzero((codes[self.entry] == 2) & (self.owner == self.least[self.entry])) if len(self.entry) else np.zeros(0, np.int64)
+        count = self.count[held]
+        at = np.repeat(self.first[held] - np.append(0, np.cumsum(count))[:-1], count) + np.arange(count.sum())
+        keys, owner = self.edge[at], np.repeat(self.owner[held], count)
         order = np.lexsort((owner, keys, C.bucket_of(keys, n_buckets)))
         new = C.heads(keys[order])
         place = np.full(len(self.edge), -1, np.int64)
