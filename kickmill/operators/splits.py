@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kickmill.session import shared_folder
+
 
 class Split(Protocol):
     def assign(self, frame: DataFrame) -> DataFrame: ...
@@ -70,8 +72,12 @@ class WalkForward:
 
 
 def global_row_number(frame: DataFrame, order: list[str]) -> DataFrame:
-    """``_n``: 1.. in the given total order.  Rows are range-partitioned, sorted locally and offset by partition sizes."""
-    placed = frame.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    """``_n``: 1.. in the given total order.  Rows are range-partitioned, numbered locally and offset by partition sizes.
+
+    The placed rows are checkpointed: sampled range bounds may differ between two runs of one plan.
+    """
+    shared_folder(frame.sparkSession)
+    placed = frame.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id()).checkpoint()
     sizes = placed.groupBy("_p").count()
     before = sizes.select("_p", (F.sum("count").over(Window.orderBy("_p")) - F.col("count")).alias("_before"))
     local = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
