@@ -13,6 +13,10 @@ the shard.  Sequences never span tasks, and a task that runs again packs its row
 
 from __future__ import annotations
 
+import os
+import re
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,61 +24,104 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PIECE_TYPE = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Distinct pieces of text whose ids a worker remembers.
+REMEMBERED = 800_000
 
 
-class WordEncoder:
-    """Ids of texts: each distinct word between spaces is tokenized once.
+#: Characters that are lower-cased and cut here as the tokenizer would; texts with others go through the tokenizer whole.
+PLAIN = "".join(map(chr, [*range(0x250), *range(0x2010, 0x2028)]))
 
-    Right for tokenizers that drop white space and never join across it, as ``word_bpe_49k.json``.
-    """
 
-    def __init__(self, path: str):
-        import os
+def piece_pattern() -> re.Pattern:
+    """The tokenizer's word pattern for PLAIN characters, from their general categories."""
+    of = lambda kind: "".join(c for c in PLAIN if unicodedata.category(c)[0] == kind)
+    letters, numbers = re.escape(of("L")), re.escape(of("N"))
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\t-\r \x85\xa0{letters}{numbers}]+")
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.reset()
+class Ragged:
+    """Lists of ids that are appended to and gathered from; keys have places."""
 
-    def reset(self) -> None:
+    def __init__(self):
         self.place: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.flat, self.used = np.zeros(1 << 12, np.uint32), 0
         self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, words: list[str]) -> None:
-        new = list(set(words).difference(self.place))
-        if not new:
-            return
-        if len(self.place) + len(new) > REMEMBERED and self.place:
-            self.reset()
-            new = list(set(words))
-        ids = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        size = np.array([len(x) for x in ids], np.int64)
-        need = self.used + int(size.sum())
+    def append(self, keys: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        need = self.used + len(ids)
         if need > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(need, 2 * len(self.flat)) - len(self.flat), np.uint32)])
-        self.flat[self.used : need] = [x for y in ids for x in y]
-        self.place.update(zip(new, range(len(self.first), len(self.first) + len(new))))
+        self.flat[self.used : need] = ids
+        self.place.update(zip(keys, range(len(self.first), len(self.first) + len(keys))))
         self.first = np.concatenate([self.first, self.used + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.used = need
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts and the number of each."""
-        words, count = [], np.empty(len(texts), np.int64)
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.size[at]
+        return self.flat[np.repeat(self.first[at] - np.cumsum(size) + size, size) + np.arange(size.sum())], size
+
+
+class PieceEncoder:
+    """Ids of texts: each distinct piece (word, digit, run of signs) is tokenized once.
+
+    Right for tokenizers that lower-case, drop white space, cut words by the pattern above and end a piece's last
+    token with ``</w>``, as ``word_bpe_49k.json``.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.cut = piece_pattern().findall
+        self.odd = re.compile(f"[^{re.escape(PLAIN)}]|<[|](?:startoftext|endoftext)[|]>").search
+        self.pieces = Ragged()
+
+    def learn(self, pieces: list[str]) -> None:
+        """All new pieces in one text; a token that ends a word ends a piece."""
+        new = list(set(pieces).difference(self.pieces.place))
+        if len(self.pieces.place) + len(new) > REMEMBERED and self.pieces.place:
+            self.pieces = Ragged()
+            new = list(set(pieces))
+        if not new:
+            return
+        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, np.uint32)
+        size = np.diff(np.append(-1, np.flatnonzero(self.ends[ids])))
+        if len(size) != len(new):  # a piece that is not one to the tokenizer
+            each = [self.tokenizer.encode(p, add_special_tokens=False).ids for p in new]
+            ids, size = np.array([x for y in each for x in y], np.uint32), np.array([len(x) for x in each])
+        self.pieces.append(new, ids, size.astype(np.int64))
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text."""
+        pieces, count, odd = [], np.zeros(len(texts), np.int64), {}
         for i, t in enumerate(texts):
-            own = (t or "").replace("\n", " ").split(" ")
-            words += own
+            if not t:
+                continue
+            if not t.isascii() and self.odd(t) or "<|" in t:
+                odd[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+                continue
+            own = self.cut(t.lower())
+            pieces += own
             count[i] = len(own)
-        self.learn(words)
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        size = self.size[at]
-        ids = self.flat[np.repeat(self.first[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-        per_text = np.add.reduceat(size, np.append(0, np.cumsum(count)[:-1])) if len(texts) else count
-        return ids, per_text
+        self.learn(pieces)
+        ids, size = self.pieces.gather(np.fromiter(map(self.pieces.place.__getitem__, pieces), np.int64, len(pieces)))
+        total = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(count))]
+        return [odd[i] if i in odd else ids[total[i] : total[i + 1]] for i in range(len(texts))]
+
+
+_encoders: dict[str, PieceEncoder] = {}
+
+
+def encoder_of(path: str) -> PieceEncoder:
+    """A worker's encoder, kept for its next tasks."""
+    if path not in _encoders:
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]
 
 
 def capacities(total: int, length: int, last: bool) -> np.ndarray:
@@ -169,17 +216,14 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """
 
     def per_partition(batches):
-        encoder = WordEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         shard = Shard(length, linear, quadratic, TaskContext.get().partitionId() << 36)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 docs_of, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                ids, count = encoder.encode(texts)
-                at = 0
-                for doc, n in zip(docs_of, count):
-                    shard.add(doc, np.append(ids[at : at + n], np.uint32(end_id)))
-                    at += n
+                for doc, ids in zip(docs_of, encoder.encode(texts)):
+                    shard.add(doc, np.append(ids, np.uint32(end_id)))
                     if shard.total >= length * shard_sequences or len(shard.whole) >= shard_sequences:
                         if pieces := shard.pack(last=False):
                             yield as_batch(pieces)
