@@ -74,8 +74,9 @@ def test_warc_round_trip(spark, tmp_path):
     got = spark.read.format("warc").option("verify", "true").load(path)
     back = got.collect()
     assert len(back) == len(rows)
-    kinds = sorted((r.record_id, r.record_type, r.refers_to) for r in back)
-    assert kinds == sorted([("<urn:page:5>", "revisit", "<urn:page:3>"), ("<urn:page:3>", "response", None), ("<urn:page:3>", "response", None), ("<urn:page:9>", "revisit", "<urn:page:3>"), ("<urn:page:4>", "response", None), ("<urn:page:7>", "revisit", "<urn:page:4>"), ("<urn:page:1>", "response", None), ("<urn:page:>", "response", None), ("<urn:page:11>", "response", None)], key=lambda t: tuple(map(str, t))) or len(kinds) == 9
+    kinds = sorted((str(r.record_id), r.record_type, str(r.refers_to)) for r in back)
+    response = lambda i: (f"<urn:page:{i}>", "response", "None")
+    assert kinds == sorted([response(3), response(3), response(4), response(1), response(""), response(11), ("<urn:page:5>", "revisit", "<urn:page:3>"), ("<urn:page:9>", "revisit", "<urn:page:3>"), ("<urn:page:7>", "revisit", "<urn:page:4>")])
     payloads = {r.record_id: bytes(r.payload) for r in back if r.record_type == "response"}
     assert payloads["<urn:page:1>"] == ("é" * 70000).encode() and payloads["<urn:page:11>"] == b"line\r\n\r\nline" and payloads["<urn:page:4>"] == b""
     assert {r.payload_length for r in back if r.record_id == "<urn:page:5>"} == {4}
@@ -91,7 +92,8 @@ def test_pushed_filters_skip_payloads(spark, tmp_path):
     WA.archive(pages, path)
     plan = spark.read.format("warc").load(path).filter("record_type = 'revisit' AND record_id LIKE '<urn%'")
     assert plan.count() == 40
-    assert "Filter" not in plan._jdf.queryExecution().optimizedPlan().toString() or "record_type#" not in plan._jdf.queryExecution().executedPlan().toString().split("BatchScan")[0]
+    # both tests are judged by the reader: no filter is left above the scan
+    assert " Filter " not in plan._jdf.queryExecution().executedPlan().toString()
     reader = WA.WarcReader({"path": path})
     from pyspark.sql.datasource import EqualTo
 
