@@ -12,6 +12,7 @@ Documents become sets of hashed ``k``-word shingles.
    each set is compared with one already answered set (a leader) that shares most of its index lists; once linked, it takes
    over the leader's component with all answers in it, and lists whose members are all of
    one component are skipped as a block.
+   After the first, rounds end when little enough is left.
 5. What is left - pairs in different components that share a list, pass the size and the position
    bound and were not compared - is compared in full.  No list, bucket or number of partners is capped.
 """
@@ -32,7 +33,9 @@ from kickmill.llm.textscan import CHAIN, CHAIN_INVERSE, U64, Words, blocks, buff
 from kickmill.session import shared_folder
 
 SET_TYPE = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("tokens", T.BinaryType())])
-INDEX_TYPE = "key long, id long, n long, pos long"
+#: Rounds end once comparing all that is left takes at most so many pairs per entry of the index.
+EASY = 16
+INDEX_TYPE = "key long, id long, n long, pos long, own long"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -130,7 +133,7 @@ def survivors(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def index(sets: DataFrame, percent: int) -> DataFrame:
-    """Index entries (key, id, n, pos): each set's prefix in the order (frequency, hash) without unique tokens."""
+    """Index entries (key, id, n, pos, own): each set's prefix in the order (frequency, hash) without its ``own`` unique tokens."""
     total = sets.agg(F.sum("n")).first()[0] or 0
     n_chunks, n_buckets = max(1, round(total / 300_000)), max(8, round(total / 2_000_000))
     grouped = C.in_chunks(sets, n_chunks, "id").groupBy("chunk")
@@ -158,7 +161,8 @@ def index(sets: DataFrame, percent: int) -> DataFrame:
         pos = np.arange(len(order)) - first[of]
         keep = (grade[order] > 1) & (pos < (n - least_common(n, percent) + 1)[of])
         ids = table.column("id").to_numpy()
-        return pa.table({"key": tokens[order][keep].view(np.int64), "id": ids[of[keep]], "n": n[of[keep]].astype(np.int64), "pos": pos[keep].astype(np.int64)})
+        own = np.bincount(of[grade == 1], minlength=len(ids))
+        return pa.table({"key": tokens[order][keep].view(np.int64), "id": ids[of[keep]], "n": n[of[keep]].astype(np.int64), "pos": pos[keep].astype(np.int64), "own": own[of[keep]].astype(np.int64)})
 
     answers = C.answer(grouped.applyInArrow(ask, C.BLOB), [np.uint64, np.uint32], judge)
     return grouped.cogroup(answers.groupBy("chunk")).applyInArrow(entries, INDEX_TYPE)
@@ -212,45 +216,59 @@ def fits(percent: int):
 
 def link_components(spark: SparkSession, sets: DataFrame, percent: int, rounds: int = 12) -> DataFrame:
     """(id, comp) of the distinct sets (id, n, tokens) that are linked with another one."""
-    lists = stored(index(sets, percent), "index")
+    lists = stored(index(sets, percent).withColumn("comp", F.col("id")), "index")
+    comp = lists.select("id", "comp").distinct()
     done = None  # pairs compared so far
-    comp = lists.select("id").distinct().withColumn("comp", F.col("id"))
-    comp = stored(comp, "comp")
-    for turn in range(rounds):
-        # lists that hold more than one component; only these are read on
-        open_ = lists.join(comp, "id")
-        mixed = open_.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("key", "least")
-        open_ = stored(open_.join(stored(mixed, "mixed"), "key"), "open")
-        if not open_.limit(1).count():
+    n_sets = None
+    for turn in range(rounds + 1):
+        # a list whose members are of one component is never read again, nor are sets in such lists only
+        mixed = lists.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("key", "least")
+        lists = stored(lists.join(stored(mixed, "mixed"), "key"), "open")
+        # entries of a list that lie in different components, were all compared with all
+        shares = lists.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("cc"))
+        n_open, n_pairs = shares.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("cc")) / 2), F.lit(0.0))).first()
+        if not n_open:
             return comp
-        # the leader of a list: another member of its least component each turn
-        order = F.xxhash64("id", F.lit(turn))
-        leader = stored(open_.filter("comp = least").groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n", "pos", "comp")).alias("l")).select("key", F.col("l.id").alias("b"), F.col("l.n").alias("n_b"), F.col("l.pos").alias("pos_b"), F.col("l.comp").alias("comp_b")), "leader")
-        pairs = open_.filter("comp > least").join(leader, "key").filter(fits(percent))
-        pairs = pairs.groupBy(F.col("id").alias("a"), "b", "comp", "comp_b").agg(F.count("*").alias("shared"))
+        ids = lists.select("id").distinct()
+        n_ids = ids.count()
+        if n_sets is None or 2 * n_ids < n_sets:
+            sets, n_sets = stored(sets.join(ids, "id", "left_semi"), "rest"), n_ids
+        last = turn == rounds or (turn > 0 and n_pairs <= EASY * n_open)
+        pairs = every_pair(lists, percent) if last else leader_pairs(lists, percent, turn)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = pairs.groupBy("a").agg(F.max(F.struct("shared", "b", "comp", "comp_b")).alias("m")).select("a", "m.b", "m.comp", "m.comp_b")
+        if not last:
+            pairs = pairs.groupBy("a").agg(F.max(F.struct("shared", "b", "comp", "comp_b")).alias("m")).select("a", "m.b", "m.comp", "m.comp_b")
         pairs = stored(pairs, "pairs")
         links = stored(linked(pairs, sets, percent).select(F.col("comp").alias("a"), F.col("comp_b").alias("b")).distinct(), "links")
+        if links.limit(1).count():
+            to = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+            comp, lists = (df.join(to, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to") for df in (comp, lists.drop("least")))
+            comp = stored(comp.select("id", "comp"), "comp")
+        elif not last:
+            rounds = turn + 1  # leaders find nothing more: compare the rest in full
+            lists = lists.drop("least")
+        if last:
+            return comp
         done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
-        if not links.limit(1).count():
-            break
-        comp = relabelled(comp, links)
-    open_ = lists.join(comp, "id")
-    mixed = open_.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("key")
-    left = stored(open_.join(stored(mixed, "mixed"), "key"), "open")
-    other = left.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("comp").alias("comp_b"))
-    pairs = left.join(other, "key").filter((F.col("comp") > F.col("comp_b")) & fits(percent)).select(F.col("id").alias("a"), "b", "comp", "comp_b").distinct()
-    if done is not None:
-        pairs = pairs.join(done, ["a", "b"], "left_anti")
-    links = stored(linked(pairs, sets, percent).select(F.col("comp").alias("a"), F.col("comp_b").alias("b")).distinct(), "links")
-    return relabelled(comp, links) if links.limit(1).count() else comp
-
-
-def relabelled(comp: DataFrame, links: DataFrame) -> DataFrame:
-    joined = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-    return stored(comp.join(joined, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), "comp")
+    return comp
+
+
+def leader_pairs(lists: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Each set outside a list's least component with the list's leader, a member of that component.
+
+    In even turns that is one with the fewest tokens of its own, as the original of many edited copies has; else any.
+    """
+    order = F.struct(F.col("own") if turn % 2 == 0 else F.lit(0).cast("long"), F.xxhash64("id", F.lit(turn)))
+    leader = lists.filter("comp = least").groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n", "pos", "comp")).alias("l")).select("key", F.col("l.id").alias("b"), F.col("l.n").alias("n_b"), F.col("l.pos").alias("pos_b"), F.col("l.comp").alias("comp_b"))
+    pairs = lists.filter("comp > least").join(stored(leader, "leader"), "key").filter(fits(percent))
+    return pairs.groupBy(F.col("id").alias("a"), "b", "comp", "comp_b").agg(F.count("*").alias("shared"))
+
+
+def every_pair(lists: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a list in different components that pass the bounds."""
+    other = lists.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("comp").alias("comp_b"))
+    return lists.join(other, "key").filter((F.col("comp") > F.col("comp_b")) & fits(percent)).select(F.col("id").alias("a"), "b", "comp", "comp_b").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
