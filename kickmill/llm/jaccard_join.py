@@ -299,4 +299,4 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Contract query: 5-word shingles, similarity 0.8, over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return jaccard_components(docs, "doc_id", "text", 5, 80).select("doc_id", "n_shingles", "component_id", "class_id")
+    return jaccard_components(docs, "doc_id", "text", 5, 80).select("doc_id", "n_shingles", "component_id")
