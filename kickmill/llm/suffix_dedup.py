@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kickmill.llm import chunks as C
-from kickmill.llm.textscan import BASE, BASE_INVERSE, BYTE_CODE, U64, buffers, mix, powers
+from kickmill.llm.textscan import BASE, BASE_INVERSE, BYTE_CODE, U64, blocks, buffers, mix, powers
 
 #: Bytes of an anchor; windows that are scanned together; bits of a position there.
 GRAM, SEGMENT, POSITION_BITS = 64, 1 << 19, 24
@@ -56,8 +56,7 @@ class Stretches:
         data, gram = self.data, min(GRAM, width)
         end = np.repeat(self.offsets[1:], np.diff(self.offsets)) if len(data) < (64 << 20) else None
         start, count, anchor, path = [], [], [], []
-        for lo in range(0, max(0, len(data) - width + 1), SEGMENT):
-            hi = min(lo + SEGMENT, len(data) - width + 1)  # windows [lo, hi)
+        for lo, hi in self.ranges():
             own = data[lo : hi + width - 1]
             total = np.zeros(len(own) + 1, U64)
             np.cumsum(BYTE_CODE[own] * powers(BASE, len(own)), out=total[1:])
@@ -86,6 +85,14 @@ class Stretches:
         self.entry[order] = C.runs(self.lead, len(order))
         self.lead = order[self.lead]
 
+    def ranges(self):
+        """Ranges of windows.  They are cut at documents, and inside long ones relative to their start, never by the order of rows."""
+        for a, b in blocks(self.offsets, SEGMENT):
+            last = int(self.offsets[b]) - self.width + 1
+            step = SEGMENT if b == a + 1 else max(1, last - int(self.offsets[a]))
+            for lo in range(int(self.offsets[a]), last, step):
+                yield lo, min(lo + step, last)
+
     def sent(self, codes: np.ndarray) -> np.ndarray:
         """Entries that go to the index as text."""
         return np.flatnonzero((codes == 2) | (codes == 3))
