@@ -1,10 +1,10 @@
 """Licence notices with DataFrame functions and a trained paragraph classifier.
 
-A paragraph (line) that has one of the ``CUES`` is a candidate.  Its distinct word 1- and 2-grams are the
-features of a sparse (L1-penalised) multinomial logistic regression over licence families and ``unknown``, fitted by
+A paragraph (line) that has one of the ``CUES`` or agrees with a template of any family (shared 2-grams) is a
+candidate, so all that can be confirmed is.  Its distinct word 1- and 2-grams are the features of a sparse (L1-penalised) multinomial logistic regression over licence families and ``unknown``, fitted by
 MLlib on notices built from ``TEMPLATES`` and on look-alikes.  ``unknown`` is calibrated: a family needs more
 probability than the look-alikes of a calibration split ever get.  A prediction counts once the paragraph also
-agrees with a template of that family (shared 2-grams).
+agrees with a template of that family.
 
 The model is a bounded table of n-grams held by every task, so documents are scanned in place without a shuffle.
 """
@@ -12,6 +12,7 @@ The model is a bounded table of n-grams held by every task, so documents are sca
 from __future__ import annotations
 
 import json
+import re
 from itertools import product
 
 from pyspark.ml.classification import LogisticRegression
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from kickmill.llm.decontaminate import constant, let
 
 UNKNOWN = "unknown"
-#: A paragraph without any of these (lower case) is no candidate.
+#: A paragraph with any of these (lower case) is a candidate, whether it agrees with a template or not.
 CUES = ("licen", "copyright", "rights reserved", "public domain", "redistribut", "permission is hereby", "warranty", "spdx")
 #: Names by which notices call a family, and sentences of its text.
 NAMES = {
@@ -86,7 +87,7 @@ def training_rows() -> list[tuple[str, str]]:
             rows += [(t, family), (t.upper(), family), ("Notice - " + t, family), (t + " Thank you for reading this page.", family)]
             if len(words) > 8:
                 rows += [(" ".join(words[: len(words) * 3 // 4]), family), (" ".join(w for j, w in enumerate(words) if j != i % len(words)), family)]
-            elif family == "proprietary":
+            elif t in SENTENCES.get(family, ()):
                 rows += [(t, family)] * 6
     rows += [(t, UNKNOWN) for t in LOOKALIKES]
     rows += [(t.upper(), UNKNOWN) for t in LOOKALIKES]
@@ -147,13 +148,25 @@ def template_pairs(spark: SparkSession) -> dict[str, list[list[str]]]:
     return out
 
 
+def pair_pattern(known: set[str]) -> str:
+    """Matches lower-case text that has one of the pairs, by the words of ``grams``; nested by first letter and word."""
+    after: dict[str, dict[str, list[str]]] = {}
+    for pair in sorted(known):
+        first, second = pair.split(" ")
+        after.setdefault(first[0], {}).setdefault(first[1:], []).append(second)
+    letter, either = r"[\p{L}\p{N}]", lambda parts: f"(?:{'|'.join(parts)})"
+    gap = rf"(?![.-]{letter})[^\p{{L}}\p{{N}}]+"
+    ways = [re.escape(c) + either([re.escape(rest) + gap + either(map(re.escape, ends)) for rest, ends in words.items()]) for c, words in after.items()]
+    return rf"(?<!{letter})(?<!{letter}[.-])" + either(ways) + rf"(?![.-]?{letter})"
+
+
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``licences``: array<struct<paragraph, family, probability, agreement, confirmed>> of its candidates.
 
     ``paragraph`` counts lines from 0.  ``family`` may be ``unknown``; ``confirmed`` needs a family above the
     calibrated probability and agreement with one of its templates.
 
-    Null or empty text and text without cues have no candidates.  Very long lines are read whole.  All columns of
+    Null or empty text and text without cues and template pairs have no candidates.  Very long lines are read whole.  All columns of
     ``docs`` are kept, one named ``licences`` is replaced; ids play no part, repeated rows are judged alike, an empty table
     gives an empty result.
     """
@@ -163,6 +176,8 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     known = template_pairs(spark)
     zero = F.array(*[F.lit(x) for x in intercepts])
     text_templates = F.from_json(F.lit(json.dumps([known.get(c, []) for c in classes])), "array<array<array<string>>>")
+    all_pairs = {p for ts in known.values() for t in ts for p in t}
+    template_grams, some_pair = F.from_json(F.lit(json.dumps(sorted(all_pairs))), "array<string>"), pair_pattern(all_pairs)
 
     def score(own: Column) -> Column:
         found = F.flatten(F.transform(own, lambda g: F.filter(F.get(weights, F.pmod(F.xxhash64(g), F.lit(size)).cast("int")), lambda e: e["g"] == g)))
@@ -171,20 +186,27 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def softmax(scores: Column) -> Column:
         return let(F.transform(scores, lambda s: F.exp(s - F.array_max(scores))), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)))
 
-    def agreement(own: Column, number: Column) -> Column:
+    def shares(own: Column, body) -> Column:
+        """body(share) with the function that gives a template's agreement."""
         two = F.filter(own, lambda g: F.contains(g, F.lit(" ")))
-        share = lambda t: F.size(F.array_intersect(two, t)) / F.greatest(F.lit(1), F.least(F.size(two), F.size(t)))
-        return F.coalesce(F.array_max(F.transform(F.get(text_templates, number), share)), F.lit(0.0))
+        both = let(two, lambda g: F.struct(F.size(g).alias("n"), F.array_intersect(g, template_grams).alias("p")))
+        return let(both, lambda x: body(lambda t: F.size(F.array_intersect(x["p"], t)) / F.greatest(F.lit(1), F.least(x["n"], F.size(t)))))
+
+    def agreement(own: Column, number: Column) -> Column:
+        return shares(own, lambda share: F.coalesce(F.array_max(F.transform(F.get(text_templates, number), share)), F.lit(0.0)))
+
+    def agrees(own: Column) -> Column:
+        return shares(own, lambda share: F.exists(F.flatten(text_templates), lambda t: share(t) >= AGREEMENT))
 
     def verdict(paragraph: Column, own: Column) -> Column:
         return let(softmax(score(own)), lambda p: let(F.array_position(p, F.array_max(p)).cast("int") - 1, lambda k: let(agreement(own, k), lambda a: F.struct(paragraph.alias("paragraph"), F.get(F.array(*[F.lit(c) for c in classes]), k).alias("family"), F.round(F.array_max(p), 6).alias("probability"), F.round(a, 6).alias("agreement"), ((F.get(F.array(*[F.lit(c) for c in classes]), k) != UNKNOWN) & (F.array_max(p) >= least) & (a >= AGREEMENT)).alias("confirmed")))))
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    cued = lambda c: let(F.lower(c), lambda low: _any([F.contains(low, F.lit(x)) for x in CUES]))
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: cued(s["x"]))
-    found = F.transform(lines, lambda s: let(grams(s["x"]), lambda own: verdict(s["i"], own)))
-    none = F.expr("cast(array() as array<struct<paragraph:int,family:string,probability:double,agreement:double,confirmed:boolean>>)")
-    return docs.withColumn("licences", F.when(_any([F.contains(F.lower(text), F.lit(x)) for x in CUES]), found).otherwise(none))
+    cued = lambda low: _any([F.contains(low, F.lit(x)) for x in CUES])
+    hinted = lambda c: let(F.lower(c), lambda low: cued(low) | F.rlike(low, F.lit(some_pair)))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: hinted(s["x"]))
+    found = F.transform(lines, lambda s: let(grams(s["x"]), lambda own: F.when(cued(F.lower(s["x"])) | agrees(own), verdict(s["i"], own))))
+    return docs.withColumn("licences", F.filter(found, lambda x: x.isNotNull()))
 
 
 def _any(tests: list[Column]) -> Column:

@@ -155,6 +155,23 @@ def test_licences(spark):
     assert got[99] == [] and got[98] == ["MIT"]
 
 
+def test_licences_of_every_template(spark):
+    """Every notice and sentence is found, with or without a cue."""
+    rows = [(f, t) for f, ts in LS.templates().items() for t in ts]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: [x.family for x in r.licences if x.confirmed] for r in LS.scan(df).collect()}
+    assert [(t, got[i]) for i, (_, t) in enumerate(rows)] == [(t, [f]) for f, t in rows]
+
+
+def test_licence_pairs_pattern(spark):
+    """The pattern finds a pair of words exactly where ``grams`` has it."""
+    texts = ["CC BY 4.0.", "xcc by", "cc -- by", "cc-by 4", "cc.by", "cc. by", "cc by-nc", "cc by.", "a-cc by", "a- cc by", "cc\nby", "by 4.0", "by 4.0.1", "by 4", "écc by", "cc byé", "CC (BY"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    known = ["cc by", "by 4.0"]
+    got = df.select("t", F.rlike(F.lower("t"), F.lit(LS.pair_pattern(set(known)))).alias("a"), F.arrays_overlap(LS.grams(F.col("t")), F.array(*map(F.lit, known))).alias("b")).collect()
+    assert {r.t for r in got if r.a} == {r.t for r in got if r.b} and {r.a for r in got} == {True, False}
+
+
 def test_pipeline_stages(spark):
     """Each stage against a plain version of itself, on its own input."""
     import corpus_pipeline as CP
