@@ -1,6 +1,6 @@
 """Licence notices with DataFrame functions and a trained paragraph classifier.
 
-A paragraph (line) that has one of the ``CUES`` or agrees with a template of any family (shared 2-grams) is a
+Paragraphs are runs of lines with words, and each of their lines by itself.  One that has one of the ``CUES`` or agrees with a template of any family (shared 2-grams) is a
 candidate, so all that can be confirmed is.  Its distinct word 1- and 2-grams are the features of a sparse (L1-penalised) multinomial logistic regression over licence families and ``unknown``, fitted by
 MLlib on notices built from ``TEMPLATES`` and on look-alikes.  ``unknown`` is calibrated: a family needs more
 probability than the look-alikes of a calibration split ever get.  A prediction counts once the paragraph also
@@ -161,9 +161,10 @@ def pair_pattern(known: set[str]) -> str:
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``licences``: array<struct<paragraph, family, probability, agreement, confirmed>> of its candidates.
+    """``docs`` with ``licences``: array<struct<paragraph, lines, family, probability, agreement, confirmed>> of its candidates.
 
-    ``paragraph`` counts lines from 0.  ``family`` may be ``unknown``; ``confirmed`` needs a family above the
+    ``paragraph`` is the first line, from 0, and ``lines`` how many there are.  Lines without letters and digits end a
+    paragraph.  One of several lines is left out if a line of it is confirmed for the same family.  ``family`` may be ``unknown``; ``confirmed`` needs a family above the
     calibrated probability and agreement with one of its templates.
 
     Null or empty text and text without cues and template pairs have no candidates.  Very long lines are read whole.  All columns of
@@ -198,15 +199,35 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def agrees(own: Column) -> Column:
         return shares(own, lambda share: F.exists(F.flatten(text_templates), lambda t: share(t) >= AGREEMENT))
 
-    def verdict(paragraph: Column, own: Column) -> Column:
-        return let(softmax(score(own)), lambda p: let(F.array_position(p, F.array_max(p)).cast("int") - 1, lambda k: let(agreement(own, k), lambda a: F.struct(paragraph.alias("paragraph"), F.get(F.array(*[F.lit(c) for c in classes]), k).alias("family"), F.round(F.array_max(p), 6).alias("probability"), F.round(a, 6).alias("agreement"), ((F.get(F.array(*[F.lit(c) for c in classes]), k) != UNKNOWN) & (F.array_max(p) >= least) & (a >= AGREEMENT)).alias("confirmed")))))
+    def verdict(paragraph: Column, n_lines: Column, own: Column) -> Column:
+        return let(softmax(score(own)), lambda p: let(F.array_position(p, F.array_max(p)).cast("int") - 1, lambda k: let(agreement(own, k), lambda a: F.struct(paragraph.alias("paragraph"), n_lines.alias("lines"), F.get(F.array(*[F.lit(c) for c in classes]), k).alias("family"), F.round(F.array_max(p), 6).alias("probability"), F.round(a, 6).alias("agreement"), ((F.get(F.array(*[F.lit(c) for c in classes]), k) != UNKNOWN) & (F.array_max(p) >= least) & (a >= AGREEMENT)).alias("confirmed")))))
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     cued = lambda low: _any([F.contains(low, F.lit(x)) for x in CUES])
     hinted = lambda c: let(F.lower(c), lambda low: cued(low) | F.rlike(low, F.lit(some_pair)))
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: hinted(s["x"]))
-    found = F.transform(lines, lambda s: let(grams(s["x"]), lambda own: F.when(cued(F.lower(s["x"])) | agrees(own), verdict(s["i"], own))))
-    return docs.withColumn("licences", F.filter(found, lambda x: x.isNotNull()))
+    judged = lambda x, at, n: let(grams(x), lambda own: F.when(cued(F.lower(x)) | agrees(own), verdict(at, n, own)))
+    kept = lambda found: F.filter(found, lambda x: x.isNotNull())
+
+    def of_paragraph(p: Column) -> Column:
+        """Candidates among the lines of a paragraph and the paragraph itself."""
+        lines = F.filter(F.transform(p["x"], lambda x, i: F.struct((p["i"] + i).alias("i"), x.alias("x"))), lambda s: hinted(s["x"]))
+        alone = kept(F.transform(lines, lambda s: judged(s["x"], s["i"], F.lit(1))))
+        whole = F.when(F.size(p["x"]) > 1, judged(F.array_join(p["x"], "\n"), p["i"], F.size(p["x"])))
+        known = lambda one, every: F.exists(every, lambda x: x["confirmed"] & (x["family"] == one["family"]))
+        return let(alone, lambda ls: let(whole, lambda w: F.concat(ls, F.filter(F.array(w), lambda x: x.isNotNull() & ~known(x, ls)))))
+
+    found = F.transform(F.filter(paragraphs(text), lambda p: hinted(F.array_join(p["x"], "\n"))), of_paragraph)
+    return docs.withColumn("licences", F.flatten(found))
+
+
+def paragraphs(text: Column) -> Column:
+    """array<struct<i, x>>: number of the first line, and the lines, of every run of lines with letters or digits."""
+
+    def runs(lines: Column, full: Column) -> Column:
+        edges = lambda step: F.filter(F.transform(full, lambda f, i: F.when(f & ~F.coalesce(F.get(full, i + step), F.lit(False)), i)), lambda i: i.isNotNull())
+        return F.zip_with(edges(-1), edges(1), lambda a, b: F.struct(a.alias("i"), F.slice(lines, a + 1, b - a + 1).alias("x")))
+
+    return let(F.split(text, "\n"), lambda lines: let(F.transform(lines, lambda x: F.rlike(x, F.lit(r"[\p{L}\p{N}]"))), lambda full: runs(lines, full)))
 
 
 def _any(tests: list[Column]) -> Column:

@@ -163,6 +163,19 @@ def test_licences_of_every_template(spark):
     assert [(t, got[i]) for i, (_, t) in enumerate(rows)] == [(t, [f]) for f, t in rows]
 
 
+def test_licences_over_several_lines(spark):
+    """Notices wrapped over lines, also in comments; none is reported twice."""
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+    texts = {
+        "Released under the MIT\nLicense.": [(0, 1, "MIT")], "intro\n\n" + isc + "\n\nmore": [(2, 3, "ISC")], "# code\n#\n" + "\n".join("# " + x for x in isc.split("\n")): [(2, 3, "ISC")],
+        "a title\r\n \r\nReleased under the CC\r\nBY 4.0.\r\n\r\nAll rights reserved.": [(2, 2, "CC-BY-4.0"), (5, 1, "proprietary")], "Released under the CC\n\nBY 4.0.": [], "\n\n": [],
+        "intro\nReleased under the MIT License.\nmore": [(1, 1, "MIT")],
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: [(x.paragraph, x.lines, x.family) for x in r.licences if x.confirmed] for r in LS.scan(df).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 def test_licence_pairs_pattern(spark):
     """The pattern finds a pair of words exactly where ``grams`` has it."""
     texts = ["CC BY 4.0.", "xcc by", "cc -- by", "cc-by 4", "cc.by", "cc. by", "cc by-nc", "cc by.", "a-cc by", "a- cc by", "cc\nby", "by 4.0", "by 4.0.1", "by 4", "écc by", "cc byé", "CC (BY"]
