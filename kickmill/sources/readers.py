@@ -13,14 +13,6 @@ def clean_header(name: str) -> str:
     return name.replace("﻿", "").strip()
 
 
-def decode(data: bytes) -> tuple[str, str]:
-    """(text, encoding): UTF-8 with or without a mark, else Latin-1."""
-    try:
-        return data.decode("utf-8-sig"), "UTF-8"
-    except UnicodeDecodeError:
-        return data.decode("latin-1"), "ISO-8859-1"
-
-
 def sniff_delimiter(sample: str) -> str:
     try:
         return csv.Sniffer().sniff(sample, delimiters=",;\t|").delimiter
@@ -29,9 +21,15 @@ def sniff_delimiter(sample: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """One file; its first kilobytes tell delimiter and encoding.  ``row_index`` counts data rows from 0 in file order."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65536).alias("b"), (F.length("content") == F.length(F.encode(F.decode("content", "UTF-8"), "UTF-8"))).alias("u")).first()
-    text, encoding = decode(bytes(head.b).rsplit(b"\n", 1)[0] or bytes(head.b))
+    """One file; its first kilobytes tell the delimiter, all of it the encoding: UTF-8 with or without a mark, else Latin-1.
+
+    ``row_index`` counts data rows from 0 in file order.
+    """
+    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65536).alias("b"), F.is_valid_utf8(F.col("content").cast("string")).alias("u")).first()
+    encoding = "UTF-8" if head.u else "ISO-8859-1"
+    start = bytes(head.b).rsplit(b"\n", 1)[0] or bytes(head.b)
+    # a character may be cut at the end
+    text = start.decode("utf-8-sig", "ignore") if head.u else start.decode("latin-1").removeprefix("\xef\xbb\xbf")
     delimiter = sniff_delimiter(text[:8192])
     header = [clean_header(c) for c in next(csv.reader(io.StringIO(text), delimiter=delimiter))]
     schema = ", ".join(f"`c{i}` string" for i in range(len(header)))

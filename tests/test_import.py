@@ -116,6 +116,15 @@ def test_reader_tolerates_marks_and_latin(spark, tmp_path):
         read_table(spark, "x.pdf")
 
 
+def test_reader_finds_late_accents(spark, tmp_path):
+    lines = ["Div,HomeTeam,AwayTeam", *["E0,Arsenal,Chelsea"] * 5000, "D1,Köln,Mainz"]
+    assert len("\n".join(lines[:-1])) > 65536
+    for encoding in ("utf-8", "latin-1"):
+        (tmp_path / f"{encoding}.csv").write_bytes("\n".join(lines).encode(encoding))
+        raw = read_table(spark, f"file://{tmp_path}/{encoding}.csv")
+        assert [r.HomeTeam for r in raw.filter("Div = 'D1'").collect()] == ["Köln"] and raw.count() == 5001
+
+
 def test_validation_reasons(spark):
     rows = [{"HomeTeam": None}, {"AwayTeam": "NEWCASTLE"}, {"Date": "soon"}, {"FTHG": "x"}, {}]
     names = list(NARROW)
