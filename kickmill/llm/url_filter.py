@@ -57,7 +57,7 @@ def fits(host: Column, path: Column, rule_host: Column, rule_path: Column) -> Co
 
 
 def with_rule(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
-    """``pages`` (host, path, ...) with ``rule`` and ``rule_verdict`` of the longest rule that fits, or nulls."""
+    """``pages`` (host, path, ...) with ``rule`` and ``rule_verdict`` of the longest rule that fits (of equally long ones the least), or nulls."""
     ordered = sorted({r: v for v, r in rules}.items(), key=lambda x: (-len(x[0]), x[0]))
     if len(ordered) <= MAX_SPELLED:
         rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -69,8 +69,8 @@ def with_rule(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     spark = pages.sparkSession
     table = spark.createDataFrame([(*parts(r), r, v, len(r)) for r, v in ordered], "rule_host string, rule_path string, rule string, rule_verdict string, size int")
     places = pages.select("host", "path").distinct()
-    ends = places.withColumn("_labels", F.split("host", "[.]")).withColumn("rule_host", F.explode(F.transform(F.sequence(F.lit(1), F.size("_labels")), lambda i: F.array_join(F.slice("_labels", i, 1000), "."))))
-    best = ends.join(table, "rule_host").filter(F.startswith("path", "rule_path")).groupBy("host", "path").agg(F.max(F.struct("size", "rule", "rule_verdict")).alias("r"))
+    ends = places.withColumn("_labels", F.split("host", "[.]")).withColumn("rule_host", F.explode(F.transform(F.sequence(F.lit(1), F.size("_labels")), lambda i: F.array_join(F.slice("_labels", i, F.size("_labels")), "."))))
+    best = ends.join(table, "rule_host").filter(F.startswith("path", "rule_path")).groupBy("host", "path").agg(F.min(F.struct(-F.col("size"), "rule", "rule_verdict")).alias("r"))
     return pages.join(best.select("host", "path", "r.rule", "r.rule_verdict"), ["host", "path"], "left")
 
 

@@ -38,6 +38,18 @@ def test_hosts_paths_and_rules(spark):
     assert UF.judge(pages.limit(0), none).count() == 0
 
 
+def test_rules_spelled_and_joined_agree(spark, monkeypatch):
+    """Ties between rules of equal length and hosts of very many labels."""
+    deep = "x." * 1200 + "net"
+    pages = spark.createDataFrame([("a.org", "/b/c"), ("b.a.org", "/b/"), (deep, "/p"), ("c.com", "/")], "host string, path string")
+    rules = [("allow", "a.org/b"), ("block", "org/b/c"), ("block", "net/"), ("allow", deep + "/")]
+    read = lambda: {r.host: (r.rule, r.rule_verdict) for r in UF.with_rule(pages, rules).collect()}
+    spelled = read()
+    assert spelled == {"a.org": ("a.org/b", "allow"), "b.a.org": ("a.org/b", "allow"), deep: (deep + "/", "allow"), "c.com": (None, None)}
+    monkeypatch.setattr(UF, "MAX_SPELLED", 0)
+    assert read() == spelled
+
+
 def test_reputation_shrinks(spark):
     rows = [(f"bad{i % 3}.spam.net", 0) for i in range(60)] + [(f"w{i % 5}.good.com", 1) for i in range(100)] + [("one.good.com", 0)]
     pages = spark.createDataFrame([(i, f"http://{h}/p", g) for i, (h, g) in enumerate(rows)] + [(999, "http://new.spam.net/", None), (998, "http://new.good.com/", None)], "page_id long, url string, good int")
