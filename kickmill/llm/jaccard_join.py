@@ -296,6 +296,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return alone.unionByName(found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", F.col("comp").alias("component_id")))
 
 
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """(class_a, class_b): every pair of different sets of Jaccard similarity >= percent / 100, class_a > class_b.
+
+    Classes and arguments are those of ``jaccard_components``.  All pairs that share an index list and pass the bounds
+    are compared, also inside a component, so the work grows with the number of links; nothing is capped.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sets = stored(survivors(rows, k, percent), "sets").filter(F.col("sig").isNotNull())
+    first = sets.groupBy("sig").agg(F.min(F.struct("id", "n", "tokens")).alias("s"))
+    classes = stored(first.select("s.id", "s.n", "s.tokens"), "classes")
+    lists = stored(index(classes, percent).withColumn("comp", F.col("id")), "index")
+    pairs = stored(every_pair(lists, percent).select("a", "b"), "pairs")
+    return linked(pairs, classes, percent).select(F.col("a").alias("class_a"), F.col("b").alias("class_b"))
+
+
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Contract query: 5-word shingles, similarity 0.8, over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

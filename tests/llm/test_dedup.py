@@ -159,6 +159,21 @@ def test_components(spark, seed):
     assert sorted(map(tuple, got), key=str) == brute_components(docs)
 
 
+def test_links(spark):
+    """Every link between different sets, also inside a component."""
+    rng = random.Random(11)
+    own = [f"w{i}" for i in range(120)]
+    docs = [*corpus(1), *((10**6 + i, " ".join(own[: 100 + rng.randint(0, 20)])) for i in range(15))]
+    sets = {}
+    for d, t in docs:
+        if d is not None and shingles(t):
+            sets[frozenset(shingles(t))] = min(d, sets.get(frozenset(shingles(t)), d))
+    sets = sorted(((d, s) for s, d in sets.items()), key=lambda x: x[0])
+    want = {(a, b) for i, (a, s) in enumerate(sets) for b, t in sets[:i] if a != b and 100 * len(s & t) >= 80 * len(s | t)}
+    got = [tuple(r) for r in J.jaccard_links(frame(spark, docs)).collect()]
+    assert sorted(got) == sorted(want) and len({x for p in want for x in p}) <= len(want)
+
+
 @pytest.mark.parametrize("easy", [0, 4])
 def test_components_of_chains(spark, monkeypatch, easy):
     """A drifting family, whose ends are no longer alike, and families that share much but not enough."""
