@@ -7,6 +7,10 @@ answers go back to the chunk, whose rows are grouped a second time (Spark reuses
 
 A key that occurs in a third of all rows still costs a bucket one entry per chunk, not per row, so
 hot keys need no cap.  All steps are pure functions of the rows: a lost executor recomputes them.
+
+There are at most as many blobs as entries.  While chunks x buckets is smaller they save Spark most of the cost of a row
+per key; far beyond that (tens of TB) blobs of few entries remain, which is a plain shuffle by key.  Rows that are equal in
+the columns that deal chunks (id and text) share a chunk, whatever their number.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOB = "chunk int, bucket int, blob binary"
+ANSWER = BLOB + ", more binary"
+ANSWER_ARROW = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary()), ("more", pa.binary())])
 BLOB_ARROW = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
 
 
@@ -54,8 +60,11 @@ def unpack(blob: bytes, dtypes: list) -> list[np.ndarray]:
     return out
 
 
-def answer(requests: DataFrame, dtypes: list, decide: Callable[..., np.ndarray]) -> DataFrame:
-    """decide(*columns of all blobs of a bucket, sizes) -> one uint8 per entry; the codes go back by chunk."""
+def answer(requests: DataFrame, dtypes: list, decide: Callable[..., np.ndarray], more: Callable[..., list[np.ndarray]] | None = None) -> DataFrame:
+    """decide(*columns of all blobs of a bucket, sizes) -> one uint8 per entry; the codes go back by chunk.
+
+    more(*columns, codes, chunk of each entry) -> columns that are sent back too for entries of code 1.
+    """
 
     def per_bucket(table):
         parts = [unpack(b, dtypes) for b in table.column("blob").to_pylist()]
@@ -63,9 +72,14 @@ def answer(requests: DataFrame, dtypes: list, decide: Callable[..., np.ndarray])
         codes = decide(*[np.concatenate([p[i] for p in parts]) for i in range(len(dtypes))], sizes).astype(np.uint8)
         ends = np.cumsum(sizes)
         blobs = [codes[e - n : e].tobytes() for e, n in zip(ends, sizes)]
-        return pa.table([table.column("chunk"), table.column("bucket"), pa.array(blobs, pa.binary())], schema=BLOB_ARROW)
+        extra: list[bytes | None] = [None] * len(blobs)
+        if more:
+            columns = more(*[np.concatenate([p[i] for p in parts]) for i in range(len(dtypes))], codes, np.repeat(table.column("chunk").to_numpy(), sizes))
+            ones = [slice(e - n, e) for e, n in zip(ends, sizes)]
+            extra = [np.int64((codes[o] == 1).sum()).tobytes() + b"".join(c[o][codes[o] == 1].tobytes() for c in columns) for o in ones]
+        return pa.table([table.column("chunk"), table.column("bucket"), pa.array(blobs, pa.binary()), pa.array(extra, pa.binary())], schema=ANSWER_ARROW)
 
-    return requests.groupBy("bucket").applyInArrow(per_bucket, BLOB)
+    return requests.groupBy("bucket").applyInArrow(per_bucket, ANSWER)
 
 
 def codes_in_order(answers: pa.Table) -> np.ndarray:
@@ -77,6 +91,14 @@ def codes_in_order(answers: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(blobs[i] for i in order), np.uint8)
 
 
+def more_in_order(answers: pa.Table, dtypes: list) -> list[np.ndarray]:
+    """The further columns for a chunk's entries of code 1, in the order in which it asked."""
+    order = np.argsort(answers.column("bucket").to_numpy()) if answers.num_rows else []
+    blobs = answers.column("more").to_pylist()
+    parts = [unpack(blobs[i], dtypes) for i in order]
+    return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate(dtypes)]
+
+
 def heads(*sorted_columns: np.ndarray) -> np.ndarray:
     """Positions at which a new combination begins."""
     if not len(sorted_columns[0]):

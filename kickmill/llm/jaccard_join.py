@@ -20,7 +20,7 @@ Documents become sets of hashed ``k``-word shingles.
 from __future__ import annotations
 
 import hashlib
-import uuid
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,23 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kickmill.llm import chunks as C
+from kickmill.llm.tables import discard, stored
 from kickmill.llm.textscan import CHAIN, CHAIN_INVERSE, U64, Words, blocks, buffers, mix, powers
-from kickmill.session import shared_folder
 
-SET_TYPE = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("tokens", T.BinaryType())])
+SET_FIELDS = [T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("tokens", T.BinaryType())]
 #: Rounds end once comparing all that is left takes at most so many pairs per entry of the index.
 EASY = 16
 INDEX_TYPE = "key long, id long, n long, pos long, own long"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back: its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/kickmill-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def least_common(n: np.ndarray, percent: int) -> np.ndarray:
     """Tokens that a set of n tokens shares with any partner at least."""
     return -(-percent * n // 100)
@@ -97,7 +89,7 @@ def distinct_keys(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndar
 
 
 def survivors(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(id, n, sig, tokens) of every document; sig and tokens are null for sets that can't have a partner."""
+    """(id, n, sig, tokens, carry) of every document (id, text, carry); sig and tokens are null for sets that can't have a partner."""
     n_chunks, n_buckets = C.layout(docs, "text")
     grouped = C.in_chunks(docs, n_chunks, "id", "text").groupBy("chunk")
 
@@ -126,10 +118,10 @@ def survivors(docs: DataFrame, k: int, percent: int) -> DataFrame:
         alive = (s.n > 0) & (repeated >= least_common(s.n, percent) // 10 + 1) & ~np.asarray(table.column("id").combine_chunks().is_null())
         tokens = [s.tokens[s.first[i] : s.first[i + 1]].tobytes() if alive[i] else None for i in range(len(s.n))]
         sigs = [None if t is None else hashlib.md5(t).digest() for t in tokens]
-        return pa.table({"id": table.column("id"), "n": pa.array(s.n.astype(np.int64)), "sig": pa.array(sigs, pa.binary()), "tokens": pa.array(tokens, pa.binary())})
+        return pa.table({"id": table.column("id"), "n": pa.array(s.n.astype(np.int64)), "sig": pa.array(sigs, pa.binary()), "tokens": pa.array(tokens, pa.binary()), "carry": table.column("carry")})
 
     answers = C.answer(grouped.applyInArrow(ask, C.BLOB), [np.uint64, np.uint8], judge)
-    return grouped.cogroup(answers.groupBy("chunk")).applyInArrow(select, SET_TYPE)
+    return grouped.cogroup(answers.groupBy("chunk")).applyInArrow(select, T.StructType([*SET_FIELDS, docs.schema["carry"]]))
 
 
 def index(sets: DataFrame, percent: int) -> DataFrame:
@@ -196,15 +188,18 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))
-    labels = stored(labels, "labels")
+    last = stored(labels, "labels")
+    labels = last
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
         step = stored(step.join(jump, "comp", "left").select("node", "old", F.least("comp", "further").alias("comp")), "labels")
+        discard(last)
+        labels, last = step.select("node", "comp"), step
         if not step.filter("comp <> old").limit(1).count():
-            return step.select("node", "comp")
-        labels = step.select("node", "comp")
+            discard(both)
+            return labels
 
 
 def fits(percent: int):
@@ -217,13 +212,14 @@ def fits(percent: int):
 def link_components(spark: SparkSession, sets: DataFrame, percent: int, rounds: int = 12) -> DataFrame:
     """(id, comp) of the distinct sets (id, n, tokens) that are linked with another one."""
     lists = stored(index(sets, percent).withColumn("comp", F.col("id")), "index")
-    comp = lists.select("id", "comp").distinct()
-    done = None  # pairs compared so far
+    comp = stored(lists.select("id", "comp").distinct(), "comp")
+    done: DataFrame | None = None  # pairs compared so far
     n_sets = None
     for turn in range(rounds + 1):
         # a list whose members are of one component is never read again, nor are sets in such lists only
-        mixed = lists.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("key", "least")
-        lists = stored(lists.join(stored(mixed, "mixed"), "key"), "open")
+        mixed = stored(lists.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("key", "least"), "mixed")
+        before, lists = lists, stored(lists.join(mixed, "key"), "open")
+        discard(mixed, before)
         # entries of a list that lie in different components, were all compared with all
         shares = lists.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("cc"))
         n_open, n_pairs = shares.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("cc")) / 2), F.lit(0.0))).first()
@@ -232,7 +228,8 @@ def link_components(spark: SparkSession, sets: DataFrame, percent: int, rounds:
         ids = lists.select("id").distinct()
         n_ids = ids.count()
         if n_sets is None or 2 * n_ids < n_sets:
-            sets, n_sets = stored(sets.join(ids, "id", "left_semi"), "rest"), n_ids
+            before, sets, n_sets = sets if n_sets is not None else None, stored(sets.join(ids, "id", "left_semi"), "rest"), n_ids
+            discard(before)
         last = turn == rounds or (turn > 0 and n_pairs <= EASY * n_open)
         pairs = every_pair(lists, percent) if last else leader_pairs(lists, percent, turn)
         if done is not None:
@@ -243,14 +240,21 @@ def link_components(spark: SparkSession, sets: DataFrame, percent: int, rounds:
         links = stored(linked(pairs, sets, percent).select(F.col("comp").alias("a"), F.col("comp_b").alias("b")).distinct(), "links")
         if links.limit(1).count():
             to = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-            comp, lists = (df.join(to, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to") for df in (comp, lists.drop("least")))
-            comp = stored(comp.select("id", "comp"), "comp")
+            before = comp, lists
+            renamed = [df.join(to, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to") for df in (comp, lists.drop("least"))]
+            comp = stored(renamed[0].select("id", "comp"), "comp")
+            lists = renamed[1] if last else stored(renamed[1], "lists")
+            discard(*before)
         elif not last:
             rounds = turn + 1  # leaders find nothing more: compare the rest in full
             lists = lists.drop("least")
+        discard(links)
         if last:
+            discard(pairs, done, sets)
             return comp
-        done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
+        before = done, pairs
+        done = stored(pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b")), "done")
+        discard(*before)
     return comp
 
 
@@ -271,29 +275,50 @@ def every_pair(lists: DataFrame, percent: int) -> DataFrame:
     return lists.join(other, "key").filter((F.col("comp") > F.col("comp_b")) & fits(percent)).select(F.col("id").alias("a"), "b", "comp", "comp_b").distinct()
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """(id_col, n_shingles, class_id, component_id), one row per input row.
+def distinct_sets(every: DataFrame) -> DataFrame:
+    """(sig, id, node, n, tokens) of each different set: its least id, and a number of its own.
+
+    That is the id, unless different texts share it: their numbers are hashes below all others.
+    """
+    first = every.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min(F.struct("id", "n", "tokens")).alias("s"))
+    classes = stored(first.select("sig", "s.id", F.col("s.id").alias("node"), "s.n", "s.tokens"), "classes")
+    again = classes.groupBy("id").agg(F.count("*").alias("times")).filter("times > 1").select("id", "times")
+    if not again.limit(1).count():
+        return classes
+    own = F.lit(-(1 << 62)) - F.shiftrightunsigned(F.xxhash64("sig"), 2)
+    out = stored(classes.join(again, "id", "left").withColumn("node", F.when(F.col("times").isNull(), F.col("id")).otherwise(own)).drop("times"), "classes")
+    discard(classes)
+    return out
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, carry: Sequence[str] = ()) -> DataFrame:
+    """(id_col, *carry, n_shingles, class_id, component_id, group_id), one row per input row.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a document's set holds the hashes of its distinct
     k-word shingles (fewer words: the whole sequence).  ``class_id`` is the least id with an equal set,
-    ``component_id`` the least id reachable by links of Jaccard similarity >= percent / 100.
+    ``component_id`` the least id reachable by links of Jaccard similarity >= percent / 100.  ``group_id`` is equal for rows that reach
+    each other, and differs from all others' also where ids repeat; it is null where nothing is linked.
 
     Null or empty text has an empty set (n_shingles 0), linked with nothing.  A null id is linked
-    with nothing and has null class and component.  Repeated rows link like copies.  An empty table gives an empty result.
-    Other columns are ignored.  Shingles are identified by 64-bit hashes.
+    with nothing and has null class and component.  Repeated rows link like copies; different texts of one id are different
+    documents, so several components can have the same ``component_id``.  An empty table gives an empty result.
+    Columns not named in ``carry`` are ignored.  Shingles are identified by 64-bit hashes.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).alias("carry"))
     every = stored(survivors(rows, k, percent), "sets")
-    sets = every.filter(F.col("sig").isNotNull())
-    first = sets.groupBy("sig").agg(F.min(F.struct("id", "n", "tokens")).alias("s"))
-    classes = stored(first.select("sig", "s.id", "s.n", "s.tokens"), "classes")
-    comp = link_components(spark, classes.select("id", "n", "tokens"), percent)
-    named = classes.select("sig", F.col("id").alias("class_id")).join(comp.select(F.col("id").alias("class_id"), "comp"), "class_id", "left")
-    named = stored(named.select("sig", "class_id", F.coalesce("comp", "class_id").alias("comp")), "named")
-    alone = every.filter(F.col("sig").isNull()).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("class_id"), F.col("id").alias("component_id"))
-    found = every.filter(F.col("sig").isNotNull()).select("id", "n", "sig").join(named, "sig")
-    return alone.unionByName(found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", F.col("comp").alias("component_id")))
+    classes = distinct_sets(every)
+    comp = link_components(spark, classes.select(F.col("node").alias("id"), "n", "tokens"), percent)
+    named = classes.select("sig", F.col("id").alias("class_id"), "node").join(comp.select(F.col("id").alias("node"), "comp"), "node", "left")
+    named = named.select("sig", "class_id", F.coalesce("comp", "node").alias("group_id"))
+    least = named.groupBy("group_id").agg(F.min("class_id").alias("component_id"))
+    named = stored(named.join(least, "group_id"), "named")
+    discard(classes, comp)
+    extra = [F.col(f"carry.c{i}").alias(c) for i, c in enumerate(carry)]
+    key, size = F.col("id").alias(id_col), F.col("n").alias("n_shingles")
+    alone = every.filter(F.col("sig").isNull()).select(key, *extra, size, F.col("id").alias("class_id"), F.col("id").alias("component_id"), F.lit(None).cast("long").alias("group_id"))
+    found = every.filter(F.col("sig").isNotNull()).select("id", "n", "sig", "carry").join(named, "sig")
+    return alone.unionByName(found.select(key, *extra, size, "class_id", "component_id", "group_id"))
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -302,13 +327,14 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Classes and arguments are those of ``jaccard_components``.  All pairs that share an index list and pass the bounds
     are compared, also inside a component, so the work grows with the number of links; nothing is capped.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = stored(survivors(rows, k, percent), "sets").filter(F.col("sig").isNotNull())
-    first = sets.groupBy("sig").agg(F.min(F.struct("id", "n", "tokens")).alias("s"))
-    classes = stored(first.select("s.id", "s.n", "s.tokens"), "classes")
-    lists = stored(index(classes, percent).withColumn("comp", F.col("id")), "index")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_")).alias("carry"))
+    classes = distinct_sets(stored(survivors(rows, k, percent), "sets"))
+    sets = classes.select(F.col("node").alias("id"), "n", "tokens")
+    lists = stored(index(sets, percent).withColumn("comp", F.col("id")), "index")
     pairs = stored(every_pair(lists, percent).select("a", "b"), "pairs")
-    return linked(pairs, classes, percent).select(F.col("a").alias("class_a"), F.col("b").alias("class_b"))
+    a, b = (classes.select(F.col("node").alias(x), F.col("id").alias(f"class_{x}")) for x in "ab")
+    links = linked(pairs, sets, percent).select("a", "b").join(a, "a").join(b, "b")
+    return links.select(F.greatest("class_a", "class_b").alias("class_a"), F.least("class_a", "class_b").alias("class_b"))
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:

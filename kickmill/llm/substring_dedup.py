@@ -2,22 +2,26 @@
 
 Windows of ``k`` words are the edges of a De Bruijn graph.  Each window is reached through its
 *node*: the ``k // 2 + 1`` words of least hash inside it, which is the same for equal windows wherever they
-occur.  The consecutive windows of a document that share a node form one nonbranching *path*,
-stored once as (node, hash of the whole path) instead of edge by edge.
+occur.  The consecutive windows of a document that share a node form one *path*, kept as (node, hash of the path) instead of
+edge by edge.  A node's degree is its number of different paths; with one path it doesn't branch.
 
-1. Every chunk of documents sends its distinct (node, path, least doc_id) to the node's bucket.
-2. A bucket answers per path: an earlier document holds the same path (all its windows repeat);
-   or the node branches - several paths - and this chunk holds the path's first document.
+1. Every chunk of documents sends its distinct (node, path, least doc_id, place) to the node's bucket.
+2. A bucket counts the node's degree and answers per path: an earlier document holds it (all its windows repeat), with the
+   *source coordinates* of the first holder (chunk, document, word); or the node branches and this chunk holds the path's first document.
 3. Only for branching nodes the first holders send single windows (edges), to be compared alike.
-4. The answers are joined back to the documents, where source coordinates turn repeated windows
-   into spans of words, and the spans are cut out.
+4. *Compaction.*  Repeated windows that follow each other in the copy and in the source are one long nonbranching path.  Its
+   coordinates and the digest of its words are aggregated by Spark (equal paths of many copies become one row)
+   and joined with the documents by the source's chunk, where the words at the coordinates are digested too.
+5. *Verification.*  What differs is not cut.  The rest is joined back to the documents and cut out.
 
-A window is identified by the 64-bit hash of its words.
+Paths and windows are told apart by two independent 64-bit hashes, verified spans by BLAKE2b of their words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -26,26 +30,50 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kickmill.llm import chunks as C
-from kickmill.llm.textscan import CHAIN, CHAIN_INVERSE, U64, Words, blocks, buffers, mix, powers, sliding_argmin
+from kickmill.llm.textscan import CHAIN_2_INVERSE, CHAIN_INVERSE, U64, Words, blocks, buffers, mix, powers, sliding_argmin
 
 NO_ID = np.iinfo(np.int64).max
+#: Source coordinates: chunk, id and word.
+SOURCE = [np.int32, np.int64, np.int32]
+REQUEST = "chunk int, id long, place int, words int, digest binary"
+
+
+def digest(words: list[bytes]) -> bytes:
+    return blake2b(b" ".join(words), digest_size=16).digest()
+
+
+@dataclass
+class Sources:
+    """Where each window's words also start in an earlier document (``hit``): chunk, id and word there."""
+
+    hit: np.ndarray
+    chunk: np.ndarray
+    doc: np.ndarray
+    place: np.ndarray
+
+    def put(self, at: np.ndarray, chunk, doc, place) -> None:
+        self.hit[at], self.chunk[at], self.doc[at], self.place[at] = True, chunk, doc, place
 
 
 class Paths:
-    """The paths of one chunk's documents.  Rows without an id take no part."""
+    """The paths of one chunk's documents.  Rows without an id take no part.
 
-    def __init__(self, table: pa.Table, k: int, n_buckets: int):
+    ``bits``: of the first hash that are used; fewer only to test what the second one does.
+    """
+
+    def __init__(self, table: pa.Table, k: int, n_buckets: int, bits: int = 64):
         self.k, self.m = k, k // 2 + 1
+        keep = U64((1 << bits) - 1)
         ids = table.column("id").combine_chunks() if isinstance(table.column("id"), pa.ChunkedArray) else table.column("id")
         has_id = ~np.asarray(ids.is_null())
         self.ids = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
         data, self.offsets = buffers(table.column("text"))
         self.data = data
-        node, path, doc, first, count, edge, self.words = [], [], [], [], [], [], []
+        node, path, path_2, doc, first, count, edge, edge_2, place, self.words = [], [], [], [], [], [], [], [], [], []
         n_windows = 0
         for lo, hi in blocks(self.offsets):
             start, stop = self.offsets[lo], self.offsets[hi]
-            w = Words(data[start:stop], self.offsets[lo : hi + 1] - start)
+            w = Words(data[start:stop], self.offsets[lo : hi + 1] - start, twice=True)
             grams = w.grams(self.m)
             at = sliding_argmin(grams, k - self.m + 1)
             windows = np.flatnonzero((w.room()[: len(at)] >= k) & has_id[lo + w.doc[: len(at)]])
@@ -53,53 +81,94 @@ class Paths:
             begin = C.heads(anchor, of)
             end = np.append(begin[1:], len(windows))
             s, e = windows[begin], windows[end - 1] + k if len(begin) else windows[begin]
-            total = np.zeros(len(w.hash) + 1, U64)
-            np.cumsum(w.hash * powers(CHAIN, len(w.hash)), out=total[1:])
-            span = mix((total[e] - total[s]) * powers(CHAIN_INVERSE, len(total))[s])
             node.append(grams[anchor[begin]])
             # the same words around another place of the node would be another path
-            path.append(mix(span + (anchor[begin] - s).astype(U64)))
+            for second, found, inverse in ((False, path, CHAIN_INVERSE), (True, path_2, CHAIN_2_INVERSE)):
+                total = w.chained(second)
+                found.append(mix(mix((total[e] - total[s]) * powers(inverse, len(total))[s]) + (anchor[begin] - s).astype(U64)))
             doc.append(lo + of[begin])
             first.append(n_windows + begin)
             count.append(end - begin)
             edge.append(w.grams(k)[windows])
+            edge_2.append(w.grams(k, True)[windows])
+            place.append(windows - w.first[of])
             self.words.append((lo, hi, start, w.start, w.end, w.first, windows, n_windows))
             n_windows += len(windows)
         join = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, t)
-        node, path = join(node, U64), join(path, U64)
-        self.doc, self.first, self.count, self.edge = join(doc, np.int64), join(first, np.int64), join(count, np.int64), join(edge, U64)
-        owner = self.ids[self.doc] if len(self.doc) else np.zeros(0, np.int64)
-        order = np.lexsort((owner, path, node, C.bucket_of(node, n_buckets)))
-        at = C.heads(node[order], path[order])
-        self.node, self.path, self.least = node[order][at], path[order][at], owner[order][at]
+        node, path, path_2, self.edge, self.edge_2 = join(node, U64), join(path, U64) & keep, join(path_2, U64), join(edge, U64) & keep, join(edge_2, U64)
+        self.doc, self.first, self.count, self.place = join(doc, np.int64), join(first, np.int64), join(count, np.int64), join(place, np.int64).astype(np.int32)
+        self.owner = self.ids[self.doc] if len(self.doc) else np.zeros(0, np.int64)
+        at_path = self.place[self.first] if len(self.first) else self.place
+        order = np.lexsort((at_path, self.owner, path_2, path, node, C.bucket_of(node, n_buckets)))
+        at = C.heads(node[order], path[order], path_2[order])
+        lead = order[at]
+        self.node, self.path, self.path_2, self.least, self.least_place = node[lead], path[lead], path_2[lead], self.owner[lead], at_path[lead]
         self.entry = np.empty(len(order), np.int64)
         self.entry[order] = C.runs(at, len(order))
-        self.owner = owner
 
-    def open_edges(self, codes: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct windows of the branching paths first held here, their least id, and for each window of the chunk its place there or -1."""
+    def open_edges(self, codes: np.ndarray, n_buckets: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """[hashes, least id and place] of the distinct windows of the branching paths first held here, and for each window of the chunk its place among them or -1."""
         # a document can hold its path more than once
         held = np.flatnonzero((codes[self.entry] == 2) & (self.owner == self.least[self.entry])) if len(self.entry) else np.zeros(0, np.int64)
         count = self.count[held]
         at = np.repeat(self.first[held] - np.append(0, np.cumsum(count))[:-1], count) + np.arange(count.sum())
-        keys, owner = self.edge[at], np.repeat(self.owner[held], count)
-        order = np.lexsort((owner, keys, C.bucket_of(keys, n_buckets)))
-        new = C.heads(keys[order])
-        place = np.full(len(self.edge), -1, np.int64)
-        place[at[order]] = C.runs(new, len(order))
-        return keys[order][new], owner[order][new], place
-
-    def repeated(self, codes: np.ndarray, edge_codes: np.ndarray, n_buckets: int) -> np.ndarray:
-        """For each window: an equal one starts in a document with a smaller id."""
-        out = np.zeros(len(self.edge), bool)
+        keys, keys_2, owner, place = self.edge[at], self.edge_2[at], np.repeat(self.owner[held], count), self.place[at]
+        order = np.lexsort((place, owner, keys_2, keys, C.bucket_of(keys, n_buckets)))
+        new = C.heads(keys[order], keys_2[order])
+        entry = np.full(len(self.edge), -1, np.int64)
+        entry[at[order]] = C.runs(new, len(order))
+        lead = order[new]
+        return [keys[lead], keys_2[lead], owner[lead], place[lead]], entry
+
+    def sources(self, chunk: int, paths: pa.Table, edges: pa.Table, n_buckets: int) -> Sources:
+        """For each window whether an equal one starts in a document with a smaller id, and where."""
+        n = len(self.edge)
+        out = Sources(np.zeros(n, bool), np.zeros(n, np.int32), np.zeros(n, np.int64), np.zeros(n, np.int32))
         if not len(self.entry):
             return out
-        whole = (codes[self.entry] == 1) | (self.owner > self.least[self.entry])
-        out = np.repeat(whole, self.count)
-        _, least, place = self.open_edges(codes, n_buckets)
-        at = np.flatnonzero(place >= 0)
-        hit = edge_codes[place[at]] == 1 if len(at) else np.zeros(0, bool)
-        out[at] |= hit | (np.repeat(self.owner, self.count)[at] > least[place[at]])
+        codes = C.codes_in_order(paths)
+        first = self.first_holders(chunk, codes, self.least, self.least_place, paths)
+        gone = np.flatnonzero((codes[self.entry] == 1) | (self.owner > self.least[self.entry]))
+        count, entry = self.count[gone], self.entry[gone]
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        at = np.repeat(self.first[gone], count) + step
+        out.put(at, *(np.repeat(x[entry], count) for x in first[:2]), np.repeat(first[2][entry], count) + step)
+        (_, _, least, place), entry = self.open_edges(codes, n_buckets)
+        at = np.flatnonzero(entry >= 0)
+        if len(at):
+            codes = C.codes_in_order(edges)
+            first = self.first_holders(chunk, codes, least, place, edges)
+            at = at[(codes[entry[at]] == 1) | (np.repeat(self.owner, self.count)[at] > least[entry[at]])]
+            at = at[~out.hit[at]]
+            out.put(at, *(x[entry[at]] for x in first))
+        return out
+
+    @staticmethod
+    def first_holders(chunk: int, codes: np.ndarray, least: np.ndarray, place: np.ndarray, answers: pa.Table) -> list[np.ndarray]:
+        """(chunk, id, word) of each entry's first holder: an earlier one elsewhere, or this chunk's."""
+        out = [np.full(len(codes), chunk, np.int32), least.copy(), place.copy()]
+        for own, told in zip(out, C.more_in_order(answers, SOURCE)):
+            own[codes == 1] = told
+        return out
+
+    def chains(self, found: Sources) -> tuple[np.ndarray, np.ndarray]:
+        """First and last window of the long paths: repeated windows that follow each other here and in the source."""
+        at = np.flatnonzero(found.hit)
+        if not len(at):
+            return at, at
+        on = np.zeros(len(at), bool)
+        same = (np.diff(at) == 1) & (np.repeat(self.doc, self.count)[at][1:] == np.repeat(self.doc, self.count)[at][:-1])
+        on[1:] = same & (found.chunk[at][1:] == found.chunk[at][:-1]) & (found.doc[at][1:] == found.doc[at][:-1]) & (found.place[at][1:] == found.place[at][:-1] + 1)
+        begin = np.flatnonzero(~on)
+        return at[begin], at[np.append(begin[1:], len(at)) - 1]
+
+    def digests(self, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
+        """Of the words from window ``begin`` to the end of window ``end``."""
+        out: list[bytes] = []
+        for _, _, start, ws, we, _, windows, base in self.words:
+            own = slice(np.searchsorted(begin, base), np.searchsorted(begin, base + len(windows)))
+            first, last = ws[windows[begin[own] - base]] + start, we[windows[end[own] - base] + self.k - 1] + start
+            out += [digest(self.data[a:b].tobytes().split()) for a, b in zip(first.tolist(), last.tolist())]
         return out
 
     def cut(self, hit: np.ndarray, joined: bool = True):
@@ -149,7 +218,7 @@ def split_runs(run: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return row[full], (s - first[row])[full], (e - first[row])[full]
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, carry: Sequence[str] = (), joined: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, carry: Sequence[str] = (), joined: bool = True, bits: int = 64) -> DataFrame:
     """Remove from every text the words of ``k``-word windows that also start in a document with a smaller id.
 
     Words are ``[^\\x20\\x09-\\x0D]+``.  Windows are judged on the input.  Returns ``id_col``, the columns
@@ -160,51 +229,100 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Null or empty text: no words, ``kept_text`` is ''.  A row with a null id keeps its text and
     removes nothing elsewhere.  Rows with equal ids don't remove each other's words.  An empty
     table gives an empty result.  Other columns of ``docs``, whatever their names, are ignored.
+    ``bits`` weakens the first hash, for tests; the result stays.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).alias("carry"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).alias("carry"))
     n_chunks, n_buckets = C.layout(rows, "text")
-    return _dedup(rows, id_col, k, list(carry), joined, n_chunks, n_buckets)
+    return _dedup(rows, id_col, k, list(carry), joined, n_chunks, n_buckets, bits)
 
 
-def _dedup(rows: DataFrame, id_col: str, k: int, carry: list[str], joined: bool, n_chunks: int, n_buckets: int) -> DataFrame:
+def _dedup(rows: DataFrame, id_col: str, k: int, carry: list[str], joined: bool, n_chunks: int, n_buckets: int, bits: int) -> DataFrame:
     chunked = C.in_chunks(rows, n_chunks, "id", "text")
     grouped = chunked.groupBy("chunk")
 
     def ask_paths(key, table):
-        p = Paths(table, k, n_buckets)
-        return C.ask(key[0].as_py(), p.node, [p.node, p.path, p.least], n_buckets)
-
-    def judge_paths(node, path, least, sizes):
-        order = np.lexsort((least, path, node))
-        by_path = C.heads(node[order], path[order])
-        earliest = least[order][by_path]
-        by_node = C.heads(node[order][by_path])
-        n_paths = np.diff(np.append(by_node, len(by_path)))
-        run = C.runs(by_path, len(order))
+        p = Paths(table, k, n_buckets, bits)
+        return C.ask(key[0].as_py(), p.node, [p.node, p.path, p.path_2, p.least, p.least_place], n_buckets)
+
+    def by_path(node, path, path_2, least, place):
+        order = np.lexsort((place, least, path_2, path, node))
+        at = C.heads(node[order], path[order], path_2[order])
+        return order, at, C.runs(at, len(order))
+
+    def judge_paths(node, path, path_2, least, place, sizes):
+        order, at, run = by_path(node, path, path_2, least, place)
+        earliest = least[order][at]
+        by_node = C.heads(node[order][at])
+        degree = np.diff(np.append(by_node, len(at)))
         codes = np.empty(len(order), np.uint8)
-        codes[order] = np.where(least[order] > earliest[run], 1, np.where(n_paths[C.runs(by_node, len(by_path))][run] > 1, 2, 0))
+        codes[order] = np.where(least[order] > earliest[run], 1, np.where(degree[C.runs(by_node, len(at))][run] > 1, 2, 0))
         return codes
 
+    def path_sources(node, path, path_2, least, place, codes, chunk):
+        order, at, run = by_path(node, path, path_2, least, place)
+        lead = np.empty(len(order), np.int64)
+        lead[order] = order[at][run]
+        return [chunk[lead].astype(np.int32), least[lead], place[lead]]
+
     def ask_edges(key, table, answers):
-        p = Paths(table, k, n_buckets)
-        keys, least, _ = p.open_edges(C.codes_in_order(answers), n_buckets)
-        return C.ask(key[0].as_py(), keys, [keys, least], n_buckets)
+        p = Paths(table, k, n_buckets, bits)
+        asked, _ = p.open_edges(C.codes_in_order(answers), n_buckets)
+        return C.ask(key[0].as_py(), asked[0], asked, n_buckets)
 
-    def judge_edges(edge, least, sizes):
-        order = np.lexsort((least, edge))
-        at = C.heads(edge[order])
+    def by_edge(edge, edge_2, least, place):
+        order = np.lexsort((place, least, edge_2, edge))
+        at = C.heads(edge[order], edge_2[order])
+        return order, at, C.runs(at, len(order))
+
+    def judge_edges(edge, edge_2, least, place, sizes):
+        order, at, run = by_edge(edge, edge_2, least, place)
         codes = np.empty(len(order), np.uint8)
-        codes[order] = least[order] > least[order][at][C.runs(at, len(order))]
+        codes[order] = least[order] > least[order][at][run]
         return codes
 
+    def edge_sources(edge, edge_2, least, place, codes, chunk):
+        order, at, run = by_edge(edge, edge_2, least, place)
+        lead = np.empty(len(order), np.int64)
+        lead[order] = order[at][run]
+        return [chunk[lead].astype(np.int32), least[lead], place[lead]]
+
+    def sources_of(key, table, answers):
+        p, rounds = Paths(table, k, n_buckets, bits), answers.column("round").to_numpy()
+        return p, p.sources(key[0].as_py(), *(answers.filter(pa.array(rounds == r)) for r in (1, 2)), n_buckets)
+
+    def long_paths(key, table, answers):
+        p, found = sources_of(key, table, answers)
+        begin, end = p.chains(found)
+        size = (end - begin + k).astype(np.int32)
+        return pa.table({"chunk": found.chunk[begin], "id": found.doc[begin], "place": found.place[begin], "words": size, "digest": pa.array(p.digests(begin, end), pa.binary())})
+
+    def differing(key, table, requests):
+        wanted: dict[int, list[tuple[int, int, bytes]]] = {}
+        for i, place, words, told in zip(*(requests.column(c).to_pylist() for c in ("id", "place", "words", "digest"))):
+            wanted.setdefault(i, []).append((place, words, told))
+        held: dict[tuple[int, int, bytes, int], bool] = {}
+        for i, text in zip(table.column("id").to_pylist(), table.column("text")):
+            if i in wanted:  # rows may share an id
+                own = (text.as_py() or "").encode().split()
+                for place, words, told in wanted[i]:
+                    if not held.get((i, place, told, words)):
+                        held[i, place, told, words] = place + words <= len(own) and digest(own[place : place + words]) == told
+        bad = [(i, place, told) for (i, place, told, _), good in held.items() if not good]
+        return pa.table({"id": pa.array([b[0] for b in bad], pa.int64()), "place": pa.array([b[1] for b in bad], pa.int32()), "digest": pa.array([b[2] for b in bad], pa.binary())})
+
     out_type = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("carry", rows.schema["carry"].dataType)])
 
     def cut(key, table, answers):
-        p = Paths(table, k, n_buckets)
-        rounds = answers.column("round").to_numpy()
-        codes = [C.codes_in_order(answers.filter(pa.array(rounds == r))) for r in (1, 2)]
+        p, found = sources_of(key, table, answers)
+        refused = answers.filter(pa.array(answers.column("round").to_numpy() == 3))
+        if refused.num_rows:
+            bad = set(zip(*(refused.column(c).to_pylist() for c in ("id", "place", "digest"))))
+            begin, end = p.chains(found)
+            for a, b, told in zip(begin, end, p.digests(begin, end)):
+                if (int(found.doc[a]), int(found.place[a]), told) in bad:
+                    found.hit[a : b + 1] = False
         text, n_words, n_removed, spans = [], [], [], []
-        for lo, hi, words, removed, run, first, kept in p.cut(p.repeated(*codes, n_buckets), joined):
+        for lo, hi, words, removed, run, first, kept in p.cut(found.hit, joined):
             row, s, e = split_runs(run, first)
             text.append(kept.cast(pa.string()))
             n_words.append(words)
@@ -213,10 +331,15 @@ def _dedup(rows: DataFrame, id_col: str, k: int, carry: list[str], joined: bool,
         carried = table.column("carry")
         return pa.table({id_col: table.column("id"), "kept_text": pa.chunked_array(text, pa.string()), "n_words": np.concatenate(n_words).astype(np.int64), "n_removed": np.concatenate(n_removed).astype(np.int64), "spans": pa.chunked_array(spans), "carry": carried})
 
-    paths = C.answer(grouped.applyInArrow(ask_paths, C.BLOB), [np.uint64, np.uint64, np.int64], judge_paths)
-    edges = C.answer(grouped.cogroup(paths.groupBy("chunk")).applyInArrow(ask_edges, C.BLOB), [np.uint64, np.int64], judge_edges)
+    paths = C.answer(grouped.applyInArrow(ask_paths, C.BLOB), [np.uint64, np.uint64, np.uint64, np.int64, np.int32], judge_paths, path_sources)
+    edges = C.answer(grouped.cogroup(paths.groupBy("chunk")).applyInArrow(ask_edges, C.BLOB), [np.uint64, np.uint64, np.int64, np.int32], judge_edges, edge_sources)
     both = paths.withColumn("round", F.lit(1)).unionByName(edges.withColumn("round", F.lit(2)))
-    out = grouped.cogroup(both.groupBy("chunk")).applyInArrow(cut, out_type)
+    # one row for the equal long paths of however many copies
+    compacted = grouped.cogroup(both.groupBy("chunk")).applyInArrow(long_paths, REQUEST).distinct()
+    refused = grouped.cogroup(compacted.groupBy("chunk")).applyInArrow(differing, "id long, place int, digest binary")
+    # hardly ever any: then every chunk is told
+    told = refused.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))).withColumn("round", F.lit(3))
+    out = grouped.cogroup(both.unionByName(told, allowMissingColumns=True).groupBy("chunk")).applyInArrow(cut, out_type)
     return out.select(id_col, *[F.col(f"carry.c{i}").alias(c) for i, c in enumerate(carry)], "kept_text", "n_words", "n_removed", "spans")
 
 

@@ -15,9 +15,13 @@ BASE = U64(0x9E3779B97F4A7C15)
 BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 CHAIN = U64(0xD6E8FEB86659FD93)
 CHAIN_INVERSE = U64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+#: A second, independent hash.
+BASE_2, CHAIN_2 = U64(0xC2B2AE3D27D4EB4F), U64(0xA24BAED4963EE407)
+BASE_2_INVERSE, CHAIN_2_INVERSE = (U64(pow(int(b), -1, 1 << 64)) for b in (BASE_2, CHAIN_2))
+BYTE_CODE_2 = np.random.default_rng(20250611).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 BYTE_CODE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-#: Bytes scanned at once; a longer document is scanned alone.
-BLOCK_BYTES = 4 << 20
+#: Bytes scanned at once, at about 50 bytes of memory each; a longer document is scanned alone.
+BLOCK_BYTES = 1 << 20
 
 #: words ``[^\x20\x09-\x0D]+``
 SPACE_WORD = np.ones(256, dtype=bool)
@@ -73,9 +77,9 @@ def blocks(offsets: np.ndarray, size: int = BLOCK_BYTES):
 
 
 class Words:
-    """Words of a run of documents: byte ``start``/``end``, their row ``doc``, ``hash``, and ``first`` (rows + 1)."""
+    """Words of a run of documents: byte ``start``/``end``, their row ``doc``, ``hash`` (``twice``: and ``hash_2``), and ``first`` (rows + 1)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, word: np.ndarray = SPACE_WORD, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, word: np.ndarray = SPACE_WORD, lower: bool = False, twice: bool = False):
         n = len(offsets) - 1
         if lower:
             data = ASCII_LOWER[data]
@@ -93,18 +97,28 @@ class Words:
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(n), np.diff(self.first))
+        self.hash = self.hashes(data, BYTE_CODE, BASE, BASE_INVERSE)
+        self.hash_2 = self.hashes(data, BYTE_CODE_2, BASE_2, BASE_2_INVERSE) if twice else None
+
+    def hashes(self, data: np.ndarray, code: np.ndarray, base: np.uint64, inverse: np.uint64) -> np.ndarray:
         total = np.zeros(len(data) + 1, U64)
-        np.cumsum(BYTE_CODE[data] * powers(BASE, len(data)), out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * powers(BASE_INVERSE, len(data) + 1)[self.start])
+        np.cumsum(code[data] * powers(base, len(data)), out=total[1:])
+        return mix((total[self.end] - total[self.start]) * powers(inverse, len(data) + 1)[self.start])
+
+    def chained(self, second: bool = False) -> np.ndarray:
+        """Sums of the chained hashes of the words before each word."""
+        own, base = (self.hash_2, CHAIN_2) if second else (self.hash, CHAIN)
+        total = np.zeros(len(own) + 1, U64)
+        np.cumsum(own * powers(base, len(own)), out=total[1:])
+        return total
 
-    def grams(self, k: int) -> np.ndarray:
+    def grams(self, k: int, second: bool = False) -> np.ndarray:
         """Hash of the k words from each word on; the last k - 1 words of the block have none."""
         n = len(self.hash) - k + 1
         if n <= 0:
             return np.zeros(0, U64)
-        total = np.zeros(len(self.hash) + 1, U64)
-        np.cumsum(self.hash * powers(CHAIN, len(self.hash)), out=total[1:])
-        return mix((total[k:] - total[:n]) * powers(CHAIN_INVERSE, n))
+        total = self.chained(second)
+        return mix((total[k:] - total[:n]) * powers(CHAIN_2_INVERSE if second else CHAIN_INVERSE, n))
 
     def room(self) -> np.ndarray:
         """Words of the same document from each word on, itself included."""

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,28 @@ def test_substrings(spark, seed, k):
         assert sum(s.end - s.start for s in r.spans) == r.n_removed and r.chunk == 1
 
 
+def test_substrings_with_colliding_hashes(spark):
+    """With a first hash of 4 bits nearly all paths collide; the second hash and the words at the source decide."""
+    docs = corpus(4)
+    rows = dedup_substrings(frame(spark, docs), bits=4).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in rows), key=str) == brute_windows(docs, 13)
+
+
+def test_what_differs_at_the_source_is_kept(spark, monkeypatch):
+    """If both hashes fail, the words at the source coordinates don't agree and nothing is cut."""
+    from kickmill.llm import substring_dedup as SD
+
+    rng = random.Random(1)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    docs = [(1, text()), (2, text()), (3, text())]
+    table = lambda i: pa.table({"id": pa.array([docs[i][0]], pa.int64()), "text": [docs[i][1]]})
+    p = SD.Paths(table(1), 13, 8)
+    found = SD.Sources(np.ones(len(p.edge), bool), np.zeros(len(p.edge), np.int32), np.ones(len(p.edge), np.int64), np.arange(len(p.edge), dtype=np.int32))
+    begin, end = p.chains(found)
+    assert (begin.tolist(), end.tolist()) == ([0], [27])
+    assert p.digests(begin, end) == [SD.digest(docs[1][1].encode().split())] != [SD.digest(docs[0][1].encode().split())]
+
+
 def test_substrings_keep_separators(spark):
     text = "a b\n\nc  d e f"
     docs = spark.createDataFrame([(1, "x b\n\nc  d y"), (2, text), (3, "keep\nall  of this")], "doc_id long, text string")
@@ -102,6 +125,30 @@ def test_bytes(spark, seed, width):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_bytes_of_a_frequent_phrase(spark):
+    """One phrase among many different heads and tails: its stretches are cut into items, and parts of them indexed one after another."""
+    rng = random.Random(7)
+    phrase, words = "".join(rng.choice("abcdefgh ") for _ in range(70)), ["".join(rng.choice("xyz") for _ in range(4)) for _ in range(3)]
+    docs = [(i, "".join(rng.choice(words) for _ in range(rng.randint(5, 60))) + phrase + "".join(rng.choice(words) for _ in range(60)) + str(i % 7)) for i in range(150)]
+    docs += [(1000, docs[0][1]), (1001, "é" * 400), (1002, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for width, part, uncut in ((100, 3000, 4), (400, 2000, 2)):
+        got = dedup_bytes(df, width=width, part=part, uncut=uncut).select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)).collect()
+        want = [(i, *b) for (i, _), b in zip(docs, brute_bytes([(t or "").encode() for _, t in docs], width))]
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_stretches_of_equal_hashes_are_told_apart(monkeypatch):
+    """A forced collision of the first hash: BLAKE2b still separates the stretches."""
+    import pyarrow as pa
+
+    from kickmill.llm import suffix_dedup as S
+
+    table = pa.table({"text": ["a" * 100 + "b" * 400, "a" * 100 + "c" * 400]})
+    own = S.Stretches(table, 400, 8)
+    assert len(set(own.second_hash().tolist())) == len(own.lead) > 1
+
+
 def test_run_index():
     rng = np.random.default_rng(0)
     piece = rng.integers(97, 101, 300).astype(np.uint8)
@@ -111,6 +158,7 @@ def test_run_index():
     index = RunIndex(text, 512)
     assert index.length.sum() == len(text)
     got = index.matching_statistics()
+    assert (index.restored() == text).all() and len(index.run) < len(text)
 
     def lcp(i, j):
         n = 0
@@ -205,3 +253,21 @@ def test_queries_on_small_tables(spark):
     assert sorted(map(tuple, got)) == sorted((i, *b) for (i, _), b in zip(docs, brute_bytes([(t or "").encode() for _, t in docs], 400)))
     got = QUERIES["op10_jaccard_join"](spark, SMALL).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == brute_components(docs)
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """Equal ids of unlike documents join no groups, and of a group one row stays."""
+    import corpus_pipeline as CP
+
+    rng = random.Random(3)
+    t, u, v = (" ".join(f"{c}{rng.randrange(900)}" for _ in range(40)) for c in "tuv")
+    rows = [(3, t, "en", "s", 1), (5, t, "en", "s", 1), (5, u, "en", "s", 1), (5, u, "de", "a", 1), (5, v, "en", "s", 1), (7, v, "en", "s", 1), (None, t, "en", "s", 1), (9, "", "en", "s", 0), (9, "", "en", "s", 0), (9, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = J.jaccard_components(df, carry=["lang"]).collect()
+    by = {(r.doc_id, r.n_shingles > 0, r.component_id) for r in got}
+    assert by == {(3, True, 3), (5, True, 3), (5, True, 5), (7, True, 5), (None, True, None), (9, False, 9)} and len(got) == len(rows)
+    assert len({r.group_id for r in got if r.component_id == 5}) == 2
+    clash = df.withColumns({"_n": F.lit(1), "times": F.lit(2), "sha": F.lit(3)})
+    kept = sorted(((r.doc_id, r.text, r.lang) for r in CP.near_duplicates(spark, clash, SMALL).collect()), key=str)
+    assert kept == sorted([(3, t, "en"), (5, u, "de"), (5, v, "en"), (None, t, "en"), (9, "", "en"), (9, "", "en"), (9, None, None)], key=str)
+    assert CP.near_duplicates(spark, df.limit(0), SMALL).count() == 0
