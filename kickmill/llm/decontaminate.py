@@ -19,6 +19,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kickmill.llm.tables import unused
+
 #: Windows that may be held by every task; about 100 bytes each.
 MAX_WINDOWS = 200_000
 #: What separates words before and after A-Z are lower-cased.
@@ -78,19 +80,20 @@ def spread(hits: Column) -> Column:
     return F.aggregate(F.array_sort(hits), zero, step, lambda acc: acc["n"])
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = 13, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """``docs`` with a column ``scan``: struct<n_words, n_hit, items, hits array<struct<start, length>>>.
+def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = 13, max_windows: int = MAX_WINDOWS, out_col: str = "scan") -> DataFrame:
+    """``docs`` with a column ``out_col``: struct<n_words, n_hit, items, hits array<struct<start, length>>>.
 
     ``start`` counts words from 1.  Words are maximal runs of letters, digits and non-ASCII
     characters after A-Z are lower-cased.  Null or empty text has no words.  Items without words or
     with a null id match nothing; equal items are all reported.  A table without rows gives no rows; an empty
-    benchmark leaves every document clean.  All columns of ``docs`` are kept; one named ``scan`` is replaced.
+    benchmark leaves every document clean.  Repeated rows are reported alike; null ids are kept.  All columns of ``docs``
+    are kept, whatever their names; one named like ``out_col`` is replaced.
     """
     known = windows(benchmark, item_col, item_text_col, k).cache()
     try:
         lengths = sorted(r[0] for r in known.select("length").distinct().collect())  # at most k values
         if known.limit(max_windows + 1).count() > max_windows:
-            return _scan_by_joins(docs, known, id_col, text_col, lengths)
+            return _scan_by_joins(docs, known, text_col, lengths, out_col)
         tables = []
         for length in lengths:
             own = known.filter(F.col("length") == length)
@@ -116,7 +119,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     def report(words: Column) -> Column:
         return let(found(words), lambda hits: summary(F.size(words), hits))
 
-    return docs.withColumn("scan", let(words_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), report))
+    return docs.withColumn(out_col, let(words_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), report))
 
 
 def summary(n: Column, hits: Column) -> Column:
@@ -124,10 +127,11 @@ def summary(n: Column, hits: Column) -> Column:
     return F.struct(n.cast("long").alias("n_words"), spread(spans).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda x: x["items"])))).alias("items"), spans.alias("hits"))
 
 
-def _scan_by_joins(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, lengths: list[int]) -> DataFrame:
-    """The same for a benchmark too large to hold: g-grams and windows are joined by their values."""
-    rows = docs.withColumn("_row", F.xxhash64(id_col, text_col))  # equal rows have equal reports
-    texts = rows.select("_row", words_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("words")).dropDuplicates(["_row"])
+def _scan_by_joins(docs: DataFrame, known: DataFrame, text_col: str, lengths: list[int], out_col: str) -> DataFrame:
+    """The same for a benchmark too large to hold: g-grams and windows are joined by their values.  Equal texts are scanned once."""
+    key, found = unused([*docs.columns, out_col], "_text"), unused([*docs.columns, out_col], "_found")
+    rows = docs.withColumn(key, F.sha1(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    texts = rows.select(F.col(key).alias("_row"), words_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("words")).dropDuplicates(["_row"])
     parts = []
     for length in lengths:
         g, s = gram_of(length)
@@ -141,10 +145,10 @@ def _scan_by_joins(docs: DataFrame, known: DataFrame, id_col: str, text_col: str
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)
-    hits = hits.groupBy("_row").agg(F.collect_list("hit").alias("found"))
+    hits = hits.groupBy(F.col("_row").alias(key)).agg(F.collect_list("hit").alias(found))
     none = F.expr("cast(array() as array<struct<start:int,length:int,items:array<string>>>)")
     n = F.size(words_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    return rows.join(hits, "_row", "left").withColumn("scan", summary(n, F.coalesce("found", none))).drop("_row", "found")
+    return rows.join(hits, key, "left").withColumn(out_col, summary(n, F.coalesce(F.col(found), none))).drop(key, found)
 
 
 def is_contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -154,19 +158,21 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without contaminated documents; the rest is unchanged."""
-    out = scan(docs, benchmark, **options)
-    return out.filter(~is_contaminated(F.col("scan.n_hit"), F.col("scan.n_words"))).select(*docs.columns)
+    own = unused(docs.columns, "scan")
+    out = scan(docs, benchmark, out_col=own, **options)
+    return out.filter(~is_contaminated(F.col(f"{own}.n_hit"), F.col(f"{own}.n_words"))).drop(own)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` whose texts lose every hit word with the separators that follow it."""
-    out = scan(docs, benchmark, text_col=text_col, **options)
+    own = unused(docs.columns, "scan")
+    out = scan(docs, benchmark, text_col=text_col, out_col=own, **options)
     text = F.col(text_col).cast("string")
     lead = F.regexp_extract(text, f"^{GAP}*", 0)
     pieces = F.regexp_extract_all(text, F.lit(f"{WORD}+{GAP}*"), F.lit(0))
-    kept = F.filter(pieces, lambda _, i: ~F.exists(F.col("scan.hits"), lambda h: (i + 1 >= h["start"]) & (i + 1 < h["start"] + h["length"])))
-    cut = F.when(F.col("scan.n_hit") > 0, F.concat(lead, F.array_join(kept, ""))).otherwise(text)
-    return out.withColumn(text_col, cut).select(*docs.columns)
+    kept = F.filter(pieces, lambda _, i: ~F.exists(F.col(f"{own}.hits"), lambda h: (i + 1 >= h["start"]) & (i + 1 < h["start"] + h["length"])))
+    cut = F.when(F.col(f"{own}.n_hit") > 0, F.concat(lead, F.array_join(kept, ""))).otherwise(text)
+    return out.withColumn(text_col, cut).drop(own)
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kickmill.llm.tables import unused
 from kickmill.llm.textscan import blocks, buffers
 
 #: Families of languages by ISO 639-1 code; a language not named here is a family of its own.
@@ -219,7 +220,10 @@ def held_out(id_col: str):
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> list[tuple[str, str]]:
-    """At most ``per_language`` labelled documents of each language, those of least hash of (id, language)."""
+    """At most ``per_language`` labelled documents of each language, those of least hash of (id, language).
+
+    About twice as many are collected, so the driver's share is bounded whatever the table's size.
+    """
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     order = F.pmod(F.xxhash64(F.col(id_col), F.col(lang_col)), F.lit(1 << 30)) / (1 << 30)
     sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
@@ -230,7 +234,9 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     limit = F.lit(0.0)
     for lang, part in share.items():
         limit = F.when(F.col(lang_col) == lang, part).otherwise(limit)
-    rows = labelled.withColumn("_o", order).filter(F.col("_o") < limit).select("_o", F.col(id_col).cast("string").alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).collect()
+    rows = labelled.filter(order < limit).select(order.alias("_o"), F.col(id_col).cast("string").alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
+    # rows of one id and language share their order: the least text of them stands for all
+    rows = rows.groupBy("_o", "i", "l").agg(F.min("t").alias("t")).collect()
     kept: dict[str, int] = {}
     out = []
     for r in sorted(rows, key=lambda r: (r._o, r.i, r.t)):
@@ -258,9 +264,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         names, score = predict(model, table, pa.array(texts, pa.string(), from_pandas=True))
         return pd.DataFrame({"lang_pred": names, "lang_score": score})
 
-    rest = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
-    out = docs.select(*[docs[c] for c in rest], judge(docs[text_col].cast("string")).alias("_p"))
-    return out.select(*rest, F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.lang_score").alias("lang_score"))
+    own = unused([*docs.columns, "lang_pred", "lang_score"], "judged")
+    out = docs.withColumn(own, judge(F.col(text_col).cast("string")))
+    return out.withColumns({"lang_pred": F.col(f"{own}.lang_pred"), "lang_score": F.col(f"{own}.lang_score")}).drop(own)
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

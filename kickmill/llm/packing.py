@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PIECE_TYPE = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-#: Distinct pieces of text whose ids a worker remembers.
-REMEMBERED = 800_000
-
+#: Distinct pieces of text whose ids a worker remembers (about 200 bytes each), new ones that are tokenized together,
+#: and characters that are tokenized together: a longer text is taken in sections that end before white space.
+REMEMBERED, LEARNED, SECTION = 250_000, 20_000, 1 << 18
 
 #: Characters that are lower-cased and cut here as the tokenizer would; texts with others go through the tokenizer whole.
 PLAIN = "".join(map(chr, [*range(0x250), *range(0x2010, 0x2028)]))
@@ -87,8 +88,10 @@ class PieceEncoder:
         if len(self.pieces.place) + len(new) > REMEMBERED and self.pieces.place:
             self.pieces = Ragged()
             new = list(set(pieces))
-        if not new:
-            return
+        for lo in range(0, len(new), LEARNED):
+            self.tokenize(new[lo : lo + LEARNED])
+
+    def tokenize(self, new: list[str]) -> None:
         ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, np.uint32)
         size = np.diff(np.append(-1, np.flatnonzero(self.ends[ids])))
         if len(size) != len(new):  # a piece that is not one to the tokenizer
@@ -97,7 +100,16 @@ class PieceEncoder:
         self.pieces.append(new, ids, size.astype(np.int64))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text."""
+        """Ids of each text; sections of long ones are taken one after another."""
+        if sum(len(t or "") for t in texts) <= SECTION:
+            return self.encode_sections(texts)
+        out = []
+        for t in texts:
+            parts = [self.encode_sections([x])[0] for x in sections(t or "")]
+            out.append(np.concatenate(parts) if parts else np.zeros(0, np.uint32))
+        return out
+
+    def encode_sections(self, texts: list[str | None]) -> list[np.ndarray]:
         pieces, count, odd = [], np.zeros(len(texts), np.int64), {}
         for i, t in enumerate(texts):
             if not t:
@@ -114,6 +126,33 @@ class PieceEncoder:
         return [odd[i] if i in odd else ids[total[i] : total[i + 1]] for i in range(len(texts))]
 
 
+#: No token reaches across these.
+GAP = re.compile(r"[ \t\n\r]")
+
+
+def sections(text: str) -> Iterator[str]:
+    """Parts of at least SECTION characters, cut before white space."""
+    at = 0
+    while len(text) - at > SECTION and (gap := GAP.search(text, at + SECTION)):
+        yield text[at : gap.start()]
+        at = gap.start()
+    if at < len(text):
+        yield text[at:]
+
+
+def batches_of(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most SECTION characters together, or one row."""
+    lo = total = 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > lo and total + n > SECTION:
+            yield lo, i
+            lo, total = i, 0
+        total += n
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -179,7 +218,7 @@ class Shard:
             self.next += 1
             at += self.length
         if at < n:
-            self.items.append((doc, at, n, ids[at:]))
+            self.items.append((doc, at, n, ids[at:].copy()))
             self.total += n - at
 
     def pack(self, last: bool) -> list[tuple]:
@@ -219,14 +258,15 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         encoder = encoder_of(tokenizer_path)
         shard = Shard(length, linear, quadratic, TaskContext.get().partitionId() << 36)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                docs_of, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                for doc, ids in zip(docs_of, encoder.encode(texts)):
-                    shard.add(doc, np.append(ids, np.uint32(end_id)))
-                    if shard.total >= length * shard_sequences or len(shard.whole) >= shard_sequences:
-                        if pieces := shard.pack(last=False):
-                            yield as_batch(pieces)
+            docs_of = batch.column(0).to_pylist()
+            for few in range(0, batch.num_rows, 100):
+                texts = batch.column(1).slice(few, 100).to_pylist()
+                for lo, hi in batches_of(texts):
+                    for doc, ids in zip(docs_of[few + lo : few + hi], encoder.encode(texts[lo:hi])):
+                        shard.add(doc, np.append(ids, np.uint32(end_id)))
+                        if shard.total >= length * shard_sequences or len(shard.whole) >= shard_sequences:
+                            if pieces := shard.pack(last=False):
+                                yield as_batch(pieces)
         if pieces := shard.pack(last=True):
             yield as_batch(pieces)
 

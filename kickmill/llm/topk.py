@@ -83,6 +83,25 @@ def best_of_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, q
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def fits_doubles(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether twice any inner product, its bounds included, is exact in 53 bits."""
+    most = lambda m: max(abs(int(m.max())), abs(int(m.min()))) + 1 if m.size else 0
+    return 8 * most(x) * most(y) * max(1, x.shape[1]) < 1 << 53
+
+
+def best_of_large(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """best_of_block in integers of any size, for components that doubles can't sum up."""
+    out: list[tuple[list[int], list[int], list[int]]] = [([], [], [])]
+    wide = vectors.astype(object)
+    for i, q in enumerate(queries):
+        score = wide @ q.astype(object) if wide.shape[1] else np.zeros(len(ids), object)
+        order = sorted(np.flatnonzero(ids != query_ids[i]).tolist(), key=lambda j: (-score[j], ids[j]))[:k]  # noqa: B023
+        if any(not -(1 << 63) <= score[j] < 1 << 63 for j in order):
+            raise OverflowError("a score does not fit into a long")
+        out.append(([i] * len(order), order, [int(score[j]) for j in order]))
+    return tuple(np.array(sum(x, []), np.int64) for x in zip(*out))
+
+
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
     """Lists of integers as rows, shorter ones padded by zeros."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -100,11 +119,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     smaller id; a query with fewer candidates gets all.  Rows whose vector or id is null, or whose vector holds null,
     NaN or infinite components, take no part.  Shorter vectors count as padded by zeros; empty vectors score
     0.  Repeated ids are separate candidates.  Empty tables give an empty result.  Other columns are ignored.
-    Scores must fit into 53 bits.
+    Scores of any size are exact; a component or one of the k best scores that a long can't hold is an error.
     """
     vector = F.col(vector_col)
+    whole = lambda n, x: F.when(F.abs(x) < 2.0**63, n.cast("long")).otherwise(F.raise_error(F.lit("a component does not fit into a long")).cast("long"))
     usable = F.col(id_col).isNotNull() & vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    clean = lambda df: df.filter(usable).select(F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
+    clean = lambda df: df.filter(usable).select(F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: whole(F.floor(x.cast("double") * scale), x.cast("double") * scale)).alias("v"))
     n_vectors, n_queries = vectors.select(id_col).count(), queries.select(id_col).count()
     n_blocks, n_groups = max(1, -(-n_vectors // BLOCK)), max(1, -(-n_queries // QUERIES))
     blocks = clean(vectors).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
@@ -118,7 +138,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         if not len(ids) or not len(query_ids):
             q, v, s = (np.zeros(0, np.int64),) * 3
         else:
-            q, v, s = best_of_block(ids, x, query_ids, y, k)
+            best = best_of_block if fits_doubles(x, y) else best_of_large
+            q, v, s = best(ids, x, query_ids, y, k)
         return pa.table({"query_id": query_ids[q], "vec_id": ids[v], "score": s.astype(np.int64)})
 
     found = blocks.groupBy("b", "g").cogroup(groups.groupBy("b", "g")).applyInArrow(search, "query_id long, vec_id long, score long")

@@ -14,10 +14,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kickmill.llm.tables import stored
+
 #: (verdict, rule) of the contract query.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: More rules than these are joined by host instead of being spelled out.
 MAX_SPELLED = 200
+#: Hosts whose bounds are sent to every task (about 60 bytes each); more are joined by a shuffle.
+MOST_SENT = 300_000
 #: Suffixes of two labels under which names are registered.
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in", "com.cn")
 #: Strength of every prior lies between these (pseudo-counts).
@@ -126,9 +130,9 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]
     labels = outcomes.filter(F.col("good").isNotNull()).select(F.col(id_col).alias("id"), F.col("good").cast("long").alias("good"))
     seen = places.select("id", "host").join(labels, "id").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("k"))
     every = places.select("host").distinct().join(seen, "host", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("k", F.lit(0)).alias("k"))
-    by_host, _, _, _ = reputations(every)
-    bound = by_host.select("host", upper_bound(F.col("a"), F.col("b")).alias("good_bound"))
-    ruled = with_rule(places, rules).join(bound, "host")
+    by_host, _, _, _ = reputations(stored(every, "hosts"))
+    bound = stored(by_host.select("host", upper_bound(F.col("a"), F.col("b")).alias("good_bound")), "bounds")
+    ruled = with_rule(places, rules).join(F.broadcast(bound) if bound.count() <= MOST_SENT else bound, "host")
     verdict = F.coalesce("rule_verdict", F.when(F.col("good_bound") < limit, "block").otherwise("allow"))
     return ruled.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "good_bound")
 

@@ -27,13 +27,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, In, InputPartition, IsNotNull, IsNull, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
+from kickmill.llm.tables import folder, stored
+
 # workers get these classes by value, so that planning needs no import path
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SCHEMA = "record_type string, record_id string, refers_to string, target_uri string, payload_digest string, payload_length long, headers map<string,string>, payload binary"
 #: Header columns in the order of SCHEMA.
 HEADER_OF = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest"}
-MANIFEST = "manifest.json"
+#: How the names of manifests begin.
+MANIFEST = "manifest-"
 #: A member of the manifest's starting points each so many bytes.
 MARK_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -101,13 +104,21 @@ def payload_of(block: bytes) -> tuple[bytes, int | None]:
     return body, told
 
 
+def manifests(fs, root: str) -> list[str]:
+    """Paths of the commits' manifests."""
+    from pyarrow import fs as pafs
+
+    found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    return sorted(f.path for f in found if f.base_name.startswith(MANIFEST) and f.base_name.endswith(".json"))
+
+
 class Committed(WriterCommitMessage):
     def __init__(self, name: str | None, size: int, marks: list[int]):
         self.name, self.size, self.marks = name, size, marks
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """One file per task, under a name of its own; only files named in the manifest count.
+    """One file per task, under a name of its own; only files named in a manifest count.  Overwriting removes what was committed before.
 
     Input columns: record_id, target_uri, payload (binary), refers_to (null: a response).
     """
@@ -139,9 +150,18 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages) -> None:
         fs, root = file_system(self.path)
         fs.create_dir(root, recursive=True)
+        old = manifests(fs, root) if self.overwrite else []
         listed = [{"name": m.name, "size": m.size, "marks": m.marks} for m in messages if m is not None and m.name]
-        with fs.open_output_stream(f"{root}/{MANIFEST}", compression=None) as out:
+        # each commit has a manifest of its own, under a name that appears with its content
+        path = f"{root}/{MANIFEST}{uuid.uuid4().hex}.json"
+        with fs.open_output_stream(f"{path}.tmp", compression=None) as out:
             out.write(json.dumps(listed).encode())
+        fs.move(f"{path}.tmp", path)
+        for gone in old:
+            names = [f["name"] for f in json.loads(fs.open_input_stream(gone, compression=None).read())]
+            fs.delete_file(gone)
+            for name in names:
+                fs.delete_file(f"{root}/{name}")
 
     def abort(self, messages) -> None:
         fs, root = file_system(self.path)
@@ -183,9 +203,10 @@ class WarcReader(DataSourceReader):
         info = fs.get_file_info(root)
         if info.type == pafs.FileType.File:
             pieces.append((root, 0, info.size))
-        elif fs.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.File:
-            for f in json.loads(fs.open_input_stream(f"{root}/{MANIFEST}", compression=None).read()):
-                pieces += [(f"{root}/{f['name']}", a, b) for a, b in zip(f["marks"], [*f["marks"][1:], f["size"]])]
+        elif found := manifests(fs, root):
+            for path in found:
+                for f in json.loads(fs.open_input_stream(path, compression=None).read()):
+                    pieces += [(f"{root}/{f['name']}", a, b) for a, b in zip(f["marks"], [*f["marks"][1:], f["size"]])]
         else:
             found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
             pieces = [(f.path, 0, f.size) for f in found if f.path.endswith((".warc", ".warc.gz"))]
@@ -252,9 +273,10 @@ class WarcReader(DataSourceReader):
                     return data + unzip.decompress(tail) + unzip.flush()
 
             else:
-                unzip, data = zlib.decompressobj(31), b""
+                unzip, parts = zlib.decompressobj(31), []
                 while not unzip.eof and (got := source.read(1 << 16)):
-                    data += unzip.decompress(got)
+                    parts.append(unzip.decompress(got))
+                data = b"".join(parts)
                 size = source.tell() - len(unzip.unused_data) - at
                 parsed, rest = parse_head(data), lambda data=data: data
             if parsed:
@@ -324,28 +346,33 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
-def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> None:
+#: Revisits that are sent to every task as (id, digest, first id), about 100 bytes each; more are joined by a shuffle.
+MOST_SENT = 300_000
+
+
+def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, overwrite: bool = False) -> None:
     """Write a record per page: of equal payloads of at least ``least`` bytes the smallest id is the response, others revisit it.
 
     A null payload is empty, a null url too.  A row with a null id is always a response and never referred to.  Repeated
     rows of the smallest id are all responses.  Other columns are ignored.  An empty table writes an empty archive.
+    Records are added to what the folder has, or with ``overwrite`` replace it.
     """
     register(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("target_uri"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     digests = rows.filter(F.octet_length("payload") >= least).select("id", F.sha1("payload").alias("sha"))
     copied = digests.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    later = digests.join(copied.select("sha", "first"), "sha").filter("id > first").select("id", "sha", "first").distinct()
+    later = stored(digests.join(copied.select("sha", "first"), "sha").filter("id > first").select("id", "sha", "first").distinct(), "revisits")
+    if later.count() <= MOST_SENT:
+        later = F.broadcast(later)
     marked = rows.withColumn("sha", F.sha1("payload")).join(later, ["id", "sha"], "left")
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
     records = marked.select(F.coalesce(urn("id"), F.lit("<urn:page:>")).alias("record_id"), "target_uri", "payload", F.when(F.col("first").isNotNull(), urn("first")).alias("refers_to"))
-    records.write.format("warc").mode("append").save(path)
+    records.write.format("warc").mode("overwrite" if overwrite else "append").save(path)
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
     """Contract query: all pages are archived and read back; payloads of responses are decoded and verified."""
-    from kickmill.session import shared_folder
-
-    path = f"{shared_folder(spark).rstrip('/')}/kickmill-warc-{uuid.uuid4().hex}"
+    path = folder(spark, "warc")
     archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
     read = spark.read.format("warc")

@@ -108,6 +108,8 @@ def test_language_edges(spark):
     unlabelled = LI.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r.lang_pred for r in unlabelled} == {"und"} and len(unlabelled) == len(rows)
     assert LI.identify(df.limit(0)).count() == 0
+    clash = df.withColumns({"_p": F.lit(1), "judged": F.lit(2), "JUDGED_": F.lit(3)})
+    assert {r.doc_id: (r.lang_pred, r.lang_score, r._p, r.judged) for r in LI.identify(clash).collect()} == {d: (*v, 1, 2) for d, v in got.items()}
     # the label of a held-out row changes nothing
     flipped = df.withColumn("lang", F.when(LI.held_out("doc_id"), "fr").otherwise(F.col("lang")))
     assert {r.doc_id: (r.lang_pred, r.lang_score) for r in LI.identify(flipped).collect()} == got
@@ -138,6 +140,11 @@ def test_decontamination_cases(spark, monkeypatch):
     assert sorted(kept) == [2, 4, 5, 6, 7, 9]
     cut = {r.doc_id: r.text for r in DC.remove_spans(docs, bench).collect()}
     assert cut[1] == "x " * 50 + "y" + " y" * 49 and cut[3] == "so " and cut[7] == "éclair 2"
+    clash = docs.withColumns({c: F.lit(c) for c in ("scan", "found", "_row", "_text", "_found", "words", "items")})
+    for most in (DC.MAX_WINDOWS, 1):
+        assert read(DC.scan(clash, bench, max_windows=most)) == got and DC.scan(clash, bench, max_windows=most).columns == clash.columns
+        for out in (DC.drop_contaminated(clash, bench, max_windows=most), DC.remove_spans(clash, bench, max_windows=most)):
+            assert out.columns == clash.columns and {(r.scan, r.found, r._row, r._text) for r in out.collect()} == {("scan", "found", "_row", "_text")}
     assert DC.scan(docs.limit(0), bench).count() == 0
     assert all(r.scan.n_hit == 0 for r in DC.scan(docs, bench.limit(0)).collect())
 
@@ -215,6 +222,6 @@ def test_pipeline_stages(spark):
 
 
 def J_stored(df):
-    from kickmill.llm.jaccard_join import stored
+    from kickmill.llm.tables import stored
 
     return stored(df, "test")

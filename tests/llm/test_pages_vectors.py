@@ -73,6 +73,14 @@ def test_topk_exact(spark):
         best = sorted(((int(data[a] @ data[b]), b) for b in data if b != a), key=lambda t: (-t[0], t[1]))[:10]
         want |= {(a, k + 1): (b, s) for k, (s, b) in enumerate(best)}
     assert got == want
+    large = spark.createDataFrame([(0, [3e7] * 4), (1, [3e7] * 4), (2, [1e4] * 4), (2, [-3e7] * 4)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit into a long"):
+        TK.top_k(large, large.filter("vec_id = 0")).collect()
+    large = large.filter("embedding[0] < 2e7")
+    got = [(r.vec_id, r.score) for r in TK.top_k(large.union(spark.createDataFrame([(0, [2e8, -2e8, 1.5, 3.0])], large.schema)), spark.createDataFrame([(0, [2e8, -2e8, 1.5, 3.0])], large.schema)).orderBy("rank").collect()]
+    assert got == [(2, 1024 * 10000 * 1024 * 9 // 2), (2, -1024 * 30000000 * 1024 * 9 // 2)]
+    with pytest.raises(Exception, match="does not fit into a long"):
+        TK.top_k(large.select("vec_id", F.array(F.lit(1e17)).alias("embedding")), large.limit(0)).collect()
     few = df.filter("vec_id IN (0, 1, 2)")
     assert TK.top_k(few, few.filter("vec_id = 0")).count() == 2
     assert TK.top_k(df.limit(0), q).count() == 0 and TK.top_k(df, q.limit(0)).count() == 0
@@ -131,6 +139,27 @@ def test_plain_and_foreign_files(spark, tmp_path):
     assert sorted(len(r.payload) for r in got) == [0, 0, 5, 5, 9000, 9000]
 
 
+def test_archives_grow_and_are_replaced(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    page = lambda i: spark.createDataFrame([(i, "u", f"text {i}")], "page_id long, url string, html string")
+    ids = lambda: sorted(r.record_id for r in spark.read.format("warc").load(path).collect())
+    WA.archive(page(1), path)
+    WA.archive(page(2), path)
+    assert ids() == ["<urn:page:1>", "<urn:page:2>"]
+    WA.archive(page(3), path, overwrite=True)
+    assert ids() == ["<urn:page:3>"] and len(list((tmp_path / "w").glob("*.warc.gz"))) == 1
+
+
+def test_archive_of_many_revisits(spark, tmp_path, monkeypatch):
+    """Beyond the bound revisits are joined by a shuffle, with equal results."""
+    pages = spark.range(60).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("text"), F.col("id") % 7).alias("html"))
+    read = lambda p: sorted((r.record_id, r.record_type, str(r.refers_to)) for r in spark.read.format("warc").load(p).collect())
+    WA.archive(pages, f"file://{tmp_path}/a")
+    monkeypatch.setattr(WA, "MOST_SENT", 0)
+    WA.archive(pages, f"file://{tmp_path}/b")
+    assert read(f"file://{tmp_path}/a") == read(f"file://{tmp_path}/b")
+
+
 def test_empty_archive(spark, tmp_path):
     WA.archive(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/w")
     assert spark.read.format("warc").load(f"file://{tmp_path}/w").count() == 0
