@@ -82,14 +82,16 @@ def test_collapsed_grid_equals_its_cells(spark):
         assert r.h / r.t == pytest.approx(next(w[0] for w, q in zip(want, rates) if q[0] == r.lam), abs=1e-12)
 
 
-def test_profiles():
+def test_profiles(tmp_path):
     p = MP.SEASON_FILES
     assert len(p.odds_columns) == 39 and len(p.league_code_map) == 18
-    core = p.core_columns()
-    assert p.detection_score([*core, *p.odds_columns]) == pytest.approx(1.0)
-    assert p.detection_score(core) == pytest.approx(0.7)
-    assert p.detection_score(core[:3]) == pytest.approx(0.4 * 3 / 6)
+    core = MP.core_columns(p)
+    assert MP.fit(p, [*core, *p.odds_columns]).score == pytest.approx(1.0)
+    assert MP.fit(p, [f" {c} " for c in core]).score == pytest.approx(0.7)
+    assert MP.fit(p, core[:3]).score == pytest.approx(0.4 * 3 / 6) and MP.fit(p, core[:3]).missing == core[3:]
     assert MP.detect_profile(["x"]) == (None, 0.0)
-    own = MP.load_profile('{"name": "n", "source_name": "s", "date_col": "d", "home_col": "h", "away_col": "a", "fthg_col": "x", "ftag_col": "y", "fixed_league": ["k", "K", "C"], "odds_columns": {"O": {"bookmaker": "b", "market": "1x2", "selection": "home"}}}')
+    own = MP.parse_profile('{"name": "n", "source_name": "s", "date_col": "d", "home_col": "h", "away_col": "a", "fthg_col": "x", "ftag_col": "y", "fixed_league": ["k", "K", "C"], "odds_columns": {"O": {"bookmaker": "b", "market": "1x2", "selection": "home"}}}')
     assert own.odds_columns["O"].price_point is None and own.fixed_league == ("k", "K", "C")
-    assert math.isclose(own.detection_score(["d", "h", "a", "x", "y", "O"]), 1.0)
+    (tmp_path / "p.json").write_text('{"name": "n", "source_name": "s", "date_col": "d", "home_col": "h", "away_col": "a", "fthg_col": "x", "ftag_col": "y"}')
+    assert MP.load_profile(tmp_path / "p.json").odds_columns == {} and MP.load_profile(str(tmp_path / "p.json")).fixed_league is None
+    assert math.isclose(MP.fit(own, ["d", "h", "a", "x", "y", "O"]).score, 1.0)
