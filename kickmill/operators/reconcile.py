@@ -9,13 +9,17 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from kickmill.functions import names as N
 from kickmill.functions import parse as P
 from kickmill.operators.mapping import MappingProfile
+from kickmill.session import shared_folder
 
 OUTCOME = "row_index long, outcome string, match_id long, new_match boolean, league_key string, home_team_id long, away_team_id long, match_date date, kickoff_utc timestamp_ntz, ft_home int, ft_away int, ht_home int, ht_away int, dedupe_key string, external_id string, add_source boolean, warnings array<string>, new_odds array<struct<bookmaker:string,market:string,selection:string,decimal_odds:double,line:double,price_point:string>>"
 
@@ -58,10 +62,10 @@ def resolve_names(seen: list[tuple[int, int, str, str]], teams: dict[str, int],
 
 RESOLUTION = "normal string, team_id long, kind string, raw string, matched_key string, confidence double"
 #: Distinct team names that a file may have; they are resolved in order by the driver.
-MAX_NAMES = 100_000
+MAX_NAMES = 20_000
 
 
-def resolve_teams(rows: DataFrame, teams: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+def resolve_teams(rows: DataFrame, teams: DataFrame, aliases: DataFrame, cutoff: float = 0.92) -> tuple[DataFrame, DataFrame]:
     """(rows with ``home_team_id`` and ``away_team_id``, the resolutions).  Rows without a league name no teams."""
     named = rows.withColumns({"_h": N.normalized(F.col("home_raw")), "_a": N.normalized(F.col("away_raw"))})
     part = named.filter(F.col("error").isNull() & F.col("league_key").isNotNull())
@@ -70,9 +74,12 @@ def resolve_teams(rows: DataFrame, teams: DataFrame, aliases: DataFrame) -> tupl
     seen = first.select("f.row_index", "f.side", "f.raw", "normal").limit(MAX_NAMES + 1).collect()
     if len(seen) > MAX_NAMES:
         raise ValueError(f"more than {MAX_NAMES} distinct team names")
+    # the pool of names: bounded like those of a file, else an error
+    if teams.limit(MAX_NAMES + 1).count() > MAX_NAMES or aliases.limit(MAX_NAMES + 1).count() > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} stored team names")
     known = {r[0]: r[1] for r in teams.select("normalized_key", "id").collect()}
     remembered = {r[0]: (r[1], r[2]) for r in aliases.select("normalized_alias", "team_id", "confidence").collect()}
-    found = resolve_names([tuple(r) for r in seen], known, remembered)
+    found = resolve_names([tuple(r) for r in seen], known, remembered, cutoff)
     spark = rows.sparkSession
     table = spark.createDataFrame([tuple(x[c.split()[0]] for c in RESOLUTION.split(", ")) for x in found], RESOLUTION)
     ids = table.select("normal", "team_id")
@@ -148,8 +155,7 @@ def _identity(q: dict) -> tuple:
 
 def linked_groups(rows: DataFrame) -> DataFrame:
     """``group``: rows of one pairing and day share it, and so do groups that name one external id."""
-    pairing = F.concat_ws("|", "league_key", "home_team_id", "away_team_id", F.col("match_date").cast("string"))
-    out = rows.withColumn("pairing", pairing).withColumn("group", F.xxhash64("pairing"))
+    out = rows.withColumn("group", F.xxhash64("pairing"))
     if not out.filter(F.col("external_id").isNotNull()).limit(1).count():
         return out
     labels = out.select("group").distinct().withColumn("label", F.col("group"))
@@ -159,7 +165,7 @@ def linked_groups(rows: DataFrame) -> DataFrame:
         if not near.filter("m < x").limit(1).count():
             return out.join(labels, "group").drop("group").withColumnRenamed("label", "group")
         best = links.join(near, "external_id").groupBy("group").agg(F.min("m").alias("m"))
-        labels = labels.join(best, "group", "left").select("group", F.least("label", F.coalesce("m", "label")).alias("label"))
+        labels = labels.join(best, "group", "left").select("group", F.least("label", F.coalesce("m", "label")).alias("label")).checkpoint()
 
 
 def import_rows(validated: DataFrame, profile: MappingProfile, store: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -167,19 +173,32 @@ def import_rows(validated: DataFrame, profile: MappingProfile, store: dict[str,
 
     Returns ``outcomes`` (one row per input row), ``resolutions`` and ``leagues`` (new ones).
     """
-    rows, new_leagues = resolve_leagues(validated, profile, store["leagues"])
+    # read several times below, and too much code for one stage with what follows
+    shared_folder(validated.sparkSession)
+    rows, new_leagues = resolve_leagues(validated.checkpoint(), profile, store["leagues"])
     rows, resolutions = resolve_teams(rows, store["teams"], store["aliases"])
     bad = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("league_key").isNull(), "no league").when(F.col("home_team_id") == F.col("away_team_id"), "same team")
     rows = rows.withColumn("reject", bad)
     last = store["matches"].agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()[0]
     good = rows.filter("reject IS NULL").withColumn("kickoff_utc", P.kickoff_utc(F.col("match_date"), F.col("kickoff_time"), profile.timezone))
     good = good.withColumn("dedupe_key", P.dedupe_key(F.col("league_key"), F.col("home_team_id"), F.col("away_team_id"), F.col("match_date"), F.col("kickoff_utc")))
-    # provisional ids by row; final ones are dense
-    good = linked_groups(good.withColumn("new_id", F.col("row_index") + 1 + last))
+    pairing = F.concat_ws("|", "league_key", "home_team_id", "away_team_id", F.col("match_date").cast("string"))
+    acted = act(good.withColumn("pairing", pairing), store, profile.source_name, last)
+    rejected = rows.filter("reject IS NOT NULL").select("row_index", F.col("reject").alias("outcome"))
+    return {"outcomes": acted.unionByName(rejected, allowMissingColumns=True), "resolutions": resolutions, "leagues": new_leagues}
+
+
+def act(good: DataFrame, store: dict[str, DataFrame], source: str, last: int) -> DataFrame:
+    """What becomes of accepted rows (with ``pairing``, ids, keys and odds) beside the stored matches, sources and odds.
+
+    New matches have provisional ids by row, after ``last``; final ones are dense.
+    """
+    shared_folder(good.sparkSession)
+    good = linked_groups(good.withColumn("new_id", F.col("row_index") + 1 + last)).checkpoint()
     pairings = good.select("pairing", "group").distinct()
     linked = good.filter(F.col("external_id").isNotNull()).select("external_id", "group").distinct()
     stored = store["matches"].withColumn("pairing", F.concat_ws("|", "league_key", "home_team_id", "away_team_id", F.col("match_date").cast("string")))
-    held = store["sources"].filter(F.col("source") == profile.source_name).join(linked, "external_id")
+    held = store["sources"].filter(F.col("source") == source).join(linked, "external_id")
     by_pair = stored.join(pairings, "pairing").select("group", "id", "pairing", "kickoff_utc", "dedupe_key", "ft_home", "ft_away")
     quotes = store["odds"].join(by_pair.select(F.col("id").alias("match_id"), "group").unionByName(held.select("match_id", "group")).distinct(), "match_id")
     parts = good.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("row_index", "pairing", "new_id", "league_key", "home_team_id", "away_team_id", "match_date", "kickoff_utc", "ft_home", "ft_away", "ht_home", "ht_away", "dedupe_key", "external_id", "warnings", "odds"))).alias("rows"))
@@ -187,38 +206,18 @@ def import_rows(validated: DataFrame, profile: MappingProfile, store: dict[str,
     parts = parts.join(quotes.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("id", "match_id", "bookmaker", "market", "selection", "decimal_odds", "line", "price_point"))).alias("odds")), "group", "left")
     parts = parts.join(held.groupBy("group").agg(F.collect_list(F.struct("external_id", "match_id")).alias("sources")), "group", "left")
 
-    def run(batches):
-        import pandas as pd
+    schema = to_arrow_schema(T._parse_datatype_string(OUTCOME))
+    keep = ("league_key", "home_team_id", "away_team_id", "match_date", "kickoff_utc", "ft_home", "ft_away", "ht_home", "ht_away", "dedupe_key", "external_id")
 
-        plain = lambda x: [dict(y) for y in x] if x is not None else []
-        for pdf in batches:
+    def run(batches):
+        for batch in batches:
             out = []
-            for _, g in pdf.iterrows():
-                pairing = _Pairing(plain(g["matches"]), plain(g["odds"]), {s["external_id"]: int(s["match_id"]) for s in plain(g["sources"])})
-                for r in plain(g["rows"]):
-                    r["odds"] = [{k: (None if isinstance(v, float) and math.isnan(v) else v) for k, v in dict(q).items()} for q in r["odds"]]
-                    done = pairing.row(r)
-                    keep = ("league_key", "home_team_id", "away_team_id", "match_date", "kickoff_utc", "ft_home", "ft_away", "ht_home", "ht_away", "dedupe_key", "external_id")
-                    out.append(done | {k: r[k] for k in keep})
-            yield pd.DataFrame(out, columns=[c.strip().split()[0] for c in _fields(OUTCOME)])
-
-    acted = parts.mapInPandas(run, OUTCOME)
-    rejected = rows.filter("reject IS NOT NULL").select("row_index", F.col("reject").alias("outcome"))
-    outcomes = acted.unionByName(rejected, allowMissingColumns=True)
-    return {"outcomes": outcomes, "resolutions": resolutions, "leagues": new_leagues}
-
-
-def _fields(ddl: str) -> list[str]:
-    """Top-level fields of a schema string."""
-    out, depth, own = [], 0, ""
-    for c in ddl:
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            out.append(own)
-            own = ""
-        else:
-            own += c
-    return [*out, own]
+            for g in batch.to_pylist():
+                pairing = _Pairing(g["matches"] or [], g["odds"] or [], {s["external_id"]: s["match_id"] for s in g["sources"] or []})
+                out += [pairing.row(r) | {k: r[k] for k in keep} for r in g["rows"]]
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return parts.mapInArrow(run, OUTCOME)
 
 
 def new_match_ids(outcomes: DataFrame, last: int) -> DataFrame:
@@ -229,17 +228,6 @@ def new_match_ids(outcomes: DataFrame, last: int) -> DataFrame:
     return global_row_number(new, ["row_index"]).select(F.col("match_id").alias("provisional"), (F.col("_n") + last).alias("id"))
 
 
-def classify_odds(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming quotes as ``new``, ``same`` or ``conflict``; null lines and price points are values."""
-    keys = ["match_id", "bookmaker", "market", "selection"]
-    first = stored.groupBy(*keys, "line", "price_point").agg(F.min_by("decimal_odds", "id").alias("stored_odds"))
-    s, i = first.alias("s"), incoming.alias("i")
-    on = [F.col(f"s.{k}") == F.col(f"i.{k}") for k in keys] + [F.col(f"s.{k}").eqNullSafe(F.col(f"i.{k}")) for k in ("line", "price_point")]
-    out = i.join(s, on, "left").select("i.*", "s.stored_odds")
-    close = F.abs(F.col("stored_odds") - F.col("decimal_odds")) <= F.greatest(F.lit(1e-9), 1e-9 * F.greatest(F.abs("stored_odds"), F.abs("decimal_odds")))
-    return out.withColumn("status", F.when(F.col("stored_odds").isNull(), "new").when(close, "same").otherwise("conflict"))
-
-
 def import_report(outcomes: DataFrame) -> DataFrame:
     """One row of counters, and the rejections and warnings as JSON."""
     kinds = ("imported", "duplicate", "enriched")

@@ -12,9 +12,15 @@ from pyspark.sql.window import Window
 from kickmill.session import shared_folder
 
 
+#: Rows of a group that one task may sort; cuts that are sent to every task.
+IN_ONE_TASK, MOST_CUTS = 5_000_000, 100_000
+
+
 class Split(Protocol):
     def assign(self, frame: DataFrame) -> DataFrame: ...
 
+    def describe(self) -> dict: ...
+
 
 class CutoffSplit:
     """Before the cutoff: train."""
@@ -25,16 +31,41 @@ class CutoffSplit:
     def assign(self, frame: DataFrame) -> DataFrame:
         return frame.withColumn("split", F.when(F.col("match_date") < F.lit(self.cutoff), "train").otherwise("test"))
 
+    def describe(self) -> dict:
+        return {"strategy": "cutoff", "cutoff": self.cutoff.isoformat(), "date_col": "match_date"}
+
 
 class FractionSplit:
-    """The first ``ceil(n * fraction)`` rows of each group by (date, id) train; rows without a group test."""
+    """The first ``ceil(n * fraction)`` rows of each group by (date, id) train; rows without a group test.
+
+    Groups of up to ``IN_ONE_TASK`` rows are sorted by a task each.  Beyond that only (group, date, id) are sorted, over
+    range partitions; each group's last training row is its cut, and the frame itself stays where it is.
+    """
 
     def __init__(self, fraction: float, group: str = "league_key", date: str = "match_date", key: str = "match_id"):
         if not 0 < fraction < 1:
             raise ValueError("fraction must lie between 0 and 1")
         self.fraction, self.group, self.date, self.key = fraction, group, date, key
 
+    def describe(self) -> dict:
+        return {"strategy": "group_fraction", "train_frac": self.fraction, "group_col": self.group, "date_col": self.date}
+
     def assign(self, frame: DataFrame) -> DataFrame:
+        largest = frame.filter(F.col(self.group).isNotNull()).groupBy(self.group).count().agg(F.max("count")).first()[0] or 0
+        return self.by_window(frame) if largest <= IN_ONE_TASK else self.by_cuts(frame)
+
+    def by_cuts(self, frame: DataFrame) -> DataFrame:
+        keys = frame.filter(F.col(self.group).isNotNull()).select(F.col(self.group).alias("_g"), F.col(self.date).alias("_d"), F.col(self.key).alias("_k"))
+        numbered = global_row_number(keys, ["_g", "_d", "_k"])
+        ends = numbered.groupBy("_g").agg((F.min("_n") - 1 + F.ceil(F.count("*") * F.lit(self.fraction))).alias("_n"))
+        cuts = numbered.join(ends, ["_g", "_n"]).select("_g", F.struct("_d", "_k").alias("_cut"))
+        if cuts.limit(MOST_CUTS + 1).count() <= MOST_CUTS:
+            cuts = F.broadcast(cuts)
+        out = frame.join(cuts, frame[self.group] == cuts["_g"], "left")
+        own = F.struct(F.col(self.date).alias("_d"), F.col(self.key).alias("_k"))
+        return out.withColumn("split", F.when(own <= F.col("_cut"), "train").otherwise("test")).drop("_g", "_cut")
+
+    def by_window(self, frame: DataFrame) -> DataFrame:
         rows = Window.partitionBy(self.group)
         # the cut is the group's k-th (date, id): counts come from partial sums, positions from one sort
         position = F.row_number().over(rows.orderBy(self.date, self.key))

@@ -13,25 +13,22 @@ QUOTE = "struct<bookmaker:string,market:string,selection:string,decimal_odds:dou
 
 
 def quotes(profile: MappingProfile, columns: list[str]) -> tuple[Column, Column]:
-    """(quotes, warnings about dropped prices) of a row; absent columns and prices are skipped in silence."""
-    found, low = [], []
-    for name, spec in profile.odds_columns.items():
-        if name not in columns or (spec.line_col and spec.line_col not in columns):
-            # without its line column a quote means nothing, but a price below the least is still told
-            if name in columns:
-                price = P.number(F.col(f"`{name}`"))
-                low.append(F.when(price < LEAST_ODDS, F.concat(F.lit(f"odds {name}="), price.cast("string"), F.lit(" below 1.01 dropped"))))
-            continue
-        price = P.number(F.col(f"`{name}`"))
-        line = P.number(F.col(f"`{spec.line_col}`")) if spec.line_col else F.lit(None).cast("double")
-        good = price >= LEAST_ODDS
-        if spec.line_col:
-            good = good & line.isNotNull()
-        found.append(F.when(good, F.struct(F.lit(spec.bookmaker).alias("bookmaker"), F.lit(spec.market).alias("market"), F.lit(spec.selection).alias("selection"), price.alias("decimal_odds"), line.alias("line"), F.lit(spec.price_point).cast("string").alias("price_point"))))
-        low.append(F.when(price < LEAST_ODDS, F.concat(F.lit(f"odds {name}="), price.cast("string"), F.lit(" below 1.01 dropped"))))
-    none = F.expr(f"cast(array() as array<{QUOTE}>)")
-    some = lambda xs, empty: F.filter(F.array(*xs), lambda x: x.isNotNull()) if xs else empty
-    return some(found, none), some(low, F.expr("cast(array() as array<string>)"))
+    """(quotes, warnings about dropped prices) of a row; absent columns and prices are skipped in silence.
+
+    The cells become one array that one expression parses, so the plan stays small however many columns a profile has.
+    A quote whose line column is absent means nothing, but a price below the least is still told.
+    """
+    there = [(name, spec) for name, spec in profile.odds_columns.items() if name in columns]
+    if not there:
+        return F.expr(f"cast(array() as array<{QUOTE}>)"), F.expr("cast(array() as array<string>)")
+    text = lambda name: F.col(f"`{name}`").cast("string") if name in columns else F.lit(None).cast("string")
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), text(name).alias("price"), text(spec.line_col).alias("line")) for i, (name, spec) in enumerate(there)])
+    meta = F.array(*[F.struct(F.lit(name).alias("column"), F.lit(bool(spec.line_col)).alias("lined"), F.lit(spec.bookmaker).alias("bookmaker"), F.lit(spec.market).alias("market"), F.lit(spec.selection).alias("selection"), F.lit(spec.price_point).cast("string").alias("price_point")) for name, spec in there])
+    parsed = F.transform(cells, lambda c: F.struct(F.get(meta, c["i"]).alias("m"), P.number(c["price"]).alias("price"), P.number(c["line"]).alias("line")))
+    good = F.filter(parsed, lambda c: (c["price"] >= LEAST_ODDS) & (~c["m"]["lined"] | c["line"].isNotNull()))
+    found = F.transform(good, lambda c: F.struct(c["m"]["bookmaker"].alias("bookmaker"), c["m"]["market"].alias("market"), c["m"]["selection"].alias("selection"), c["price"].alias("decimal_odds"), F.when(c["m"]["lined"], c["line"]).alias("line"), c["m"]["price_point"].alias("price_point")))
+    low = F.transform(F.filter(parsed, lambda c: c["price"] < LEAST_ODDS), lambda c: F.concat(F.lit("odds "), c["m"]["column"], F.lit("="), c["price"].cast("string"), F.lit(" below 1.01 dropped")))
+    return found, low
 
 
 def overround_warnings(odds: Column) -> Column:

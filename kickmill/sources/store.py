@@ -1,11 +1,14 @@
-"""The table store: versions of Parquet tables behind a pointer; one import is one version."""
+"""The table store: versioned lists of Parquet parts; one import is one version."""
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kickmill.operators.splits import global_row_number
 
@@ -16,50 +19,130 @@ SCHEMAS = {
     "matches": "id long, league_key string, home_team_id long, away_team_id long, match_date date, kickoff_utc timestamp_ntz, ht_home int, ht_away int, ft_home int, ft_away int, status string, import_id long, dedupe_key string",
     "sources": "id long, match_id long, source string, external_id string",
     "odds": "id long, match_id long, bookmaker string, market string, selection string, decimal_odds double, recorded_at timestamp_ntz, line double, price_point string",
-    "imports": "id long, filename string, profile_name string, rows_total long, rows_imported long, rows_duplicate long, rows_enriched long, rows_rejected long, report_json string",
+    "imports": "id long, filename string, profile_name string, rows_total long, rows_imported long, rows_duplicate long, rows_enriched long, rows_rejected long, report_json string, created_at timestamp_ntz",
+    "notes": "import_id long, row_index long, kind string, message string",
 }
 
 
+DEFAULT_FOLDER = "kickmill-store"
+
+
+def open_store(spark: SparkSession, url: str | None = None) -> Store:
+    """The store at ``url``, else at the environment's ``KICKMILL_STORE``, else in the session's warehouse."""
+    return Store(spark, url or os.environ.get("KICKMILL_STORE") or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{DEFAULT_FOLDER}")
+
+
 class Store:
-    """Readers see the version that the pointer names; ``commit`` writes a whole new version and then moves the pointer."""
+    """Tables as lists of Parquet parts.  A version is one JSON file that names every table's parts.
+
+    ``commit`` writes only what is new, then creates the next version's file; a version of that number that another
+    writer has made meanwhile is an error, and what was written stays invisible.  Readers see the last version.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _pointer(self) -> str | None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        root = hadoop.Path(f"{self.folder}/versions")
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return None
-        done = sorted(s.getPath().getName() for s in fs.listStatus(root) if fs.exists(hadoop.Path(s.getPath(), "_COMMITTED")))
-        return done[-1] if done else None
+    def _fs(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
+
+    def version(self) -> tuple[int, dict[str, list[str]]]:
+        """Number of the last version, 0 if there is none, and its parts."""
+        fs, root = self._fs(f"{self.folder}/versions")
+        names = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().endswith(".json")) if fs.exists(root) else []
+        if not names:
+            return 0, {n: [] for n in SCHEMAS}
+        text = self.spark.read.text(f"{self.folder}/versions/{names[-1]}", wholetext=True).first()[0]
+        return int(names[-1].split(".")[0]), {n: [] for n in SCHEMAS} | json.loads(text)
 
     def tables(self) -> dict[str, DataFrame]:
-        version = self._pointer()
-        if version is None:
-            return {n: self.spark.createDataFrame([], s) for n, s in SCHEMAS.items()}
-        return {n: self.spark.read.schema(s).parquet(f"{self.folder}/versions/{version}/{n}") for n, s in SCHEMAS.items()}
-
-    def commit(self, tables: dict[str, DataFrame]) -> str:
-        """All tables become visible together; a failure before the mark leaves the old version."""
-        version = self._pointer()
-        number = int(version.split("-")[0]) + 1 if version else 1
-        path = f"{self.folder}/versions/{number:08d}-{uuid.uuid4().hex[:8]}"
-        for n in SCHEMAS:
-            tables[n].write.parquet(f"{path}/{n}")
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        mark = hadoop.Path(f"{path}/_COMMITTED")
-        mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(mark).close()
-        return path
+        _, parts = self.version()
+        return {n: self.spark.read.schema(s).parquet(*[f"{self.folder}/{p}" for p in parts[n]]) if parts[n] else self.spark.createDataFrame([], s) for n, s in SCHEMAS.items()}
 
+    def commit(self, added: dict[str, DataFrame], replaced: dict[str, DataFrame] | None = None) -> int:
+        """``added`` rows join their tables, ``replaced`` tables are written anew; all become visible together."""
+        number, parts = self.version()
+        for name, df in [*added.items(), *(replaced or {}).items()]:
+            part = f"{name}/{number + 1:08d}-{uuid.uuid4().hex}"
+            df.write.parquet(f"{self.folder}/{part}")
+            parts[name] = [*(parts[name] if name in added else []), part]
+        fs, path = self._fs(f"{self.folder}/versions/{number + 1:08d}.json")
+        out = fs.create(path, False)
+        out.write(json.dumps(parts).encode())
+        out.close()
+        return number + 1
 
-def appended(stored: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
+    def compact(self) -> int:
+        """Every table as one part."""
+        return self.commit({}, self.tables())
+
+
+class Unit:
+    """One file's changes: repositories by name, and all of it committed or none."""
+
+    def __init__(self, store: Store):
+        self.store = store
+
+    def __enter__(self) -> Unit:
+        self.tables, self.added, self.replaced = self.store.tables(), {}, {}
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.rollback()
+
+    def add(self, name: str, rows: DataFrame, order: list[str] | None = None) -> DataFrame:
+        """Append rows, with surrogate ids in the given order, or with their own."""
+        new = numbered(self.tables[name], rows, order) if order else as_table(rows, SCHEMAS[name])
+        self.added[name] = self.added[name].unionByName(new) if name in self.added else new
+        return new
+
+    def update(self, name: str, changes: DataFrame) -> None:
+        """Copy on write, of the whole table."""
+        self.replaced[name] = updated(self.replaced.get(name, self.tables[name]), changes)
+
+    def get(self, name: str, keys: DataFrame) -> DataFrame:
+        return lookup(self.tables[name], keys)
+
+    def commit(self) -> int:
+        both = self.added.keys() & self.replaced.keys()
+        replaced = self.replaced | {n: self.replaced[n].unionByName(self.added[n]) for n in both}
+        done = self.store.commit({n: df for n, df in self.added.items() if n not in both}, replaced)
+        self.rollback()
+        return done
+
+    def rollback(self) -> None:
+        self.added, self.replaced = {}, {}
+
+
+def lookup(table: DataFrame, keys: DataFrame) -> DataFrame:
+    """Each row of ``keys`` with the stored row of equal values in its columns, the one of least id, or nulls: a batch of point reads."""
+    on = keys.columns
+    rest = [c for c in table.columns if c not in on]
+    first = table.join(keys.distinct(), on, "left_semi").groupBy(*on).agg(F.min_by(F.struct(*rest), "id").alias("_r"))
+    return keys.join(first, on, "left").select(*on, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def find_by_pairing_date(matches: DataFrame, keys: DataFrame) -> DataFrame:
+    """The stored matches of the pairings and days in ``keys`` (league_key, home_team_id, away_team_id, match_date)."""
+    on = ["league_key", "home_team_id", "away_team_id", "match_date"]
+    return matches.join(keys.select(*on).distinct(), on, "left_semi")
+
+
+def as_table(rows: DataFrame, schema) -> DataFrame:
+    """Columns of the schema, missing ones null."""
+    fields = T._parse_datatype_string(schema).fields if isinstance(schema, str) else schema.fields
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+
+
+def numbered(stored: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
     """New rows with ids after the largest stored one, in the given order."""
     last = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()[0]
-    rows = global_row_number(new, order).withColumn("id", F.col("_n") + last)
-    columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in stored.schema]
-    return stored.unionByName(rows.select(*columns))
+    return as_table(global_row_number(new, order).withColumn("id", F.col("_n") + last), stored.schema)
+
+
+def appended(stored: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
+    """The stored rows and the numbered new ones."""
+    return stored.unionByName(numbered(stored, new, order))
 
 
 def updated(stored: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
@@ -78,39 +161,64 @@ def count_by_league(matches: DataFrame) -> DataFrame:
     return matches.groupBy("league_key").agg(F.count("*").alias("n"))
 
 
+def database_summary(tables: dict[str, DataFrame]) -> DataFrame:
+    """(section, name, n): stored matches and quotes, matches by league, most first, and every import's counters, newest first."""
+    total = lambda name, section: tables[name].agg(F.lit(section).alias("section"), F.lit(None).cast("string").alias("name"), F.count("*").alias("n"), F.lit(0).cast("long").alias("place"))
+    names = tables["leagues"].select(F.col("canonical_key").alias("league_key"), F.col("name"))
+    leagues = count_by_league(tables["matches"]).join(names, "league_key", "left").select(F.lit("league").alias("section"), F.coalesce("name", "league_key").alias("name"), "n", (-F.col("n")).alias("place"))
+    counters = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"rows_{c}").alias("n")) for c in ("imported", "duplicate", "enriched", "rejected")]))
+    imports = tables["imports"].select("id", "filename", counters.alias("x")).select(F.concat(F.lit("rows_"), F.col("x.c")).alias("section"), F.col("filename").alias("name"), F.col("x.n").alias("n"), (-F.col("id")).alias("place"))
+    out = total("matches", "matches").unionByName(total("odds", "odds_quotes")).unionByName(leagues).unionByName(imports)
+    return out.orderBy("section", "place", "name").drop("place")
+
+
+def import_notes(outcomes: DataFrame, resolutions: DataFrame, import_id: int) -> DataFrame:
+    """(import_id, row_index, kind, message): rejections, warnings and names that were not matched exactly."""
+    accepted = F.col("outcome").isin("imported", "duplicate", "enriched")
+    rejected = outcomes.filter(~accepted).select("row_index", F.lit("rejection").alias("kind"), F.col("outcome").alias("message"))
+    warned = outcomes.select("row_index", F.lit("warning").alias("kind"), F.explode("warnings").alias("message"))
+    told = resolutions.filter("kind <> 'exact'").select(F.lit(None).cast("long").alias("row_index"), F.lit("resolution").alias("kind"), F.to_json(F.struct("raw", "kind", "matched_key", "confidence")).alias("message"))
+    return rejected.unionByName(warned).unionByName(told).select(F.lit(import_id).cast("long").alias("import_id"), "row_index", "kind", "message")
+
+
 def import_file(spark: SparkSession, store: Store, raw: DataFrame, profile, filename: str) -> DataFrame:
-    """Validate, resolve, reconcile and commit one file; returns the report (one row)."""
+    """Validate, resolve, reconcile and commit one file; returns the report (one row).
+
+    The report's counters are kept as JSON with the import, its rejections, warnings and resolutions as rows of ``notes``.
+    """
     from kickmill.operators import reconcile as R
     from kickmill.operators import validate as V
 
-    old = store.tables()
-    done = R.import_rows(V.validate(raw, profile), profile, old)
-    outcomes = done["outcomes"].persist()
-    try:
-        report = R.import_report(outcomes)
-        counts = report.first()
-        import_id = (old["imports"].agg(F.max("id")).first()[0] or 0) + 1
-        last = old["matches"].agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()[0]
-        ids = R.new_match_ids(outcomes, last)
-        named = outcomes.join(ids.withColumnsRenamed({"provisional": "match_id", "id": "_id"}), "match_id", "left").withColumn("match_id", F.coalesce("_id", "match_id"))
-        new = named.filter("new_match").select(F.col("match_id").alias("id"), "league_key", "home_team_id", "away_team_id", "match_date", "kickoff_utc", "ht_home", "ht_away", "ft_home", "ft_away", F.lit("completed").alias("status"), F.lit(import_id).cast("long").alias("import_id"), "dedupe_key")
-        enriched = named.filter("outcome = 'enriched'").select(F.col("match_id").alias("id"), "kickoff_utc", "dedupe_key")
-        matches = updated(old["matches"].unionByName(new), enriched)
-        quotes = named.select("row_index", "match_id", F.posexplode("new_odds").alias("pos", "q")).select("row_index", "pos", "match_id", "q.*")
-        sources = named.filter("add_source").select("row_index", "match_id", F.lit(profile.source_name).alias("source"), "external_id")
-        res = done["resolutions"]
-        teams = res.filter("kind = 'created'").select(F.col("team_id").alias("id"), F.col("raw").alias("canonical_name"), F.col("normal").alias("normalized_key"))
-        aliases = res.filter("kind IN ('created', 'fuzzy')").select("team_id", F.col("raw").alias("alias"), F.col("normal").alias("normalized_alias"), F.lit(profile.source_name).alias("source"), "confidence")
-        imports = spark.createDataFrame([(import_id, filename, profile.name, counts.rows_total, counts.rows_imported, counts.rows_duplicate, counts.rows_enriched, counts.rows_rejected, "")], SCHEMAS["imports"])
-        store.commit(old | {
-            "leagues": appended(old["leagues"], done["leagues"], ["first_row"]),
-            "teams": old["teams"].unionByName(teams),
-            "aliases": appended(old["aliases"], aliases, ["team_id", "normalized_alias"]),
-            "matches": matches,
-            "sources": appended(old["sources"], sources, ["row_index"]),
-            "odds": appended(old["odds"], quotes, ["row_index", "pos"]),
-            "imports": old["imports"].unionByName(imports),
-        })
-        return spark.createDataFrame([tuple(counts)], report.schema)
-    finally:
-        outcomes.unpersist()
+    with Unit(store) as unit:
+        old = unit.tables
+        done = R.import_rows(V.validate(raw, profile), profile, old)
+        outcomes = done["outcomes"].persist()
+        try:
+            report = R.import_report(outcomes)
+            counts = report.first()
+            import_id = (old["imports"].agg(F.max("id")).first()[0] or 0) + 1
+            last = old["matches"].agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()[0]
+            ids = R.new_match_ids(outcomes, last)
+            named = outcomes.join(ids.withColumnsRenamed({"provisional": "match_id", "id": "_id"}), "match_id", "left").withColumn("match_id", F.coalesce("_id", "match_id"))
+            new = named.filter("new_match").withColumns({"id": F.col("match_id"), "status": F.lit("completed"), "import_id": F.lit(import_id)})
+            quotes = named.select("row_index", "match_id", F.posexplode("new_odds").alias("pos", "q")).select("row_index", "pos", "match_id", "q.*")
+            sources = named.filter("add_source").select("row_index", "match_id", F.lit(profile.source_name).alias("source"), "external_id")
+            res = done["resolutions"]
+            unit.add("leagues", done["leagues"], ["first_row"])
+            unit.add("teams", res.filter("kind = 'created'").select(F.col("team_id").alias("id"), F.col("raw").alias("canonical_name"), F.col("normal").alias("normalized_key")))
+            unit.add("aliases", res.filter("kind IN ('created', 'fuzzy')").select("team_id", F.col("raw").alias("alias"), F.col("normal").alias("normalized_alias"), F.lit(profile.source_name).alias("source"), "confidence"), ["team_id", "normalized_alias"])
+            unit.add("matches", new)
+            if counts.rows_enriched:  # matches of this file or of earlier ones
+                enriched = named.filter("outcome = 'enriched'").select(F.col("match_id").alias("id"), "kickoff_utc", "dedupe_key")
+                unit.added["matches"] = updated(unit.added["matches"], enriched)
+                if enriched.filter(F.col("id") <= last).limit(1).count():
+                    unit.update("matches", enriched)
+            unit.add("sources", sources, ["row_index"])
+            unit.add("odds", quotes, ["row_index", "pos"])
+            unit.add("notes", import_notes(outcomes, res, import_id))
+            told = json.dumps({"filename": filename, "profile_name": profile.name, **counts.asDict()})
+            unit.add("imports", spark.createDataFrame([(import_id, filename, profile.name, counts.rows_total, counts.rows_imported, counts.rows_duplicate, counts.rows_enriched, counts.rows_rejected, told)], SCHEMAS["imports"].replace(", created_at timestamp_ntz", "")).withColumn("created_at", F.localtimestamp()))
+            unit.commit()
+            return spark.createDataFrame([tuple(counts)], report.schema)
+        finally:
+            outcomes.unpersist()

@@ -143,3 +143,49 @@ def test_stream_imports_each_file_once(spark, tmp_path):
     for _ in range(2):
         import_folder(spark, f"file://{tmp_path}/in", store, f"file://{tmp_path}/cp").awaitTermination()
     assert store.tables()["imports"].count() == 1
+
+
+def test_versions_and_units(spark, tmp_path, monkeypatch):
+    from kickmill.sources import ports
+    from kickmill.sources import store as ST
+
+    monkeypatch.setenv("KICKMILL_STORE", f"file://{tmp_path}/s")
+    store = ST.open_store(spark)
+    memory = ports.MemoryTables({n: spark.createDataFrame([], s) for n, s in ST.SCHEMAS.items()})
+    teams = spark.createDataFrame([("A", "a"), ("B", "b")], "canonical_name string, normalized_key string")
+    for tables in (store, memory):
+        assert isinstance(tables, ports.Tables)
+        for _ in range(2):
+            with ST.Unit(tables) as unit:
+                assert isinstance(unit, ports.UnitOfWork)
+                unit.add("teams", teams, ["normalized_key"])
+                unit.commit()
+        with ST.Unit(tables) as unit:
+            unit.add("teams", teams, ["normalized_key"])
+            unit.rollback()
+        with ST.Unit(tables) as unit:
+            unit.update("teams", spark.createDataFrame([(1, "AA")], "id long, canonical_name string"))
+            unit.add("teams", spark.createDataFrame([("C", "c")], teams.schema), ["normalized_key"])
+            unit.commit()
+        with ST.Unit(tables) as unit:
+            found = unit.get("teams", spark.createDataFrame([("a",), ("z",)], "normalized_key string"))
+            assert {r.normalized_key: (r.id, r.canonical_name) for r in found.collect()} == {"a": (1, "AA"), "z": (None, None)}
+        assert sorted((r.id, r.canonical_name) for r in tables.tables()["teams"].collect()) == [(1, "AA"), (2, "B"), (3, "A"), (4, "B"), (5, "C")]
+    # the same number twice: the second writer fails, and its rows are not seen
+    late = ST.Store(spark, store.folder)
+    monkeypatch.setattr(late, "version", lambda: (0, {n: [] for n in ST.SCHEMAS}))
+    with pytest.raises(Exception):
+        late.commit({"teams": store.tables()["teams"]})
+    assert store.tables()["teams"].count() == 5 and store.compact() == 4 and len(store.version()[1]["teams"]) == 1
+
+
+def test_notes_and_report(importer):
+    import json
+
+    importer(NARROW | {"B365H": "0.5"}, NARROW | {"HomeTeam": ""}, NARROW | {"HomeTeam": "Newcastel", "Date": "18/08/2025"})
+    t = importer.store.tables()
+    told = json.loads(t["imports"].first().report_json)
+    assert told["rows_total"] == 3 and told["rows_rejected"] == 1 and told["filename"] == "f0.csv"
+    notes = sorted((r.kind, r.row_index, r.import_id) for r in t["notes"].collect())
+    assert ("rejection", 1, 1) in notes and ("warning", 0, 1) in notes and sum(k == "resolution" for k, _, _ in notes) == 3
+    assert t["imports"].first().created_at is not None
