@@ -46,8 +46,13 @@ def collapsed(lam: Column, mu: Column, rho: Column, max_goals: int = MAX_GOALS)
     """struct<home, draw, away, over>: the grid's sums, without making rows of its cells."""
     goals = F.sequence(F.lit(0), F.lit(max_goals))
     mass = lambda rate: F.transform(goals, lambda k: F.exp(k * F.ln(rate) - rate) / F.factorial(k))
+    # both sides' masses are computed once: they are bound by a transform of one element
+    both = F.array(F.struct(mass(lam).alias("px"), mass(mu).alias("py")))
+    return F.get(F.transform(both, lambda m: _collapsed(m["px"], m["py"], lam, mu, rho, goals)), F.lit(0))
+
+
+def _collapsed(px: Column, py: Column, lam: Column, mu: Column, rho: Column, goals: Column) -> Column:
     # outer products reduce to running sums; only four cells need the correction
-    px, py = mass(lam), mass(mu)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
     below = lambda p: F.transform(goals, lambda k: F.aggregate(F.slice(p, 1, k), F.lit(0.0), lambda s, v: s + v))
     whole = lambda p: F.aggregate(p, F.lit(0.0), lambda s, v: s + v)

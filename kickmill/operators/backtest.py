@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kickmill.markets import MARKETS, mangled
 from kickmill.operators import frame as R
 from kickmill.operators import metrics as M
+from kickmill.session import shared_folder
 
 
 class Predictor(Protocol):
@@ -50,9 +51,10 @@ def scored(predictor: Predictor, frame: DataFrame, market: str, split: str = "te
 
 
 def report(predictor: Predictor, frame: DataFrame, market: str, split: str = "test", threshold: float = 0.02) -> DataFrame:
-    """One row: sizes, log loss, Brier, and both betting modes."""
+    """One row: sizes, log loss, Brier, and both betting modes, of rows that are predicted once."""
     sels = MARKETS[market]["selections"]
-    rows = scored(predictor, frame, market, split)
+    shared_folder(frame.sparkSession)
+    rows = scored(predictor, frame, market, split).checkpoint()
     base = rows.agg(F.count("*").alias("n"), F.round(M.log_loss(sels), 5).alias("log_loss"), F.round(M.brier(sels), 5).alias("brier"))
     value = M.simulate(rows, sels, "value_threshold", threshold).select(F.col("n_bets").alias("value_bets"), F.col("roi").alias("value_roi"))
     every = M.simulate(rows, sels, "bet_all").select(F.col("n_bets").alias("all_bets"), F.col("roi").alias("all_roi"))

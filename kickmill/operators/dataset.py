@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime
 import json
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from kickmill.functions import labels as L
 from kickmill.operators import features as X
 from kickmill.operators import splits as S
 
+SCHEMA_VERSION = "2.1"
 IDENTITY = ("match_id", "league_key", "league_name", "home_team_id", "away_team_id", "match_date", "kickoff_utc", "ft_home", "ft_away")
 
 
@@ -62,23 +65,67 @@ def content_hash(df: DataFrame) -> str:
     return hashlib.sha256(json.dumps([sorted(df.columns), *[str(x) for x in sums]]).encode()).hexdigest()
 
 
-def save(df: DataFrame, folder: str, extra: dict | None = None, order: str = "match_id") -> dict:
-    """Write Parquet and a JSON manifest under an id of UTC time and hash; returns the manifest."""
-    digest = content_hash(df)
-    stamp = datetime.datetime.now(datetime.timezone.utc).strftime("%Y%m%dT%H%M%SZ")
-    name = f"{stamp}_{digest[:8]}"
-    path = f"{folder.rstrip('/')}/{name}"
-    df.sortWithinPartitions(order).write.parquet(f"{path}/data")
-    manifest = {"id": name, "content_hash": digest, "format": "parquet", "columns": df.columns, "rows": df.sparkSession.read.parquet(f"{path}/data").count(), **(extra or {})}
-    df.sparkSession.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{path}/manifest")
-    return manifest | {"path": path}
+@dataclass(frozen=True)
+class Manifest:
+    """What a saved table holds.  ``kind`` is dataset or prediction; ``extra`` is what only one of them has."""
+
+    schema_version: str
+    kind: str
+    id: str
+    created_at: str
+    content_hash: str
+    file_format: str
+    filename: str
+    columns: list[str]
+    rows: dict
+    extra: dict
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self), ensure_ascii=False, sort_keys=True)
+
+
+def save(df: DataFrame, folder: str, kind: str = "dataset", extra: dict | None = None, order: Callable[[DataFrame], DataFrame] = lambda df: df.orderBy("match_id"), file_format: str = "parquet") -> dict:
+    """Write the sorted rows and a JSON manifest under an id of UTC time and hash; returns the manifest and the path.
+
+    Rows are hashed and counted as read back, so the manifest tells what was written.
+    """
+    now = datetime.datetime.now(datetime.timezone.utc)
+    path = f"{folder.rstrip('/')}/{kind}-{now:%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
+    filename = f"{path}/data.{file_format}"
+    spark = df.sparkSession
+    order(df).write.option("header", True).format(file_format).save(filename)
+    back = spark.read.schema(df.schema).option("header", True).format(file_format).load(filename)
+    digest = content_hash(back)
+    counted = json.loads(row_counts(back).select(F.to_json(F.struct("*"))).first()[0])
+    manifest = Manifest(SCHEMA_VERSION, kind, f"{now:%Y%m%dT%H%M%S}-{digest[:8]}", now.isoformat(timespec="seconds"), digest, file_format, filename, df.columns, counted, extra or {})
+    spark.createDataFrame([(manifest.to_json(),)], "value string").coalesce(1).write.text(f"{path}/manifest")
+    return asdict(manifest) | {"path": path}
+
+
+def row_counts(df: DataFrame) -> DataFrame:
+    """Manifest counts of a dataset; of other tables their rows."""
+    if {"split", "league_key", "ht_home", "ht_away"} <= set(df.columns):
+        return manifest_stats(df)
+    return df.agg(F.count("*").alias("rows_total"))
+
+
+def load_manifest(spark, path: str) -> Manifest:
+    return Manifest(**json.loads(spark.read.text(f"{path.rstrip('/')}/manifest").first()[0]))
 
 
 def load(spark, path: str) -> DataFrame:
-    """A saved dataset, a Parquet folder or a CSV file."""
+    """A saved table with its manifest, a Parquet or CSV folder or file."""
     if path.endswith(".csv"):
         return spark.read.csv(path, header=True, inferSchema=True)
-    return spark.read.parquet(path if path.endswith(".parquet") else f"{path}/data")
+    if path.endswith(".parquet"):
+        return spark.read.parquet(path)
+    return load(spark, load_manifest(spark, path).filename)
+
+
+def save_dataset(frame: DataFrame, folder: str, groups: Sequence[str] = ("odds_core", "team_form"), split: S.Split | None = None, guard: bool = True) -> dict:
+    """Build from the flat frame and save, with groups and split in the manifest."""
+    split = split or S.FractionSplit(0.7)
+    return save(build(frame, groups, split, guard), folder, "dataset", {"feature_groups": X.describe(groups, frame), "split": split.describe()})
 
 
 def model_fingerprint(predictions: DataFrame) -> str:

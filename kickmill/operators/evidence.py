@@ -2,60 +2,64 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
-from dataclasses import asdict, dataclass, field
 from functools import reduce
+from pathlib import Path
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kickmill.markets import MARKETS
+from kickmill.operators import dataset as D
 
-#: Weight of a finding by tier.
-TIER_WEIGHTS = {"rejected": 0.0, "not_confirmed": 0.0, "provisional": 0.25, "promoted": 1.0}
+# A finding's weight by its tier.
+TIER_WEIGHTS = {"rejected": 0.0, "not_confirmed": 0.0, "provisionally_promoted": 0.25, "promoted": 1.0}
 
 
-def tier_weight(tier: str) -> float:
-    if tier not in TIER_WEIGHTS:
-        raise KeyError(f"unknown tier {tier!r}; have {sorted(TIER_WEIGHTS)}")
-    return TIER_WEIGHTS[tier]
+class Finding(NamedTuple):
+    """A registry entry; the names are those of the JSON format."""
 
-
-@dataclass(frozen=True)
-class Finding:
     finding_id: str
     tier: str
     market: str
-    extra_columns: tuple[str, ...] = field(default=())
+    extra_columns: Sequence[str] = ()
     description: str = ""
+    retrospective_anchor: str = ""
+
+
+def weight(finding: Finding) -> float:
+    """By tier; a KeyError for a tier that has none."""
+    if (known := TIER_WEIGHTS.get(finding.tier)) is None:
+        raise KeyError(f"finding {finding.finding_id!r} is of tier {finding.tier!r}, which has no weight")
+    return known
+
 
-    @property
-    def weight(self) -> float:
-        return tier_weight(self.tier)
+def parse_registry(text: str) -> list[Finding]:
+    """The findings of a registry's JSON text."""
+    return [Finding(**entry) for entry in json.loads(text)["findings"]]
 
-    @property
-    def is_live(self) -> bool:
-        return self.weight > 0
 
+def load_registry(path: str | Path) -> list[Finding]:
+    return parse_registry(Path(path).read_text(encoding="utf-8"))
 
-#: The registry that is shipped: nothing is live.
+
+#: The registry as shipped: nothing is live.
 FINDINGS = (Finding("coherence_1x2", "not_confirmed", "1x2", ("incoherence_ou25",)),)
 
 
 def live(findings: Sequence[Finding], market: str, promoted_only: bool = False) -> list[Finding]:
     """Findings of the market that carry weight; the others are left out, not multiplied by zero."""
-    return [f for f in findings if f.market == market and (f.weight == 1.0 if promoted_only else f.is_live)]
+    least = TIER_WEIGHTS["promoted"] if promoted_only else 0.0
+    return [f for f in findings if f.market == market and weight(f) > 0.0 and weight(f) >= least]
 
 
 def registry_rows(spark, findings: Sequence[Finding]) -> DataFrame:
-    rows = [(f.finding_id, f.tier, f.market, list(f.extra_columns), f.weight, f.is_live) for f in findings]
+    rows = [(f.finding_id, f.tier, f.market, list(f.extra_columns), weight(f), weight(f) > 0.0) for f in findings]
     return spark.createDataFrame(rows, "finding_id string, tier string, market string, extra_columns array<string>, weight double, is_live boolean")
 
 
-def snapshot(findings: Sequence[Finding]) -> list[dict]:
-    return [asdict(f) | {"weight": f.weight} for f in findings]
-
-
 def logit(p: Column) -> Column:
     return F.when(p.isNotNull(), F.ln(F.greatest(p, F.lit(1e-10))))
 
@@ -83,7 +87,7 @@ def blend(frame: DataFrame, market: str, findings: Sequence[Finding], base: str
     for s in sels:
         own = logit(F.col(f"{base}{s}"))
         for f in live(findings, market):
-            own = own + F.lit(f.weight) * F.coalesce(delta(F.col(f"{base}{s}"), F.col(f"{f.finding_id}_{s}")), F.lit(0.0))
+            own = own + F.lit(weight(f)) * F.coalesce(delta(F.col(f"{base}{s}"), F.col(f"{f.finding_id}_{s}")), F.lit(0.0))
         logits[s] = own
     return frame.withColumns({f"{out}{s}": c for s, c in softmax(logits).items()})
 
@@ -126,7 +130,28 @@ def predictions_log(explained: DataFrame, market: str, findings: Sequence[Findin
     """Long log: three roles and each live finding's raw deltas, by selection."""
     sels = MARKETS[market]["selections"]
     text = lambda v: F.lit(v).cast("string")
-    entry = lambda kind, role, f, s, value: F.struct(F.lit(kind).alias("kind"), text(role).alias("role"), text(f and f.finding_id).alias("finding_id"), text(f and f.tier).alias("tier"), F.lit(f and f.weight).cast("double").alias("weight"), text(f and (hashes or {}).get(f.finding_id)).alias("model_hash"), F.lit(s).alias("selection"), F.col(value).alias("value"))
-    rows = [entry("prediction", role, None, s, f"{prefix}{s}") for role, prefix in (("baseline", "base_"), ("canonical", "canonical_"), ("promoted_only", "promoted_only_")) for s in sels]
+    entry = lambda kind, role, f, s, value: F.struct(F.lit(kind).alias("kind"), text(role).alias("role"), text(f and f.finding_id).alias("finding_id"), text(f and f.tier).alias("tier"), F.lit(f and weight(f)).cast("double").alias("weight"), text(f and (hashes or {}).get(f.finding_id)).alias("model_hash"), F.lit(s).alias("selection"), F.col(value).alias("value"))
+    rows = [entry("value", role, None, s, f"{prefix}{s}") for role, prefix in (("baseline", "base_"), ("canonical", "canonical_"), ("promoted_only", "promoted_only_")) for s in sels]
     rows += [entry("contribution", None, f, s, f"delta_{f.finding_id}_{s}") for f in live(findings, market) for s in sels]
     return explained.select("match_id", F.lit(market).alias("market"), F.explode(F.array(*rows)).alias("_r")).select("match_id", "market", "_r.*").select(*LOG_COLUMNS)
+
+
+def ordered_log(log: DataFrame) -> DataFrame:
+    """The log in its order: six keys, nulls first."""
+    return log.orderBy("match_id", "market", "kind", "role", "finding_id", "selection")
+
+
+def model_hashes(log: DataFrame) -> DataFrame:
+    """(finding_id, model_hash): one row per finding that contributed."""
+    return log.filter("kind = 'contribution'").select("finding_id", "model_hash").dropDuplicates(["finding_id"])
+
+
+def save_predictions(log: DataFrame, findings: Sequence[Finding], folder: str, mode: str = "backtest") -> dict:
+    """Write the log and a manifest that keeps what its values rest on: registry, tier weights and model hashes."""
+    hashes = {r.finding_id: r.model_hash for r in model_hashes(log).collect()}  # at most one per registered finding
+    meta = {"mode": mode, "tier_weights": TIER_WEIGHTS, "findings_registry_snapshot": [f._asdict() | {"extra_columns": list(f.extra_columns)} for f in findings], "model_hashes": hashes}
+    return D.save(log, folder, "prediction", meta, order=ordered_log)
+
+
+def load_predictions(spark, path: str) -> DataFrame:
+    return D.load(spark, path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kickmill.functions import goals as G
 from kickmill.markets import MARKETS, MAX_GOALS, mangled
+from kickmill.session import shared_folder
 
 PARAMS = "league_key string, team_id long, attack double, defense double, home_advantage double, rho double, n_matches double"
 
@@ -24,7 +25,7 @@ def score_cells(matches: DataFrame, xi: float = 0.0, reference=None) -> DataFram
         return matches.groupBy(*keys).agg(F.count("*").cast("double").alias("weight"), F.count("*").cast("double").alias("n"))
     last = matches.groupBy("league_key").agg(F.max("match_date").alias("_last")) if reference is None else None
     by_day = matches.groupBy(*keys, "match_date").agg(F.count("*").alias("c"))
-    dated = by_day.join(F.broadcast(last), "league_key") if last is not None else by_day.withColumn("_last", F.lit(reference))
+    dated = by_day.join(last, "league_key") if last is not None else by_day.withColumn("_last", F.lit(reference))
     return dated.groupBy(*keys).agg(F.sum(F.col("c") * F.exp(-xi * F.datediff("_last", "match_date"))).alias("weight"), F.sum("c").cast("double").alias("n"))
 
 
@@ -120,17 +121,18 @@ def with_rates(frame: DataFrame, params: DataFrame) -> DataFrame:
     """lam, mu, rho of each match; null for unknown leagues and teams."""
     home = params.select("league_key", F.col("team_id").alias("home_team_id"), F.col("attack").alias("_ah"), F.col("defense").alias("_dh"), F.col("home_advantage").alias("_h"), F.col("rho").alias("rho"))
     away = params.select("league_key", F.col("team_id").alias("away_team_id"), F.col("attack").alias("_aa"), F.col("defense").alias("_da"))
-    out = frame.join(F.broadcast(home), ["league_key", "home_team_id"], "left").join(F.broadcast(away), ["league_key", "away_team_id"], "left")
+    out = frame.join(home, ["league_key", "home_team_id"], "left").join(away, ["league_key", "away_team_id"], "left")
     return out.withColumns({"lam": F.exp(F.col("_ah") + F.col("_da") + F.col("_h")), "mu": F.exp(F.col("_aa") + F.col("_dh"))}).drop("_ah", "_dh", "_h", "_aa", "_da")
 
 
 class GoalPredictor:
-    """Predicts from fitted parameters and abstains where a league or team was not seen."""
+    """Predicts from fitted parameters, which are computed once, and abstains where a league or team was not seen."""
 
     name = "goals"
 
     def __init__(self, params: DataFrame):
-        self.params = params
+        shared_folder(params.sparkSession)
+        self.params = params.checkpoint()
 
     def predict(self, frame: DataFrame, market: str) -> DataFrame:
         if market not in MARKETS:
@@ -219,7 +221,7 @@ def coherence(frame: DataFrame, xi: float = 0.001, method: str = "shin", book: s
     if any(c not in frame.columns for c in (h, d, o)):
         return frame.select("match_id", F.lit(None).cast("double").alias("incoherence_ou25"))
     rho = fit(frame.filter("split = 'train'"), xi, strict=False).select("league_key", "rho").distinct()
-    rows = frame.join(F.broadcast(rho), "league_key", "left").withColumn("_s", implied_rates(F.col(h), F.col(d), F.col("rho")))
+    rows = frame.join(rho, "league_key", "left").withColumn("_s", implied_rates(F.col(h), F.col(d), F.col("rho")))
     return rows.select("match_id", (F.col(o) - F.col("_s.over")).alias("incoherence_ou25"))
 
 
@@ -234,7 +236,7 @@ def residual_means(rows: DataFrame) -> DataFrame:
     out = rows
     for s in ("home", "away"):
         own = teams.select("league_key", F.col("team_id").alias(f"{s}_team_id"), F.col("total").alias(f"_t{s}"), F.col("n").alias(f"_n{s}"))
-        out = out.join(F.broadcast(own), ["league_key", f"{s}_team_id"], "left")
+        out = out.join(own, ["league_key", f"{s}_team_id"], "left")
     value = lambda s: F.when(F.col("split") == "train", F.when(F.col(f"_n{s}") > 1, (F.col(f"_t{s}") - F.col("residual")) / (F.col(f"_n{s}") - 1))).otherwise(F.try_divide(F.col(f"_t{s}"), F.col(f"_n{s}")))
     return out.select("match_id", value("home").alias("home_draw_residual"), value("away").alias("away_draw_residual"))
 

@@ -28,6 +28,11 @@ def preprocess_stats(train: DataFrame, columns: Sequence[str]) -> dict[str, tupl
     return {c: (float(medians[c]), float(stats[f"m{i}"]), float(stats[f"s{i}"]) or 1.0) for i, c in enumerate(kept)}
 
 
+def known_leagues(train: DataFrame) -> list[str]:
+    """The leagues of the training rows, sorted; they become columns, so their number is small."""
+    return [r[0] for r in train.filter(F.col("league_key").isNotNull()).select("league_key").distinct().orderBy("league_key").collect()]
+
+
 def scaled(stats: dict[str, tuple[float, float, float]]) -> dict[str, Column]:
     return {c: (F.coalesce(F.col(c).cast("double"), F.lit(median)) - mean) / deviation for c, (median, mean, deviation) in stats.items()}
 
@@ -48,7 +53,7 @@ class TabularPredictor:
         train = frame.filter("split = 'train'") if "split" in frame.columns else frame
         columns = resolve_columns(train, self.groups) + self.extra
         self.stats = preprocess_stats(train, columns)
-        self.leagues = [r[0] for r in train.select("league_key").distinct().orderBy("league_key").collect() if r[0] is not None]
+        self.leagues = known_leagues(train)
         for market in markets:
             target = MARKETS[market]["target"]
             rows = train.filter(F.col(target).isNotNull())
