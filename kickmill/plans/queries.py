@@ -6,6 +6,7 @@ Doubles are rounded to six places on both sides, and -0.0 becomes 0.0.
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from kickmill.functions import labels as L
 from kickmill.functions import names as N
 from kickmill.functions import odds as O
 from kickmill.functions import parse as P
-from kickmill.markets import MARKETS, mangled, odds_col, odds_columns
+from kickmill.markets import BOOKMAKERS, MARKETS, mangled, odds_col, odds_columns
 from kickmill.operators import backtest as B
 from kickmill.operators import dataset as D
 from kickmill.operators import evidence as E
@@ -29,6 +30,8 @@ from kickmill.operators import splits as S
 from kickmill.operators import tabular as T
 from kickmill.operators import validate as V
 from kickmill.plans import league as LG
+from kickmill.session import shared_folder
+from kickmill.sources import readers as RD
 from kickmill.sources import store as ST
 
 QUERIES: dict = {}
@@ -79,11 +82,50 @@ def completed_matches(spark, sf_dir):
     return R.completed(LG.matches(spark, sf_dir)).select("match_id", "league_key")
 
 
-@query(f"{CTE}, probe AS (SELECT DISTINCT league_key, home_team_id, away_team_id, match_date + 0 AS match_date FROM m WHERE match_id % 7 = 0) SELECT m.match_id FROM m JOIN probe USING (league_key, home_team_id, away_team_id, match_date)")
+_PROBE = "SELECT DISTINCT league_key, home_team_id, away_team_id, {day} AS match_date FROM m"
+
+
+@query(f"{CTE}, probe AS ({_PROBE.format(day='match_date + CAST(match_id % 2 AS INTEGER)')}) SELECT m.match_id FROM m JOIN probe USING (league_key, home_team_id, away_team_id, match_date)")
 def pairing_date_lookup(spark, sf_dir):
+    """Every match's pairing is looked up, for odd ids on the day after."""
     m = LG.matches(spark, sf_dir)
-    keys = ["league_key", "home_team_id", "away_team_id", "match_date"]
-    return m.join(m.filter("match_id % 7 = 0").select(*keys).distinct(), keys, "left_semi").select("match_id")
+    probe = m.withColumn("match_date", F.date_add("match_date", (F.col("match_id") % 2).cast("int")))
+    return ST.find_by_pairing_date(m, probe).select("match_id")
+
+
+@query("SELECT o_orderkey AS number, c.c_custkey AS id, c.c_name AS name FROM (SELECT o_orderkey, o_custkey + CASE WHEN o_orderkey % 7 = 0 THEN 100000000 ELSE 0 END AS k FROM orders) o LEFT JOIN customer c ON c.c_custkey = o.k")
+def key_lookup(spark, sf_dir):
+    """A batch of point reads: an order's customer, or nulls."""
+    stored = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("number"), (F.col("o_custkey") + F.when(F.col("o_orderkey") % 7 == 0, 100000000).otherwise(0)).alias("key"))
+    found = ST.lookup(stored, o.select("key").distinct())
+    return o.join(found, "key").select("number", "id", "name")
+
+
+@query("SELECT o_orderkey AS id, o_custkey AS league_id, CAST(o_orderdate AS DATE) AS match_date, CASE WHEN o_orderkey % 4 = 0 THEN 'moved' ELSE 'completed' END AS status FROM orders WHERE o_orderkey % 10 <> 0 ORDER BY 1")
+def committed_units(spark, sf_dir):
+    """Three units of work on a new store: two add orders as matches, one updates; a fourth is rolled back and never seen."""
+    store = ST.open_store(spark, f"{shared_folder(spark).rstrip('/')}/kickmill-store-{uuid.uuid4().hex}")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("league_key"), F.col("o_orderdate").cast("date").alias("match_date"), F.lit("completed").alias("status"))
+    for rest in (F.col("id") % 10 < 5, F.col("id") % 10 >= 5):
+        with ST.Unit(store) as unit:
+            unit.add("matches", rows.filter(rest & (F.col("id") % 10 != 0)))
+            unit.commit()
+    with ST.Unit(store) as unit:
+        unit.update("matches", unit.tables["matches"].filter("id % 4 = 0").select("id", F.lit("moved").alias("status")))
+        unit.commit()
+    with ST.Unit(store) as unit:
+        unit.add("matches", rows.filter("id % 10 = 0"))
+    return store.tables()["matches"].select("id", F.col("league_key").cast("long").alias("league_id"), "match_date", "status")
+
+
+@query("""SELECT 'matches' AS section, NULL AS name, CAST(count(*) AS BIGINT) AS n FROM orders UNION ALL SELECT 'odds_quotes', NULL, count(*) FROM lineitem
+UNION ALL SELECT 'league', CASE WHEN p IN ('1', '2') THEN concat('League ', p) ELSE p END, count(*) FROM (SELECT substr(o_orderpriority, 1, 1) AS p FROM orders) GROUP BY p
+UNION ALL SELECT concat('rows_', unnest(['imported', 'duplicate', 'enriched', 'rejected'])), n_name, unnest([n_regionkey, n_regionkey + 1, 0, 2]) FROM nation""")
+def database_summary(spark, sf_dir):
+    leagues = spark.createDataFrame([(1, "1", "League 1"), (2, "2", "League 2")], "id long, canonical_key string, name string")
+    imports = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("filename"), F.col("n_regionkey").alias("rows_imported"), (F.col("n_regionkey") + 1).alias("rows_duplicate"), F.lit(0).cast("long").alias("rows_enriched"), F.lit(2).cast("long").alias("rows_rejected"))
+    return ST.database_summary({"matches": LG.matches(spark, sf_dir), "odds": table(spark, sf_dir, "lineitem"), "leagues": leagues, "imports": imports})
 
 
 @query("SELECT o_orderpriority AS league_key, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1")
@@ -182,6 +224,25 @@ def normalized_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", N.normalized(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("name"))
 
 
+_HEADERS = {"everything": (0, 39), "core": (0, 0), "half": (0, 20), "no date": (1, 39), "no teams": (3, 0), "nothing": (6, 0)}
+_ODDS_NAMES = list(MP.SEASON_FILES.odds_columns)
+_CORE_NAMES = ["Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "Div"]
+
+
+@query(f"""WITH core AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{c}')" for i, c in enumerate(_CORE_NAMES))}) AS t(i, c)),
+h AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {a}, {b})" for n, (a, b) in _HEADERS.items())}) AS t(header, gone, odds)),
+x AS (SELECT header, odds, gone, (SELECT count(*) FROM core WHERE i >= gone) AS found, (SELECT string_agg(c, ',' ORDER BY i) FROM core WHERE i < gone) AS missing FROM h)
+SELECT header, coalesce(missing, '') AS missing, round(CASE WHEN found < 6 THEN 0.4::DOUBLE * found / 6 ELSE 0.7::DOUBLE + 0.3::DOUBLE * odds / 39 END, 6) AS score, CASE WHEN found > 0 THEN 'football-data.co.uk' END AS detected, found = 6 AS auto_apply FROM x""")
+def profile_fit(spark, sf_dir):
+    """Headers of several files held against the season profile: core columns left out, odds columns found."""
+    rows = []
+    for name, (gone, odds) in _HEADERS.items():
+        header = [*MP.core_columns(MP.SEASON_FILES)[gone:], *(f" {c}" for c in _ODDS_NAMES[:odds])]
+        best, score = MP.detect_profile(header)
+        rows.append((name, ",".join(MP.fit(MP.SEASON_FILES, header).missing), round(score, 6), best and best.name, score >= MP.AUTO_APPLY))
+    return spark.createDataFrame(rows, "header string, missing string, score double, detected string, auto_apply boolean")
+
+
 # --- import ------------------------------------------------------------------------------------------
 
 
@@ -202,14 +263,60 @@ def import_report(spark, sf_dir):
     return RC.import_report(RC.import_rows(v, MP.SEASON_FILES, _empty_store(spark))["outcomes"])
 
 
-@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate, l_tax, l_discount) AS i FROM lineitem),
-s AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS q FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY ALL)
-SELECT status, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN s.q IS NULL THEN 'new' WHEN abs(s.q - lineitem.l_quantity) <= 1e-9 * greatest(1, abs(s.q)) THEN 'same' ELSE 'conflict' END AS status FROM lineitem LEFT JOIN s USING (l_orderkey, l_linenumber)) GROUP BY 1""")
-def classified_odds(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    quotes = li.select(F.col("l_orderkey").alias("match_id"), F.lit("b").alias("bookmaker"), F.lit("m").alias("market"), F.col("l_linenumber").cast("string").alias("selection"), F.col("l_quantity").alias("decimal_odds"), F.lit(None).cast("double").alias("line"), F.lit(None).cast("string").alias("price_point"))
-    stored = quotes.filter("match_id % 3 = 0").withColumn("id", F.col("decimal_odds"))
-    return RC.classify_odds(stored, quotes).groupBy("status").agg(F.count("*").alias("n"))
+_RULES = f"""WITH RECURSIVE {LG.FRAME_CTE}, raw AS (
+  SELECT match_id * 2 AS row_index, league_key, home_team_id % 3 AS h, away_team_id % 3 AS a, date_trunc('month', match_date)::DATE AS d, CASE WHEN match_id % 3 <> 0 THEN concat(12 + match_id % 2, ':30') END AS t, match_id % 2 AS x FROM m),
+k AS (SELECT row_index, x, concat(league_key, '|', h, '|', a, '|', d) AS g, coalesce(t, 'NA') AS t, row_number() OVER (PARTITION BY league_key, h, a, d ORDER BY row_index) AS i FROM raw),
+r AS (
+  SELECT g, i, row_index, 'imported' AS outcome, [{{'t': t, 'x': x}}] AS st FROM k WHERE i = 1 UNION ALL
+  SELECT g, i, row_index, outcome, CASE outcome WHEN 'imported' THEN list_append(st, {{'t': t, 'x': x}}) WHEN 'enriched' THEN [{{'t': t, 'x': st[1].x}}] ELSE st END FROM (
+    SELECT k.g, k.i, k.row_index, k.t, k.x, r.st,
+      CASE WHEN len(list_filter(r.st, lambda s: s.t = k.t)) > 0 THEN CASE WHEN list_filter(r.st, lambda s: s.t = k.t)[1].x = k.x THEN 'duplicate' ELSE 'conflict' END
+        WHEN k.t <> 'NA' AND len(r.st) = 1 AND r.st[1].t = 'NA' THEN 'enriched' WHEN k.t <> 'NA' THEN 'imported' ELSE 'duplicate' END AS outcome
+    FROM r JOIN k ON k.g = r.g AND k.i = r.i + 1))"""
+
+
+def _dense_import(spark, sf_dir):
+    return RC.import_rows(V.validate(LG.dense_file(spark, sf_dir), MP.SEASON_FILES), MP.SEASON_FILES, _empty_store(spark))
+
+
+@query(_RULES + " SELECT row_index, outcome FROM r")
+def import_rules(spark, sf_dir):
+    """Many rows of the same pairing and day, some without a time: imported, duplicate, enriched or in conflict, in row order."""
+    return _dense_import(spark, sf_dir)["outcomes"].select("row_index", "outcome")
+
+
+@query(_RULES + """ SELECT CAST(count(*) AS BIGINT) AS rows_total, CAST(count_if(outcome = 'imported') AS BIGINT) AS rows_imported, CAST(count_if(outcome = 'duplicate') AS BIGINT) AS rows_duplicate,
+  CAST(count_if(outcome = 'enriched') AS BIGINT) AS rows_enriched, CAST(count_if(outcome = 'conflict') AS BIGINT) AS rows_rejected FROM r""")
+def import_counts(spark, sf_dir):
+    return RC.import_report(_dense_import(spark, sf_dir)["outcomes"]).select("rows_total", "rows_imported", "rows_duplicate", "rows_enriched", "rows_rejected")
+
+
+@query("""WITH n AS (SELECT p_partkey AS row_index, chr(CAST(97 + p_partkey % 20 AS INTEGER)) AS c FROM part), f AS (SELECT c, min(row_index) AS first FROM n GROUP BY c)
+SELECT repeat(c, 6) AS normal, CASE WHEN ascii(c) < 103 THEN 'exact' WHEN ascii(c) < 107 THEN 'alias' WHEN c = 't' THEN 'fuzzy' ELSE 'created' END AS kind,
+  CASE WHEN ascii(c) < 103 THEN repeat(c, 6) WHEN ascii(c) < 107 THEN repeat(c, 6) WHEN c = 't' THEN 'tttttu' ELSE repeat(c, 6) END AS matched_key,
+  CAST(CASE WHEN ascii(c) < 103 THEN ascii(c) WHEN ascii(c) < 107 THEN 97 WHEN c = 't' THEN 500 ELSE 500 + row_number() OVER (PARTITION BY ascii(c) BETWEEN 107 AND 115 ORDER BY first) END AS BIGINT) AS team_id FROM f""")
+def team_resolution(spark, sf_dir):
+    """Names of parts against stored teams and aliases: known, known otherwise, similar, new in order of first sight."""
+    c = F.char(97 + F.col("p_partkey") % 20)
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_index"), F.upper(F.repeat(c, F.lit(6))).alias("home_raw"), F.repeat(c, F.lit(6)).alias("away_raw"), F.lit("E0").alias("league_key"), F.lit(None).cast("string").alias("error"))
+    teams = spark.createDataFrame([(i, chr(i) * 6, chr(i) * 6) for i in range(97, 103)] + [(500, "Tttttu", "tttttu")], "id long, canonical_name string, normalized_key string")
+    aliases = spark.createDataFrame([(i, 97, chr(i) * 6, 1.0) for i in range(103, 107)], "id long, team_id long, normalized_alias string, confidence double")
+    return RC.resolve_teams(rows, teams, aliases, 0.8)[1].select("normal", "kind", "matched_key", "team_id")
+
+
+@query(f"""{CTE}, q AS (SELECT match_id, unnest(['home', 'draw', 'away']) AS selection, unnest([odds_1x2_home_bet365, odds_1x2_draw_bet365, odds_1x2_away_bet365]) AS price FROM f WHERE odds_1x2_home_bet365 IS NOT NULL)
+SELECT match_id * 2 AS row_index, selection, round(price, 6) AS decimal_odds FROM q WHERE match_id % 3 <> 0 AND selection <> 'home'""")
+def backfilled_odds(spark, sf_dir):
+    """A second import of stored matches: home prices are there already, for each third match all; only the rest is added, what differs is kept as stored."""
+    m = LG.matches(spark, sf_dir).select("match_id", "league_key", F.col("match_id").alias("home_team_id"), (-F.col("match_id")).alias("away_team_id"), "match_date", "ft_home", "ft_away")
+    key = P.dedupe_key(F.col("league_key"), F.col("home_team_id"), F.col("away_team_id"), F.col("match_date"), F.lit(None).cast("timestamp_ntz"))
+    quotes = LG.odds(spark, sf_dir).filter("market = '1x2' AND bookmaker = 'bet365' AND price_point IS NULL")
+    rows = m.join(quotes.groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct("bookmaker", "market", "selection", F.round("decimal_odds", 6).alias("decimal_odds"), "line", "price_point"))).alias("odds")), "match_id")
+    rows = rows.select((F.col("match_id") * 2).alias("row_index"), F.concat_ws("|", "league_key", "home_team_id", "away_team_id", F.col("match_date").cast("string")).alias("pairing"), "league_key", "home_team_id", "away_team_id", "match_date", F.lit(None).cast("timestamp_ntz").alias("kickoff_utc"), "ft_home", "ft_away", F.lit(None).cast("int").alias("ht_home"), F.lit(None).cast("int").alias("ht_away"), key.alias("dedupe_key"), F.lit(None).cast("string").alias("external_id"), F.expr("cast(array() as array<string>)").alias("warnings"), "odds")
+    stored = m.select(F.col("match_id").alias("id"), "league_key", "home_team_id", "away_team_id", "match_date", F.lit(None).cast("timestamp_ntz").alias("kickoff_utc"), "ft_home", "ft_away", key.alias("dedupe_key"))
+    held = quotes.filter("match_id % 3 = 0 OR selection = 'home'").withColumn("decimal_odds", F.col("decimal_odds") + F.when(F.col("match_id") % 2 == 0, 1.0).otherwise(0.0))
+    done = RC.act(rows, _empty_store(spark) | {"matches": stored, "odds": held}, "test", 10**12)
+    return done.select("row_index", F.explode("new_odds").alias("q")).select("row_index", "q.selection", "q.decimal_odds")
 
 
 # --- labels, prices, margin --------------------------------------------------------------------------
@@ -278,7 +385,52 @@ def best_odds(spark, sf_dir):
     return LG.flat(spark, sf_dir).select("match_id", *[r6(c).alias(f"o_{s}") for s, c in R.best_odds("1x2").items()])
 
 
-@query()
+def _sum(parts) -> str:
+    return "(" + " + ".join(parts) + ")"
+
+
+def _fair_ctes(market: str, book: str) -> str:
+    """Raw, power and Shin probabilities of a market and book: x_<market>_<book>(match_id, p<i>, w<i>, n<i>)."""
+    n, k = len(SEL[market]), f"{mangled(market)}_{book}"
+    cols = [odds_col(market, s, book) for s in SEL[market]]
+    ps = [f"p{i}" for i in range(n)]
+    halve = lambda name, low, high, f: f"""{name}_{k} AS (SELECT {', '.join(ps)}, s, CAST({low} AS DOUBLE) AS lo, CAST({high} AS DOUBLE) AS hi, 0 AS i FROM d_{k}
+  UNION ALL SELECT {', '.join(ps)}, s, CASE WHEN {f} > 0 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {f} > 0 THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM {name}_{k} WHERE i < 60)"""
+    end = lambda name: f"(SELECT {', '.join(ps)}, s, (lo + hi) / 2 AS z FROM {name}_{k} WHERE i = 60)"
+    scaled = lambda es, to: ", ".join(f"{e} / {_sum(es)} AS {to}{i}" for i, e in enumerate(es))
+    return f"""p_{k} AS (SELECT match_id, {', '.join(f'CASE WHEN {" AND ".join(f"{c} >= 1.01" for c in cols)} THEN 1 / {c} END AS p{i}' for i, c in enumerate(cols))} FROM f),
+d_{k} AS (SELECT DISTINCT {', '.join(ps)}, {_sum(ps)} AS s FROM p_{k} WHERE p0 IS NOT NULL),
+{halve('pw', 1, 10, f"({_sum(f'pow({p}, {_MID})' for p in ps)} - 1)")},
+{halve('sh', 0, 0.999, f"({_sum(_shin_sql(p, _MID) for p in ps)} - 1)")},
+w_{k} AS (SELECT {', '.join(ps)}, {scaled([f'pow({p}, z)' for p in ps], 'w')} FROM {end('pw')}),
+n_{k} AS (SELECT {', '.join(ps)}, {scaled([_shin_sql(p, 'z') for p in ps], 'n')} FROM {end('sh')}),
+x_{k} AS (SELECT * FROM p_{k} LEFT JOIN w_{k} USING ({', '.join(ps)}) LEFT JOIN n_{k} USING ({', '.join(ps)}))"""
+
+
+_BOOKS = [(m, b) for m in MARKETS for b in BOOKMAKERS]
+
+
+def _core_columns() -> dict[str, str]:
+    out = {}
+    for m, b in _BOOKS:
+        x, mm = f"x_{mangled(m)}_{b}", mangled(m)
+        ps = [f"{x}.p{i}" for i in range(len(SEL[m]))]
+        out[f"ovr_{mm}_{b}"] = f"{' + '.join(ps)} - 1"
+        for i, s in enumerate(SEL[m]):
+            out[f"imp_{mm}_{s}_{b}_raw"] = ps[i]
+            out |= {f"devig_{mm}_{s}_{b}_proportional": f"{ps[i]} / {_sum(ps)}", f"devig_{mm}_{s}_{b}_power": f"{x}.w{i}", f"devig_{mm}_{s}_{b}_shin": f"{x}.n{i}"}
+    for m in MARKETS:
+        a, b = (f"x_{mangled(m)}_{b}" for b in BOOKMAKERS)
+        out |= {f"div_{mangled(m)}_{s}_shin": f"{a}.n{i} - {b}.n{i}" for i, s in enumerate(SEL[m])}
+    return out
+
+
+_CORE = f"""WITH RECURSIVE {LG.FRAME_CTE}, {', '.join(_fair_ctes(m, b) for m, b in _BOOKS)},
+core AS (SELECT f.match_id, {', '.join(f'{e} AS {n}' for n, e in _core_columns().items())} FROM f {' '.join(f'JOIN x_{mangled(m)}_{b} ON x_{mangled(m)}_{b}.match_id = f.match_id' for m, b in _BOOKS)})"""
+_CORE_ROUNDED = f"{_CORE} SELECT match_id, {', '.join(o6(n, n) for n in _core_columns())} FROM core"
+
+
+@query(_CORE_ROUNDED)
 def odds_core_features(spark, sf_dir):
     return rounded(X.odds_core(LG.flat(spark, sf_dir)))
 
@@ -357,7 +509,17 @@ def simulate_all(spark, sf_dir):
     return rounded(M.simulate(_test_rows(spark, sf_dir), SEL["1x2"], "bet_all"))
 
 
-@query()
+def _report_sql(method: str) -> str:
+    p = lambda s: f"coalesce(devig_1x2_{s}_bet365_{method}, devig_1x2_{s}_market_avg_{method})"
+    return f"""SELECT 'market_{method}' AS predictor, '1x2' AS market, CAST(count(*) AS BIGINT) AS n,
+  round(avg(-ln(least(greatest(CASE outcome WHEN 'home' THEN p_home WHEN 'draw' THEN p_draw ELSE p_away END, 1e-12), 1))), 5) AS log_loss, round(avg(pow(p_home - (outcome = 'home')::INT, 2) + pow(p_draw - (outcome = 'draw')::INT, 2) + pow(p_away - (outcome = 'away')::INT, 2)), 5) AS brier,
+  CAST(sum(vn) AS BIGINT) AS value_bets, CASE WHEN sum(vn) > 0 THEN round(round(sum(vg), 4) / sum(vn), 6) END AS value_roi, CAST(sum(an) AS BIGINT) AS all_bets, round(round(sum(ag), 4) / sum(an), 6) AS all_roi
+FROM (SELECT *, {_sum(f'coalesce((p_{s} * o_{s} > 1.02::DOUBLE)::INT, 0)' for s in SEL['1x2'])} AS vn, {_sum(f"CASE WHEN p_{s} * o_{s} > 1.02::DOUBLE THEN CASE WHEN outcome = '{s}' THEN o_{s} - 1 ELSE -1 END ELSE 0 END" for s in SEL['1x2'])} AS vg,
+  {_sum(f'(o_{s} IS NOT NULL)::INT' for s in SEL['1x2'])} AS an, {_sum(f"CASE WHEN o_{s} IS NULL THEN 0 WHEN outcome = '{s}' THEN o_{s} - 1 ELSE -1 END" for s in SEL['1x2'])} AS ag
+  FROM (SELECT outcome, {', '.join(f'coalesce(odds_1x2_{s}_bet365, odds_1x2_{s}_market_avg) AS o_{s}, {p(s)} AS p_{s}' for s in SEL['1x2'])} FROM sp JOIN core USING (match_id) WHERE split = 'test') WHERE p_home IS NOT NULL)"""
+
+
+@query(_CORE + ", " + SCORED_SQL[SCORED_SQL.index("sp AS (") : SCORED_SQL.index("sc AS (")].rstrip().rstrip(",") + " " + " UNION ALL ".join(_report_sql(m) for m in ("power", "proportional", "shin")))
 def backtest_report(spark, sf_dir):
     frame = D.with_labels(LG.flat(spark, sf_dir))
     frame = _split(X.with_features(frame, ["odds_core"]))
@@ -499,7 +661,7 @@ def draw_residual_feature(spark, sf_dir):
 
 # --- evidence, blend, log ----------------------------------------------------------------------------
 
-_DEMO = (E.Finding("demo", "provisional", "1x2"), E.Finding("idle", "rejected", "1x2"))
+_DEMO = (E.Finding("demo", "provisionally_promoted", "1x2"), E.Finding("idle", "rejected", "1x2"))
 
 
 def _blend_input(spark, sf_dir):
@@ -520,7 +682,7 @@ def canonical_blend(spark, sf_dir):
 
 
 @query(f"""{_BLEND}, l AS (
-  {' UNION ALL '.join(f"SELECT match_id, 'prediction' AS kind, '{role}' AS role, NULL AS finding_id, '{s}' AS selection, {e} AS value FROM e" for role, ex in (('baseline', 'b_{s}'), ('canonical', 'e_{s} / (e_home + e_draw + e_away)'), ('promoted_only', 'b_{s} / (b_home + b_draw + b_away)')) for s in SEL['1x2'] for e in [ex.replace('{s}', s)])}
+  {' UNION ALL '.join(f"SELECT match_id, 'value' AS kind, '{role}' AS role, NULL AS finding_id, '{s}' AS selection, {e} AS value FROM e" for role, ex in (('baseline', 'b_{s}'), ('canonical', 'e_{s} / (e_home + e_draw + e_away)'), ('promoted_only', 'b_{s} / (b_home + b_draw + b_away)')) for s in SEL['1x2'] for e in [ex.replace('{s}', s)])}
   UNION ALL {' UNION ALL '.join(f"SELECT match_id, 'contribution', NULL, 'demo', '{s}', ln(d_{s}) - ln(b_{s}) FROM e" for s in SEL['1x2'])})
 SELECT match_id, kind, role, finding_id, selection, {o6('value', 'value')} FROM l""")
 def predictions_log(spark, sf_dir):
@@ -528,9 +690,31 @@ def predictions_log(spark, sf_dir):
     return rounded(log.select("match_id", "kind", "role", "finding_id", "selection", "value"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'promoted', 1.0::DOUBLE, true), ('b', 'provisional', 0.25::DOUBLE, true), ('c', 'not_confirmed', 0.0::DOUBLE, false), ('d', 'rejected', 0.0::DOUBLE, false)) AS t(finding_id, tier, weight, is_live)")
+def _saved_log(spark, sf_dir):
+    log = E.predictions_log(E.explain(_blend_input(spark, sf_dir), "1x2", _DEMO), "1x2", _DEMO, {"demo": "abc"})
+    return E.save_predictions(log, _DEMO, f"{shared_folder(spark).rstrip('/')}/kickmill-predictions")
+
+
+@query(ORACLES["predictions_log"].replace("kind, role, finding_id, selection,", "kind, role, finding_id, CASE WHEN kind = 'contribution' THEN 'provisionally_promoted' END AS tier, CASE WHEN kind = 'contribution' THEN 0.25::DOUBLE END AS weight, CASE WHEN kind = 'contribution' THEN 'abc' END AS model_hash, selection,"))
+def saved_predictions(spark, sf_dir):
+    """The log written, and read back by its manifest."""
+    back = E.load_predictions(spark, _saved_log(spark, sf_dir)["path"])
+    return rounded(back.select("match_id", "kind", "role", "finding_id", "tier", "weight", "model_hash", "selection", "value"))
+
+
+@query("SELECT 'prediction' AS kind, 'backtest' AS mode, CAST(count(*) * 12 AS BIGINT) AS rows_total, 'demo' AS finding_id, 'abc' AS model_hash, 0.25::DOUBLE AS weight, CAST(2 AS BIGINT) AS n_findings, true AS same_hash FROM orders")
+def predictions_manifest(spark, sf_dir):
+    """What the manifest keeps; the content hash of what is read back is the manifest's."""
+    m = _saved_log(spark, sf_dir)
+    again = D.content_hash(E.load_predictions(spark, m["path"]))
+    (finding, model_hash), = m["extra"]["model_hashes"].items()
+    row = (m["kind"], m["extra"]["mode"], m["rows"]["rows_total"], finding, model_hash, m["extra"]["tier_weights"]["provisionally_promoted"], len(m["extra"]["findings_registry_snapshot"]), again == m["content_hash"])
+    return spark.createDataFrame([row], "kind string, mode string, rows_total long, finding_id string, model_hash string, weight double, n_findings long, same_hash boolean")
+
+
+@query("SELECT * FROM (VALUES ('a', 'promoted', 1.0::DOUBLE, true), ('b', 'provisionally_promoted', 0.25::DOUBLE, true), ('c', 'not_confirmed', 0.0::DOUBLE, false), ('d', 'rejected', 0.0::DOUBLE, false)) AS t(finding_id, tier, weight, is_live)")
 def tier_weights(spark, sf_dir):
-    found = [E.Finding(i, t, "1x2") for i, t in zip("abcd", ("promoted", "provisional", "not_confirmed", "rejected"))]
+    found = [E.Finding(i, t, "1x2") for i, t in zip("abcd", ("promoted", "provisionally_promoted", "not_confirmed", "rejected"))]
     return E.registry_rows(spark, found).select("finding_id", "tier", "weight", "is_live")
 
 
@@ -543,25 +727,48 @@ def tabular_predictions(spark, sf_dir):
 
 @query("SELECT round(median(l_quantity), 6) AS median, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS deviation FROM lineitem")
 def preprocessing_stats(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").agg(F.round(F.median("l_quantity"), 6).alias("median"), F.round(F.avg("l_quantity"), 6).alias("mean"), F.round(F.stddev_pop("l_quantity"), 6).alias("deviation"))
+    (median, mean, deviation), = T.preprocess_stats(table(spark, sf_dir, "lineitem"), ["l_quantity"]).values()
+    return rounded(spark.createDataFrame([(median, mean, deviation)], "median double, mean double, deviation double"))
 
 
 @query("SELECT DISTINCT substr(o_orderpriority, 1, 1) AS league_key FROM orders")
 def known_leagues(spark, sf_dir):
-    return LG.matches(spark, sf_dir).select("league_key").distinct().orderBy("league_key")
+    return spark.createDataFrame([(k,) for k in T.known_leagues(LG.matches(spark, sf_dir))], "league_key string")
 
 
 # --- datasets ----------------------------------------------------------------------------------------
 
 
-@query(f"{SCORED_SQL} SELECT CAST(count(*) AS BIGINT) AS rows_total, CAST(count_if(split = 'train') AS BIGINT) AS rows_train, CAST(count_if(split = 'test') AS BIGINT) AS rows_test, CAST(count_if(ht_home IS NOT NULL AND ht_away IS NOT NULL) AS BIGINT) AS rows_with_ht FROM sp")
+@query(f"{SCORED_SQL}, t AS (SELECT CAST(count(*) AS BIGINT) AS rows_total, CAST(count_if(split = 'train') AS BIGINT) AS rows_train, CAST(count_if(split = 'test') AS BIGINT) AS rows_test, CAST(count_if(ht_home IS NOT NULL AND ht_away IS NOT NULL) AS BIGINT) AS rows_with_ht FROM sp) SELECT t.*, league_key, CAST(n AS BIGINT) AS n FROM t, (SELECT league_key, count(*) AS n FROM sp GROUP BY 1)")
 def manifest_stats(spark, sf_dir):
-    return D.manifest_stats(_split(LG.matches(spark, sf_dir))).drop("per_league")
+    stats = D.manifest_stats(_split(LG.matches(spark, sf_dir)))
+    return stats.select("rows_total", "rows_train", "rows_test", "rows_with_ht", F.explode("per_league").alias("league_key", "n"))
 
 
-@query()
+_IDENTITY = ["match_id", "league_key", "league_name", "match_date", "home_team_id", "away_team_id", "ft_home", "ft_away", "ht_home", "ht_away", "wa", "wb", "wc"]
+_DATASET = f"""SELECT {', '.join(f'b.{c}' for c in _IDENTITY)}, (b.ht_home IS NOT NULL AND b.ht_away IS NOT NULL) AS has_ht, {', '.join(o6(f'b.{c}', c) for c in odds_columns())},
+  l.target_1x2, l.target_ou_2_5, l.target_btts, l.target_htft, c.* EXCLUDE (match_id), t.* EXCLUDE (match_id), b.split
+FROM ({SCORED_SQL} SELECT sp.* FROM sp) b JOIN ({ORACLES['match_labels']}) l ON l.match_id = b.match_id LEFT JOIN ({_CORE_ROUNDED}) c ON c.match_id = b.match_id LEFT JOIN ({_form_sql()}) t ON t.match_id = b.match_id"""
+
+
+def _frame(spark, sf_dir):
+    return LG.flat(spark, sf_dir).withColumn("kickoff_utc", F.lit(None).cast("timestamp_ntz"))
+
+
+@query(_DATASET)
 def dataset(spark, sf_dir):
-    return rounded(D.build(LG.flat(spark, sf_dir).withColumn("kickoff_utc", F.lit(None).cast("timestamp_ntz"))).drop("kickoff_time", "kickoff_utc"))
+    return rounded(D.build(_frame(spark, sf_dir)).drop("kickoff_time", "kickoff_utc"))
+
+
+@query(f"SELECT match_id, split, target_1x2, home_form_pts_last5, rows_total, rows_train, 'group_fraction' AS strategy, 'team_form' AS group_name, CAST(20 AS BIGINT) AS group_columns FROM ({_DATASET}), (SELECT CAST(count(*) AS BIGINT) AS rows_total, CAST(count_if(split = 'train') AS BIGINT) AS rows_train FROM ({SCORED_SQL} SELECT split FROM sp))")
+def saved_dataset(spark, sf_dir):
+    """A dataset of one group written in order, read back by its manifest, with what the manifest tells."""
+    m = D.save_dataset(_frame(spark, sf_dir), f"{shared_folder(spark).rstrip('/')}/kickmill-datasets", ["team_form"])
+    told = D.load_manifest(spark, m["path"])
+    group, = told.extra["feature_groups"]
+    out = D.load(spark, m["path"]).select("match_id", "split", "target_1x2", "home_form_pts_last5")
+    kept = {"rows_total": told.rows["rows_total"], "rows_train": told.rows["rows_train"], "strategy": told.extra["split"]["strategy"], "group_name": group["name"], "group_columns": len(group["columns"])}
+    return rounded(out.withColumns({k: F.lit(v).cast("long" if isinstance(v, int) else "string") for k, v in kept.items()}))
 
 
 @query("SELECT c_custkey, sha256(concat_ws(chr(31), CAST(c_custkey AS VARCHAR), c_mktsegment, c_name, CAST(c_nationkey AS VARCHAR))) AS h FROM customer")
@@ -573,17 +780,11 @@ def row_hashes(spark, sf_dir):
 # --- the same operators on the tables as they are ----------------------------------------------------
 
 
-@query("SELECT l_orderkey, round(min(l_quantity) FILTER (l_returnflag = 'A'), 6) AS A, round(min(l_quantity) FILTER (l_returnflag = 'N'), 6) AS N, round(min(l_quantity) FILTER (l_returnflag = 'R'), 6) AS R FROM lineitem GROUP BY 1")
-def lineitem_pivot(spark, sf_dir):
-    return rounded(table(spark, sf_dir, "lineitem").groupBy("l_orderkey").pivot("l_returnflag", ["A", "N", "R"]).agg(F.min("l_quantity")))
-
-
 @query("SELECT o_orderkey, round(avg(o_totalprice) OVER w, 6) AS mean5, CAST(count(*) OVER w AS BIGINT) AS n5 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
 def orders_rolling(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(-5, -1)
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.avg("o_totalprice").over(w), 6).alias("mean5"), F.count(F.lit(1)).over(w).alias("n5"))
+    """Form of customers: the mean price of the five orders before, by the operator for teams."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("team_id"), F.col("o_orderdate").alias("match_date"), F.col("o_orderkey").alias("match_id"), *[F.col("o_totalprice").alias(c) for c in ("pts", "gf", "ga")])
+    return X.rolling_form(o).select(F.col("match_id").alias("o_orderkey"), F.round("pts_last5", 6).alias("mean5"), F.col("n_last5").alias("n5"))
 
 
 @query(f"WITH e AS (SELECT event_id, event_type, (value - floor(value)) AS p FROM events) SELECT event_type, CAST({_BIN} AS INTEGER) AS bin, CAST(count(*) AS BIGINT) AS n FROM e WHERE p IS NOT NULL GROUP BY ALL")
@@ -592,23 +793,14 @@ def events_binned(spark, sf_dir):
     return e.select("event_type", M.bin_of(F.col("p")).alias("bin")).groupBy("event_type", "bin").agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
-def lineitem_duplicates(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).filter("n > 1")
-
-
-@query("SELECT l_orderkey, l_linenumber, unnest(['quantity', 'discount', 'tax']) AS measure, unnest([l_quantity + 0.0, l_discount + 0.0, l_tax + 0.0]) AS value FROM lineitem")
-def lineitem_unpivot(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    return li.selectExpr("l_orderkey", "l_linenumber", "stack(3, 'quantity', l_quantity + 0.0D, 'discount', l_discount + 0.0D, 'tax', l_tax + 0.0D) AS (measure, value)")
-
-
 @query("SELECT o_custkey AS name, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS candidate, round(max(o_totalprice), 6) AS similarity FROM orders GROUP BY 1")
 def top_one(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("name"), F.col("o_orderkey").alias("candidate"), F.col("o_totalprice").alias("similarity"))
     return rounded(RC.top_similar(o))
 
 
-@query("SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS d FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 10")
+@query("SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS d, (SELECT CAST(count(*) AS BIGINT) FROM orders) AS n_rows FROM orders ORDER BY o_orderkey LIMIT 10")
 def preview_head(spark, sf_dir):
-    return table(spark, sf_dir, "orders").orderBy("o_orderdate", "o_orderkey").limit(10).select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("d"))
+    raw = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_index"), "o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("d"))
+    seen = RD.preview(raw)
+    return seen["head"].select("o_orderkey", "o_custkey", "d", F.lit(seen["rows"]).cast("long").alias("n_rows"))
