@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kickmill.llm.chunks import release
 from kickmill.llm.tables import unused
 from kickmill.llm.textscan import blocks, buffers
 
@@ -39,6 +40,8 @@ PER_LANGUAGE = 250
 #: Training documents of all languages at about most.
 MOST = 4000
 SCALE = 1 << 20
+#: Bytes of text that are judged at once, or one text.
+BATCH_BYTES = 4 << 20
 UNKNOWN = "und"
 
 _letter = np.zeros(256, bool)
@@ -257,15 +260,19 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     model = train([t for t, _ in sample], [lang for _, lang in sample])
     table = model.table()
 
-    @F.pandas_udf("lang_pred string, lang_score double")
-    def judge(texts):
-        import pandas as pd
-
-        names, score = predict(model, table, pa.array(texts, pa.string(), from_pandas=True))
-        return pd.DataFrame({"lang_pred": names, "lang_score": score})
+    @F.arrow_udf("lang_pred string, lang_score double")
+    def judge(texts: pa.Array) -> pa.Array:
+        names, scores = [], [np.zeros(0)]
+        for lo, hi in blocks(buffers(texts)[1], BATCH_BYTES):
+            name, score = predict(model, table, texts.slice(lo, hi - lo))
+            names += name
+            scores.append(score)
+        release()
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores))], ["lang_pred", "lang_score"])
 
     own = unused([*docs.columns, "lang_pred", "lang_score"], "judged")
-    out = docs.withColumn(own, judge(F.col(text_col).cast("string")))
+    # so marked, filters on its fields don't evaluate it a second time
+    out = docs.withColumn(own, judge.asNondeterministic()(F.col(text_col).cast("string")))
     return out.withColumns({"lang_pred": F.col(f"{own}.lang_pred"), "lang_score": F.col(f"{own}.lang_score")}).drop(own)
 
 
