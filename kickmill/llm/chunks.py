@@ -15,6 +15,7 @@ the columns that deal chunks (id and text) share a chunk, whatever their number.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import numpy as np
@@ -22,17 +23,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kickmill.llm.textscan import mix
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+ODD = np.uint64(0x9FB21C651E98DF25)
 BLOB = "chunk int, bucket int, blob binary"
 ANSWER = BLOB + ", more binary"
 ANSWER_ARROW = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary()), ("more", pa.binary())])
 BLOB_ARROW = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
 
 
-def layout(rows: DataFrame, text: str, chunk_mb: float = 4.0, bucket_mb: float = 32.0) -> tuple[int, int]:
+def layout(rows: DataFrame, text: str, chunk_mb: float = 4.0, bucket_mb: float = 8.0) -> tuple[int, int]:
     """Numbers of chunks and buckets for these rows: one pass over text lengths."""
     total = rows.agg(F.sum(F.octet_length(F.col(text)).cast("long") + 64)).first()[0] or 0
-    # from 1000 chunks on they grow, up to 64 MB, so that chunks x buckets stays small
-    each = min(64e6, max(chunk_mb * 1e6, total / 1000))
+    # from 1000 chunks on they grow, up to 16 MB, so that chunks x buckets stays small
+    each = min(16e6, max(chunk_mb * 1e6, total / 1000))
     return max(1, round(total / each)), max(8, round(total / (bucket_mb * 1e6)) * 2)
 
 
@@ -41,7 +50,40 @@ def in_chunks(rows: DataFrame, n_chunks: int, *by: str) -> DataFrame:
 
 
 def bucket_of(keys: np.ndarray, n_buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
+    """Ranges of keys, which must be spread evenly: entries sorted by key are sorted by bucket."""
+    return ((keys >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def together(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal combinations are adjacent, the same for any order of rows, and where each begins."""
+    h = columns[0]
+    for c in columns[1:]:
+        h = mix(h + c * ODD)
+    order = np.argsort(h)
+    at = heads(*[c[order] for c in columns])
+    if len(at) != len(heads(h[order])):  # different combinations of one hash
+        order = np.lexsort(columns[::-1])
+        at = heads(*[c[order] for c in columns])
+    return order, at
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, sorted, and how often each is there."""
+    keys = np.sort(keys)
+    at = heads(keys)
+    return keys[at], np.diff(np.append(at, len(keys))).astype(np.int32)
+
+
+def totals(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each entry the sum over all entries of its key."""
+    order, at = together(keys)
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.repeat(np.add.reduceat(n[order].astype(np.int64), at) if len(at) else at, np.diff(np.append(at, len(keys))))
+    return out
+
+
+def least_of(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.minimum.reduceat(values, at) if len(at) else values[:0]
 
 
 def ask(chunk: int, keys: np.ndarray, columns: list[np.ndarray], n_buckets: int) -> pa.Table:
@@ -60,24 +102,27 @@ def unpack(blob: bytes, dtypes: list) -> list[np.ndarray]:
     return out
 
 
-def answer(requests: DataFrame, dtypes: list, decide: Callable[..., np.ndarray], more: Callable[..., list[np.ndarray]] | None = None) -> DataFrame:
-    """decide(*columns of all blobs of a bucket, sizes) -> one uint8 per entry; the codes go back by chunk.
-
-    more(*columns, codes, chunk of each entry) -> columns that are sent back too for entries of code 1.
+def answer(requests: DataFrame, dtypes: list, decide: Callable[..., tuple[np.ndarray, list[np.ndarray]]]) -> DataFrame:
+    """decide(*columns of all blobs of a bucket, chunk of each entry) -> one uint8 per entry, and columns; by chunk go back
+    the codes, and the columns of entries of code 1.
     """
 
     def per_bucket(table):
-        parts = [unpack(b, dtypes) for b in table.column("blob").to_pylist()]
+        # in the order of chunks, as blobs may arrive in another one when a task runs again
+        chunks, blobs = table.column("chunk").to_numpy(), table.column("blob").to_pylist()
+        sort = np.argsort(chunks)
+        chunks, parts = chunks[sort], [unpack(blobs[i], dtypes) for i in sort]
         sizes = np.array([len(p[0]) for p in parts])
-        codes = decide(*[np.concatenate([p[i] for p in parts]) for i in range(len(dtypes))], sizes).astype(np.uint8)
+        codes, columns = decide(*[np.concatenate([p[i] for p in parts]) for i in range(len(dtypes))], np.repeat(chunks, sizes))
+        codes = codes.astype(np.uint8)
         ends = np.cumsum(sizes)
-        blobs = [codes[e - n : e].tobytes() for e, n in zip(ends, sizes)]
-        extra: list[bytes | None] = [None] * len(blobs)
-        if more:
-            columns = more(*[np.concatenate([p[i] for p in parts]) for i in range(len(dtypes))], codes, np.repeat(table.column("chunk").to_numpy(), sizes))
-            ones = [slice(e - n, e) for e, n in zip(ends, sizes)]
-            extra = [np.int64((codes[o] == 1).sum()).tobytes() + b"".join(c[o][codes[o] == 1].tobytes() for c in columns) for o in ones]
-        return pa.table([table.column("chunk"), table.column("bucket"), pa.array(blobs, pa.binary()), pa.array(extra, pa.binary())], schema=ANSWER_ARROW)
+        own = [slice(e - n, e) for e, n in zip(ends, sizes)]
+        more: list[bytes | None] = [None] * len(own)
+        if columns:
+            more = [np.int64((codes[o] == 1).sum()).tobytes() + b"".join(c[o][codes[o] == 1].tobytes() for c in columns) for o in own]
+        release()
+        bucket = pa.array(np.full(len(own), table.column("bucket")[0].as_py(), np.int32))
+        return pa.table([pa.array(chunks), bucket, pa.array([codes[o].tobytes() for o in own], pa.binary()), pa.array(more, pa.binary())], schema=ANSWER_ARROW)
 
     return requests.groupBy("bucket").applyInArrow(per_bucket, ANSWER)
 
@@ -99,6 +144,13 @@ def more_in_order(answers: pa.Table, dtypes: list) -> list[np.ndarray]:
     return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate(dtypes)]
 
 
+def release() -> None:
+    """Give memory that is free in this worker back, for the other workers and the JVM of its executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def heads(*sorted_columns: np.ndarray) -> np.ndarray:
     """Positions at which a new combination begins."""
     if not len(sorted_columns[0]):

@@ -2,8 +2,8 @@
 
 1. *Partitioning.*  Each window of ``width`` bytes is reached through its anchor, the ``GRAM`` bytes of least hash in it;
    equal windows have equal anchors.  Consecutive windows with one anchor form a *stretch* of text.  Chunks of documents
-   send (anchor, stretch) hashes to the anchor's bucket, which tells which stretches occur again as a whole
-   and which share their anchor with different stretches.
+   send the hashes of stretches to buckets, which tell which occur again as a whole and name one holder of each.  Holders
+   send their anchors with the number of stretches, so an anchor's bucket tells how many different ones share it.
 2. *Index.*  Only the latter are sent as text, each distinct one once.  Stretches of a frequent anchor are first cut by the
    anchor's place in the window into *items*, keyed by the bytes that all windows of an item share; so items
    of a frequent phrase go to many buckets.  A bucket works in parts of at most ``PART`` bytes: it builds the Burrows-Wheeler
@@ -80,7 +80,7 @@ class Items:
 class Stretches:
     """Stretches of a chunk: ``start`` (first window, byte in ``data``), ``count`` of windows, ``anchor`` and ``path`` hashes."""
 
-    def __init__(self, table: pa.Table, width: int, n_buckets: int):
+    def __init__(self, table: pa.Table, width: int):
         self.width = width
         self.data, self.offsets = buffers(table.column("text"))
         data, gram = self.data, min(GRAM, width)
@@ -104,17 +104,18 @@ class Stretches:
             e = s + n - 1 + width
             start.append(lo + s)
             count.append(n)
-            anchor.append(grams[a[begin]])
+            anchor.append(mix(grams[a[begin]]))  # least hashes, spread again
             path.append(mix(mix((total[e] - total[s]) * powers(BASE_INVERSE, len(own) + 1)[s]) + (a[begin] - s).astype(U64)))
             place.append(a[begin] - s)
         join = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, t)
         self.start, self.count, self.anchor, self.path, self.place = join(start, np.int64), join(count, np.int64), join(anchor, U64), join(path, U64), join(place, np.int64)
-        order = np.lexsort((self.path, self.anchor, C.bucket_of(self.anchor, n_buckets)))
-        self.lead = C.heads(self.anchor[order], self.path[order])
-        self.times = np.diff(np.append(self.lead, len(order)))
+        order, at = C.together(self.path, self.anchor)
+        sort = np.argsort(self.path[order[at]])
+        self.lead, self.times = order[at][sort], np.diff(np.append(at, len(order)))[sort]
+        number = np.empty(len(sort), np.int64)
+        number[sort] = np.arange(len(sort))
         self.entry = np.empty(len(order), np.int64)
-        self.entry[order] = C.runs(self.lead, len(order))
-        self.lead = order[self.lead]
+        self.entry[order] = number[C.runs(at, len(order))]
 
     def ranges(self):
         """Ranges of windows.  They are cut at documents, and inside long ones relative to their start, never by the order of rows."""
@@ -130,6 +131,19 @@ class Stretches:
         ends = at + self.count[self.lead] + self.width - 1
         return np.frombuffer(b"".join([blake2b(data[a:b], digest_size=8).digest() for a, b in zip(at.tolist(), ends.tolist())]), U64)
 
+    def anchors(self, paths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The anchors of the stretches that are held here (codes 0 and 2), and their numbers."""
+        return C.counted(self.anchor[self.lead[paths % 2 == 0]])
+
+    def codes(self, paths: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Of each entry, from the buckets' answers: 0 unique, 1 repeated; for holders 2 + 2 x cuts to be indexed, plus 1 if repeated."""
+        out = (paths > 0).astype(np.uint8)
+        held = np.flatnonzero(paths % 2 == 0)
+        if len(held):
+            told = cuts[np.searchsorted(self.anchors(paths)[0], self.anchor[self.lead[held]])].astype(np.uint8)
+            out[held] += np.where(told > 0, 2 * told, 0).astype(np.uint8)
+        return out
+
     def items(self, codes: np.ndarray, n_buckets: int) -> Items:
         """What goes to the index, by bucket: stretches of codes 2, 3 (uncut), 4, 5 (cut in 2), 6, 7 (cut in 4), ...; odd codes don't ask."""
         gram, data = min(GRAM, self.width), self.data.tobytes()
@@ -157,7 +171,7 @@ class Stretches:
         hit = np.zeros(len(self.data) + 1, np.int8)
         if not len(self.entry):
             return hit
-        at = np.flatnonzero((codes % 2 == 1)[self.entry])
+        at = np.flatnonzero((codes % 2 == 1)[self.entry])  # repeated as a whole
         n = self.count[at]
         hit[np.repeat(self.start[at] - np.cumsum(n) + n, n) + np.arange(n.sum())] = 1
         asked = items.asked == 1
@@ -367,6 +381,12 @@ def marks_of_blobs(blobs: Iterator[bytes], width: int, part: int = PART) -> list
     return [marks[a:b].tobytes() for a, b in zip(n[:-1], n[1:])]
 
 
+def codes_of(answers: pa.Table, n: int) -> list[np.ndarray]:
+    """The codes of rounds 1 .. n."""
+    rounds = answers.column("round").to_numpy()
+    return [C.codes_in_order(answers.filter(pa.array(rounds == r))) for r in range(1, n + 1)]
+
+
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400, carry: Sequence[str] = (), part: int = PART, uncut: int = UNCUT) -> DataFrame:
     """Remove every byte covered by a ``width``-byte string that starts anywhere else, the same document included.
 
@@ -383,40 +403,45 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     grouped = C.in_chunks(rows, n_chunks, "id", "text").groupBy("chunk")
 
     def ask_paths(key, table):
-        s = Stretches(table, width, n_buckets)
-        return C.ask(key[0].as_py(), s.anchor[s.lead], [s.anchor[s.lead], s.path[s.lead], s.second_hash(), np.minimum(s.times, 2).astype(np.uint8)], n_buckets)
-
-    def judge_paths(anchor, path, second, times, sizes):
-        order = np.lexsort((second, path, anchor))
-        by_path = C.heads(anchor[order], path[order], second[order])
-        total = np.add.reduceat(times[order].astype(np.int64), by_path) if len(by_path) else by_path
-        by_anchor = C.heads(anchor[order][by_path])
-        n_paths = np.diff(np.append(by_anchor, len(by_path)))
-        cuts = np.clip(np.ceil(np.log2(np.maximum(n_paths, 1) / uncut)), 0, MOST_CUTS).astype(np.int64)
-        run = C.runs(by_anchor, len(by_path))
-        ask = np.where(n_paths > 1, 2 + 2 * cuts, 0)[run]
-        code = np.where(total > 1, 1, ask).astype(np.uint8)[C.runs(by_path, len(order))]
-        # of a stretch that occurs again, one holder sends the text
-        code[by_path[(total > 1) & (ask > 0)]] = ask[(total > 1) & (ask > 0)] + 1
+        s = Stretches(table, width)
+        path = s.path[s.lead]
+        return C.ask(key[0].as_py(), path, [path, s.second_hash(), np.minimum(s.times, 2).astype(np.uint8)], n_buckets)
+
+    def judge_paths(path, second, times, chunk):
+        order, at = C.together(path, second)
+        total = np.add.reduceat(times[order].astype(np.int64), at) if len(at) else at
+        code = (total > 1).astype(np.uint8)[C.runs(at, len(order))]
+        code[at[total > 1]] = 2  # one holder of what is repeated
         codes = np.empty(len(order), np.uint8)
         codes[order] = code
-        return codes
+        return codes, []
+
+    def ask_anchors(key, table, answers):
+        anchors, n = Stretches(table, width).anchors(C.codes_in_order(answers))
+        return C.ask(key[0].as_py(), anchors, [anchors, n], n_buckets)
+
+    def judge_anchors(anchor, n, chunk):
+        """0 for an anchor of one stretch, else 1 and how often its stretches are cut in two."""
+        total = C.totals(anchor, n)
+        cuts = np.clip(np.ceil(np.log2(total / uncut)), 0, MOST_CUTS).astype(np.uint8)
+        return np.where(total > 1, 1 + cuts, 0), []
 
     def ask_texts(key, table, answers):
-        s = Stretches(table, width, n_buckets)
-        bucket, blobs = s.items(C.codes_in_order(answers), n_buckets).blobs(s.data, width, n_buckets)
+        s = Stretches(table, width)
+        bucket, blobs = s.items(s.codes(*codes_of(answers, 2)), n_buckets).blobs(s.data, width, n_buckets)
         return pa.table([pa.array(np.full(len(blobs), key[0].as_py(), np.int32)), pa.array(bucket.astype(np.int32)), pa.array(blobs, pa.binary())], schema=C.BLOB_ARROW)
 
     def judge_texts(table):
         parts = marks_of_blobs((x.as_py() for x in table.column("blob")), width, part)
+        C.release()
         return pa.table([table.column("chunk"), table.column("bucket"), pa.array(parts, pa.binary())], schema=C.BLOB_ARROW)
 
     out_type = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("carry", rows.schema["carry"].dataType)])
 
     def cut(key, table, answers):
-        s = Stretches(table, width, n_buckets)
-        rounds = answers.column("round").to_numpy()
-        codes, marks = (C.codes_in_order(answers.filter(pa.array(rounds == r))) for r in (1, 2))
+        s = Stretches(table, width)
+        paths, cuts, marks = codes_of(answers, 3)
+        codes = s.codes(paths, cuts)
         hit = s.repeated(codes, s.items(codes, n_buckets), marks)
         change = hit[:-1].astype(np.int32)
         change[width:] -= hit[:-1][:-width] if len(change) > width else hit[:0]
@@ -433,12 +458,15 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lists = pa.array(np.searchsorted(row, np.arange(len(s.offsets))).astype(np.int32))
         spans = pa.ListArray.from_arrays(lists, pa.StructArray.from_arrays([pa.array(a - s.offsets[row]), pa.array(b - s.offsets[row])], ["start", "end"]))
         n_bytes = np.diff(s.offsets)
+        C.release()
         return pa.table({id_col: table.column("id"), "kept": kept, "n_bytes": n_bytes, "n_removed": n_bytes - np.diff(sizes[s.offsets]), "spans": spans, "carry": table.column("carry")})
 
-    paths = C.answer(grouped.applyInArrow(ask_paths, C.BLOB), [np.uint64, np.uint64, np.uint64, np.uint8], judge_paths).drop("more")
-    texts = grouped.cogroup(paths.groupBy("chunk")).applyInArrow(ask_texts, C.BLOB)
+    paths = C.answer(grouped.applyInArrow(ask_paths, C.BLOB), [np.uint64, np.uint64, np.uint8], judge_paths).withColumn("round", F.lit(1))
+    anchors = C.answer(grouped.cogroup(paths.groupBy("chunk")).applyInArrow(ask_anchors, C.BLOB), [np.uint64, np.int32], judge_anchors).withColumn("round", F.lit(2))
+    both = paths.unionByName(anchors).drop("more")
+    texts = grouped.cogroup(both.groupBy("chunk")).applyInArrow(ask_texts, C.BLOB)
     marks = texts.groupBy("bucket").applyInArrow(judge_texts, C.BLOB)
-    both = paths.withColumn("round", F.lit(1)).unionByName(marks.withColumn("round", F.lit(2)))
+    both = both.unionByName(marks.withColumn("round", F.lit(3)))
     out = grouped.cogroup(both.groupBy("chunk")).applyInArrow(cut, out_type)
     return out.select(id_col, *[F.col(f"carry.c{i}").alias(c) for i, c in enumerate(carry)], "kept", "n_bytes", "n_removed", "spans")
 

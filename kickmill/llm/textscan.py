@@ -21,7 +21,7 @@ BASE_2_INVERSE, CHAIN_2_INVERSE = (U64(pow(int(b), -1, 1 << 64)) for b in (BASE_
 BYTE_CODE_2 = np.random.default_rng(20250611).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 BYTE_CODE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 #: Bytes scanned at once, at about 50 bytes of memory each; a longer document is scanned alone.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = (1 << 19) - 64
 
 #: words ``[^\x20\x09-\x0D]+``
 SPACE_WORD = np.ones(256, dtype=bool)
