@@ -67,6 +67,8 @@ LOOKALIKES = tuple(
 )
 #: Share of a template's or the paragraph's 2-grams, whichever are fewer, that must agree.
 AGREEMENT = 0.6
+#: Words of notices that other texts have as well; they decide what is looked for first, not what is found.
+COMMON = frozenset("a and are at by for in is may not of the this to under with work terms".split())
 #: Least probability of a family, also when the calibration split would allow less.
 LEAST = 0.5
 
@@ -94,10 +96,14 @@ def training_rows() -> list[tuple[str, str]]:
     return rows
 
 
+def words_of(low: Column) -> Column:
+    """Letters, digits, and ``.`` and ``-`` inside."""
+    return F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"), F.lit(0))
+
+
 def grams(text: Column) -> Column:
-    """Distinct words and pairs of words, lower case; words are letters, digits, ``.`` and ``-`` inside."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"), F.lit(0))
-    return let(words, lambda w: F.array_distinct(F.concat(w, pairs(w))))
+    """Distinct words and pairs of words, lower case."""
+    return let(words_of(F.lower(text)), lambda w: F.array_distinct(F.concat(w, pairs(w))))
 
 
 def pairs(w: Column) -> Column:
@@ -160,6 +166,12 @@ def pair_pattern(known: set[str]) -> str:
     return rf"(?<!{letter})(?<!{letter}[.-])" + either(ways) + rf"(?![.-]?{letter})"
 
 
+def telling_pairs(template: list[str]) -> list[str]:
+    """So many pairs, the least common ones, that no text can agree with the template without one of them, unless it has fewer pairs itself."""
+    common = lambda p: sum(w in COMMON for w in p.split(" "))
+    return sorted(template, key=lambda p: (common(p), -len(p), p))[: int((1 - AGREEMENT) * len(template) + 1e-9) + 1]
+
+
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``licences``: array<struct<paragraph, lines, family, probability, agreement, confirmed>> of its candidates.
 
@@ -178,6 +190,8 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     zero = F.array(*[F.lit(x) for x in intercepts])
     text_templates = F.from_json(F.lit(json.dumps([known.get(c, []) for c in classes])), "array<array<array<string>>>")
     all_pairs = {p for ts in known.values() for t in ts for p in t}
+    longest = max(len(t) for ts in known.values() for t in ts)
+    telling = pair_pattern({p for ts in known.values() for t in ts for p in telling_pairs(t)})
     template_grams, some_pair = F.from_json(F.lit(json.dumps(sorted(all_pairs))), "array<string>"), pair_pattern(all_pairs)
 
     def score(own: Column) -> Column:
@@ -204,7 +218,9 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     cued = lambda low: _any([F.contains(low, F.lit(x)) for x in CUES])
-    hinted = lambda c: let(F.lower(c), lambda low: cued(low) | F.rlike(low, F.lit(some_pair)))
+    # d different words have d - 1 different pairs at least
+    few = lambda low: F.size(F.array_distinct(words_of(low))) - 1 < longest
+    hinted = lambda c: let(F.lower(c), lambda low: cued(low) | F.rlike(low, F.lit(telling)) | (F.rlike(low, F.lit(some_pair)) & few(low)))
     judged = lambda x, at, n: let(grams(x), lambda own: F.when(cued(F.lower(x)) | agrees(own), verdict(at, n, own)))
     kept = lambda found: F.filter(found, lambda x: x.isNotNull())
 
@@ -212,11 +228,14 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         """Candidates among the lines of a paragraph and the paragraph itself."""
         lines = F.filter(F.transform(p["x"], lambda x, i: F.struct((p["i"] + i).alias("i"), x.alias("x"))), lambda s: hinted(s["x"]))
         alone = kept(F.transform(lines, lambda s: judged(s["x"], s["i"], F.lit(1))))
-        whole = F.when(F.size(p["x"]) > 1, judged(F.array_join(p["x"], "\n"), p["i"], F.size(p["x"])))
+        joined = F.array_join(p["x"], "\n")
+        whole = F.when((F.size(p["x"]) > 1) & hinted(joined), judged(joined, p["i"], F.size(p["x"])))
         known = lambda one, every: F.exists(every, lambda x: x["confirmed"] & (x["family"] == one["family"]))
         return let(alone, lambda ls: let(whole, lambda w: F.concat(ls, F.filter(F.array(w), lambda x: x.isNotNull() & ~known(x, ls)))))
 
-    found = F.transform(F.filter(paragraphs(text), lambda p: hinted(F.array_join(p["x"], "\n"))), of_paragraph)
+    # without a cue or a pair of some template there is nothing in any of its lines either
+    loosely = lambda c: let(F.lower(c), lambda low: cued(low) | F.rlike(low, F.lit(some_pair)))
+    found = F.transform(F.filter(paragraphs(text), lambda p: loosely(F.array_join(p["x"], "\n"))), of_paragraph)
     return docs.withColumn("licences", F.flatten(found))
 
 
