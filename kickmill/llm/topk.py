@@ -2,6 +2,8 @@
 
 Vectors are dealt into blocks.  In a block the components (postings) are sorted into *segments* by quantised impact:
 segment c of a dimension holds the vectors whose component has level c there, levels being multiples of a step.
+Segments that few vectors are in are posting lists (vectors and impacts by dimension); where a level holds more than
+``DENSE`` of all components its segments are kept as planes of the whole block, as dense lists are.
 Queries process all segments of one level, from the highest impact down.  After a level,
 
 * S = sum of query component x quantised impact over processed postings, off by less than one step each;
@@ -24,6 +26,33 @@ BLOCK, QUERIES, TOGETHER = 8192, 4096, 256
 LEVELS = 24
 #: Levels that are processed between two tests of the bounds.
 STRIDE = 4
+#: Share of a block's components above which a level's postings are a plane.
+DENSE = 1 / 50
+
+
+class Plane:
+    """Postings of a level as matrices: vectors x dimensions."""
+
+    def __init__(self, impact: np.ndarray, mask: np.ndarray):
+        self.impact, self.mask = impact.astype(np.float64), mask.astype(np.float64)
+
+    def add(self, q: np.ndarray, weight: np.ndarray, twice: np.ndarray, done: np.ndarray) -> None:
+        twice += q @ self.impact.T
+        done += weight @ self.mask.T
+
+
+class Lists:
+    """Postings of a level as lists by dimension: vectors (each at most once) and their impacts."""
+
+    def __init__(self, impact: np.ndarray, mask: np.ndarray):
+        dims, vectors = np.nonzero(mask.T)
+        at = np.flatnonzero(np.diff(dims, prepend=-1))
+        self.lists = [(int(dims[a]), vectors[a:b], impact[vectors[a:b], dims[a]].astype(np.float64)) for a, b in zip(at, np.append(at[1:], len(dims)))]
+
+    def add(self, q: np.ndarray, weight: np.ndarray, twice: np.ndarray, done: np.ndarray) -> None:
+        for d, vectors, impacts in self.lists:
+            twice[:, vectors] += q[:, d : d + 1] * impacts
+            done[:, vectors] += weight[:, d : d + 1]
 
 
 class Segments:
@@ -36,13 +65,13 @@ class Segments:
         self.level = np.abs(vectors) // self.step
 
     def waves(self):
-        """(lower edge of what is processed so far, quantised impacts, mask) of the segments of STRIDE levels at a time."""
+        """(lower edge of what is processed so far, postings) of the segments of STRIDE levels at a time."""
         for top in range(LEVELS, 0, -STRIDE):
             bottom = max(0, top - STRIDE)
             mask = (self.level >= bottom) & (self.level < top)
             # the middle of a level is off by half a step at most
             impact = np.where(mask, np.sign(self.vectors) * (2 * self.level * self.step + self.step), 0)
-            yield bottom * self.step, impact.astype(np.float64), mask.astype(np.float64)
+            yield bottom * self.step, (Lists if mask.sum() <= DENSE * mask.size else Plane)(impact, mask)
 
 
 def best_of_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,9 +85,8 @@ def best_of_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, q
         weight = np.abs(q)
         total = weight.sum(1)[:, None]
         twice, done = np.zeros((len(open_), len(ids))), np.zeros((len(open_), len(ids)))
-        for i, (edge, impact, mask) in enumerate(waves):
-            twice += q @ impact.T
-            done += weight @ mask.T
+        for i, (edge, postings) in enumerate(waves):
+            postings.add(q, weight, twice, done)
             slack = done * index.step + 2 * edge * (total - done)  # all doubled, as the middles of levels are halves
             own = ids[None, :] == query_ids[open_][:, None]
             upper = np.where(own, -np.inf, twice + slack)
