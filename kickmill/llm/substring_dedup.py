@@ -5,16 +5,16 @@ Windows of ``k`` words are the edges of a De Bruijn graph.  Each window is reach
 occur.  The consecutive windows of a document that share a node form one *path*, kept as (node, hash of the path) instead of
 edge by edge.  A node's degree is its number of different paths; with one path it doesn't branch.
 
-1. Every chunk of documents sends its distinct (node, path, least doc_id, place) to the node's bucket.
-2. A bucket counts the node's degree and answers per path: an earlier document holds it (all its windows repeat), with the
-   *source coordinates* of the first holder (chunk, document, word); or the node branches and this chunk holds the path's first document.
-3. Only for branching nodes the first holders send single windows (edges), to be compared alike.
+1. Every chunk of documents sends its distinct (path, least doc_id, place) to the path's bucket, which answers whether an earlier
+   document holds it (all its windows repeat), with the *source coordinates* of the first holder (chunk, document, word).
+2. First holders send each node with the number of their paths; the node's bucket adds up the degree.
+3. Only for branching nodes the first holders send single windows (edges), to be compared like paths.
 4. *Compaction.*  Repeated windows that follow each other in the copy and in the source are one long nonbranching path.  Its
    coordinates and the digest of its words are aggregated by Spark (equal paths of many copies become one row)
    and joined with the documents by the source's chunk, where the words at the coordinates are digested too.
 5. *Verification.*  What differs is not cut.  The rest is joined back to the documents and cut out.
 
-Paths and windows are told apart by two independent 64-bit hashes, verified spans by BLAKE2b of their words.
+Paths and windows are told apart by two independent hashes (64 and 32 bits), verified spans by BLAKE2b of their words.
 """
 
 from __future__ import annotations
@@ -35,9 +35,54 @@ from kickmill.llm.textscan import CHAIN_2_INVERSE, CHAIN_INVERSE, U64, Words, bl
 NO_ID = np.iinfo(np.int64).max
 #: Source coordinates: chunk, id and word.
 SOURCE = [np.int32, np.int64, np.int32]
+INVERSES = (CHAIN_INVERSE, CHAIN_2_INVERSE)
 REQUEST = "chunk int, id long, place int, words int, digest binary"
 
 
+def firsts(order: np.ndarray, at: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each combination the least id, and the first place there."""
+    least = C.least_of(owner[order], at)
+    held = owner[order] == np.repeat(least, np.diff(np.append(at, len(order))))
+    return least, C.least_of(np.where(held, place[order], np.iinfo(np.int32).max).astype(np.int32), at)
+
+
+def first_holders(order: np.ndarray, at: np.ndarray, owner: np.ndarray, place: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Code 1 for the entries of which a smaller id holds the same, and the coordinates of each one's first holder."""
+    least, first = firsts(order, at, owner, place)
+    size = np.diff(np.append(at, len(order)))
+    held = (owner[order] == np.repeat(least, size)) & (place[order] == np.repeat(first, size))
+    where = C.least_of(np.where(held, chunk[order], np.iinfo(np.int32).max).astype(np.int32), at)
+    codes, told = np.empty(len(order), np.uint8), [np.empty(len(order), t) for t in SOURCE]
+    codes[order] = owner[order] > np.repeat(least, size)
+    for own, value in zip(told, (where, least, first)):
+        own[order] = np.repeat(value, size)
+    return codes, told
+
+
+def distinct(keys: list[np.ndarray], owner: np.ndarray, place: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Different combinations of keys, sorted by the first, with their least id and first place, and for each row its combination."""
+    order, at = C.together(*keys)
+    least, first = firsts(order, at, owner, place)
+    lead = order[at]
+    sort = np.argsort(keys[0][lead])
+    number = np.empty(len(sort), np.int64)
+    number[sort] = np.arange(len(sort))
+    entry = np.empty(len(order), np.int64)
+    entry[order] = np.repeat(number, np.diff(np.append(at, len(order))))
+    return [c[lead][sort] for c in keys], least[sort], first[sort], entry
+
+
+def rounds_of(answers: pa.Table, n: int) -> list[pa.Table]:
+    """The answers of rounds 1 .. n."""
+    rounds = answers.column("round").to_numpy()
+    return [answers.filter(pa.array(rounds == r)) for r in range(1, n + 1)]
+
+
+def half(hashes: np.ndarray) -> np.ndarray:
+    """32 bits of the second hash: with the first one's 64 they tell apart what is then verified anyway."""
+    return (hashes >> U64(32)).astype(np.uint32)
+
+
 def digest(words: list[bytes]) -> bytes:
     return blake2b(b" ".join(words), digest_size=16).digest()
 
@@ -61,7 +106,7 @@ class Paths:
     ``bits``: of the first hash that are used; fewer only to test what the second one does.
     """
 
-    def __init__(self, table: pa.Table, k: int, n_buckets: int, bits: int = 64):
+    def __init__(self, table: pa.Table, k: int, bits: int = 64):
         self.k, self.m = k, k // 2 + 1
         keep = U64((1 << bits) - 1)
         ids = table.column("id").combine_chunks() if isinstance(table.column("id"), pa.ChunkedArray) else table.column("id")
@@ -69,7 +114,7 @@ class Paths:
         self.ids = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
         data, self.offsets = buffers(table.column("text"))
         self.data = data
-        node, path, path_2, doc, first, count, edge, edge_2, place, self.words = [], [], [], [], [], [], [], [], [], []
+        node, path, path_2, doc, first, count, place, self.words, self.sums = [], [], [], [], [], [], [], [], []
         n_windows = 0
         for lo, hi in blocks(self.offsets):
             start, stop = self.offsets[lo], self.offsets[hi]
@@ -81,48 +126,60 @@ class Paths:
             begin = C.heads(anchor, of)
             end = np.append(begin[1:], len(windows))
             s, e = windows[begin], windows[end - 1] + k if len(begin) else windows[begin]
-            node.append(grams[anchor[begin]])
+            node.append(mix(grams[anchor[begin]]))  # least hashes, spread again
+            sums = w.chained(), w.chained(True)
             # the same words around another place of the node would be another path
-            for second, found, inverse in ((False, path, CHAIN_INVERSE), (True, path_2, CHAIN_2_INVERSE)):
-                total = w.chained(second)
+            for total, found, inverse in zip(sums, (path, path_2), INVERSES):
                 found.append(mix(mix((total[e] - total[s]) * powers(inverse, len(total))[s]) + (anchor[begin] - s).astype(U64)))
             doc.append(lo + of[begin])
             first.append(n_windows + begin)
             count.append(end - begin)
-            edge.append(w.grams(k)[windows])
-            edge_2.append(w.grams(k, True)[windows])
+            self.sums.append((n_windows, windows, sums))
             place.append(windows - w.first[of])
             self.words.append((lo, hi, start, w.start, w.end, w.first, windows, n_windows))
             n_windows += len(windows)
         join = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, t)
-        node, path, path_2, self.edge, self.edge_2 = join(node, U64), join(path, U64) & keep, join(path_2, U64), join(edge, U64) & keep, join(edge_2, U64)
+        node, path, path_2, self.n, self.keep = join(node, U64), join(path, U64) & keep, half(join(path_2, U64)), n_windows, keep
         self.doc, self.first, self.count, self.place = join(doc, np.int64), join(first, np.int64), join(count, np.int64), join(place, np.int64).astype(np.int32)
         self.owner = self.ids[self.doc] if len(self.doc) else np.zeros(0, np.int64)
         at_path = self.place[self.first] if len(self.first) else self.place
-        order = np.lexsort((at_path, self.owner, path_2, path, node, C.bucket_of(node, n_buckets)))
-        at = C.heads(node[order], path[order], path_2[order])
-        lead = order[at]
-        self.node, self.path, self.path_2, self.least, self.least_place = node[lead], path[lead], path_2[lead], self.owner[lead], at_path[lead]
-        self.entry = np.empty(len(order), np.int64)
-        self.entry[order] = C.runs(at, len(order))
-
-    def open_edges(self, codes: np.ndarray, n_buckets: int) -> tuple[list[np.ndarray], np.ndarray]:
+        # equal paths have equal nodes
+        (self.path, self.path_2), self.least, self.least_place, self.entry = distinct([path, path_2], self.owner, at_path)
+        self.node = np.zeros(len(self.path), U64)
+        self.node[self.entry] = node
+
+    def edges(self, at: np.ndarray) -> list[np.ndarray]:
+        """Both hashes of the windows ``at``, which ascend."""
+        out: list[list[np.ndarray]] = [[np.zeros(0, U64)], [np.zeros(0, U64)]]
+        for base, windows, sums in self.sums:
+            s = windows[at[np.searchsorted(at, base) : np.searchsorted(at, base + len(windows))] - base]
+            for found, total, inverse in zip(out, sums, INVERSES):
+                found.append(mix((total[s + self.k] - total[s]) * powers(inverse, len(total))[s]))
+        return [np.concatenate(out[0]) & self.keep, half(np.concatenate(out[1]))]
+
+    def nodes(self, paths: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes of the paths that are first held here, and their numbers of such paths."""
+        return C.counted(self.node[C.codes_in_order(paths) == 0])
+
+    def open_edges(self, paths: pa.Table, nodes: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
         """[hashes, least id and place] of the distinct windows of the branching paths first held here, and for each window of the chunk its place among them or -1."""
-        # a document can hold its path more than once
-        held = np.flatnonzero((codes[self.entry] == 2) & (self.owner == self.least[self.entry])) if len(self.entry) else np.zeros(0, np.int64)
+        held = np.zeros(0, np.int64)
+        if len(self.entry):
+            first, known = C.codes_in_order(paths) == 0, self.nodes(paths)[0]
+            branching = np.zeros(len(first), bool)
+            branching[first] = (C.codes_in_order(nodes) == 1)[np.searchsorted(known, self.node[first])]
+            # a document can hold its path more than once
+            held = np.flatnonzero(branching[self.entry] & (self.owner == self.least[self.entry]))
         count = self.count[held]
         at = np.repeat(self.first[held] - np.append(0, np.cumsum(count))[:-1], count) + np.arange(count.sum())
-        keys, keys_2, owner, place = self.edge[at], self.edge_2[at], np.repeat(self.owner[held], count), self.place[at]
-        order = np.lexsort((place, owner, keys_2, keys, C.bucket_of(keys, n_buckets)))
-        new = C.heads(keys[order], keys_2[order])
-        entry = np.full(len(self.edge), -1, np.int64)
-        entry[at[order]] = C.runs(new, len(order))
-        lead = order[new]
-        return [keys[lead], keys_2[lead], owner[lead], place[lead]], entry
-
-    def sources(self, chunk: int, paths: pa.Table, edges: pa.Table, n_buckets: int) -> Sources:
+        keys, least, place, own = distinct(self.edges(at), np.repeat(self.owner[held], count), self.place[at])
+        entry = np.full(self.n, -1, np.int64)
+        entry[at] = own
+        return [*keys, least, place], entry
+
+    def sources(self, chunk: int, paths: pa.Table, nodes: pa.Table, edges: pa.Table) -> Sources:
         """For each window whether an equal one starts in a document with a smaller id, and where."""
-        n = len(self.edge)
+        n = self.n
         out = Sources(np.zeros(n, bool), np.zeros(n, np.int32), np.zeros(n, np.int64), np.zeros(n, np.int32))
         if not len(self.entry):
             return out
@@ -133,7 +190,7 @@ class Paths:
         step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         at = np.repeat(self.first[gone], count) + step
         out.put(at, *(np.repeat(x[entry], count) for x in first[:2]), np.repeat(first[2][entry], count) + step)
-        (_, _, least, place), entry = self.open_edges(codes, n_buckets)
+        (_, _, least, place), entry = self.open_edges(paths, nodes)
         at = np.flatnonzero(entry >= 0)
         if len(at):
             codes = C.codes_in_order(edges)
@@ -241,57 +298,36 @@ def _dedup(rows: DataFrame, id_col: str, k: int, carry: list[str], joined: bool,
     grouped = chunked.groupBy("chunk")
 
     def ask_paths(key, table):
-        p = Paths(table, k, n_buckets, bits)
-        return C.ask(key[0].as_py(), p.node, [p.node, p.path, p.path_2, p.least, p.least_place], n_buckets)
-
-    def by_path(node, path, path_2, least, place):
-        order = np.lexsort((place, least, path_2, path, node))
-        at = C.heads(node[order], path[order], path_2[order])
-        return order, at, C.runs(at, len(order))
-
-    def judge_paths(node, path, path_2, least, place, sizes):
-        order, at, run = by_path(node, path, path_2, least, place)
-        earliest = least[order][at]
-        by_node = C.heads(node[order][at])
-        degree = np.diff(np.append(by_node, len(at)))
-        codes = np.empty(len(order), np.uint8)
-        codes[order] = np.where(least[order] > earliest[run], 1, np.where(degree[C.runs(by_node, len(at))][run] > 1, 2, 0))
-        return codes
-
-    def path_sources(node, path, path_2, least, place, codes, chunk):
-        order, at, run = by_path(node, path, path_2, least, place)
-        lead = np.empty(len(order), np.int64)
-        lead[order] = order[at][run]
-        return [chunk[lead].astype(np.int32), least[lead], place[lead]]
+        p = Paths(table, k, bits)
+        C.release()
+        return C.ask(key[0].as_py(), p.path, [p.path, p.path_2, p.least, p.least_place], n_buckets)
 
-    def ask_edges(key, table, answers):
-        p = Paths(table, k, n_buckets, bits)
-        asked, _ = p.open_edges(C.codes_in_order(answers), n_buckets)
-        return C.ask(key[0].as_py(), asked[0], asked, n_buckets)
+    def judge_paths(path, path_2, least, place, chunk):
+        return first_holders(*C.together(path, path_2), least, place, chunk)
+
+    def ask_nodes(key, table, answers):
+        nodes, n = Paths(table, k, bits).nodes(answers)
+        C.release()
+        return C.ask(key[0].as_py(), nodes, [nodes, n], n_buckets)
 
-    def by_edge(edge, edge_2, least, place):
-        order = np.lexsort((place, least, edge_2, edge))
-        at = C.heads(edge[order], edge_2[order])
-        return order, at, C.runs(at, len(order))
+    def judge_nodes(node, n, chunk):
+        return C.totals(node, n) > 1, []
 
-    def judge_edges(edge, edge_2, least, place, sizes):
-        order, at, run = by_edge(edge, edge_2, least, place)
-        codes = np.empty(len(order), np.uint8)
-        codes[order] = least[order] > least[order][at][run]
-        return codes
+    def ask_edges(key, table, answers):
+        p = Paths(table, k, bits)
+        asked, _ = p.open_edges(*rounds_of(answers, 2))
+        return C.ask(key[0].as_py(), asked[0], asked, n_buckets)
 
-    def edge_sources(edge, edge_2, least, place, codes, chunk):
-        order, at, run = by_edge(edge, edge_2, least, place)
-        lead = np.empty(len(order), np.int64)
-        lead[order] = order[at][run]
-        return [chunk[lead].astype(np.int32), least[lead], place[lead]]
+    def judge_edges(edge, edge_2, least, place, chunk):
+        return first_holders(*C.together(edge, edge_2), least, place, chunk)
 
     def sources_of(key, table, answers):
-        p, rounds = Paths(table, k, n_buckets, bits), answers.column("round").to_numpy()
-        return p, p.sources(key[0].as_py(), *(answers.filter(pa.array(rounds == r)) for r in (1, 2)), n_buckets)
+        p = Paths(table, k, bits)
+        return p, p.sources(key[0].as_py(), *rounds_of(answers, 3))
 
     def long_paths(key, table, answers):
         p, found = sources_of(key, table, answers)
+        C.release()
         begin, end = p.chains(found)
         size = (end - begin + k).astype(np.int32)
         return pa.table({"chunk": found.chunk[begin], "id": found.doc[begin], "place": found.place[begin], "words": size, "digest": pa.array(p.digests(begin, end), pa.binary())})
@@ -314,7 +350,7 @@ def _dedup(rows: DataFrame, id_col: str, k: int, carry: list[str], joined: bool,
 
     def cut(key, table, answers):
         p, found = sources_of(key, table, answers)
-        refused = answers.filter(pa.array(answers.column("round").to_numpy() == 3))
+        refused = answers.filter(pa.array(answers.column("round").to_numpy() == 4))
         if refused.num_rows:
             bad = set(zip(*(refused.column(c).to_pylist() for c in ("id", "place", "digest"))))
             begin, end = p.chains(found)
@@ -329,16 +365,19 @@ def _dedup(rows: DataFrame, id_col: str, k: int, carry: list[str], joined: bool,
             n_removed.append(removed)
             spans.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(s.astype(np.int64)), pa.array(e.astype(np.int64))], ["start", "end"])))
         carried = table.column("carry")
+        C.release()
         return pa.table({id_col: table.column("id"), "kept_text": pa.chunked_array(text, pa.string()), "n_words": np.concatenate(n_words).astype(np.int64), "n_removed": np.concatenate(n_removed).astype(np.int64), "spans": pa.chunked_array(spans), "carry": carried})
 
-    paths = C.answer(grouped.applyInArrow(ask_paths, C.BLOB), [np.uint64, np.uint64, np.uint64, np.int64, np.int32], judge_paths, path_sources)
-    edges = C.answer(grouped.cogroup(paths.groupBy("chunk")).applyInArrow(ask_edges, C.BLOB), [np.uint64, np.uint64, np.int64, np.int32], judge_edges, edge_sources)
-    both = paths.withColumn("round", F.lit(1)).unionByName(edges.withColumn("round", F.lit(2)))
+    paths = C.answer(grouped.applyInArrow(ask_paths, C.BLOB), [np.uint64, np.uint32, np.int64, np.int32], judge_paths).withColumn("round", F.lit(1))
+    nodes = C.answer(grouped.cogroup(paths.groupBy("chunk")).applyInArrow(ask_nodes, C.BLOB), [np.uint64, np.int32], judge_nodes).withColumn("round", F.lit(2))
+    both = paths.unionByName(nodes)
+    edges = C.answer(grouped.cogroup(both.groupBy("chunk")).applyInArrow(ask_edges, C.BLOB), [np.uint64, np.uint32, np.int64, np.int32], judge_edges)
+    both = both.unionByName(edges.withColumn("round", F.lit(3)))
     # one row for the equal long paths of however many copies
     compacted = grouped.cogroup(both.groupBy("chunk")).applyInArrow(long_paths, REQUEST).distinct()
     refused = grouped.cogroup(compacted.groupBy("chunk")).applyInArrow(differing, "id long, place int, digest binary")
     # hardly ever any: then every chunk is told
-    told = refused.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))).withColumn("round", F.lit(3))
+    told = refused.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))).withColumn("round", F.lit(4))
     out = grouped.cogroup(both.unionByName(told, allowMissingColumns=True).groupBy("chunk")).applyInArrow(cut, out_type)
     return out.select(id_col, *[F.col(f"carry.c{i}").alias(c) for i, c in enumerate(carry)], "kept_text", "n_words", "n_removed", "spans")
 
