@@ -12,7 +12,7 @@ Documents become sets of hashed ``k``-word shingles.
    each set is compared with one already answered set (a leader) that shares most of its index lists; once linked, it takes
    over the leader's component with all answers in it, and lists whose members are all of
    one component are skipped as a block.
-   After the first, rounds end when little enough is left.
+   After the first, rounds end when little enough is left, or when they get on too slowly.
 5. What is left - pairs in different components that share a list, pass the size and the position
    bound and were not compared - is compared in full.  No list, bucket or number of partners is capped.
 """
@@ -35,6 +35,9 @@ from kickmill.llm.textscan import CHAIN, CHAIN_INVERSE, U64, Words, blocks, buff
 SET_FIELDS = [T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("tokens", T.BinaryType())]
 #: Rounds end once comparing all that is left takes at most so many pairs per entry of the index.
 EASY = 16
+SLOW = 0.8
+#: Links between components, about 100 bytes each, that one task joins; more are joined by rounds over all of them.
+FEW = 100_000
 INDEX_TYPE = "key long, id long, n long, pos long, own long"
 
 
@@ -79,9 +82,9 @@ def packed_sets(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.frombuffer(b"".join(blobs), U64), np.repeat(np.arange(len(blobs)), sizes), np.append(0, np.cumsum(sizes))
 
 
-def distinct_keys(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def distinct_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys in the order of asking, how often each occurs, and the place of every given key among them."""
-    order = np.lexsort((keys, C.bucket_of(keys, n_buckets)))
+    order = np.argsort(keys)
     at = C.heads(keys[order])
     place = np.empty(len(keys), np.int64)
     place[order] = C.runs(at, len(keys))
@@ -98,26 +101,26 @@ def survivors(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     def ask(key, table):
         s = Sets(table, k)
-        keys, n, _ = distinct_keys(s.tokens[asked(s)], n_buckets)
+        keys, n, _ = distinct_keys(mix(s.tokens[asked(s)]))  # a set's least hashes, spread again
         return C.ask(key[0].as_py(), keys, [keys, np.minimum(n, 2).astype(np.uint8)], n_buckets)
 
-    def judge(keys, n, sizes):
-        order = np.argsort(keys, kind="stable")
-        at = C.heads(keys[order])
+    def judge(keys, n, chunk):
+        order, at = C.together(keys)
         total = np.add.reduceat(n[order].astype(np.int64), at) if len(at) else at
         codes = np.empty(len(keys), np.uint8)
         codes[order] = (total > 1)[C.runs(at, len(keys))]
-        return codes
+        return codes, []
 
     def select(key, table, answers):
         s = Sets(table, k)
         at = asked(s)
-        _, _, place = distinct_keys(s.tokens[at], n_buckets)
+        _, _, place = distinct_keys(mix(s.tokens[at]))
         codes = C.codes_in_order(answers)
         repeated = np.bincount(s.doc[at], weights=codes[place] if len(at) else None, minlength=len(s.n))
         alive = (s.n > 0) & (repeated >= least_common(s.n, percent) // 10 + 1) & ~np.asarray(table.column("id").combine_chunks().is_null())
         tokens = [s.tokens[s.first[i] : s.first[i + 1]].tobytes() if alive[i] else None for i in range(len(s.n))]
         sigs = [None if t is None else hashlib.md5(t).digest() for t in tokens]
+        C.release()
         return pa.table({"id": table.column("id"), "n": pa.array(s.n.astype(np.int64)), "sig": pa.array(sigs, pa.binary()), "tokens": pa.array(tokens, pa.binary()), "carry": table.column("carry")})
 
     answers = C.answer(grouped.applyInArrow(ask, C.BLOB), [np.uint64, np.uint8], judge)
@@ -132,21 +135,20 @@ def index(sets: DataFrame, percent: int) -> DataFrame:
 
     def ask(key, table):
         tokens, _, _ = packed_sets(table.column("tokens").to_pylist())
-        keys, n, _ = distinct_keys(tokens, n_buckets)
+        keys, n, _ = distinct_keys(tokens)
         return C.ask(key[0].as_py(), keys, [keys, n.astype(np.uint32)], n_buckets)
 
-    def judge(keys, n, sizes):
-        order = np.argsort(keys, kind="stable")
-        at = C.heads(keys[order])
+    def judge(keys, n, chunk):
+        order, at = C.together(keys)
         total = np.add.reduceat(n[order].astype(np.int64), at) if len(at) else at
         grade = np.where(total < 64, total, np.minimum(255, 64 + 8 * np.log2(np.maximum(total, 64) / 64)).astype(np.int64))
         codes = np.empty(len(keys), np.uint8)
         codes[order] = grade[C.runs(at, len(keys))]
-        return codes
+        return codes, []
 
     def entries(key, table, answers):
         tokens, of, first = packed_sets(table.column("tokens").to_pylist())
-        _, _, place = distinct_keys(tokens, n_buckets)
+        _, _, place = distinct_keys(tokens)
         grade = C.codes_in_order(answers)[place] if len(place) else np.zeros(0, np.uint8)
         order = np.lexsort((tokens, grade, of))
         n = np.diff(first)
@@ -154,6 +156,7 @@ def index(sets: DataFrame, percent: int) -> DataFrame:
         keep = (grade[order] > 1) & (pos < (n - least_common(n, percent) + 1)[of])
         ids = table.column("id").to_numpy()
         own = np.bincount(of[grade == 1], minlength=len(ids))
+        C.release()
         return pa.table({"key": tokens[order][keep].view(np.int64), "id": ids[of[keep]], "n": n[of[keep]].astype(np.int64), "pos": pos[keep].astype(np.int64), "own": own[of[keep]].astype(np.int64)})
 
     answers = C.answer(grouped.applyInArrow(ask, C.BLOB), [np.uint64, np.uint32], judge)
@@ -209,52 +212,81 @@ def fits(percent: int):
     return (F.col("n") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n") * percent) & (bound * (100 + percent) >= need)
 
 
-def link_components(spark: SparkSession, sets: DataFrame, percent: int, rounds: int = 12) -> DataFrame:
-    """(id, comp) of the distinct sets (id, n, tokens) that are linked with another one."""
+def few_components(edges: DataFrame) -> DataFrame:
+    """components() of at most ``FEW`` edges, by union-find in one task."""
+
+    def union(batches):
+        least: dict[int, int] = {}
+
+        def root(x):
+            while (up := least.setdefault(x, x)) != x:
+                least[x] = x = least[up]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = root(a), root(b)
+                least[max(a, b)] = min(a, b)
+        nodes = list(least)
+        for lo in range(0, len(nodes), 10_000):
+            some = nodes[lo : lo + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([root(x) for x in some], pa.int64())], ["node", "comp"])
+
+    return stored(edges.select("a", "b").coalesce(1).mapInArrow(union, "node long, comp long"), "labels")
+
+
+def link_components(spark: SparkSession, sets: DataFrame, percent: int) -> DataFrame:
+    """(id, comp) of the distinct sets (id, n, tokens) that are linked with another one.
+
+    Rounds of leaders go on as long as each leaves at most ``SLOW`` of the pairs that the one before left.
+    """
     lists = stored(index(sets, percent).withColumn("comp", F.col("id")), "index")
-    comp = stored(lists.select("id", "comp").distinct(), "comp")
+    comp = lists.select("id", "comp").distinct()
+    own, used = sets, [lists]
     done: DataFrame | None = None  # pairs compared so far
     n_sets = None
-    for turn in range(rounds + 1):
+    found, n_before, turn = True, float("inf"), -1
+    while True:
+        turn += 1
         # a list whose members are of one component is never read again, nor are sets in such lists only
         mixed = stored(lists.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("key", "least"), "mixed")
-        before, lists = lists, stored(lists.join(mixed, "key"), "open")
-        discard(mixed, before)
+        lists = stored(lists.join(mixed, "key"), "open")
+        used += [mixed, lists]
         # entries of a list that lie in different components, were all compared with all
         shares = lists.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("cc"))
         n_open, n_pairs = shares.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("cc")) / 2), F.lit(0.0))).first()
         if not n_open:
-            return comp
+            break
         ids = lists.select("id").distinct()
         n_ids = ids.count()
         if n_sets is None or 2 * n_ids < n_sets:
-            before, sets, n_sets = sets if n_sets is not None else None, stored(sets.join(ids, "id", "left_semi"), "rest"), n_ids
-            discard(before)
-        last = turn == rounds or (turn > 0 and n_pairs <= EASY * n_open)
+            own, n_sets = stored(own.join(ids, "id", "left_semi"), "rest"), n_ids
+            used.append(own)
+        last = turn > 0 and (not found or n_pairs <= EASY * n_open or (turn > 3 and n_pairs > SLOW * n_before))
+        n_before = n_pairs
         pairs = every_pair(lists, percent) if last else leader_pairs(lists, percent, turn)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         if not last:
             pairs = pairs.groupBy("a").agg(F.max(F.struct("shared", "b", "comp", "comp_b")).alias("m")).select("a", "m.b", "m.comp", "m.comp_b")
         pairs = stored(pairs, "pairs")
-        links = stored(linked(pairs, sets, percent).select(F.col("comp").alias("a"), F.col("comp_b").alias("b")).distinct(), "links")
-        if links.limit(1).count():
-            to = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-            before = comp, lists
-            renamed = [df.join(to, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to") for df in (comp, lists.drop("least"))]
-            comp = stored(renamed[0].select("id", "comp"), "comp")
-            lists = renamed[1] if last else stored(renamed[1], "lists")
-            discard(*before)
-        elif not last:
-            rounds = turn + 1  # leaders find nothing more: compare the rest in full
-            lists = lists.drop("least")
-        discard(links)
+        links = stored(linked(pairs, own, percent).select(F.col("comp").alias("a"), F.col("comp_b").alias("b")).distinct(), "links")
+        used += [pairs, links]
+        n_links = links.count()
+        found, lists = n_links > 0, lists.drop("least")
+        if found:
+            to = few_components(links) if n_links <= FEW else components(links)
+            used.append(to)
+            named = to.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+            comp, lists = (df.join(named, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to") for df in (comp, lists))
+            comp = stored(comp.select("id", "comp"), "comp")
+            used.append(comp)
         if last:
-            discard(pairs, done, sets)
-            return comp
-        before = done, pairs
-        done = stored(pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b")), "done")
-        discard(*before)
+            break
+        done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
+    if not any(comp is t for t in used):
+        comp = stored(comp, "comp")
+    discard(*[t for t in used if t is not comp])
     return comp
 
 
@@ -275,8 +307,8 @@ def every_pair(lists: DataFrame, percent: int) -> DataFrame:
     return lists.join(other, "key").filter((F.col("comp") > F.col("comp_b")) & fits(percent)).select(F.col("id").alias("a"), "b", "comp", "comp_b").distinct()
 
 
-def distinct_sets(every: DataFrame) -> DataFrame:
-    """(sig, id, node, n, tokens) of each different set: its least id, and a number of its own.
+def distinct_sets(every: DataFrame) -> tuple[DataFrame, bool]:
+    """(sig, id, node, n, tokens) of each different set: its least id, and a number of its own; and whether some number isn't the id.
 
     That is the id, unless different texts share it: their numbers are hashes below all others.
     """
@@ -284,11 +316,11 @@ def distinct_sets(every: DataFrame) -> DataFrame:
     classes = stored(first.select("sig", "s.id", F.col("s.id").alias("node"), "s.n", "s.tokens"), "classes")
     again = classes.groupBy("id").agg(F.count("*").alias("times")).filter("times > 1").select("id", "times")
     if not again.limit(1).count():
-        return classes
+        return classes, False
     own = F.lit(-(1 << 62)) - F.shiftrightunsigned(F.xxhash64("sig"), 2)
     out = stored(classes.join(again, "id", "left").withColumn("node", F.when(F.col("times").isNull(), F.col("id")).otherwise(own)).drop("times"), "classes")
     discard(classes)
-    return out
+    return out, True
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, carry: Sequence[str] = ()) -> DataFrame:
@@ -307,12 +339,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).alias("carry"))
     every = stored(survivors(rows, k, percent), "sets")
-    classes = distinct_sets(every)
+    classes, renamed = distinct_sets(every)
     comp = link_components(spark, classes.select(F.col("node").alias("id"), "n", "tokens"), percent)
     named = classes.select("sig", F.col("id").alias("class_id"), "node").join(comp.select(F.col("id").alias("node"), "comp"), "node", "left")
     named = named.select("sig", "class_id", F.coalesce("comp", "node").alias("group_id"))
-    least = named.groupBy("group_id").agg(F.min("class_id").alias("component_id"))
-    named = stored(named.join(least, "group_id"), "named")
+    if renamed:
+        least = named.groupBy("group_id").agg(F.min("class_id").alias("component_id"))
+        named = named.join(least, "group_id")
+    else:
+        named = named.withColumn("component_id", F.col("group_id"))
+    named = stored(named, "named")
     discard(classes, comp)
     extra = [F.col(f"carry.c{i}").alias(c) for i, c in enumerate(carry)]
     key, size = F.col("id").alias(id_col), F.col("n").alias("n_shingles")
@@ -328,7 +364,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are compared, also inside a component, so the work grows with the number of links; nothing is capped.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_")).alias("carry"))
-    classes = distinct_sets(stored(survivors(rows, k, percent), "sets"))
+    classes, _ = distinct_sets(stored(survivors(rows, k, percent), "sets"))
     sets = classes.select(F.col("node").alias("id"), "n", "tokens")
     lists = stored(index(sets, percent).withColumn("comp", F.col("id")), "index")
     pairs = stored(every_pair(lists, percent).select("a", "b"), "pairs")

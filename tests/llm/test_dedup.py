@@ -89,8 +89,8 @@ def test_what_differs_at_the_source_is_kept(spark, monkeypatch):
     text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
     docs = [(1, text()), (2, text()), (3, text())]
     table = lambda i: pa.table({"id": pa.array([docs[i][0]], pa.int64()), "text": [docs[i][1]]})
-    p = SD.Paths(table(1), 13, 8)
-    found = SD.Sources(np.ones(len(p.edge), bool), np.zeros(len(p.edge), np.int32), np.ones(len(p.edge), np.int64), np.arange(len(p.edge), dtype=np.int32))
+    p = SD.Paths(table(1), 13)
+    found = SD.Sources(np.ones(p.n, bool), np.zeros(p.n, np.int32), np.ones(p.n, np.int64), np.arange(p.n, dtype=np.int32))
     begin, end = p.chains(found)
     assert (begin.tolist(), end.tolist()) == ([0], [27])
     assert p.digests(begin, end) == [SD.digest(docs[1][1].encode().split())] != [SD.digest(docs[0][1].encode().split())]
@@ -145,7 +145,7 @@ def test_stretches_of_equal_hashes_are_told_apart(monkeypatch):
     from kickmill.llm import suffix_dedup as S
 
     table = pa.table({"text": ["a" * 100 + "b" * 400, "a" * 100 + "c" * 400]})
-    own = S.Stretches(table, 400, 8)
+    own = S.Stretches(table, 400)
     assert len(set(own.second_hash().tolist())) == len(own.lead) > 1
 
 
@@ -271,3 +271,17 @@ def test_repeated_ids_with_different_texts(spark):
     kept = sorted(((r.doc_id, r.text, r.lang) for r in CP.near_duplicates(spark, clash, SMALL).collect()), key=str)
     assert kept == sorted([(3, t, "en"), (5, u, "de"), (5, v, "en"), (None, t, "en"), (9, "", "en"), (9, "", "en"), (9, None, None)], key=str)
     assert CP.near_duplicates(spark, df.limit(0), SMALL).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 10**5])
+def test_components_of_links(spark, monkeypatch, few):
+    """In one task or in rounds: the least node that can be reached."""
+    rng = random.Random(few)
+    edges = {tuple(rng.sample(range(200), 2)) for _ in range(150)} | {(300 + i, 301 + i) for i in range(40)}
+    least = {x: x for e in edges for x in e}
+    for _ in range(200):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    df = spark.createDataFrame(sorted(edges), "a long, b long")
+    got = (J.few_components if few else J.components)(df).collect()
+    assert {r.node: r.comp for r in got} == least and len(got) == len(least)

@@ -67,6 +67,28 @@ def test_packing(spark, tokenizer, tokenizer_path):
     assert PK.pack(df.limit(0), tokenizer_path).count() == 0
 
 
+def test_packing_of_null_ids_and_repeated_rows(spark, tokenizer, tokenizer_path):
+    rows = [(None, "alpha beta"), (None, "alpha beta"), (7, "gamma"), (7, "gamma"), (7, None), (7, "delta " * 300)]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, start int, sequence_id string").coalesce(1)
+    out = PK.pack(df, tokenizer_path, length=64, shard_sequences=2).collect()
+    want = sorted((str(i), len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows)
+    assert sorted((str(p.doc_id), p.doc_tokens) for p in out if p.start == 0) == want and sum(p.length for p in out) == sum(n for _, n in want)
+    places = {(p.sequence_id, p.offset + k) for p in out for k in range(p.length)}
+    assert len(places) == sum(n for _, n in want)
+
+
+def test_long_texts_are_tokenized_in_sections(tokenizer, tokenizer_path, monkeypatch):
+    """Sections end before white space; a text without any is taken whole."""
+    monkeypatch.setattr(PK, "SECTION", 50)
+    monkeypatch.setattr(PK, "LEARNED", 7)
+    encoder, rng = PK.PieceEncoder(tokenizer_path), random.Random(3)
+    signs = ["don't", "中文", "ΑΣ", "naïve", "x" * 120, "<|endoftext|>", "12½", "Σ", "\n\n", " \t", "ﬁ", "word", "été", "--"]
+    texts = [rng.choice(["", " "]).join(rng.choice(signs) + rng.choice([" ", "", "\n"]) for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    for t, ids in zip(texts, encoder.encode(texts)):
+        assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+    assert list(PK.batches_of(["a" * 30, None, "b" * 30, "c" * 80, ""])) == [(0, 2), (2, 3), (3, 4), (4, 5)]
+
+
 def test_costs_are_balanced():
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 400, 400)

@@ -59,6 +59,26 @@ def test_reputation_shrinks(spark):
     assert got[999].good_bound < got[998].good_bound
 
 
+def test_null_and_repeated_outcomes(spark):
+    """Repeated outcomes count each, null ones not at all; repeated pages are judged alike."""
+    pages = spark.createDataFrame([(i, f"http://h{i % 2}.com/") for i in range(8)] + [(0, "http://h0.com/"), (None, "http://h1.com/")], "page_id long, url string")
+    outcomes = [(0, 0)] * 40 + [(1, 1)] * 40 + [(2, None), (None, 0), (99, 0)]
+    got = UF.judge(pages, spark.createDataFrame(outcomes, "page_id long, good int"), ()).collect()
+    assert len(got) == 10 and {(r.host, r.verdict) for r in got} == {("h0.com", "block"), ("h1.com", "allow")}
+    # page 0 stands twice, so its outcomes count for both rows
+    plain = UF.judge(pages.dropDuplicates(), spark.createDataFrame([r for r in outcomes if None not in r], "page_id long, good int"), ()).collect()
+    bound = {r.host: r.good_bound for r in got}
+    assert bound["h0.com"] < {r.host: r.good_bound for r in plain}["h0.com"] < 0.5
+
+
+def test_topk_of_repeated_ids(spark):
+    """Rows that share an id are candidates each, but none of a query with that id; repeated queries answer as many times."""
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (1, [3.0, 0.0]), (0, [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id, r.score) for r in TK.top_k(df, df.filter("vec_id = 0 AND embedding[0] = 1")).orderBy("rank").collect()]
+    assert got == [(1, 1, 3 * 1024 * 1024), (2, 1, 2 * 1024 * 1024), (3, 1, 2 * 1024 * 1024)]
+
+
 def test_topk_exact(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(700, 16)).astype(np.float32)
