@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = docs.select(*COLUMNS)
     alone = F.col("doc_id").isNull() | ~F.coalesce(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
     keyed = docs.filter(~alone).withColumn("sha", F.unhex(F.sha1("text")))
-    found = jaccard_components(keyed, carry=["sha"])
+    found = stored(jaccard_components(keyed, carry=["sha"]).select("doc_id", "sha", "group_id"), "found")
     # linked rows: one of each group, however many share its least id; the others have a text of their own
     chosen = found.filter(F.col("group_id").isNotNull()).groupBy("group_id").agg(F.min(F.struct("doc_id", "sha")).alias("s")).select("s.doc_id", "s.sha")
     kept = keyed.join(chosen.unionByName(found.filter(F.col("group_id").isNull()).select("doc_id", "sha")), ["doc_id", "sha"])
