@@ -57,7 +57,7 @@ def devig(method: str, values: Column, strict: bool = False) -> Column:
     ``values``: raw implied probabilities.  Null, non-positive or unsolvable input gives null, or an error if strict.
     """
     if method not in _methods:
-        raise KeyError(f"unknown margin removal {method!r}; have {devig_methods()}")
+        raise KeyError(f"no margin removal is called {method!r}")
     usable = values.isNotNull() & F.forall(values, lambda p: p > 0)
     fair = F.when(usable, _methods[method](values))
     fair = F.when(F.abs(total(fair) - 1.0) <= 1e-6, fair)

@@ -39,7 +39,7 @@ class MarketBaseline:
 def scored(predictor: Predictor, frame: DataFrame, market: str, split: str = "test") -> DataFrame:
     """Rows of the split that have a label and whose prediction is whole, with best odds."""
     if market not in MARKETS:
-        raise KeyError(f"unknown market {market!r}; have {sorted(MARKETS)}")
+        raise KeyError(f"no market is called {market!r}")
     sels = MARKETS[market]["selections"]
     rows = frame.filter(F.col("split") == split) if "split" in frame.columns else frame
     out = predictor.predict(rows, market)

@@ -125,6 +125,8 @@ def load(spark, path: str) -> DataFrame:
 def save_dataset(frame: DataFrame, folder: str, groups: Sequence[str] = ("odds_core", "team_form"), split: S.Split | None = None, guard: bool = True) -> dict:
     """Build from the flat frame and save, with groups and split in the manifest."""
     split = split or S.FractionSplit(0.7)
+    if frame.isEmpty():
+        raise ValueError("there are no completed matches")
     return save(build(frame, groups, split, guard), folder, "dataset", {"feature_groups": X.describe(groups, frame), "split": split.describe()})
 
 

@@ -33,6 +33,7 @@ from kickmill.plans import league as LG
 from kickmill.session import shared_folder
 from kickmill.sources import readers as RD
 from kickmill.sources import store as ST
+from kickmill.streaming import ingest as SI
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -159,6 +160,15 @@ def league_join(spark, sf_dir):
     return R.with_leagues(m, leagues).select("match_id", "league_key", "league_name")
 
 
+@query("SELECT CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS BIGINT) AS row_index, CAST(c_custkey AS VARCHAR) AS Div, concat('Köln ', c_name) AS HomeTeam, c_mktsegment AS AwayTeam FROM customer")
+def season_csv(spark, sf_dir):
+    """Customers written as a Latin-1 file with semicolons and blanks around its header, and read by the resilient reader."""
+    path = f"{shared_folder(spark).rstrip('/')}/kickmill-{uuid.uuid4().hex}.csv"
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Köln "), "c_name").alias("name"), "c_mktsegment")
+    rows.orderBy("c_custkey").coalesce(1).toDF(" Div", "HomeTeam ", " AwayTeam ").write.csv(path, header=True, sep=";", encoding="ISO-8859-1")
+    return RD.read_table(spark, path).select("row_index", "Div", "HomeTeam", "AwayTeam")
+
+
 # --- parsing and validation --------------------------------------------------------------------------
 
 RAW_SQL = f"""{CTE}, raw AS (
@@ -435,6 +445,21 @@ def odds_core_features(spark, sf_dir):
     return rounded(X.odds_core(LG.flat(spark, sf_dir)))
 
 
+_SIDES = "(SELECT unnest(['home', 'away']) AS side), (SELECT unnest([5, 10]) AS n), (SELECT unnest(['pts', 'gf', 'ga', 'gd', 'n']) AS stat)"
+_PICKS = "(SELECT unnest(['1x2', '1x2', '1x2', 'ou_2_5', 'ou_2_5']) AS m, unnest(['home', 'draw', 'away', 'over', 'under']) AS s)"
+
+
+@query(f"""WITH b AS (SELECT unnest(['bet365', 'market_avg']) AS b), c AS (
+  SELECT concat('imp_', m, '_', s, '_', b, '_raw') AS c FROM {_PICKS}, b UNION ALL SELECT DISTINCT concat('ovr_', m, '_', b) FROM {_PICKS}, b
+  UNION ALL SELECT concat('devig_', m, '_', s, '_', b, '_', x) FROM {_PICKS}, b, (SELECT unnest(['proportional', 'power', 'shin']) AS x)),
+d AS (SELECT concat('div_', m, '_', s, '_shin') AS c FROM {_PICKS})
+SELECT 'odds_core' AS feature_group, c AS feature FROM (SELECT c FROM c UNION ALL SELECT c FROM d) UNION ALL SELECT 'odds_consensus', c FROM c UNION ALL SELECT 'odds_divergence', c FROM d
+UNION ALL SELECT 'team_form', concat(side, '_form_', stat, '_last', n) FROM {_SIDES}""")
+def feature_allowlist(spark, sf_dir):
+    """The columns that a model may use, by group."""
+    return spark.createDataFrame([(g, c) for g, names in X.known_columns().items() for c in names], "feature_group string, feature string")
+
+
 def _with_proportional(spark, sf_dir):
     """The labelled frame with proportional fair prices only: what the baseline needs, JVM-side."""
     f = LG.labelled(spark, sf_dir)
@@ -681,6 +706,17 @@ def canonical_blend(spark, sf_dir):
     return rounded(E.blend(_blend_input(spark, sf_dir), "1x2", _DEMO).select("match_id", *[f"p_{s}" for s in SEL["1x2"]]))
 
 
+_POOL = {s: (f"coalesce(devig_1x2_{s}_bet365_proportional, devig_1x2_{s}_market_avg_proportional)", f"coalesce(devig_1x2_{s}_bet365_power, devig_1x2_{s}_market_avg_power)") for s in SEL["1x2"]}
+
+
+@query(f"{_CORE}, e AS (SELECT match_id, {', '.join(f'exp(0.75::DOUBLE * ln({b}) + 0.25::DOUBLE * ln({f})) AS e_{s}' for s, (b, f) in _POOL.items())} FROM core) SELECT match_id, {', '.join(o6(f'e_{s} / (e_home + e_draw + e_away)', f'p_{s}') for s in SEL['1x2'])} FROM e")
+def canonical_predictions(spark, sf_dir):
+    """The blended predictor fitted and applied: proportional prices as the baseline, power prices as a provisional finding."""
+    frame = X.with_features(LG.flat(spark, sf_dir), ["odds_core"])
+    model = E.Canonical(B.MarketBaseline(), _DEMO, lambda _, finding: B.MarketBaseline("power")).fit(frame, "1x2")
+    return rounded(model.predict(frame, "1x2").select("match_id", *[f"p_{s}" for s in SEL["1x2"]]))
+
+
 @query(f"""{_BLEND}, l AS (
   {' UNION ALL '.join(f"SELECT match_id, 'value' AS kind, '{role}' AS role, NULL AS finding_id, '{s}' AS selection, {e} AS value FROM e" for role, ex in (('baseline', 'b_{s}'), ('canonical', 'e_{s} / (e_home + e_draw + e_away)'), ('promoted_only', 'b_{s} / (b_home + b_draw + b_away)')) for s in SEL['1x2'] for e in [ex.replace('{s}', s)])}
   UNION ALL {' UNION ALL '.join(f"SELECT match_id, 'contribution', NULL, 'demo', '{s}', ln(d_{s}) - ln(b_{s}) FROM e" for s in SEL['1x2'])})
@@ -793,6 +829,17 @@ def events_binned(spark, sf_dir):
     return e.select("event_type", M.bin_of(F.col("p")).alias("bin")).groupBy("event_type", "bin").agg(F.count("*").alias("n"))
 
 
+@query("SELECT date_trunc('hour', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY ALL")
+def streamed_counts(spark, sf_dir):
+    """Events read as a stream and counted by hour and type; all windows, closed or not."""
+    schema = table(spark, sf_dir, "events").schema
+    name = f"kickmill_{uuid.uuid4().hex}"
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/events.parquet*")
+    counts = SI.windowed_counts(events).writeStream.outputMode("complete").format("memory").queryName(name)
+    counts.option("checkpointLocation", f"{shared_folder(spark).rstrip('/')}/{name}").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", (F.round("total", 4) + 0.0).alias("total"))
+
+
 @query("SELECT o_custkey AS name, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS candidate, round(max(o_totalprice), 6) AS similarity FROM orders GROUP BY 1")
 def top_one(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("name"), F.col("o_orderkey").alias("candidate"), F.col("o_totalprice").alias("similarity"))
