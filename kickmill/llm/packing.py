@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kickmill.llm.chunks import release
+from kickmill.llm.tables import small_batches
 
 PIECE_TYPE = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Distinct pieces of text whose ids a worker remembers (about 200 bytes each), new ones that are tokenized together,
 #: and characters that are tokenized together: a longer text is taken in sections that end before white space.
-REMEMBERED, LEARNED, SECTION = 150_000, 10_000, 1 << 17
+REMEMBERED, LEARNED, SECTION = 500_000, 10_000, 1 << 17
 
 #: Characters that are lower-cased and cut here as the tokenizer would; texts with others go through the tokenizer whole.
 PLAIN = "".join(map(chr, [*range(0x250), *range(0x2010, 0x2028)]))
@@ -274,6 +275,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             yield as_batch(pieces)
         release()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(per_partition, PIECE_TYPE).withColumnRenamed("id", id_col)
 

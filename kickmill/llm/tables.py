@@ -34,6 +34,13 @@ def discard(*tables: DataFrame | None) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go to Python ``rows`` at a time: Spark's default of 10,000 costs an executor some 100 MB a task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def unused(columns: Iterable[str], name: str) -> str:
     """name, with as many underscores as no column has (names differ in more than case)."""
     taken = {c.lower() for c in columns}
