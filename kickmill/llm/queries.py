@@ -6,7 +6,7 @@ from kickmill.llm.decontaminate import OP7_SQL, op7_decontaminate
 from kickmill.llm.jaccard_join import op10_jaccard_join
 from kickmill.llm.language_id import op6_language_id
 from kickmill.llm.license_scan import op5_license_scan
-from kickmill.llm.oracles import OP2_SQL, OP10_SQL
+from kickmill.llm.oracles import OP2_SQL, OP8_SQL, OP10_SQL
 from kickmill.llm.packing import op4_packing
 from kickmill.llm.substring_dedup import op2_substring_dedup
 from kickmill.llm.suffix_dedup import op3_suffix_dedup
@@ -31,6 +31,7 @@ ORACLES: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
     "op2_substring_dedup": OP2_SQL,
     "op7_decontaminate": OP7_SQL,
+    "op8_warc": OP8_SQL,
     "op9_topk": OP9_SQL,
     "op10_jaccard_join": OP10_SQL,
 }

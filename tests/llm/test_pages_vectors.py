@@ -17,7 +17,7 @@ from tests.oracle import compare
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op1_url_filter", "op9_topk"])
+@pytest.mark.parametrize("name", ["op1_url_filter", "op8_warc", "op9_topk"])
 def test_sql(spark, name):
     compare(spark, QUERIES[name], ORACLES[name], SMALL)
 
