@@ -260,22 +260,9 @@ def _empty_store(spark):
     return {n: spark.createDataFrame([], s) for n, s in ST.SCHEMAS.items()}
 
 
-@query()
-def import_outcomes(spark, sf_dir):
-    """The whole season file against an empty store: what became of every row."""
-    v = V.validate(LG.season_file(spark, sf_dir), MP.SEASON_FILES)
-    return RC.import_rows(v, MP.SEASON_FILES, _empty_store(spark))["outcomes"].select("row_index", "outcome", F.coalesce(F.size("new_odds"), F.lit(0)).alias("n_new_odds"))
-
-
-@query()
-def import_report(spark, sf_dir):
-    v = V.validate(LG.season_file(spark, sf_dir), MP.SEASON_FILES)
-    return RC.import_report(RC.import_rows(v, MP.SEASON_FILES, _empty_store(spark))["outcomes"])
-
-
-_RULES = f"""WITH RECURSIVE {LG.FRAME_CTE}, raw AS (
-  SELECT match_id * 2 AS row_index, league_key, home_team_id % 3 AS h, away_team_id % 3 AS a, date_trunc('month', match_date)::DATE AS d, CASE WHEN match_id % 3 <> 0 THEN concat(12 + match_id % 2, ':30') END AS t, match_id % 2 AS x FROM m),
-k AS (SELECT row_index, x, concat(league_key, '|', h, '|', a, '|', d) AS g, coalesce(t, 'NA') AS t, row_number() OVER (PARTITION BY league_key, h, a, d ORDER BY row_index) AS i FROM raw),
+def _rules_sql(rows: str) -> str:
+    """What becomes of rows (row_index, g: pairing and day, t: time or null, x: score) in row order: r(row_index, outcome)."""
+    return f"""k AS (SELECT row_index, g, x, coalesce(t, 'NA') AS t, row_number() OVER (PARTITION BY g ORDER BY row_index) AS i FROM ({rows})),
 r AS (
   SELECT g, i, row_index, 'imported' AS outcome, [{{'t': t, 'x': x}}] AS st FROM k WHERE i = 1 UNION ALL
   SELECT g, i, row_index, outcome, CASE outcome WHEN 'imported' THEN list_append(st, {{'t': t, 'x': x}}) WHEN 'enriched' THEN [{{'t': t, 'x': st[1].x}}] ELSE st END FROM (
@@ -285,6 +272,36 @@ r AS (
     FROM r JOIN k ON k.g = r.g AND k.i = r.i + 1))"""
 
 
+_COUNTS = "CAST(count(*) AS BIGINT) AS rows_total, " + ", ".join(f"CAST(count_if(outcome = '{k}') AS BIGINT) AS rows_{k}" for k in ("imported", "duplicate", "enriched")) + ", CAST(count_if(outcome NOT IN ('imported', 'duplicate', 'enriched')) AS BIGINT) AS rows_rejected"
+_COUNTED = ["rows_total", "rows_imported", "rows_duplicate", "rows_enriched", "rows_rejected"]
+_SEASON = RAW_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _rules_sql("SELECT row_index, concat(league_raw, '|', home_raw, '|', away_raw, '|', match_date) AS g, kickoff_time AS t, fth * 10 + fta AS x FROM val WHERE error IS NULL AND league_raw IS NOT NULL") + """,
+o AS (SELECT row_index, outcome FROM r UNION ALL SELECT row_index, coalesce(error, 'no league') FROM val WHERE error IS NOT NULL OR league_raw IS NULL)"""
+
+
+def _season_import(spark, sf_dir):
+    """The whole season file against an empty store, with team names that are not alike."""
+    raw = LG.season_file(spark, sf_dir)
+    for c in ("HomeTeam", "AwayTeam"):
+        raw = raw.withColumn(c, F.when(F.col(c).isNotNull(), F.repeat(F.char(97 + F.regexp_extract(c, r"\d+", 0).cast("int")), F.lit(6))))
+    return RC.import_rows(V.validate(raw, MP.SEASON_FILES), MP.SEASON_FILES, _empty_store(spark))["outcomes"]
+
+
+@query(_SEASON + " SELECT row_index, outcome FROM o")
+def import_outcomes(spark, sf_dir):
+    """What became of every row of the season file, faulty ones included."""
+    return _season_import(spark, sf_dir).select("row_index", "outcome")
+
+
+@query(_SEASON + f""", s AS (SELECT sum((h >= 1.01)::INT + (d >= 1.01)::INT + (a >= 1.01)::INT) AS n FROM val JOIN r USING (row_index) WHERE outcome = 'imported' AND h IS NOT NULL),
+t AS (SELECT sum((ov >= 1.01)::INT + (un >= 1.01)::INT) AS n FROM val JOIN r USING (row_index) WHERE outcome = 'imported' AND ov IS NOT NULL)
+SELECT {_COUNTS}, CAST((SELECT n FROM s) + (SELECT n FROM t) AS BIGINT) AS odds_quotes_stored FROM o""")
+def import_report(spark, sf_dir):
+    return RC.import_report(_season_import(spark, sf_dir)).select(*_COUNTED, "odds_quotes_stored")
+
+
+_RULES = f"""WITH RECURSIVE {LG.FRAME_CTE}, """ + _rules_sql("SELECT match_id * 2 AS row_index, concat(league_key, '|', home_team_id % 3, '|', away_team_id % 3, '|', date_trunc('month', match_date)::DATE) AS g, CASE WHEN match_id % 3 <> 0 THEN concat(12 + match_id % 2, ':30') END AS t, match_id % 2 AS x FROM m")
+
+
 def _dense_import(spark, sf_dir):
     return RC.import_rows(V.validate(LG.dense_file(spark, sf_dir), MP.SEASON_FILES), MP.SEASON_FILES, _empty_store(spark))
 
@@ -295,10 +312,9 @@ def import_rules(spark, sf_dir):
     return _dense_import(spark, sf_dir)["outcomes"].select("row_index", "outcome")
 
 
-@query(_RULES + """ SELECT CAST(count(*) AS BIGINT) AS rows_total, CAST(count_if(outcome = 'imported') AS BIGINT) AS rows_imported, CAST(count_if(outcome = 'duplicate') AS BIGINT) AS rows_duplicate,
-  CAST(count_if(outcome = 'enriched') AS BIGINT) AS rows_enriched, CAST(count_if(outcome = 'conflict') AS BIGINT) AS rows_rejected FROM r""")
+@query(_RULES + f" SELECT {_COUNTS} FROM r")
 def import_counts(spark, sf_dir):
-    return RC.import_report(_dense_import(spark, sf_dir)["outcomes"]).select("rows_total", "rows_imported", "rows_duplicate", "rows_enriched", "rows_rejected")
+    return RC.import_report(_dense_import(spark, sf_dir)["outcomes"]).select(*_COUNTED)
 
 
 @query("""WITH n AS (SELECT p_partkey AS row_index, chr(CAST(97 + p_partkey % 20 AS INTEGER)) AS c FROM part), f AS (SELECT c, min(row_index) AS first FROM n GROUP BY c)
