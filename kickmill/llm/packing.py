@@ -17,6 +17,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from kickmill.llm.tables import small_batches
 PIECE_TYPE = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Distinct pieces of text whose ids a worker remembers (about 200 bytes each), new ones that are tokenized together,
 #: and characters that are tokenized together: a longer text is taken in sections that end before white space.
-REMEMBERED, LEARNED, SECTION = 500_000, 10_000, 1 << 17
+REMEMBERED, LEARNED, SECTION = 800_000, 10_000, 1 << 17
 
 #: Characters that are lower-cased and cut here as the tokenizer would; texts with others go through the tokenizer whole.
 PLAIN = "".join(map(chr, [*range(0x250), *range(0x2010, 0x2028)]))
@@ -73,7 +74,8 @@ class PieceEncoder:
     token with ``</w>``, as ``word_bpe_49k.json``.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -85,16 +87,22 @@ class PieceEncoder:
         self.odd = re.compile(f"[^{re.escape(PLAIN)}]|<[|](?:startoftext|endoftext)[|]>").search
         self.pieces = Ragged()
 
-    def learn(self, pieces: list[str]) -> None:
-        """All new pieces in one text; a token that ends a word ends a piece."""
-        new = list(set(pieces).difference(self.pieces.place))
-        if len(self.pieces.place) + len(new) > REMEMBERED and self.pieces.place:
+    def places(self, pieces: list[str]) -> np.ndarray:
+        """Where the pieces' ids are; new pieces are tokenized, many in one text."""
+        if len(self.pieces.place) > self.remembered:
             self.pieces = Ragged()
-            new = list(set(pieces))
-        for lo in range(0, len(new), LEARNED):
-            self.tokenize(new[lo : lo + LEARNED])
+        at = np.fromiter(map(self.pieces.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            unknown = [pieces[i] for i in missing.tolist()]
+            new = list(set(unknown))
+            for lo in range(0, len(new), LEARNED):
+                self.tokenize(new[lo : lo + LEARNED])
+            at[missing] = np.fromiter(map(self.pieces.place.__getitem__, unknown), np.int64, len(unknown))
+        return at
 
     def tokenize(self, new: list[str]) -> None:
+        """All in one text; a token that ends a word ends a piece."""
         ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, np.uint32)
         size = np.diff(np.append(-1, np.flatnonzero(self.ends[ids])))
         if len(size) != len(new):  # a piece that is not one to the tokenizer
@@ -123,8 +131,7 @@ class PieceEncoder:
             own = self.cut(t.lower())
             pieces += own
             count[i] = len(own)
-        self.learn(pieces)
-        ids, size = self.pieces.gather(np.fromiter(map(self.pieces.place.__getitem__, pieces), np.int64, len(pieces)))
+        ids, size = self.pieces.gather(self.places(pieces))
         total = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(count))]
         return [odd[i] if i in odd else ids[total[i] : total[i + 1]] for i in range(len(texts))]
 
@@ -159,10 +166,11 @@ def batches_of(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 _encoders: dict[str, PieceEncoder] = {}
 
 
-def encoder_of(path: str) -> PieceEncoder:
+def encoder_of(path: str, remembered: int = REMEMBERED) -> PieceEncoder:
     """A worker's encoder, kept for its next tasks."""
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
+    _encoders[path].remembered = remembered
     return _encoders[path]
 
 
@@ -246,7 +254,7 @@ def as_batch(pieces: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([column(doc), column(start), column(size), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), column(of), column(seq), column(offset)], ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, end_id: int = 1, linear: float = 1.0, quadratic: float = 1.0 / 2048, shard_sequences: int = 256) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, end_id: int = 1, linear: float = 1.0, quadratic: float = 1.0 / 2048, shard_sequences: int = 256, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces (id_col, start, length, ids, doc_tokens, sequence_id, offset) of every document.
 
     ``ids`` holds a piece's token ids as little-endian unsigned 32-bit integers; a document is its text's
@@ -254,11 +262,12 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     gapless from offset 0; a sequence has ``length`` tokens or a smaller power of two.
 
     Null text counts as empty (one piece with ``end_id``); a null id is kept as null.  Repeated rows
-    are packed each.  An empty table gives an empty result.  Other columns are ignored.
+    are packed each.  An empty table gives an empty result.  Other columns are ignored.  ``remembered`` pieces of text
+    cost a worker about 200 bytes each; fewer cost time.
     """
 
     def per_partition(batches):
-        encoder = encoder_of(tokenizer_path)
+        encoder = encoder_of(tokenizer_path, remembered)
         shard = Shard(length, linear, quadratic, TaskContext.get().partitionId() << 36)
         for batch in batches:
             release()
@@ -280,10 +289,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(per_partition, PIECE_TYPE).withColumnRenamed("id", id_col)
 
 
-def pieces_with_digests(docs: DataFrame) -> DataFrame:
+def pieces_with_digests(docs: DataFrame, remembered: int = REMEMBERED) -> DataFrame:
     import public_tokenizers
 
-    out = pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    out = pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=remembered)
     return out.withColumn("ids_crc32", F.crc32("ids")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
