@@ -71,7 +71,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are one token, the end; null ids are kept; repeated rows are packed each; an empty table gives none.
     """
-    return pieces_with_digests(docs)
+    # executors still hold memory of the stages before
+    return pieces_with_digests(docs, remembered=150_000)
 
 
 def _shipped(stage):
