@@ -81,7 +81,7 @@ def test_long_texts_are_tokenized_in_sections(tokenizer, tokenizer_path, monkeyp
     """Sections end before white space; a text without any is taken whole."""
     monkeypatch.setattr(PK, "SECTION", 50)
     monkeypatch.setattr(PK, "LEARNED", 7)
-    encoder, rng = PK.PieceEncoder(tokenizer_path), random.Random(3)
+    encoder, rng = PK.PieceEncoder(tokenizer_path, remembered=40), random.Random(3)
     signs = ["don't", "中文", "ΑΣ", "naïve", "x" * 120, "<|endoftext|>", "12½", "Σ", "\n\n", " \t", "ﬁ", "word", "été", "--"]
     texts = [rng.choice(["", " "]).join(rng.choice(signs) + rng.choice([" ", "", "\n"]) for _ in range(rng.randint(0, 60))) for _ in range(200)]
     for t, ids in zip(texts, encoder.encode(texts)):
