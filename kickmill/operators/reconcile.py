@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 from kickmill.functions import names as N
 from kickmill.functions import parse as P
 from kickmill.operators.mapping import MappingProfile
+from kickmill.operators.similar import best_of, first_come, similar_pairs
+from kickmill.operators.splits import global_row_number
 from kickmill.session import shared_folder
 
 OUTCOME = "row_index long, outcome string, match_id long, new_match boolean, league_key string, home_team_id long, away_team_id long, match_date date, kickoff_utc timestamp_ntz, ft_home int, ft_away int, ht_home int, ht_away int, dedupe_key string, external_id string, add_source boolean, warnings array<string>, new_odds array<struct<bookmaker:string,market:string,selection:string,decimal_odds:double,line:double,price_point:string>>"
@@ -36,33 +38,35 @@ def resolve_leagues(rows: DataFrame, profile: MappingProfile, stored: DataFrame)
     return out, new.select(F.col("league_key").alias("canonical_key"), name.alias("name"), country.alias("country"), "first_row")
 
 
-def resolve_names(seen: list[tuple[int, int, str, str]], teams: dict[str, int], aliases: dict[str, tuple[int, float]], cutoff: float = 0.92) -> list[dict]:
-    """The cascade over distinct names in order of first sight: exact, alias, similar, created; the pool grows as it goes.
+def resolve_names(seen: DataFrame, teams: DataFrame, aliases: DataFrame, cutoff: float = 0.92) -> DataFrame:
+    """Every distinct name's resolution: exact, alias, fuzzy or created; the pool of names grows in order of first sight.
 
-    seen: (row, side, raw, normal).  Distinct team names of a file number in the hundreds.
+    seen: (row_index, side, raw, normal), any number of rows.  A name is compared with the stored teams and with the teams that
+    earlier names created; a name that resembles one is that team (the most similar, of equals the last in the alphabet).
     """
-    pool, next_id, done, out = dict(teams), max([0, *teams.values()]) + 1, set(), []
-    for _, _, raw, normal in sorted(seen):
-        if normal in done:
-            continue
-        done.add(normal)
-        if normal in pool:
-            out.append({"normal": normal, "team_id": pool[normal], "kind": "exact", "raw": raw, "matched_key": normal, "confidence": 1.0})
-        elif normal in aliases:
-            team, confidence = aliases[normal]
-            out.append({"normal": normal, "team_id": team, "kind": "alias", "raw": raw, "matched_key": normal, "confidence": confidence})
-        elif found := N.closest(normal, list(pool), cutoff):
-            out.append({"normal": normal, "team_id": pool[found[0]], "kind": "fuzzy", "raw": raw, "matched_key": found[0], "confidence": found[1]})
-        else:
-            out.append({"normal": normal, "team_id": next_id, "kind": "created", "raw": raw, "matched_key": normal, "confidence": 1.0})
-            pool[normal] = next_id
-            next_id += 1
-    return out
-
-
-RESOLUTION = "normal string, team_id long, kind string, raw string, matched_key string, confidence double"
-#: Distinct team names that a file may have; they are resolved in order by the driver.
-MAX_NAMES = 20_000
+    shared_folder(seen.sparkSession)
+    first = seen.filter("normal IS NOT NULL").groupBy("normal").agg(F.min(F.struct("row_index", "side", "raw")).alias("f"))
+    first = first.select(F.col("normal").alias("name"), (F.col("f.row_index") * 2 + F.col("f.side")).alias("place"), "f.raw").checkpoint()
+    known = teams.groupBy(F.col("normalized_key").alias("name")).agg(F.max("id").alias("team_id"))
+    remembered = aliases.groupBy(F.col("normalized_alias").alias("name")).agg(F.max(F.struct("team_id", "confidence")).alias("_a"))
+    known_one = first.join(known.withColumnRenamed("team_id", "_exact"), "name", "left").join(remembered, "name", "left").checkpoint()
+    open_ones = known_one.filter("_exact IS NULL AND _a IS NULL").select("name", "place", "raw")
+    pool = known.select("name", F.lit(-1).cast("long").alias("place")).unionByName(open_ones.select("name", "place"))
+    pairs = similar_pairs(open_ones.select("name", "place"), pool, cutoff).checkpoint()
+    created = first_come(open_ones.select("name", "place"), pairs.select("name", "candidate"))
+    last = teams.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()[0]
+    numbered = global_row_number(created, ["place"]).select("name", (F.col("_n") + last).alias("team_id")).checkpoint()
+    # names can be both stored and created in no case
+    ids = known.unionByName(numbered).withColumnRenamed("name", "candidate")
+    alike = best_of(pairs.join(ids, "candidate"))
+    columns = lambda kind, key, confidence: ("name", F.col("team_id").cast("long").alias("team_id"), F.lit(kind).alias("kind"), "raw", key.alias("matched_key"), confidence.cast("double").alias("confidence"))
+    name, one = F.col("name"), F.lit(1.0)
+    out = known_one.filter("_exact IS NOT NULL").withColumnRenamed("_exact", "team_id").select(*columns("exact", name, one))
+    by_alias = known_one.filter("_exact IS NULL AND _a IS NOT NULL").withColumn("team_id", F.col("_a.team_id"))
+    out = out.unionByName(by_alias.select(*columns("alias", name, F.col("_a.confidence"))))
+    out = out.unionByName(open_ones.join(numbered, "name").select(*columns("created", name, one)))
+    out = out.unionByName(open_ones.join(numbered, "name", "left_anti").join(alike, "name").select(*columns("fuzzy", F.col("candidate"), F.col("recorded"))))
+    return out.withColumnRenamed("name", "normal")
 
 
 def resolve_teams(rows: DataFrame, teams: DataFrame, aliases: DataFrame, cutoff: float = 0.92) -> tuple[DataFrame, DataFrame]:
@@ -70,20 +74,9 @@ def resolve_teams(rows: DataFrame, teams: DataFrame, aliases: DataFrame, cutoff:
     named = rows.withColumns({"_h": N.normalized(F.col("home_raw")), "_a": N.normalized(F.col("away_raw"))})
     part = named.filter(F.col("error").isNull() & F.col("league_key").isNotNull())
     both = part.select("row_index", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("home_raw").alias("raw"), F.col("_h").alias("normal")), F.struct(F.lit(1).alias("side"), F.col("away_raw").alias("raw"), F.col("_a").alias("normal")))).alias("n"))
-    first = both.groupBy("n.normal").agg(F.min(F.struct("row_index", "n.side", "n.raw")).alias("f"))
-    seen = first.select("f.row_index", "f.side", "f.raw", "normal").limit(MAX_NAMES + 1).collect()
-    if len(seen) > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} distinct team names")
-    # the pool of names: bounded like those of a file, else an error
-    if teams.limit(MAX_NAMES + 1).count() > MAX_NAMES or aliases.limit(MAX_NAMES + 1).count() > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} stored team names")
-    known = {r[0]: r[1] for r in teams.select("normalized_key", "id").collect()}
-    remembered = {r[0]: (r[1], r[2]) for r in aliases.select("normalized_alias", "team_id", "confidence").collect()}
-    found = resolve_names([tuple(r) for r in seen], known, remembered, cutoff)
-    spark = rows.sparkSession
-    table = spark.createDataFrame([tuple(x[c.split()[0]] for c in RESOLUTION.split(", ")) for x in found], RESOLUTION)
+    table = resolve_names(both.select("row_index", "n.side", "n.raw", "n.normal"), teams, aliases, cutoff).checkpoint()
     ids = table.select("normal", "team_id")
-    out = named.join(F.broadcast(ids.withColumnsRenamed({"normal": "_h", "team_id": "home_team_id"})), "_h", "left").join(F.broadcast(ids.withColumnsRenamed({"normal": "_a", "team_id": "away_team_id"})), "_a", "left")
+    out = named.join(ids.withColumnsRenamed({"normal": "_h", "team_id": "home_team_id"}), "_h", "left").join(ids.withColumnsRenamed({"normal": "_a", "team_id": "away_team_id"}), "_a", "left")
     return out.drop("_h", "_a"), table
 
 
@@ -223,8 +216,6 @@ def act(good: DataFrame, store: dict[str, DataFrame], source: str, last: int) ->
 def new_match_ids(outcomes: DataFrame, last: int) -> DataFrame:
     """(provisional id, dense id): 1-based after ``last``, in row order."""
     new = outcomes.filter("new_match").select("match_id", "row_index")
-    from kickmill.operators.splits import global_row_number
-
     return global_row_number(new, ["row_index"]).select(F.col("match_id").alias("provisional"), (F.col("_n") + last).alias("id"))
 
 

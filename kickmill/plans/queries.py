@@ -27,6 +27,7 @@ from kickmill.operators import mapping as MP
 from kickmill.operators import metrics as M
 from kickmill.operators import reconcile as RC
 from kickmill.operators import splits as S
+from kickmill.operators import similar as SM
 from kickmill.operators import tabular as T
 from kickmill.operators import validate as V
 from kickmill.plans import league as LG
@@ -330,6 +331,27 @@ def team_resolution(spark, sf_dir):
     return RC.resolve_teams(rows, teams, aliases, 0.8)[1].select("normal", "kind", "matched_key", "team_id")
 
 
+def _client_names(spark, sf_dir):
+    """Normal forms of all clients' names; (row, side) is the order in which they are first seen."""
+    c = table(spark, sf_dir, "clients").select(F.col("client_id").alias("row_index"), F.lit(0).alias("side"), F.col("name").alias("raw"))
+    return c.filter("raw IS NOT NULL AND row_index IS NOT NULL").withColumn("normal", N.normalized(F.col("raw")))
+
+
+@query()
+def similar_names(spark, sf_dir):
+    """All pairs of different client names, in normal form, with a ratio of at least 0.92."""
+    names = _client_names(spark, sf_dir).select(F.col("normal").alias("name"))
+    return SM.similar_pairs(names, names, 0.92).select("name", "candidate", F.round("similarity", 6).alias("similarity"), "recorded")
+
+
+@query()
+def client_resolution(spark, sf_dir):
+    """All client names in order of client: known as a vendor's, like a vendor's or an earlier client's, or new."""
+    vendors = table(spark, sf_dir, "vendors").filter("name IS NOT NULL").select(F.col("vendor_id").alias("id"), N.normalized(F.col("name")).alias("normalized_key"))
+    aliases = spark.createDataFrame([], "team_id long, normalized_alias string, confidence double")
+    return RC.resolve_names(_client_names(spark, sf_dir), vendors, aliases).select("normal", "kind", "matched_key", "team_id", "confidence")
+
+
 @query(f"""{CTE}, q AS (SELECT match_id, unnest(['home', 'draw', 'away']) AS selection, unnest([odds_1x2_home_bet365, odds_1x2_draw_bet365, odds_1x2_away_bet365]) AS price FROM f WHERE odds_1x2_home_bet365 IS NOT NULL)
 SELECT match_id * 2 AS row_index, selection, round(price, 6) AS decimal_odds FROM q WHERE match_id % 3 <> 0 AND selection <> 'home'""")
 def backfilled_odds(spark, sf_dir):
