@@ -15,9 +15,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 
-from kickmill.llm.packing import Ragged
+from kickmill.llm.packing import LETTER, NUMBER, ODD, SIGN, SPACE, Ragged, take_endings
 
-LETTER, NUMBER, SIGN, SPACE, ODD, EDGE = 1, 2, 3, 4, 5, 9
+#: Beyond a text's ends.
+EDGE = 9
 #: White space of the pieces' pattern.
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Characters whose pieces are cut at once, and distinct pieces that a worker remembers (about 200 bytes each).
@@ -64,13 +65,7 @@ def piece_starts(points: np.ndarray, kinds: np.ndarray, firsts: np.ndarray) -> n
     plain[1:] = points[:-1] == 0x20
     start &= ~(plain & ~space & (before == SPACE))
     at = np.flatnonzero((points == 0x27) & start & (behind == LETTER))
-    if len(at):
-        more = np.append(points, [0, 0])
-        one = np.isin(more[at + 1], [ord(c) for c in "stmd"])
-        two = (behind[at + 1] == LETTER) & np.isin(more[at + 1] * 256 + more[at + 2], [ord(a) * 256 + ord(b) for a, b in ("re", "ve", "ll")])
-        start[at[one | two] + 1] = False
-        last = np.append(at[one] + 1, at[two & ~one] + 2)
-        start[last[behind[last] == LETTER] + 1] = True
+    take_endings(points, start, behind, at)
     return np.flatnonzero(start)
 
 

@@ -31,17 +31,55 @@ from kickmill.llm.tables import small_batches
 PIECE_TYPE = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Distinct pieces of text whose ids a worker remembers (about 200 bytes each), new ones that are tokenized together,
 #: and characters that are tokenized together: a longer text is taken in sections that end before white space.
-REMEMBERED, LEARNED, SECTION = 800_000, 10_000, 1 << 17
+REMEMBERED, LEARNED, SECTION = 400_000, 10_000, 1 << 19
 
-#: Characters that are lower-cased and cut here as the tokenizer would; texts with others go through the tokenizer whole.
-PLAIN = "".join(map(chr, [*range(0x250), *range(0x2010, 0x2028)]))
+LETTER, NUMBER, SIGN, SPACE, ODD = 1, 2, 3, 4, 5
 
 
-def piece_pattern() -> re.Pattern:
-    """The tokenizer's word pattern for PLAIN characters, from their general categories."""
-    of = lambda kind: "".join(c for c in PLAIN if unicodedata.category(c)[0] == kind)
-    letters, numbers = re.escape(of("L")), re.escape(of("N"))
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\t-\r \x85\xa0{letters}{numbers}]+")
+def plain_characters() -> str:
+    """Characters that are lower-cased and cut here as the tokenizer would; texts with others go through the tokenizer whole."""
+    near = "".join(map(chr, [*range(0x250), *range(0x2010, 0x2028)]))
+    return "".join(c for c in near if len(c.lower()) == 1 and c.lower() in near)
+
+
+PLAIN = plain_characters()
+
+
+def kinds_of_plain() -> tuple[np.ndarray, np.ndarray]:
+    """For every character its kind, and its lower-case form if it is plain."""
+    kinds, lower = np.full(0x110000, ODD, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    for c in PLAIN:
+        kinds[ord(c)] = SPACE if c in "\t\n\v\f\r \x85\xa0" else {"L": LETTER, "N": NUMBER}.get(unicodedata.category(c)[0], SIGN)
+        lower[ord(c)] = ord(c.lower())
+    return kinds, lower
+
+
+def word_starts(points: np.ndarray, kinds: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Where pieces and white space between them begin; ``firsts`` are the places at which (non-empty) texts begin.
+
+    A run of letters, one number or a run of signs is a piece; an apostrophe that begins a piece takes s, t, m, d, re, ve or ll with it.
+    """
+    before, behind = np.empty_like(kinds), np.empty_like(kinds)
+    before[1:], behind[:-1] = kinds[:-1], kinds[1:]
+    before[firsts] = 0
+    behind[firsts[1:] - 1] = 0
+    behind[-1:] = 0
+    start = (kinds != before) | (kinds == NUMBER)
+    at = np.flatnonzero((points == 0x27) & start & (behind == LETTER))
+    take_endings(points, start, behind, at)
+    return np.flatnonzero(start)
+
+
+def take_endings(points: np.ndarray, start: np.ndarray, behind: np.ndarray, at: np.ndarray) -> None:
+    """Join the apostrophes ``at``, each before a letter, with the ending that follows, and begin a piece after it."""
+    if not len(at):
+        return
+    more = np.append(points, [0, 0])
+    one = np.isin(more[at + 1], [ord(c) for c in "stmd"])
+    two = (behind[at + 1] == LETTER) & np.isin(more[at + 1] * 256 + more[at + 2], [ord(a) * 256 + ord(b) for a, b in ("re", "ve", "ll")])
+    start[at[one | two] + 1] = False
+    last = np.append(at[one] + 1, at[two & ~one] + 2)
+    start[last[behind[last] == LETTER] + 1] = True
 
 
 class Ragged:
@@ -83,8 +121,7 @@ class PieceEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cut = piece_pattern().findall
-        self.odd = re.compile(f"[^{re.escape(PLAIN)}]|<[|](?:startoftext|endoftext)[|]>").search
+        self.kinds, self.lower = kinds_of_plain()
         self.pieces = Ragged()
 
     def places(self, pieces: list[str]) -> np.ndarray:
@@ -95,7 +132,7 @@ class PieceEncoder:
         missing = np.flatnonzero(at < 0)
         if len(missing):
             unknown = [pieces[i] for i in missing.tolist()]
-            new = list(set(unknown))
+            new = list(dict.fromkeys(unknown))
             for lo in range(0, len(new), LEARNED):
                 self.tokenize(new[lo : lo + LEARNED])
             at[missing] = np.fromiter(map(self.pieces.place.__getitem__, unknown), np.int64, len(unknown))
@@ -103,10 +140,10 @@ class PieceEncoder:
 
     def tokenize(self, new: list[str]) -> None:
         """All in one text; a token that ends a word ends a piece."""
-        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, np.uint32)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
         size = np.diff(np.append(-1, np.flatnonzero(self.ends[ids])))
         if len(size) != len(new):  # a piece that is not one to the tokenizer
-            each = [self.tokenizer.encode(p, add_special_tokens=False).ids for p in new]
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
             ids, size = np.array([x for y in each for x in y], np.uint32), np.array([len(x) for x in each])
         self.pieces.append(new, ids, size.astype(np.int64))
 
@@ -121,19 +158,38 @@ class PieceEncoder:
         return out
 
     def encode_sections(self, texts: list[str | None]) -> list[np.ndarray]:
-        pieces, count, odd = [], np.zeros(len(texts), np.int64), {}
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if not t.isascii() and self.odd(t) or "<|" in t:
-                odd[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
-                continue
-            own = self.cut(t.lower())
-            pieces += own
-            count[i] = len(own)
-        ids, size = self.pieces.gather(self.places(pieces))
-        total = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(count))]
-        return [odd[i] if i in odd else ids[total[i] : total[i + 1]] for i in range(len(texts))]
+        texts = [t or "" for t in texts]
+        joined = "".join(texts)
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        kinds = self.kinds[points]
+        edges = np.append(0, np.cumsum([len(t) for t in texts]))
+        strange = np.flatnonzero(kinds == ODD)
+        odd = set(np.searchsorted(edges, strange, "right") - 1) if len(strange) else set()
+        if "<|" in joined:
+            odd |= {i for i, t in enumerate(texts) if "<|" in t}
+        if odd:
+            rest = iter(self.encode_sections([t for i, t in enumerate(texts) if i not in odd]))
+            return [self.whole(t) if i in odd else next(rest) for i, t in enumerate(texts)]
+        if not joined:
+            return [np.zeros(0, np.uint32) for _ in texts]
+        points = self.lower[points]
+        starts = word_starts(points, kinds, np.unique(edges[:-1][np.diff(edges) > 0]))
+        wide = (points > 0x7F).astype(np.int64) + (points > 0x7FF)
+        data = joined.lower().encode()
+        offsets = np.append((np.cumsum(wide) - wide)[starts] + starts, len(data)).astype(np.int32)
+        coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        kept = kinds[starts] != SPACE
+        codes = coded.indices.to_numpy()[kept]
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+        used = np.unique(codes)
+        place = np.zeros(len(distinct), np.int64)
+        place[used] = self.places(distinct[used].tolist())
+        ids, size = self.pieces.gather(place[codes])
+        total = np.append(0, np.cumsum(size))[np.searchsorted(starts[kept], edges)]
+        return [ids[a:b] for a, b in zip(total[:-1], total[1:])]
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 #: No token reaches across these.
@@ -272,8 +328,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             release()
             docs_of = batch.column(0).to_pylist()
-            for few in range(0, batch.num_rows, 100):
-                texts = batch.column(1).slice(few, 100).to_pylist()
+            for few in range(0, batch.num_rows, 200):
+                texts = batch.column(1).slice(few, 200).to_pylist()
                 for lo, hi in batches_of(texts):
                     for doc, ids in zip(docs_of[few + lo : few + hi], encoder.encode(texts[lo:hi])):
                         shard.add(doc, np.append(ids, np.uint32(end_id)))

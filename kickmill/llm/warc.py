@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, In, InputPartition, IsNotNull, IsNull, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
-from kickmill.llm.tables import folder, stored
+from kickmill.llm.tables import discard, folder, stored
 
 # workers get these classes by value, so that planning needs no import path
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -88,13 +88,18 @@ def parse_head(data: bytes) -> tuple[dict[str, str], int] | None:
     if end < 0:
         return None
     lines = data[:end].decode("utf-8", "replace").split("\r\n")
-    heads = {}
+    heads: dict[str, str] = {}
     for line in lines[1:]:
         name, _, value = line.partition(":")
         heads[name.strip()] = value.strip()
     return heads, end + 4
 
 
+def block_length(heads: dict[str, str]) -> int:
+    """Bytes of the record's block; header names have no case."""
+    return next((int(v) for h, v in heads.items() if h.lower() == "content-length"), 0)
+
+
 def payload_of(block: bytes) -> tuple[bytes, int | None]:
     """Payload of an HTTP block and the length its headers tell."""
     if not block.startswith(b"HTTP/"):
@@ -238,7 +243,8 @@ class WarcReader(DataSourceReader):
 
     def row(self, heads: dict, block) -> tuple | None:
         """The row of a record; block() decodes its block and is called only for a wanted payload."""
-        values = {c: heads.get(h) for c, h in HEADER_OF.items()}
+        folded = {h.lower(): v for h, v in heads.items()}
+        values = {c: folded.get(h.lower()) for c, h in HEADER_OF.items()}
         if values["payload_digest"]:
             values["payload_digest"] = values["payload_digest"].removeprefix("sha1:")
         if not self.wanted(values):
@@ -266,7 +272,9 @@ class WarcReader(DataSourceReader):
                 unzip = zlib.decompressobj(31)
                 data = unzip.decompress(first, 8192)
                 while (parsed := parse_head(data)) is None and not unzip.eof:
-                    data += unzip.decompress(unzip.unconsumed_tail or source.read(4096), 8192)
+                    if not (more := unzip.unconsumed_tail or source.read(min(4096, at + size - source.tell()))):
+                        break
+                    data += unzip.decompress(more, 8192)
 
                 def rest(data=data, unzip=unzip):
                     tail = unzip.unconsumed_tail + source.read(at + size - source.tell())  # noqa: B023
@@ -281,7 +289,7 @@ class WarcReader(DataSourceReader):
                 parsed, rest = parse_head(data), lambda data=data: data
             if parsed:
                 heads, begin = parsed
-                length = int(heads.get("Content-Length", 0))
+                length = block_length(heads)
                 if (row := self.row(heads, lambda: rest()[begin : begin + length])) is not None:  # noqa: B023
                     yield row
             source.seek(at + size)
@@ -295,7 +303,7 @@ class WarcReader(DataSourceReader):
                     return
                 data += got
             begin = at + len(data) - len(data.lstrip(b"\r\n")) + parsed[1]
-            length = int(parsed[0].get("Content-Length", 0))
+            length = block_length(parsed[0])
 
             def block(begin=begin, length=length):
                 source.seek(begin)
@@ -353,21 +361,21 @@ MOST_SENT = 300_000
 def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, overwrite: bool = False) -> None:
     """Write a record per page: of equal payloads of at least ``least`` bytes the smallest id is the response, others revisit it.
 
-    A null payload is empty, a null url too.  A row with a null id is always a response and never referred to.  Repeated
-    rows of the smallest id are all responses.  Other columns are ignored.  An empty table writes an empty archive.
+    A null payload is empty, a null url too; very long ones of both are written whole.  A row with a null id is always a response and never referred to.  Repeated
+    rows of the smallest id are all responses.  Other columns are ignored, whatever their names.  An empty table writes an empty archive.
     Records are added to what the folder has, or with ``overwrite`` replace it.
     """
     register(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("target_uri"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     digests = rows.filter(F.octet_length("payload") >= least).select("id", F.sha1("payload").alias("sha"))
     copied = digests.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    later = stored(digests.join(copied.select("sha", "first"), "sha").filter("id > first").select("id", "sha", "first").distinct(), "revisits")
-    if later.count() <= MOST_SENT:
-        later = F.broadcast(later)
+    revisits = stored(digests.join(copied.select("sha", "first"), "sha").filter("id > first").select("id", "sha", "first").distinct(), "revisits")
+    later = F.broadcast(revisits) if revisits.count() <= MOST_SENT else revisits
     marked = rows.withColumn("sha", F.sha1("payload")).join(later, ["id", "sha"], "left")
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
     records = marked.select(F.coalesce(urn("id"), F.lit("<urn:page:>")).alias("record_id"), "target_uri", "payload", F.when(F.col("first").isNotNull(), urn("first")).alias("refers_to"))
     records.write.format("warc").mode("overwrite" if overwrite else "append").save(path)
+    discard(revisits)
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:

@@ -77,6 +77,16 @@ def test_packing_of_null_ids_and_repeated_rows(spark, tokenizer, tokenizer_path)
     assert len(places) == sum(n for _, n in want)
 
 
+def test_every_plain_character_in_context(tokenizer, tokenizer_path):
+    """Between letters, digits and signs, alone and twice; also those whose lower case would leave the plain ones."""
+    encoder = PK.PieceEncoder(tokenizer_path)
+    for c in map(chr, [*range(0x260), *range(0x2000, 0x2030)]):
+        t = f"a{c}b 1{c}2 .{c}, {c} {c}{c}'s{c} '{c}"
+        assert encoder.encode([t])[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, hex(ord(c))
+    assert encoder.encode(["\u00d5\u0245"])[0].tolist() == tokenizer.encode("\u00d5\u0245", add_special_tokens=False).ids
+    assert "\u0245" not in PK.PLAIN and "\u0130" not in PK.PLAIN and "\u00d5" in PK.PLAIN
+
+
 def test_long_texts_are_tokenized_in_sections(tokenizer, tokenizer_path, monkeypatch):
     """Sections end before white space; a text without any is taken whole."""
     monkeypatch.setattr(PK, "SECTION", 50)

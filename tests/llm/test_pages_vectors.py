@@ -180,6 +180,34 @@ def test_archive_of_many_revisits(spark, tmp_path, monkeypatch):
     assert read(f"file://{tmp_path}/a") == read(f"file://{tmp_path}/b")
 
 
+def test_long_headers(spark, tmp_path):
+    """URLs around and far beyond what is read at first, as responses and revisits, with short records behind."""
+    import random
+
+    r, rows = random.Random(8), []
+    for k, n in enumerate([3900, 4050, 4096, 4200, 5250, 6000, 7000, 8100, 8192, 8300, 8750, 65_536, 300_000]):
+        for copy in range(2):
+            rows += [(100 * k + 10 * copy, "http://x/" + "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n)), f"<p>{k}"), (100 * k + 10 * copy + 1, "http://short/", f"s{k}{copy}")]
+    path = f"file://{tmp_path}/w"
+    WA.archive(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    got = {r.record_id: r for r in spark.read.format("warc").option("verify", "true").load(path).collect()}
+    assert len(got) == len(rows)
+    for page, url, html in rows:
+        row = got[f"<urn:page:{page}>"]
+        assert row.target_uri == url and row.payload_length == len(html) and row.record_type == ("revisit" if page % 100 == 10 else "response")
+        assert row.payload is None or bytes(row.payload) == html.encode()
+
+
+def test_header_names_have_no_case(spark, tmp_path):
+    record = WA.record_bytes("response", "<urn:a>", "http://a/", WA.digest(b"body"), 4, b"body", None)
+    head, rest = record.split(b"\r\n\r\n", 1)
+    lower = b"\r\n".join(n.lower() + b":" + v for n, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:]))
+    (tmp_path / "a.warc").write_bytes(b"WARC/1.0\r\n" + lower + b"\r\n\r\n" + rest + record)
+    got = spark.read.format("warc").option("verify", "true").load(f"file://{tmp_path}").filter("record_type = 'response'").collect()
+    assert [(r.record_id, r.target_uri, bytes(r.payload), r.payload_digest) for r in got] == [("<urn:a>", "http://a/", b"body", WA.digest(b"body"))] * 2
+    assert sorted(next(k for k in r.headers if k.lower() == "warc-type") for r in got) == ["WARC-Type", "warc-type"]
+
+
 def test_empty_archive(spark, tmp_path):
     WA.archive(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/w")
     assert spark.read.format("warc").load(f"file://{tmp_path}/w").count() == 0
