@@ -1,19 +1,16 @@
 """Importing validated rows into stored matches: resolution, de-duplication, enrichment, insert-only odds.
 
 Rows of one file act in order, but only rows of the same pairing and day (or the same external id) can affect each other.
-So leagues and team names are resolved as sets, rows are grouped by (league, home, away, date), and each bounded group
-runs the rules in row order.  External ids that span pairings merge their groups first.
+So leagues and team names are resolved as sets, and rows are grouped by (league, home, away, date).  Rows that are alone are
+decided by joins; groups of several run the rules in row order, as sorted streams.  External ids that span pairings merge their
+groups first, unless they decide their rows at once.  Quotes are merged afterwards, for all matches together.
 """
 
 from __future__ import annotations
 
-import math
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from kickmill.functions import names as N
@@ -23,7 +20,7 @@ from kickmill.operators.similar import best_of, first_come, similar_pairs
 from kickmill.operators.splits import global_row_number
 from kickmill.session import shared_folder
 
-OUTCOME = "row_index long, outcome string, match_id long, new_match boolean, league_key string, home_team_id long, away_team_id long, match_date date, kickoff_utc timestamp_ntz, ft_home int, ft_away int, ht_home int, ht_away int, dedupe_key string, external_id string, add_source boolean, warnings array<string>, new_odds array<struct<bookmaker:string,market:string,selection:string,decimal_odds:double,line:double,price_point:string>>"
+OUTCOME_COLUMNS = ("row_index", "outcome", "match_id", "new_match", "league_key", "home_team_id", "away_team_id", "match_date", "kickoff_utc", "ft_home", "ft_away", "ht_home", "ht_away", "dedupe_key", "external_id", "add_source", "warnings", "new_odds")
 
 
 def resolve_leagues(rows: DataFrame, profile: MappingProfile, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -46,7 +43,7 @@ def resolve_names(seen: DataFrame, teams: DataFrame, aliases: DataFrame, cutoff:
     """
     shared_folder(seen.sparkSession)
     first = seen.filter("normal IS NOT NULL").groupBy("normal").agg(F.min(F.struct("row_index", "side", "raw")).alias("f"))
-    first = first.select(F.col("normal").alias("name"), (F.col("f.row_index") * 2 + F.col("f.side")).alias("place"), "f.raw").checkpoint()
+    first = first.select(F.col("normal").alias("name"), (F.col("f.row_index") * 2 + F.col("f.side")).alias("place"), "f.raw")
     known = teams.groupBy(F.col("normalized_key").alias("name")).agg(F.max("id").alias("team_id"))
     remembered = aliases.groupBy(F.col("normalized_alias").alias("name")).agg(F.max(F.struct("team_id", "confidence")).alias("_a"))
     known_one = first.join(known.withColumnRenamed("team_id", "_exact"), "name", "left").join(remembered, "name", "left").checkpoint()
@@ -80,85 +77,183 @@ def resolve_teams(rows: DataFrame, teams: DataFrame, aliases: DataFrame, cutoff:
     return out.drop("_h", "_a"), table
 
 
-class _Pairing:
-    """The rules for the rows of one group, in row order."""
-
-    def __init__(self, matches: list[dict], odds: list[dict], sources: dict[str, int]):
-        self.matches = matches
-        self.sources = sources
-        self.odds: dict[int, dict[tuple, float]] = {}
-        for o in odds:
-            self.odds.setdefault(o["match_id"], {}).setdefault(_identity(o), o["decimal_odds"])
-
-    def merge(self, match_id: int, quotes: list[dict]) -> tuple[list[dict], list[str]]:
-        stored = self.odds.setdefault(match_id, {})
-        new, warnings, before = [], [], dict(stored)
-        for q in quotes:
-            old = before.get(_identity(q))
-            if old is None:  # columns of one row with the same identity are both stored
-                new.append(q)
-                stored.setdefault(_identity(q), q["decimal_odds"])
-            elif not math.isclose(old, q["decimal_odds"], rel_tol=1e-9, abs_tol=1e-9):
-                warnings.append(f"price conflict {q['bookmaker']}/{q['market']}/{q['selection']}: kept {old}, not {q['decimal_odds']}")
-        return new, warnings
-
-    def row(self, r: dict) -> dict:
-        out = {"row_index": r["row_index"], "outcome": "duplicate", "match_id": None, "new_match": False, "add_source": False, "warnings": list(r["warnings"]), "new_odds": []}
-        ext = r["external_id"]
-
-        def same(match_id):
-            out["match_id"] = match_id
-            out["new_odds"], more = self.merge(match_id, r["odds"])
-            out["warnings"] += more
-            return out
-
-        if ext is not None and ext in self.sources:
-            return same(self.sources[ext])
-        exact = next((m for m in self.matches if m["dedupe_key"] == r["dedupe_key"]), None)
-        if exact is not None:
-            if (exact["ft_home"], exact["ft_away"]) != (r["ft_home"], r["ft_away"]):
-                return out | {"outcome": "conflict"}
-            return same(exact["id"])
-        siblings = [m for m in self.matches if m["pairing"] == r["pairing"]]
-        if r["kickoff_utc"] is not None:
-            untimed = [m for m in siblings if m["kickoff_utc"] is None]
-            if len(untimed) == 1 and len(siblings) == 1:
-                untimed[0].update(kickoff_utc=r["kickoff_utc"], dedupe_key=r["dedupe_key"])
-                out["warnings"].append("date-only match enriched with its kickoff time")
-                self.link(ext, untimed[0]["id"], out)
-                return same(untimed[0]["id"]) | {"outcome": "enriched"}
-        elif siblings:
-            return same(siblings[0]["id"]) if len(siblings) == 1 else out
-        self.matches.append({"id": r["new_id"], "pairing": r["pairing"], "kickoff_utc": r["kickoff_utc"], "dedupe_key": r["dedupe_key"], "ft_home": r["ft_home"], "ft_away": r["ft_away"]})
-        self.odds[r["new_id"]] = {}
-        for q in r["odds"]:
-            self.odds[r["new_id"]].setdefault(_identity(q), q["decimal_odds"])
-        self.link(ext, r["new_id"], out)
-        return out | {"outcome": "imported", "match_id": r["new_id"], "new_match": True, "new_odds": r["odds"]}
-
-    def link(self, ext, match_id, out) -> None:
-        if ext is not None and ext not in self.sources:
-            self.sources[ext] = match_id
-            out["add_source"] = True
-
-
-def _identity(q: dict) -> tuple:
-    return q["bookmaker"], q["market"], q["selection"], q["line"], q["price_point"]
+DECISION = "row_index long, outcome string, match_id long, new_match boolean, add_source boolean"
+
+
+class _Group:
+    """The matches of one group of pairings, and which external ids its rows have linked."""
+
+    def __init__(self):
+        self.of: dict[str, list[list]] = {}  # pairing: [id, timed, dedupe key, score]
+        self.by_key: dict[str, list] = {}
+        self.linked: dict[str, int] = {}
+
+    def add(self, pairing, match: list) -> None:
+        self.of.setdefault(pairing, []).append(match)
+        self.by_key.setdefault(match[2], match)
+
+    def row(self, pairing, new_id, timed, key, external, score) -> tuple[str, int | None, bool, bool]:
+        """(outcome, match, whether it is new, whether the row links its external id), in row order."""
+        if external is not None and external in self.linked:
+            return "duplicate", self.linked[external], False, False
+        if (exact := self.by_key.get(key)) is not None:
+            return ("duplicate", exact[0], False, False) if exact[3] == score else ("conflict", None, False, False)
+        siblings = self.of.get(pairing, [])
+        if timed and len(siblings) == 1 and not siblings[0][1]:
+            one = siblings[0]
+            self.by_key.pop(one[2], None)
+            one[1], one[2] = True, key
+            self.by_key[key] = one
+            return "enriched", one[0], False, self.link(external, one[0])
+        if not timed and siblings:
+            return "duplicate", siblings[0][0] if len(siblings) == 1 else None, False, False
+        self.add(pairing, [new_id, timed, key, score])
+        return "imported", new_id, True, self.link(external, new_id)
+
+    def link(self, external, match_id) -> bool:
+        if external is None:
+            return False
+        self.linked[external] = match_id
+        return True
+
+
+def ruled(batches):
+    """Decisions for rows sorted by group, stored matches first, then by row: only the group at hand is held."""
+    names, types = zip(*[c.split() for c in DECISION.split(", ")])
+    arrow = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+    at, state = None, _Group()
+    for batch in batches:
+        out = []
+        for group, stored, index, pairing, match_id, timed, key, external, home, away in zip(*[c.to_pylist() for c in batch.columns]):
+            if group != at:
+                at, state = group, _Group()
+            if stored:
+                state.add(pairing, [match_id, timed, key, (home, away)])
+            else:
+                out.append((index, *state.row(pairing, match_id, timed, key, external, (home, away))))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, arrow[t]) for c, t in zip(zip(*out), types)], list(names))
+
+
+def star_contraction(links: DataFrame) -> DataFrame:
+    """(node, root) with the least node of its component as root, of links (node, other), in a logarithmic number of rounds.
+
+    Each round points neighbours at the least node around them, first those above a node, then those below it; every step is a minimum
+    per node and a join, so a node with many neighbours gathers nothing in one task.
+    """
+    shared_folder(links.sparkSession)
+    flip = lambda e: e.select(F.col("node").alias("other"), F.col("other").alias("node")).select("node", "other")
+    edges = links.filter("node <> other").select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")).distinct().checkpoint()
+    before = None
+    while True:
+        size = edges.agg(F.count("*"), F.sum(F.xxhash64("node", "other").cast("decimal(38,0)"))).first()
+        if size == before:
+            return edges.select("node", F.col("other").alias("root"))
+        before = size
+        both = edges.unionByName(flip(edges))
+        least = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root"))
+        above = both.filter("other > node").join(least, "node").select(F.col("other").alias("node"), F.col("root").alias("other")).distinct()
+        least = above.groupBy("node").agg(F.min("other").alias("root"))
+        below = above.join(least, "node").select(F.col("other").alias("node"), F.col("root").alias("other")).filter("node <> other")
+        edges = below.unionByName(least.select("node", F.col("root").alias("other"))).distinct().checkpoint()
 
 
 def linked_groups(rows: DataFrame) -> DataFrame:
     """``group``: rows of one pairing and day share it, and so do groups that name one external id."""
     out = rows.withColumn("group", F.xxhash64("pairing"))
-    if not out.filter(F.col("external_id").isNotNull()).limit(1).count():
-        return out
-    labels = out.select("group").distinct().withColumn("label", F.col("group"))
-    links = out.filter(F.col("external_id").isNotNull()).select("external_id", "group").distinct()
-    while True:
-        near = links.join(labels, "group").groupBy("external_id").agg(F.min("label").alias("m"), F.max("label").alias("x"))
-        if not near.filter("m < x").limit(1).count():
-            return out.join(labels, "group").drop("group").withColumnRenamed("label", "group")
-        best = links.join(near, "external_id").groupBy("group").agg(F.min("m").alias("m"))
-        labels = labels.join(best, "group", "left").select("group", F.least("label", F.coalesce("m", "label")).alias("label")).checkpoint()
+    named = out.filter(F.col("external_id").isNotNull()).select("external_id", "group").distinct()
+    least = named.groupBy("external_id").agg(F.min("group").alias("other"), F.max("group").alias("most")).filter("other < most")
+    links = named.join(least, "external_id").select(F.col("group").alias("node"), "other")
+    roots = star_contraction(links).withColumnRenamed("node", "group")
+    return out.join(roots, "group", "left").withColumn("group", F.coalesce("root", "group")).drop("root")
+
+
+def captured(rows: DataFrame, stored: DataFrame, held: DataFrame, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(decisions of rows that an external id sends to its match whatever their pairing has, the rows that remain).
+
+    An id that is stored takes all its rows.  So does one whose first row is the first of a pairing without stored matches: that row
+    is imported and links it.  Rows taken so link their pairings no more, which cuts the groups of most files down to pairings.
+    """
+    decided = lambda df: df.select("row_index", F.lit("duplicate").alias("outcome"), "match_id", F.lit(False).alias("new_match"), F.lit(False).alias("add_source"))
+    held = held.groupBy("external_id").agg(F.min("match_id").alias("match_id"))
+    marked = rows.join(held, "external_id", "left").checkpoint()
+    out, rest = decided(marked.filter("match_id IS NOT NULL")), marked.filter("match_id IS NULL").drop("match_id")
+    for _ in range(rounds):
+        first = rest.groupBy("pairing").agg(F.min("row_index").alias("row_index")).join(stored.select("pairing").distinct(), "pairing", "left_anti")
+        by_id = rest.filter("external_id IS NOT NULL").groupBy("external_id").agg(F.min(F.struct("row_index", "new_id")).alias("f"), F.count("*").alias("n"))
+        links = by_id.filter("n > 1").select("external_id", F.col("f.row_index").alias("row_index"), F.col("f.new_id").alias("match_id")).join(first.select("row_index"), "row_index", "left_semi")
+        marked = rest.join(links.withColumnRenamed("row_index", "first_row"), "external_id", "left").checkpoint()
+        taken = F.coalesce(F.col("row_index") > F.col("first_row"), F.lit(False))
+        out, rest = out.unionByName(decided(marked.filter(taken))), marked.filter(~taken).drop("first_row", "match_id")
+    return out, rest
+
+
+def decide(good: DataFrame, stored: DataFrame, held: DataFrame) -> DataFrame:
+    """DECISION of every accepted row (row_index, pairing, new_id, kickoff_utc, dedupe_key, external_id, ft_home, ft_away).
+
+    A row that is alone in its group is decided by joins with the stored matches of its pairing; groups of several rows go through
+    the rules in row order, as sorted streams.
+    """
+    light = good.select("row_index", "pairing", "new_id", F.col("kickoff_utc").isNotNull().alias("timed"), "dedupe_key", "external_id", "ft_home", "ft_away")
+    out, rest = None, light.withColumn("group", F.xxhash64("pairing"))
+    if light.filter("external_id IS NOT NULL").limit(1).count():
+        out, rest = captured(light, stored, held)
+        rest = linked_groups(rest)
+    rest = rest.withColumn("n", F.count("*").over(Window.partitionBy("group"))).checkpoint()
+    alone, several = rest.filter("n = 1"), rest.filter("n > 1")
+    beside = stored.groupBy("pairing").agg(F.count("*").alias("siblings"), F.min("id").alias("one"), F.max("timed").alias("one_timed"))
+    same_key = stored.groupBy("pairing", "dedupe_key").agg(F.min(F.struct("id", "ft_home", "ft_away")).alias("exact"))
+    alone = alone.join(beside, "pairing", "left").join(same_key, ["pairing", "dedupe_key"], "left")
+    agrees = F.col("exact.ft_home").eqNullSafe(F.col("ft_home")) & F.col("exact.ft_away").eqNullSafe(F.col("ft_away"))
+    one = F.coalesce(F.col("siblings") == 1, F.lit(False))
+    outcome = (
+        F.when(F.col("exact").isNotNull(), F.when(agrees, "duplicate").otherwise("conflict"))
+        .when(F.col("timed") & one & ~F.col("one_timed"), "enriched")
+        .when(~F.col("timed") & F.col("siblings").isNotNull(), "duplicate")
+        .otherwise("imported")
+    )
+    alone = alone.withColumn("outcome", outcome)
+    match = F.when(F.col("outcome") == "imported", F.col("new_id")).when(F.col("outcome") == "conflict", None).when(F.col("exact").isNotNull(), F.col("exact.id")).when(one, F.col("one"))
+    links = F.col("external_id").isNotNull() & F.col("outcome").isin("imported", "enriched")
+    decided = alone.select("row_index", "outcome", match.alias("match_id"), (F.col("outcome") == "imported").alias("new_match"), links.alias("add_source"))
+    columns = ("group", "stored", "row_index", "pairing", "match_id", "timed", "dedupe_key", "external_id", "ft_home", "ft_away")
+    held_matches = stored.join(several.select("pairing", "group").distinct(), "pairing").withColumns({"stored": F.lit(True), "row_index": F.col("id"), "match_id": F.col("id"), "external_id": F.lit(None).cast("string")})
+    stream = several.withColumns({"stored": F.lit(False), "match_id": F.col("new_id")}).select(*columns).unionByName(held_matches.select(*columns))
+    stream = stream.repartition("group").sortWithinPartitions("group", F.desc("stored"), "row_index")
+    decided = decided.unionByName(stream.mapInArrow(ruled, DECISION))
+    return decided.unionByName(out) if out is not None else decided
+
+
+IDENTITY = ("bookmaker", "market", "selection", "line", "price_point")
+
+
+def merged_quotes(decided: DataFrame, odds: DataFrame) -> DataFrame:
+    """(row_index, new_odds, price_warnings) of rows (with ``odds``) that join a match: only what no earlier row or stored quote has.
+
+    Quotes are the same if book, market, selection, line and price point are, nulls alike.  The first counts: a stored one, else that
+    of the first row; a later row with another price gets a warning.  Quotes of one row with the same identity are all new.
+    """
+    joins = decided.filter("match_id IS NOT NULL AND NOT new_match")
+    targets = joins.select("match_id").distinct()
+    quotes = decided.filter("match_id IS NOT NULL").join(targets, "match_id", "left_semi").select("match_id", "row_index", "new_match", F.posexplode("odds").alias("pos", "q"))
+    quotes = quotes.select("match_id", "row_index", "new_match", F.col("pos").cast("long").alias("pos"), "q.*")
+    held = odds.join(targets, "match_id", "left_semi").select("match_id", F.lit(-1).cast("long").alias("row_index"), F.col("id").alias("pos"), *IDENTITY, "decimal_odds")
+    every = quotes.select("match_id", "row_index", "pos", *IDENTITY, "decimal_odds").unionByName(held)
+    first = every.groupBy("match_id", *IDENTITY).agg(F.min(F.struct("row_index", "pos", "decimal_odds")).alias("first")).alias("f")
+    quotes = quotes.filter("NOT new_match").alias("q")
+    same = F.col("q.match_id") == F.col("f.match_id")
+    for c in IDENTITY:
+        same &= F.col(f"q.{c}").eqNullSafe(F.col(f"f.{c}"))
+    both = quotes.join(first, same).select("q.*", "first")
+    own, old = F.col("decimal_odds"), F.col("first.decimal_odds")
+    new = F.col("first.row_index") == F.col("row_index")
+    close = F.abs(own - old) <= F.greatest(F.lit(1e-9) * F.greatest(F.abs(own), F.abs(old)), F.lit(1e-9))
+    text = F.concat(F.lit("price conflict "), F.concat_ws("/", "bookmaker", "market", "selection"), F.lit(": kept "), old.cast("string"), F.lit(", not "), own.cast("string"))
+    quote = F.struct("bookmaker", "market", "selection", "decimal_odds", "line", "price_point")
+    per_row = both.groupBy("row_index").agg(
+        F.sort_array(F.collect_list(F.when(new, F.struct("pos", quote.alias("q"))))).alias("n"), F.sort_array(F.collect_list(F.when(~new & ~close, F.struct("pos", text.alias("w"))))).alias("w")
+    )
+    return per_row.select("row_index", F.transform("n", lambda x: x.q).alias("new_odds"), F.transform("w", lambda x: x.w).alias("price_warnings"))
 
 
 def import_rows(validated: DataFrame, profile: MappingProfile, store: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -187,30 +282,19 @@ def act(good: DataFrame, store: dict[str, DataFrame], source: str, last: int) ->
     New matches have provisional ids by row, after ``last``; final ones are dense.
     """
     shared_folder(good.sparkSession)
-    good = linked_groups(good.withColumn("new_id", F.col("row_index") + 1 + last)).checkpoint()
-    pairings = good.select("pairing", "group").distinct()
-    linked = good.filter(F.col("external_id").isNotNull()).select("external_id", "group").distinct()
-    stored = store["matches"].withColumn("pairing", F.concat_ws("|", "league_key", "home_team_id", "away_team_id", F.col("match_date").cast("string")))
-    held = store["sources"].filter(F.col("source") == source).join(linked, "external_id")
-    by_pair = stored.join(pairings, "pairing").select("group", "id", "pairing", "kickoff_utc", "dedupe_key", "ft_home", "ft_away")
-    quotes = store["odds"].join(by_pair.select(F.col("id").alias("match_id"), "group").unionByName(held.select("match_id", "group")).distinct(), "match_id")
-    parts = good.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("row_index", "pairing", "new_id", "league_key", "home_team_id", "away_team_id", "match_date", "kickoff_utc", "ft_home", "ft_away", "ht_home", "ht_away", "dedupe_key", "external_id", "warnings", "odds"))).alias("rows"))
-    parts = parts.join(by_pair.groupBy("group").agg(F.collect_list(F.struct("id", "pairing", "kickoff_utc", "dedupe_key", "ft_home", "ft_away")).alias("matches")), "group", "left")
-    parts = parts.join(quotes.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("id", "match_id", "bookmaker", "market", "selection", "decimal_odds", "line", "price_point"))).alias("odds")), "group", "left")
-    parts = parts.join(held.groupBy("group").agg(F.collect_list(F.struct("external_id", "match_id")).alias("sources")), "group", "left")
-
-    schema = to_arrow_schema(T._parse_datatype_string(OUTCOME))
-    keep = ("league_key", "home_team_id", "away_team_id", "match_date", "kickoff_utc", "ft_home", "ft_away", "ht_home", "ht_away", "dedupe_key", "external_id")
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for g in batch.to_pylist():
-                pairing = _Pairing(g["matches"] or [], g["odds"] or [], {s["external_id"]: s["match_id"] for s in g["sources"] or []})
-                out += [pairing.row(r) | {k: r[k] for k in keep} for r in g["rows"]]
-            yield pa.RecordBatch.from_pylist(out, schema)
-
-    return parts.mapInArrow(run, OUTCOME)
+    good = good.withColumn("new_id", F.col("row_index") + 1 + last).checkpoint()
+    pairing = F.concat_ws("|", "league_key", "home_team_id", "away_team_id", F.col("match_date").cast("string"))
+    stored = store["matches"].withColumn("pairing", pairing).join(good.select("pairing").distinct(), "pairing", "left_semi")
+    stored = stored.select("id", "pairing", F.col("kickoff_utc").isNotNull().alias("timed"), "dedupe_key", "ft_home", "ft_away")
+    held = store["sources"].filter(F.col("source") == source).select("external_id", "match_id")
+    decided = good.join(decide(good, stored, held), "row_index").checkpoint()
+    merged = merged_quotes(decided, store["odds"])
+    out = decided.join(merged, "row_index", "left")
+    none = F.array().cast("array<struct<bookmaker:string,market:string,selection:string,decimal_odds:double,line:double,price_point:string>>")
+    enriched = F.when(F.col("outcome") == "enriched", F.array(F.lit("date-only match enriched with its kickoff time"))).otherwise(F.array().cast("array<string>"))
+    warnings = F.concat(F.coalesce("warnings", F.array().cast("array<string>")), enriched, F.coalesce("price_warnings", F.array().cast("array<string>")))
+    out = out.withColumns({"new_odds": F.when(F.col("new_match"), F.col("odds")).otherwise(F.coalesce("new_odds", none)), "warnings": warnings})
+    return out.select(*OUTCOME_COLUMNS)
 
 
 def new_match_ids(outcomes: DataFrame, last: int) -> DataFrame:

@@ -367,6 +367,29 @@ def backfilled_odds(spark, sf_dir):
     return done.select("row_index", F.explode("new_odds").alias("q")).select("row_index", "q.selection", "q.decimal_odds")
 
 
+@query("""WITH n AS (SELECT c_custkey AS k, c_custkey // 2000 AS block, c_custkey % 2000 AS i FROM customer)
+SELECT k AS row_index, min(k) OVER (PARTITION BY block) AS first_row FROM n""")
+def linked_external_ids(spark, sf_dir):
+    """Customers as rows of chains of 1,000 pairings: each shares its pairing with the row before or its external id with the row behind."""
+    i, block = F.col("c_custkey") % 2000, F.floor(F.col("c_custkey") / 2000)
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_index"), F.concat_ws("|", block, F.floor((i + 1) / 2)).alias("pairing"), F.concat_ws("#", block, F.floor(i / 2)).alias("external_id"))
+    groups = RC.linked_groups(rows)
+    return groups.join(groups.groupBy("group").agg(F.min("row_index").alias("first_row")), "group").select("row_index", "first_row")
+
+
+@query("""SELECT c_custkey AS row_index, CASE WHEN c_custkey // 3 % 4 > 0 AND c_custkey % 3 = 0 THEN 'imported' ELSE 'duplicate' END AS outcome,
+  CASE WHEN c_custkey // 3 % 4 = 0 THEN -(c_custkey // 3) ELSE 1000000000001 + c_custkey - c_custkey % 3 END AS match_id FROM customer WHERE c_custkey >= 3""")
+def external_ids(spark, sf_dir):
+    """Customers as rows, three to an external id: the first is imported and links it, another day's row follows it, so does the third; a fourth of the ids is stored."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").filter(k >= 3).select(
+        k.alias("row_index"), F.concat_ws("|", F.floor(k / 3), F.when(k % 3 == 2, "later").otherwise("first")).alias("pairing"), F.lit("E0").alias("league_key"), F.floor(k / 3).alias("home_team_id"), (k % 3).alias("away_team_id"), F.lit(None).cast("date").alias("match_date"),
+        F.lit(None).cast("timestamp_ntz").alias("kickoff_utc"), F.lit(1).alias("ft_home"), F.lit(0).alias("ft_away"), F.lit(None).cast("int").alias("ht_home"), F.lit(None).cast("int").alias("ht_away"), F.concat_ws("|", F.floor(k / 3), F.when(k % 3 == 2, "later").otherwise("first")).alias("dedupe_key"),
+        F.concat(F.lit("id"), F.floor(k / 3)).alias("external_id"), F.expr("cast(array() as array<string>)").alias("warnings"), F.expr("cast(array() as array<struct<bookmaker:string,market:string,selection:string,decimal_odds:double,line:double,price_point:string>>)").alias("odds"))
+    held = rows.filter(F.floor(F.col("row_index") / 3) % 4 == 0).select(F.lit("test").alias("source"), "external_id", (-F.floor(F.col("row_index") / 3)).alias("match_id")).distinct()
+    return RC.act(rows, _empty_store(spark) | {"sources": held}, "test", 10**12).select("row_index", "outcome", "match_id")
+
+
 # --- labels, prices, margin --------------------------------------------------------------------------
 
 
