@@ -26,7 +26,7 @@ from kickmill.llm.tables import folder, small_batches
 from kickmill.llm.warc import file_system
 
 MARK = b"KMTOKEN1"
-#: The dictionary is trained on at most so many documents of at most so many bytes of text each (the least by a hash), and has at most so many bytes.
+#: The dictionary is trained on about so many documents (at most twice as many) of at most so many bytes of text each (drawn by a hash), and has at most so many bytes.
 SAMPLE_DOCUMENTS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 1 << 16, 1 << 16
 #: A file is closed when it has so many bytes; readers take about so many bytes at once.
 FILE_BYTES, READ_BYTES = 256 << 20, 16 << 20
@@ -131,8 +131,8 @@ def end_with(ids: np.ndarray, end_id: int) -> np.ndarray:
     return np.append(ids, np.uint32(end_id))
 
 
-def samples(rows: DataFrame, tokenizer_path: str, end_id: int, width: int) -> list[bytes]:
-    """Serialized arrays of the sample, which SAMPLE_DOCUMENTS and SAMPLE_BYTES bound."""
+def samples(rows: DataFrame, count: int, tokenizer_path: str, end_id: int, width: int) -> list[bytes]:
+    """Serialized arrays of about SAMPLE_DOCUMENTS of ``count`` rows (by a hash), which SAMPLE_DOCUMENTS and SAMPLE_BYTES bound."""
 
     def per_batch(batches):
         encoder = encoder_of(tokenizer_path)
@@ -140,8 +140,10 @@ def samples(rows: DataFrame, tokenizer_path: str, end_id: int, width: int) -> li
             got = encoder.encode([t or "" for t in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array([serialized(end_with(x, end_id), width) for x in got], pa.binary())], ["ids"])
 
-    few = rows.filter(F.octet_length("text") <= SAMPLE_BYTES).select("text", F.xxhash64("id", "text").alias("h")).orderBy("h", "text").limit(SAMPLE_DOCUMENTS)
-    return [bytes(r.ids) for r in few.select("text").mapInArrow(per_batch, "ids binary").collect()]
+    share = min(1.0, SAMPLE_DOCUMENTS / max(1, count))
+    drawn = F.pmod(F.xxhash64("id", "text", F.monotonically_increasing_id()), F.lit(1 << 40)) < int(share * (1 << 40))
+    few = rows.filter(drawn).filter(F.octet_length("text") <= SAMPLE_BYTES).select("text").limit(2 * SAMPLE_DOCUMENTS)
+    return sorted(bytes(r.ids) for r in few.mapInArrow(per_batch, "ids binary").collect())
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", part_bytes: int | None = None, file_bytes: int = FILE_BYTES) -> None:
@@ -158,12 +160,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     small_batches(spark)
     width = 2 if max(Tokenizer.from_file(tokenizer_path).get_vocab_size() - 1, end_id) < 1 << 16 else 4
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    dictionary = trained(samples(rows, tokenizer_path, end_id, width))
+    total, count = rows.agg(F.sum(F.octet_length("text").cast("long") + 16), F.count("*")).first()
+    total = total or 0
+    dictionary = trained(samples(rows, count, tokenizer_path, end_id, width))
     fs, root = file_system(path)
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/dictionary", compression=None) as out:
         out.write(dictionary)
-    total = rows.agg(F.sum(F.octet_length("text").cast("long") + 16)).first()[0] or 0
     share = part_bytes or min(512 << 20, max(16 << 20, total // 2000))
 
     def per_partition(batches) -> Iterator[pa.RecordBatch]:
