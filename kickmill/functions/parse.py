@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,8 +28,15 @@ def whole_number(value: Column) -> Column:
     return F.when((x >= 0) & (x == F.floor(x)) & (x < 2**31), x.cast("int"))
 
 
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+#: Behind a date: a time of day, perhaps with a zone; around its numbers: names of days, endings of ordinals.
+TIME_BEHIND = r"(?:[t ,]+|\s+at\s+)\d{1,2}(?:[:.]\d{2}(?:[:.]\d{2}(?:[.,]\d+)?)?\s*(?:[ap]\.?m\.?)?|\s*[ap]\.?m\.?)\s*(?:z|utc|gmt|[+-]\d{2}:?\d{2})?$"
+DAY_NAME = r"\b(?:mon|tue|tues|wed|wednes|thu|thur|thurs|fri|sat|satur|sun)(?:day)?\b\.?,?"
+MONTH_NAME = r"(?<![a-z])(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(?:uary|ruary|ch|il|e|y|ust|t|tember|ober|ember)?(?![a-z])\.?"
+
+
 def day(value: Column, dayfirst: bool = True) -> Column:
-    """A date in one of the known layouts; two- and four-digit years can't be mistaken for each other."""
+    """A date in one of the known layouts, else in free form; two- and four-digit years can't be mistaken for each other."""
     text = present(value)
 
     def read(layout: str) -> Column:
@@ -35,15 +44,59 @@ def day(value: Column, dayfirst: bool = True) -> Column:
         # years 70 to 99 without a century belong to the last one
         return date if "yyyy" in layout else F.when(F.year(date) >= 2070, F.add_months(date, -1200)).otherwise(date)
 
-    return F.coalesce(*[read(f) for f in (DAY_FIRST if dayfirst else MONTH_FIRST)])
+    return F.coalesce(*[read(f) for f in (DAY_FIRST if dayfirst else MONTH_FIRST)], free_day(text, dayfirst))
+
+
+def free_day(text: Column, dayfirst: bool = True) -> Column:
+    """A date of day, month and year as numbers or a month's name, in any order; a time, a zone or a day's name beside it is left out.
+
+    A year has four digits, or is the last of the numbers.  Of two numbers that could both be the month, ``dayfirst`` tells which is
+    the day; if only one can, that one is the month.  Eight digits alone are year, month, day.  Anything else beside is no date.
+    """
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(text), TIME_BEHIND, ""), DAY_NAME, " "), r"(?<=\d)(?:st|nd|rd|th)\b", "")
+    return once(plain, lambda p: once(parts_of(p), lambda x: once(year_month_day(x, dayfirst), lambda y: F.when(x["shaped"], F.try_to_date(F.format_string("%04d-%02d-%02d", y["year"], y["month"], y["day"]), "yyyy-MM-dd")))))
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def parts_of(plain: Column) -> Column:
+    """Numbers (as text), the month that is named, and whether nothing but these and separators is there."""
+    name, digits = F.regexp_extract(plain, MONTH_NAME, 1), F.regexp_extract_all(plain, F.lit(r"(\d+)"), F.lit(1))
+    shaped = F.rlike(F.regexp_replace(plain, MONTH_NAME, " "), F.lit(r"^[\s,./-]*\d+(?:[\s,./-]+\d+)*[\s,./-]*$")) & ~F.rlike(plain, F.lit(MONTH_NAME + ".*" + MONTH_NAME))
+    numbers = F.transform(digits, lambda d: F.struct(d.try_cast("int").alias("n"), F.char_length(d).alias("size")))
+    return F.struct(numbers.alias("d"), F.array_position(F.array(*[F.lit(m) for m in MONTHS]), name).cast("int").alias("name"), shaped.alias("shaped"))
+
+
+def year_month_day(x: Column, dayfirst: bool) -> Column:
+    """Which number is what; nulls where the numbers make no date."""
+    a, b, c = (F.get(x["d"], F.lit(i))["n"] for i in range(3))
+    of = lambda y, m, d, digits: F.struct(y.alias("y"), m.alias("month"), d.alias("day"), digits.alias("digits"))
+    size, first = F.size(x["d"]), F.get(x["d"], F.lit(0))["size"]
+    swap = (b > 12) & (a <= 12) if dayfirst else (a <= 12) | (b > 12)
+    last = F.get(x["d"], size - 1)["size"]
+    iso = F.when((b > 12) & (c <= 12), of(a, c, b, first)).otherwise(of(a, b, c, first))
+    three = F.when(first == 4, iso).when(swap, of(c, a, b, last)).otherwise(of(c, b, a, last))
+    two = F.when(first == 4, of(a, x["name"], b, first)).otherwise(of(b, x["name"], a, last))
+    eight = of(F.floor(a / 10000).cast("int"), (F.floor(a / 100) % 100).cast("int"), a % 100, F.lit(4))
+    which = F.when((x["name"] > 0) & (size == 2), two).when((x["name"] == 0) & (size == 3), three).when((x["name"] == 0) & (size == 1) & (first == 8), eight)
+    full = lambda w: F.when(w["digits"] == 4, w["y"]).when((w["digits"] == 2) & (w["y"] >= 70), w["y"] + 1900).when(w["digits"] == 2, w["y"] + 2000)
+    return once(which, lambda w: F.struct(full(w).alias("year"), w["month"].alias("month"), w["day"].alias("day")))
+
+
+TIME = r"^(?:\d{4}-\d{2}-\d{2}[t ])?(\d{1,2})(?:[:.h](\d{2})(?:[:.]\d{2}(?:[.,]\d+)?)?)?\s*(?:([ap])\.?m\.?)?\s*(?:z|utc|gmt|[+-]\d{2}:?\d{2})?$"
 
 
 def time_of_day(value: Column) -> Column:
-    """``HH:mm`` of a 24-hour time with or without seconds."""
-    text = present(value)
-    good = F.regexp_extract(text, r"^(\d{1,2}):(\d{2})(?::\d{2})?$", 1)
-    hour, minute = good.try_cast("int"), F.regexp_extract(text, r"^(\d{1,2}):(\d{2})(?::\d{2})?$", 2).try_cast("int")
-    return F.when((hour < 24) & (minute < 60), F.format_string("%02d:%02d", hour, minute))
+    """``HH:mm`` of a time with or without seconds: 24 hours, or twelve with am or pm (``2pm``), also ``14.30`` and instants."""
+    text = F.lower(present(value))
+    part = lambda i: F.regexp_extract(text, TIME, i)
+    hour, minute, half = part(1).try_cast("int"), F.when(part(2) == "", 0).otherwise(part(2).try_cast("int")), part(3)
+    told = (part(2) != "") | (half != "")
+    of_day = F.when(half == "", hour).when((hour >= 1) & (hour <= 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
+    return F.when(told & (of_day < 24) & (minute < 60), F.format_string("%02d:%02d", of_day, minute))
 
 
 def kickoff_utc(date: Column, time: Column, timezone: str = "Europe/Berlin") -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kickmill.markets import MARKETS
 from kickmill.operators.features import resolve_columns
+from kickmill.operators.medians import exact_medians
 
 
 def regularisation(c: float, n: int) -> float:
@@ -21,16 +22,16 @@ def regularisation(c: float, n: int) -> float:
 
 def preprocess_stats(train: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float, float]]:
     """Per column (median, mean, population deviation) of the imputed training values; all-null columns are left out."""
-    medians = train.agg(*[F.median(c).alias(c) for c in columns]).first()
+    medians = exact_medians(train, columns)
     kept = [c for c in columns if medians[c] is not None]
     filled = [F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c]))).alias(c) for c in kept]
     stats = train.select(*filled).agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(kept)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(kept)]).first()
     return {c: (float(medians[c]), float(stats[f"m{i}"]), float(stats[f"s{i}"]) or 1.0) for i, c in enumerate(kept)}
 
 
-def known_leagues(train: DataFrame) -> list[str]:
-    """The leagues of the training rows, sorted; they become columns, so their number is small."""
-    return [r[0] for r in train.filter(F.col("league_key").isNotNull()).select("league_key").distinct().orderBy("league_key").collect()]
+def known_leagues(train: DataFrame) -> DataFrame:
+    """The leagues of the training rows."""
+    return train.filter(F.col("league_key").isNotNull()).select("league_key").distinct()
 
 
 def scaled(stats: dict[str, tuple[float, float, float]]) -> dict[str, Column]:
@@ -49,11 +50,19 @@ class TabularPredictor:
         self.models: dict[str, tuple[object, list[str]]] = {}
 
     def fit(self, frame: DataFrame, markets: Sequence[str] = tuple(MARKETS)) -> TabularPredictor:
-        """Fit on the frame's training rows (all rows, if it has no split)."""
+        """Fit on the frame's training rows (all rows, if it has no split).
+
+        ``ValueError`` without any feature column, ``KeyError`` for extra columns that the frame doesn't have.
+        """
+        if absent := [c for c in self.extra if c not in frame.columns]:
+            raise KeyError(f"extra columns not in the frame: {', '.join(absent)}")
         train = frame.filter("split = 'train'") if "split" in frame.columns else frame
-        columns = resolve_columns(train, self.groups) + self.extra
+        columns = (resolve_columns(train, self.groups) if self.groups else []) + self.extra
+        if not columns:
+            raise ValueError("no feature columns: neither groups nor extra columns name any")
         self.stats = preprocess_stats(train, columns)
-        self.leagues = known_leagues(train)
+        # each becomes a column of the model, so there are few
+        self.leagues = sorted(r[0] for r in known_leagues(train).collect())
         for market in markets:
             target = MARKETS[market]["target"]
             rows = train.filter(F.col(target).isNotNull())

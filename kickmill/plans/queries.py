@@ -26,6 +26,7 @@ from kickmill.operators import goalmodel as GM
 from kickmill.operators import mapping as MP
 from kickmill.operators import metrics as M
 from kickmill.operators import reconcile as RC
+from kickmill.operators import rolling as RW
 from kickmill.operators import splits as S
 from kickmill.operators import similar as SM
 from kickmill.operators import tabular as T
@@ -163,10 +164,10 @@ def league_join(spark, sf_dir):
 
 @query("SELECT CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS BIGINT) AS row_index, CAST(c_custkey AS VARCHAR) AS Div, concat('Köln ', c_name) AS HomeTeam, c_mktsegment AS AwayTeam FROM customer")
 def season_csv(spark, sf_dir):
-    """Customers written as a Latin-1 file with semicolons and blanks around its header, and read by the resilient reader."""
+    """Customers written as Latin-1 files with semicolons and blanks around their headers, and read by ranges in order of the files."""
     path = f"{shared_folder(spark).rstrip('/')}/kickmill-{uuid.uuid4().hex}.csv"
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Köln "), "c_name").alias("name"), "c_mktsegment")
-    rows.orderBy("c_custkey").coalesce(1).toDF(" Div", "HomeTeam ", " AwayTeam ").write.csv(path, header=True, sep=";", encoding="ISO-8859-1")
+    rows.orderBy("c_custkey").toDF(" Div", "HomeTeam ", " AwayTeam ").write.csv(path, header=True, sep=";", encoding="ISO-8859-1")
     return RD.read_table(spark, path).select("row_index", "Div", "HomeTeam", "AwayTeam")
 
 
@@ -217,10 +218,21 @@ def parsed_numbers(spark, sf_dir):
     return p.select("p_partkey", P.whole_number(text).alias("whole"), P.number(price).alias("number"))
 
 
-@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS four_digit, CAST(o_orderdate AS DATE) AS two_digit, CAST(o_orderdate AS DATE) AS month_first, CAST(NULL AS DATE) AS bad FROM orders")
+#: Layouts in which a date is written, and what else stands there.
+FREE_FORMS = {"long_name": ("d MMMM yyyy", "", ""), "short_name": ("dd-MMM-yy", "", ""), "name_first": ("MMM d, yyyy", "", ""), "year_first": ("yyyy/MM/dd", "", ""), "digits": ("yyyyMMdd", "", ""), "instant": ("yyyy-MM-dd", "", "T14:30:00Z"), "with_day": ("EEEE d MMM yyyy", "", " 2pm"), "ordinal": ("MMMM yyyy", "11th ", "")}
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS four_digit, CAST(o_orderdate AS DATE) AS two_digit, CAST(o_orderdate AS DATE) AS month_first, CAST(NULL AS DATE) AS bad, "
+       + ", ".join(f"CAST({'date_trunc(chr(109) || chr(111) || chr(110) || chr(116) || chr(104), o_orderdate) + INTERVAL 10 DAY' if n == 'ordinal' else 'o_orderdate'} AS DATE) AS {n}" for n in FREE_FORMS)
+       + ", printf('%02d:%02d', o_orderkey % 24, o_orderkey % 60) AS dotted, printf('%02d:00', o_orderkey % 24) AS halves, printf('%02d:%02d', o_orderkey % 24, o_orderkey % 60) AS instant_time FROM orders")
 def parsed_dates(spark, sf_dir):
+    """Dates and times in known layouts and in free form."""
     o, d = table(spark, sf_dir, "orders"), F.col("o_orderdate")
-    return o.select("o_orderkey", P.day(F.date_format(d, "dd/MM/yyyy")).alias("four_digit"), P.day(F.date_format(d, "dd/MM/yy")).alias("two_digit"), P.day(F.date_format(d, "MM/dd/yyyy"), dayfirst=False).alias("month_first"), P.day(F.concat(F.lit("x"), d.cast("string"))).alias("bad"))
+    h, m = (F.lpad((F.col("o_orderkey") % n).cast("string"), 2, "0") for n in (24, 60))
+    free = [P.day(F.concat(F.lit(before), F.date_format(d, layout), F.lit(behind))).alias(n) for n, (layout, before, behind) in FREE_FORMS.items()]
+    hour = F.col("o_orderkey") % 24
+    times = [P.time_of_day(F.concat(h, F.lit("."), m)).alias("dotted"), P.time_of_day(F.concat(F.when(hour % 12 == 0, 12).otherwise(hour % 12).cast("string"), F.when(hour < 12, " AM").otherwise("pm"))).alias("halves"), P.time_of_day(F.concat(F.lit("2024-01-31T"), h, F.lit(":"), m, F.lit(":59.5+01:00"))).alias("instant_time")]
+    return o.select("o_orderkey", P.day(F.date_format(d, "dd/MM/yyyy")).alias("four_digit"), P.day(F.date_format(d, "dd/MM/yy")).alias("two_digit"), P.day(F.date_format(d, "MM/dd/yyyy"), dayfirst=False).alias("month_first"), P.day(F.concat(F.lit("x"), d.cast("string"))).alias("bad"), *free, *times)
 
 
 @query(f"{CTE} SELECT match_id, concat(league_key, '|', home_team_id, '|', away_team_id, '|', match_date, '|', coalesce(strftime(((match_date + kickoff_time::TIME) AT TIME ZONE 'Europe/Berlin') AT TIME ZONE 'UTC', '%H:%M'), 'NA')) AS dedupe_key FROM m")
@@ -822,15 +834,19 @@ def tabular_predictions(spark, sf_dir):
     return rounded(model.predict(frame.filter("split = 'test'"), "1x2").select("match_id", "p_home", "p_draw", "p_away"))
 
 
-@query("SELECT round(median(l_quantity), 6) AS median, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS deviation FROM lineitem")
+_NUMERIC = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, round(median({c}), 6) AS median, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS deviation FROM lineitem" for c in _NUMERIC))
 def preprocessing_stats(spark, sf_dir):
-    (median, mean, deviation), = T.preprocess_stats(table(spark, sf_dir, "lineitem"), ["l_quantity"]).values()
-    return rounded(spark.createDataFrame([(median, mean, deviation)], "median double, mean double, deviation double"))
+    """Exact medians, means and deviations of all numeric columns of a table."""
+    stats = T.preprocess_stats(table(spark, sf_dir, "lineitem"), _NUMERIC)
+    return rounded(spark.createDataFrame([(c, *x) for c, x in stats.items()], "name string, median double, mean double, deviation double"))
 
 
 @query("SELECT DISTINCT substr(o_orderpriority, 1, 1) AS league_key FROM orders")
 def known_leagues(spark, sf_dir):
-    return spark.createDataFrame([(k,) for k in T.known_leagues(LG.matches(spark, sf_dir))], "league_key string")
+    return T.known_leagues(LG.matches(spark, sf_dir))
 
 
 # --- datasets ----------------------------------------------------------------------------------------
@@ -877,6 +893,43 @@ def row_hashes(spark, sf_dir):
 # --- the same operators on the tables as they are ----------------------------------------------------
 
 
+@query("SELECT l_orderkey, round(min(l_quantity) FILTER (l_returnflag = 'A'), 6) AS A, round(min(l_quantity) FILTER (l_returnflag = 'N'), 6) AS N, round(min(l_quantity) FILTER (l_returnflag = 'R'), 6) AS R FROM lineitem GROUP BY 1")
+def lineitem_pivot(spark, sf_dir):
+    return rounded(table(spark, sf_dir, "lineitem").groupBy("l_orderkey").pivot("l_returnflag", ["A", "N", "R"]).agg(F.min("l_quantity")))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def lineitem_duplicates(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+@query("SELECT l_orderkey, l_linenumber, unnest(['quantity', 'discount', 'tax']) AS measure, unnest([l_quantity + 0.0, l_discount + 0.0, l_tax + 0.0]) AS value FROM lineitem")
+def lineitem_unpivot(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.selectExpr("l_orderkey", "l_linenumber", "stack(3, 'quantity', l_quantity + 0.0D, 'discount', l_discount + 0.0D, 'tax', l_tax + 0.0D) AS (measure, value)")
+
+
+@query("""WITH l AS (SELECT l_orderkey * 8 + l_linenumber AS k, l_quantity AS q FROM lineitem), n AS (SELECT k, count(*) AS n, min(q) AS least, max(q) AS most FROM l GROUP BY k)
+SELECT CASE WHEN k % 3 <> 0 THEN 'imported' WHEN k % 2 = 0 THEN 'duplicate' ELSE 'conflict' END AS status, CAST(sum(1) AS BIGINT) AS n FROM n GROUP BY 1""")
+def classified_odds(spark, sf_dir):
+    """Line items as rows of a file beside stored ones: a third is stored, every other of these with another score."""
+    k = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").groupBy(k.alias("row_index")).agg(F.min("l_quantity").cast("int").alias("ft_home"))
+    key = F.concat_ws("|", F.lit("L"), F.col("row_index"), F.lit(0), F.lit("2024-01-01"))
+    rows = rows.select("row_index", key.alias("pairing"), (F.col("row_index") + 1).alias("new_id"), F.lit(None).cast("timestamp_ntz").alias("kickoff_utc"), key.alias("dedupe_key"), F.lit(None).cast("string").alias("external_id"), "ft_home", F.lit(0).alias("ft_away"))
+    stored = rows.filter("row_index % 3 = 0").select(F.col("row_index").alias("id"), "pairing", F.lit(False).alias("timed"), "dedupe_key", (F.col("ft_home") + (F.col("row_index") % 2).cast("int")).alias("ft_home"), "ft_away")
+    held = spark.createDataFrame([], "external_id string, match_id long")
+    return RC.decide(rows, stored, held).groupBy(F.col("outcome").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_id, round(avg(value) OVER w, 6) AS mean10, CAST(count(value) OVER w AS BIGINT) AS n10 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)""")
+def events_rolling(spark, sf_dir):
+    """Means of the ten events before, by type: few keys of very many rows, which no task holds whole."""
+    columns = lambda w: {"mean10": F.avg("value").over(w.rowsBetween(-10, -1)), "n10": F.count("value").over(w.rowsBetween(-10, -1))}
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
+    return rounded(RW.rolled(e, "event_type", ["ts", "event_id"], 10, columns).select("event_id", "mean10", "n10"))
+
+
 @query("SELECT o_orderkey, round(avg(o_totalprice) OVER w, 6) AS mean5, CAST(count(*) OVER w AS BIGINT) AS n5 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
 def orders_rolling(spark, sf_dir):
     """Form of customers: the mean price of the five orders before, by the operator for teams."""
