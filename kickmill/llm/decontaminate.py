@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from kickmill.llm.tables import unused
 
-#: Windows that may be held by every task; about 100 bytes each.
+#: Windows, counted once for each item that has them, that may be held by every task; about 100 bytes each.
 MAX_WINDOWS = 200_000
 #: What separates words before and after A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -87,12 +87,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     characters after A-Z are lower-cased.  Null or empty text has no words.  Items without words or
     with a null id match nothing; equal items are all reported.  A table without rows gives no rows; an empty
     benchmark leaves every document clean.  Repeated rows are reported alike; null ids are kept.  All columns of ``docs``
-    are kept, whatever their names; one named like ``out_col`` is replaced.
+    are kept, whatever their names; one named like ``out_col`` is replaced.  Very long texts are scanned whole, in memory that grows
+    with their words.
     """
     known = windows(benchmark, item_col, item_text_col, k).cache()
     try:
         lengths = sorted(r[0] for r in known.select("length").distinct().collect())  # at most k values
-        if known.limit(max_windows + 1).count() > max_windows:
+        if (known.agg(F.sum(F.size("items"))).first()[0] or 0) > max_windows:
             return _scan_by_joins(docs, known, text_col, lengths, out_col)
         tables = []
         for length in lengths:
@@ -122,14 +123,23 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     return docs.withColumn(out_col, let(words_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), report))
 
 
-def summary(n: Column, hits: Column) -> Column:
+def summary(n: Column, hits: Column, items: Column | None = None) -> Column:
     spans = F.transform(hits, lambda x: F.struct(x["start"].cast("int").alias("start"), x["length"].cast("int").alias("length")))
-    return F.struct(n.cast("long").alias("n_words"), spread(spans).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda x: x["items"])))).alias("items"), spans.alias("hits"))
+    if items is None:
+        items = F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda x: x["items"]))))
+    return F.struct(n.cast("long").alias("n_words"), spread(spans).alias("n_hit"), items.alias("items"), spans.alias("hits"))
 
 
 def _scan_by_joins(docs: DataFrame, known: DataFrame, text_col: str, lengths: list[int], out_col: str) -> DataFrame:
-    """The same for a benchmark too large to hold: g-grams and windows are joined by their values.  Equal texts are scanned once."""
-    key, found = unused([*docs.columns, out_col], "_text"), unused([*docs.columns, out_col], "_found")
+    """The same for a benchmark too large to hold: g-grams and windows are joined by their values.  Equal texts are scanned once.
+
+    Windows with the same items share a number; a text's items are looked up by its distinct numbers, so a benchmark text that very
+    many items repeat costs a list of them for each text, not for each window.
+    """
+    key, found, listed = unused([*docs.columns, out_col], "_text"), unused([*docs.columns, out_col], "_found"), unused([*docs.columns, out_col], "_items")
+    known = known.withColumn("set", F.sha1(F.to_json("items")))
+    sets = known.groupBy("set").agg(F.first("items").alias("items"))
+    known = known.drop("items")
     rows = docs.withColumn(key, F.sha1(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     texts = rows.select(F.col(key).alias("_row"), words_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("words")).dropDuplicates(["_row"])
     parts = []
@@ -141,14 +151,15 @@ def _scan_by_joins(docs: DataFrame, known: DataFrame, text_col: str, lengths: li
         near = asked.join(grams, "h", "left_semi").groupBy("_row").agg(F.collect_list("p").alias("ps"))
         first = lambda p: F.sequence(F.greatest(F.lit(1), p - (s - 1)), F.least(p, F.size("words") - length + 1), F.lit(1))  # noqa: E731, B023
         wins = texts.join(near, "_row").select("_row", F.explode(F.transform(F.flatten(F.transform("ps", first)), lambda a: F.struct(a.alias("start"), ascii_lower(F.array_join(F.slice("words", a, length), " ")).alias("win")))).alias("x")).select("_row", "x.start", "x.win")  # noqa: B023
-        parts.append(wins.join(own, "win").select("_row", F.struct("start", "length", "items").alias("hit")))
+        parts.append(wins.join(own, "win").select("_row", F.struct("start", "length").alias("hit"), "set"))
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)
-    hits = hits.groupBy(F.col("_row").alias(key)).agg(F.collect_list("hit").alias(found))
-    none = F.expr("cast(array() as array<struct<start:int,length:int,items:array<string>>>)")
+    items = hits.select("_row", "set").distinct().join(sets, "set").groupBy(F.col("_row").alias(key)).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias(listed))
+    hits = hits.groupBy(F.col("_row").alias(key)).agg(F.collect_list("hit").alias(found)).join(items, key)
+    none = F.expr("cast(array() as array<struct<start:int,length:int>>)")
     n = F.size(words_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    return rows.join(hits, key, "left").withColumn(out_col, summary(n, F.coalesce(F.col(found), none))).drop(key, found)
+    return rows.join(hits, key, "left").withColumn(out_col, summary(n, F.coalesce(F.col(found), none), F.coalesce(F.col(listed), F.expr("cast(array() as array<string>)")))).drop(key, found, listed)
 
 
 def is_contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -157,14 +168,20 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without contaminated documents; the rest is unchanged."""
+    """``docs`` without contaminated documents; the rest is unchanged.
+
+    Null and empty texts stay; null ids, repeated rows, very long texts, columns and empty tables are treated as by ``scan``.
+    """
     own = unused(docs.columns, "scan")
     out = scan(docs, benchmark, out_col=own, **options)
     return out.filter(~is_contaminated(F.col(f"{own}.n_hit"), F.col(f"{own}.n_words"))).drop(own)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` whose texts lose every hit word with the separators that follow it."""
+    """``docs`` whose texts lose every hit word with the separators that follow it.
+
+    A null text stays null, a text without hits stays as it is; the rest is treated as by ``scan``.
+    """
     own = unused(docs.columns, "scan")
     out = scan(docs, benchmark, text_col=text_col, out_col=own, **options)
     text = F.col(text_col).cast("string")

@@ -39,6 +39,8 @@ BITS = 14
 PER_LANGUAGE = 250
 #: Training documents of all languages at about most.
 MOST = 4000
+#: Languages that are learned, the most frequent ones (the machines number at most the pairs of them), and bytes of a text to learn from.
+MOST_LABELS, TEXT_BYTES = 64, 1 << 18
 SCALE = 1 << 20
 #: Bytes of text that are judged at once, or one text.
 BATCH_BYTES = 4 << 20
@@ -228,8 +230,9 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     About twice as many are collected, so the driver's share is bounded whatever the table's size.
     """
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+    labelled = labelled.filter(F.octet_length(F.col(text_col).cast("string")) <= TEXT_BYTES)
     order = F.pmod(F.xxhash64(F.col(id_col), F.col(lang_col)), F.lit(1 << 30)) / (1 << 30)
-    sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
+    sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LABELS).collect()}
     if not sizes:
         return []
     per_language = max(10, min(per_language, MOST // len(sizes)))
@@ -252,9 +255,12 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``lang_score`` (0 to 1), learned from labelled rows that are not held out.
 
-    The training sample has at most ``per_language`` documents of each language.  Null text and text
+    The training sample has at most ``per_language`` documents of each of the MOST_LABELS most frequent languages (of equals the
+    first in the alphabet), of at most TEXT_BYTES bytes each; other labels teach nothing and are never predicted.  Null text and text
     without a letter (Unicode L) are ``und`` with score 0, as is everything when no row is labelled.  Rows with a
-    null id or language are predicted but teach nothing.  All columns of ``docs`` are kept; those two names are replaced.
+    null id or language are predicted but teach nothing.  Repeated rows are predicted alike, and teach once; where votes are equal
+    the first language counts.  Very long texts are judged whole, in sections of bounded memory.  An empty table gives an empty
+    result.  All columns of ``docs`` are kept; those two names are replaced.
     """
     sample = training_sample(docs, id_col, text_col, lang_col, per_language)
     model = train([t for t, _ in sample], [lang for _, lang in sample])

@@ -22,8 +22,11 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 MAX_SPELLED = 200
 #: Hosts whose bounds are sent to every task (about 60 bytes each); more are joined by a shuffle.
 MOST_SENT = 300_000
-#: Suffixes of two labels under which names are registered.
-LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in", "com.cn")
+#: Labels that, before a country's two letters, make a suffix under which names are registered.
+SECOND_LABELS = ("ac", "co", "com", "edu", "gob", "gouv", "gov", "go", "id", "info", "ltd", "me", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "sch", "web")
+LONG_SUFFIX = rf"^({'|'.join(SECOND_LABELS)})[.][a-z][a-z]$"
+#: Addresses instead of names.
+ADDRESS = r"^[0-9]+([.][0-9]+){3}$|^\[.*\]$"
 #: Strength of every prior lies between these (pseudo-counts).
 WEAKEST, STRONGEST = 1.0, 1000.0
 #: A host is blocked when its good rate is below LIMIT with about 95 % certainty.
@@ -39,16 +42,23 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?s).*?://[^/?#]*([^?#]*)", 1)
 
 
+def name_of(host: Column) -> Column:
+    """The host without user, port and a dot at its end."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", ""), "[.]$", "")
+
+
 def suffix_of(host: Column) -> Column:
-    last = F.substring_index(host, ".", -1)
-    pair = F.substring_index(host, ".", -2)
-    return F.when(pair.isin(*LONG_SUFFIXES), pair).otherwise(last)
+    """The last label, or two of them; addresses share one suffix."""
+    name = name_of(host)
+    pair = F.substring_index(name, ".", -2)
+    return F.when(F.rlike(name, F.lit(ADDRESS)), "address").when(F.rlike(pair, F.lit(LONG_SUFFIX)), pair).otherwise(F.substring_index(name, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
-    """The suffix and one label more."""
-    pair = F.substring_index(host, ".", -2)
-    return F.when(pair.isin(*LONG_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(pair)
+    """The suffix and one label more; an address is its own domain."""
+    name = name_of(host)
+    pair = F.substring_index(name, ".", -2)
+    return F.when(F.rlike(name, F.lit(ADDRESS)), name).when(F.rlike(pair, F.lit(LONG_SUFFIX)), F.substring_index(name, ".", -3)).otherwise(pair)
 
 
 def parts(rule: str) -> tuple[str, str]:
@@ -124,7 +134,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]
     A null url or one without ``://`` has empty host and path and is judged like a host named ''.
     Null ids are kept (and match no outcome); repeated rows are judged alike; repeated outcomes count each;
     null outcomes don't count.  Empty tables give an empty result; without outcomes every page that no rule
-    blocks is allowed.  Other columns are ignored.
+    blocks is allowed.  Very long urls are judged whole.  Other columns are ignored, whatever their names.
     """
     places = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     labels = outcomes.filter(F.col("good").isNotNull()).select(F.col(id_col).alias("id"), F.col("good").cast("long").alias("good"))
@@ -155,9 +165,10 @@ def _strength_sql(level: str) -> str:
       SELECT count(*) AS m, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k, sum(n * n)::BIGINT AS nn, sum(k * k / n::DOUBLE) AS kkn FROM {level} WHERE n > 0)))"""
 
 
-_SHORT = "regexp_extract(host, '([^.]*[.])?[^.]*$')"
-_LONG = "regexp_extract(host, '([^.]*[.])?([^.]*[.])?[^.]*$')"
-_IS_LONG = f"{_SHORT} IN ({', '.join(repr(x) for x in LONG_SUFFIXES)})"
+_SHORT = "regexp_extract(name, '([^.]*[.])?[^.]*$')"
+_LONG = "regexp_extract(name, '([^.]*[.])?([^.]*[.])?[^.]*$')"
+_IS_LONG = f"regexp_matches({_SHORT}, '{LONG_SUFFIX}')"
+_IS_ADDRESS = f"regexp_matches(name, '{ADDRESS}')"
 _CASES = "\n".join(f"    WHEN (host = '{parts(r)[0]}' OR ends_with(host, '.{parts(r)[0]}')) AND starts_with(path, '{parts(r)[1]}') THEN '{{}}'".replace("{}", "{%d}" % i) for i, (v, r) in enumerate(sorted(RULES, key=lambda x: (-len(x[1]), x[1]))))
 _ORDERED = sorted(RULES, key=lambda x: (-len(x[1]), x[1]))
 
@@ -169,9 +180,9 @@ l AS (
   SELECT doc_id AS page_id, CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END AS good FROM labels),
 seen AS (SELECT host, count(*) AS n, sum(good)::BIGINT AS k FROM p JOIN l USING (page_id) WHERE good IS NOT NULL GROUP BY host),
 h AS (
-  SELECT host, coalesce(n, 0) AS n, coalesce(k, 0) AS k, CASE WHEN {_IS_LONG} THEN {_LONG} ELSE {_SHORT} END AS domain,
-    CASE WHEN {_IS_LONG} THEN {_SHORT} ELSE regexp_extract(host, '[^.]*$') END AS suffix
-  FROM (SELECT DISTINCT host FROM p) LEFT JOIN seen USING (host)),
+  SELECT host, coalesce(n, 0) AS n, coalesce(k, 0) AS k, CASE WHEN {_IS_ADDRESS} THEN name WHEN {_IS_LONG} THEN {_LONG} ELSE {_SHORT} END AS domain,
+    CASE WHEN {_IS_ADDRESS} THEN 'address' WHEN {_IS_LONG} THEN {_SHORT} ELSE regexp_extract(name, '[^.]*$') END AS suffix
+  FROM (SELECT DISTINCT host, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '[.]$', '') AS name FROM p) LEFT JOIN seen USING (host)),
 d AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM d GROUP BY ALL),
 sp AS (SELECT suffix, (z * m + k) / (z + n) AS up FROM (SELECT *, {_strength_sql('s')} AS z, (SELECT (sum(k) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) FROM s) AS m FROM s)),

@@ -257,3 +257,24 @@ def J_stored(df):
     from kickmill.llm.tables import stored
 
     return stored(df, "test")
+
+
+def test_many_items_of_one_text(spark):
+    """Items count, not windows alone: 3,000 of one text go to the join path when fewer may be held, and all are reported."""
+    bench = spark.createDataFrame([(f"i{i:05d}", "one two three four five six seven eight nine ten eleven twelve thirteen fourteen") for i in range(3000)] + [("z", "short item")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "x one two three four five six seven eight nine ten eleven twelve thirteen fourteen y"), (2, "a short item b"), (3, "clean"), (4, None)], "doc_id long, text string")
+    want = None
+    for most in (10_000, 500):
+        got = {r.doc_id: (r.scan.n_words, r.scan.n_hit, len(r.scan["items"]), r.scan["items"][:2]) for r in DC.scan(docs, bench, max_windows=most).collect()}
+        assert got == {1: (16, 14, 3000, ["i00000", "i00001"]), 2: (4, 2, 1, ["z"]), 3: (1, 0, 0, []), 4: (0, 0, 0, [])}
+        assert want in (None, got)
+        want = got
+
+
+def test_many_languages_are_bounded(spark, monkeypatch):
+    from kickmill.llm import language_id as LI
+
+    monkeypatch.setattr(LI, "MOST_LABELS", 5)
+    rows = [(i, f"word{i % 7} of language{i % 40} again", f"l{i % 40:02d}" if i % 40 < 5 or i % 3 else "l00") for i in range(900)] + [(5000 + i, "z" * 300_000, "long") for i in range(3)]
+    sample = LI.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", 250)
+    assert len({lang for _, lang in sample}) == 5 and "long" not in {lang for _, lang in sample}

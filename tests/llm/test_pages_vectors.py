@@ -224,3 +224,11 @@ def test_warc_query(spark):
         p, f = pages[r.page_id], first[pages[r.page_id]]
         assert (r.payload_bytes, r.payload_digest) == (len(p), base64.b32encode(hashlib.sha1(p).digest()).decode())
         assert (r.record_type, r.refers_to) == (("response", None) if f == r.page_id else ("revisit", f))
+
+
+def test_levels_of_hosts(spark):
+    from kickmill.llm.url_filter import domain_of, suffix_of
+
+    hosts = {"a.b.co.za": ("b.co.za", "co.za"), "x.gov.uk": ("x.gov.uk", "gov.uk"), "www.a.com": ("a.com", "com"), "a.com:8080": ("a.com", "com"), "10.0.0.1": ("10.0.0.1", "address"), "192.168.0.1:80": ("192.168.0.1", "address"), "[::1]:8080": ("[::1]", "address"), "u:p@b.org": ("b.org", "org"), "a.org.": ("a.org", "org"), "localhost": ("localhost", "localhost"), "": ("", ""), "com.mx": ("com.mx", "com.mx")}
+    got = {r.h: (r.d, r.s) for r in spark.createDataFrame([(h,) for h in hosts], "h string").select("h", domain_of(F.col("h")).alias("d"), suffix_of(F.col("h")).alias("s")).collect()}
+    assert got == hosts
