@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kickmill.functions import goals as G
 from kickmill.markets import MARKETS, MAX_GOALS, mangled
+from kickmill.operators.splits import global_row_number
 from kickmill.session import shared_folder
 
 PARAMS = "league_key string, team_id long, attack double, defense double, home_advantage double, rho double, n_matches double"
@@ -53,17 +56,64 @@ def likelihood(theta: np.ndarray, h: np.ndarray, a: np.ndarray, x: np.ndarray, y
     return float(loss), np.concatenate([g_attack[1:], g_defense, [g_lam.sum(), -np.sum(w * d_rho / tau)]])
 
 
-def minimise(f, start: np.ndarray, bound: np.ndarray, rounds: int = 500, tol: float = 1e-9) -> np.ndarray:
+class Dense:
+    """Quasi-Newton steps with a full inverse: quadratic in the parameters."""
+
+    def __init__(self, n: int):
+        self.n = n
+        self.forget()
+
+    def forget(self) -> None:
+        self.inverse = np.eye(self.n)
+
+    def step(self, g: np.ndarray) -> np.ndarray:
+        return -self.inverse @ g
+
+    def learn(self, s: np.ndarray, y: np.ndarray) -> None:
+        rho = 1 / (s @ y)
+        left = np.eye(self.n) - rho * np.outer(s, y)
+        self.inverse = left @ self.inverse @ left.T + rho * np.outer(s, s)
+
+
+class Limited:
+    """Quasi-Newton steps from the last few changes: linear in the parameters."""
+
+    def __init__(self, memory: int = 20):
+        self.memory = memory
+        self.forget()
+
+    def forget(self) -> None:
+        self.pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
+
+    def step(self, g: np.ndarray) -> np.ndarray:
+        q, used = g.copy(), []
+        for s, y, rho in reversed(self.pairs):
+            alpha = rho * (s @ q)
+            q -= alpha * y
+            used.append(alpha)
+        if self.pairs:
+            s, y, _ = self.pairs[-1]
+            q *= (s @ y) / (y @ y)
+        for (s, y, rho), alpha in zip(self.pairs, reversed(used)):
+            q += s * (alpha - rho * (y @ q))
+        return -q
+
+    def learn(self, s: np.ndarray, y: np.ndarray) -> None:
+        self.pairs = [*self.pairs[-self.memory + 1 :], (s, y, 1 / (s @ y))]
+
+
+def minimise(f, start: np.ndarray, bound: np.ndarray, rounds: int = 500, tol: float = 1e-9, memory: Dense | Limited | None = None) -> np.ndarray:
     """Quasi-Newton descent inside the box [-bound, bound]."""
     x = start.copy()
     loss, g = f(x)
-    inverse = np.eye(len(x))
+    memory = memory or Dense(len(x))
     for _ in range(rounds):
         held = ((x >= bound) & (g < 0)) | ((x <= -bound) & (g > 0))
-        step = -inverse @ np.where(held, 0.0, g)
+        step = memory.step(np.where(held, 0.0, g))
         step[held] = 0.0
         if step @ g >= 0:
-            inverse, step = np.eye(len(x)), np.where(held, 0.0, -g)
+            memory.forget()
+            step = np.where(held, 0.0, -g)
         size = min(1.0, 1.0 / max(1e-12, np.abs(step).max()))
         while size > 1e-12:
             new = np.clip(x + size * step, -bound, bound)
@@ -78,13 +128,17 @@ def minimise(f, start: np.ndarray, bound: np.ndarray, rounds: int = 500, tol: fl
         x, loss, g = new, new_loss, new_g
         if done:
             break
-        if (sy := s @ y) > 1e-12:
-            rho = 1 / sy
-            left = np.eye(len(x)) - rho * np.outer(s, y)
-            inverse = left @ inverse @ left.T + rho * np.outer(s, s)
+        if s @ y > 1e-12:
+            memory.learn(s, y)
     return x
 
 
+def start_and_bound(teams: int) -> tuple[np.ndarray, np.ndarray]:
+    start, bound = np.zeros(2 * teams + 1), np.full(2 * teams + 1, 3.0)
+    start[-2], bound[-1] = 0.1, 0.9
+    return start, bound
+
+
 def fit_cells(home: np.ndarray, away: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
     """(team ids, attack, defense, home advantage, rho)."""
     teams = np.unique(np.concatenate([home, away]))
@@ -92,20 +146,67 @@ def fit_cells(home: np.ndarray, away: np.ndarray, x: np.ndarray, y: np.ndarray,
         raise ValueError("a league needs two teams")
     h, a = np.searchsorted(teams, home), np.searchsorted(teams, away)
     n = len(teams)
-    start = np.zeros(2 * n + 1)
-    start[-2] = 0.1
-    bound = np.full(2 * n + 1, 3.0)
-    bound[-1] = 0.9
-    theta = minimise(lambda t: likelihood(t, h, a, x, y, w, n), start, bound)
+    theta = minimise(lambda t: likelihood(t, h, a, x, y, w, n), *start_and_bound(n))
     return teams, np.append(0.0, theta[: n - 1]), theta[n - 1 : 2 * n - 1], float(theta[-2]), float(theta[-1])
 
 
-def fit(matches: DataFrame, xi: float = 0.0, strict: bool = True) -> DataFrame:
-    """One row per league and team with the league's parameters; leagues with one team raise, or are left out."""
+#: Teams of a league from which on its likelihood is summed by many tasks.
+MANY_TEAMS = 500
+#: What the driver holds of such a league: two parameters a team.
+MOST_TEAMS = 10_000_000
+SUMS = "place int, g double"
 
-    def per_league(key, cells):
-        import pandas as pd
 
+def fit_large(cells: DataFrame, league) -> DataFrame:
+    """The fit of one league of many teams: tasks sum the gradient over their cells, the driver takes limited-memory steps.
+
+    A round sends the parameters (16 bytes a team) to the tasks and brings back as many sums, pre-aggregated by task; cells, up to
+    teams x teams x scores of them, never leave their tasks.
+    """
+    shared_folder(cells.sparkSession)
+    spark = cells.sparkSession
+    own = cells.filter(F.col("league_key") == F.lit(league))
+    teams = own.select(F.col("home_team_id").alias("team_id")).unionByName(own.select(F.col("away_team_id").alias("team_id"))).distinct()
+    numbered = global_row_number(teams, ["team_id"]).select("team_id", (F.col("_n") - 1).cast("int").alias("i")).checkpoint()
+    n = numbered.count()
+    if n > MOST_TEAMS:
+        raise ValueError(f"a league of {n} teams: more than {MOST_TEAMS} have no room on the driver")
+    side = lambda s: numbered.select(F.col("team_id").alias(f"{s}_team_id"), F.col("i").alias(s))
+    placed = own.join(side("home"), "home_team_id").join(side("away"), "away_team_id").select("home", "away", F.col("ft_home").cast("double").alias("x"), F.col("ft_away").cast("double").alias("y"), "weight").checkpoint()
+
+    def value_and_gradient(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        sent = spark.sparkContext.broadcast(theta)
+
+        def partial(batches):
+            total, loss = np.zeros(2 * n + 1), 0.0
+            for b in batches:
+                h, a, x, y, w = (b.column(c).to_numpy(zero_copy_only=False) for c in ("home", "away", "x", "y", "weight"))
+                part, g = likelihood(sent.value, h, a, x, y, w, n)
+                total += g
+                loss += part
+            full = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(full, -1).astype(np.int32)), pa.array(np.append(total[full], loss))], ["place", "g"])
+
+        sums = placed.mapInArrow(partial, SUMS).groupBy("place").agg(F.sum("g").alias("g")).toPandas()
+        sent.unpersist()
+        out = np.zeros(2 * n + 2)
+        out[sums.place.to_numpy()] = sums.g.to_numpy()  # the loss has place -1, the last
+        return float(out[-1]), out[:-1]
+
+    theta = minimise(value_and_gradient, *start_and_bound(n), memory=Limited())
+    rows = pd.DataFrame({"i": np.arange(n, dtype=np.int32), "attack": np.append(0.0, theta[: n - 1]), "defense": theta[n - 1 : 2 * n - 1]})
+    matches = own.agg(F.sum("n")).first()[0]
+    out = spark.createDataFrame(rows).join(numbered, "i")
+    return out.select(F.lit(league).alias("league_key"), "team_id", "attack", "defense", F.lit(float(theta[-2])).alias("home_advantage"), F.lit(float(theta[-1])).alias("rho"), F.lit(float(matches)).alias("n_matches"))
+
+
+def fit(matches: DataFrame, xi: float = 0.0, strict: bool = True, many_teams: int = MANY_TEAMS) -> DataFrame:
+    """One row per league and team with the league's parameters; leagues with one team raise, or are left out.
+
+    A league of up to ``many_teams`` teams is fitted by one task from its score cells; larger ones one after another by all tasks.
+    """
+
+    def per_league(key, cells):
         try:
             teams, attack, defense, home, rho = fit_cells(cells.home_team_id.to_numpy(), cells.away_team_id.to_numpy(), cells.ft_home.to_numpy(float), cells.ft_away.to_numpy(float), cells.weight.to_numpy(float))
         except ValueError:
@@ -114,7 +215,17 @@ def fit(matches: DataFrame, xi: float = 0.0, strict: bool = True) -> DataFrame:
             return pd.DataFrame({c.split()[0]: [] for c in PARAMS.split(", ")})
         return pd.DataFrame({"league_key": key[0], "team_id": teams, "attack": attack, "defense": defense, "home_advantage": home, "rho": rho, "n_matches": cells.n.sum()})
 
-    return score_cells(matches, xi).groupBy("league_key").applyInPandas(per_league, PARAMS)
+    cells = score_cells(matches, xi)
+    teams = matches.select("league_key", F.explode(F.array("home_team_id", "away_team_id")).alias("team_id"))
+    large = [r[0] for r in teams.groupBy("league_key").agg(F.count_distinct("team_id").alias("n")).filter(F.col("n") > many_teams).select("league_key").collect()]
+    if not large:
+        return cells.groupBy("league_key").applyInPandas(per_league, PARAMS)
+    shared_folder(matches.sparkSession)
+    cells = cells.checkpoint()
+    out = cells.filter(~F.col("league_key").isin(large)).groupBy("league_key").applyInPandas(per_league, PARAMS)
+    for league in sorted(large):
+        out = out.unionByName(fit_large(cells, league).select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in PARAMS.split(", ")]))
+    return out
 
 
 def with_rates(frame: DataFrame, params: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ groups first, unless they decide their rows at once.  Quotes are merged afterwar
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -56,8 +56,9 @@ def resolve_names(seen: DataFrame, teams: DataFrame, aliases: DataFrame, cutoff:
     # names can be both stored and created in no case
     ids = known.unionByName(numbered).withColumnRenamed("name", "candidate")
     alike = best_of(pairs.join(ids, "candidate"))
-    columns = lambda kind, key, confidence: ("name", F.col("team_id").cast("long").alias("team_id"), F.lit(kind).alias("kind"), "raw", key.alias("matched_key"), confidence.cast("double").alias("confidence"))
+    columns = lambda kind, key, confidence: ("name", F.col("team_id").cast("long").alias("team_id"), F.lit(kind).alias("kind"), "raw", key.alias("matched_key"), confidence.cast("double").alias("confidence"), "first_row")
     name, one = F.col("name"), F.lit(1.0)
+    known_one, open_ones = (df.withColumn("first_row", F.floor(F.col("place") / 2).cast("long")) for df in (known_one, open_ones))
     out = known_one.filter("_exact IS NOT NULL").withColumnRenamed("_exact", "team_id").select(*columns("exact", name, one))
     by_alias = known_one.filter("_exact IS NULL AND _a IS NOT NULL").withColumn("team_id", F.col("_a.team_id"))
     out = out.unionByName(by_alias.select(*columns("alias", name, F.col("_a.confidence"))))
@@ -303,14 +304,14 @@ def new_match_ids(outcomes: DataFrame, last: int) -> DataFrame:
     return global_row_number(new, ["row_index"]).select(F.col("match_id").alias("provisional"), (F.col("_n") + last).alias("id"))
 
 
-def import_report(outcomes: DataFrame) -> DataFrame:
-    """One row of counters, and the rejections and warnings as JSON."""
+def import_report(outcomes: DataFrame, *by: Column) -> DataFrame:
+    """One row of counters (for each ``by``)."""
     kinds = ("imported", "duplicate", "enriched")
     count = lambda test: F.count(F.when(test, 1))
     rejected = ~F.col("outcome").isin(*kinds)
     stored = F.sum(F.when(F.col("outcome") == "imported", F.size("new_odds")).otherwise(0))
     added = F.sum(F.when(F.col("outcome").isin("duplicate", "enriched"), F.size("new_odds")).otherwise(0))
-    return outcomes.agg(F.count("*").alias("rows_total"), *[count(F.col("outcome") == k).alias(f"rows_{k}") for k in kinds], count(rejected).alias("rows_rejected"), stored.alias("odds_quotes_stored"), added.alias("odds_quotes_backfilled"), F.sum(F.coalesce(F.size("warnings"), F.lit(0))).alias("n_warnings"))
+    return outcomes.groupBy(*by).agg(F.count("*").alias("rows_total"), *[count(F.col("outcome") == k).alias(f"rows_{k}") for k in kinds], count(rejected).alias("rows_rejected"), stored.alias("odds_quotes_stored"), added.alias("odds_quotes_backfilled"), F.sum(F.coalesce(F.size("warnings"), F.lit(0))).alias("n_warnings"))
 
 
 def top_similar(pairs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import json
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,35 +172,56 @@ def database_summary(tables: dict[str, DataFrame]) -> DataFrame:
     return out.orderBy("section", "place", "name").drop("place")
 
 
-def import_notes(outcomes: DataFrame, resolutions: DataFrame, import_id: int) -> DataFrame:
-    """(import_id, row_index, kind, message): rejections, warnings and names that were not matched exactly."""
+#: Rows of file k are numbered from k times this on: the rules' order is that of files, then of rows.
+FILE_ROWS = 1 << 40
+
+
+def file_of(row_index: str = "row_index") -> Column:
+    return F.floor(F.col(row_index) / FILE_ROWS).cast("long")
+
+
+def import_notes(outcomes: DataFrame, resolutions: DataFrame, first_import: int) -> DataFrame:
+    """(import_id, row_index, kind, message): rejections, warnings and names that were not matched exactly (with the file that has them first)."""
     accepted = F.col("outcome").isin("imported", "duplicate", "enriched")
-    rejected = outcomes.filter(~accepted).select("row_index", F.lit("rejection").alias("kind"), F.col("outcome").alias("message"))
-    warned = outcomes.select("row_index", F.lit("warning").alias("kind"), F.explode("warnings").alias("message"))
-    told = resolutions.filter("kind <> 'exact'").select(F.lit(None).cast("long").alias("row_index"), F.lit("resolution").alias("kind"), F.to_json(F.struct("raw", "kind", "matched_key", "confidence")).alias("message"))
-    return rejected.unionByName(warned).unionByName(told).select(F.lit(import_id).cast("long").alias("import_id"), "row_index", "kind", "message")
+    here, row = (file_of() + first_import).alias("import_id"), (F.col("row_index") % FILE_ROWS).alias("row_index")
+    rejected = outcomes.filter(~accepted).select(here, row, F.lit("rejection").alias("kind"), F.col("outcome").alias("message"))
+    warned = outcomes.select(here, row, F.lit("warning").alias("kind"), F.explode("warnings").alias("message"))
+    told = resolutions.filter("kind <> 'exact'").select((file_of("first_row") + first_import).alias("import_id"), F.lit(None).cast("long").alias("row_index"), F.lit("resolution").alias("kind"), F.to_json(F.struct("raw", "kind", "matched_key", "confidence")).alias("message"))
+    return rejected.unionByName(warned).unionByName(told)
 
 
 def import_file(spark: SparkSession, store: Store, raw: DataFrame, profile, filename: str) -> DataFrame:
-    """Validate, resolve, reconcile and commit one file; returns the report (one row).
+    """Validate, resolve, reconcile and commit one file; returns the report (one row)."""
+    return import_files(spark, store, [(raw, filename)], profile)
+
+
+def import_files(spark: SparkSession, store: Store, files: list[tuple[DataFrame, str]], profile) -> DataFrame:
+    """Import files of one profile in their order, in one plan and one unit of work; returns the reports, a row per file.
 
-    The report's counters are kept as JSON with the import, its rejections, warnings and resolutions as rows of ``notes``.
+    What is stored equals imports of one file after another: rows act in the order of files, then of rows.  A report's counters are kept
+    as JSON with its import, rejections, warnings and resolutions as rows of ``notes``.
     """
     from kickmill.operators import reconcile as R
     from kickmill.operators import validate as V
 
+    rows = None
+    for k, (raw, _) in enumerate(files):
+        one = V.validate(raw.withColumn("row_index", F.col("row_index") + k * FILE_ROWS), profile)
+        rows = one if rows is None else rows.unionByName(one)
     with Unit(store) as unit:
         old = unit.tables
-        done = R.import_rows(V.validate(raw, profile), profile, old)
+        done = R.import_rows(rows, profile, old)
         outcomes = done["outcomes"].persist()
         try:
-            report = R.import_report(outcomes)
-            counts = report.first()
-            import_id = (old["imports"].agg(F.max("id")).first()[0] or 0) + 1
+            report = R.import_report(outcomes, file_of().alias("file"))
+            columns = [c for c in report.columns if c != "file"]
+            by_file = {r.file: r for r in report.collect()}  # one row for each file that has rows
+            counts = [tuple(by_file[k][c] for c in columns) if k in by_file else (0,) * len(columns) for k in range(len(files))]
+            first_import = (old["imports"].agg(F.max("id")).first()[0] or 0) + 1
             last = old["matches"].agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()[0]
             ids = R.new_match_ids(outcomes, last)
             named = outcomes.join(ids.withColumnsRenamed({"provisional": "match_id", "id": "_id"}), "match_id", "left").withColumn("match_id", F.coalesce("_id", "match_id"))
-            new = named.filter("new_match").withColumns({"id": F.col("match_id"), "status": F.lit("completed"), "import_id": F.lit(import_id)})
+            new = named.filter("new_match").withColumns({"id": F.col("match_id"), "status": F.lit("completed"), "import_id": file_of() + first_import})
             quotes = named.select("row_index", "match_id", F.posexplode("new_odds").alias("pos", "q")).select("row_index", "pos", "match_id", "q.*")
             sources = named.filter("add_source").select("row_index", "match_id", F.lit(profile.source_name).alias("source"), "external_id")
             res = done["resolutions"]
@@ -208,17 +229,21 @@ def import_file(spark: SparkSession, store: Store, raw: DataFrame, profile, file
             unit.add("teams", res.filter("kind = 'created'").select(F.col("team_id").alias("id"), F.col("raw").alias("canonical_name"), F.col("normal").alias("normalized_key")))
             unit.add("aliases", res.filter("kind IN ('created', 'fuzzy')").select("team_id", F.col("raw").alias("alias"), F.col("normal").alias("normalized_alias"), F.lit(profile.source_name).alias("source"), "confidence"), ["team_id", "normalized_alias"])
             unit.add("matches", new)
-            if counts.rows_enriched:  # matches of this file or of earlier ones
+            if any(dict(zip(columns, c))["rows_enriched"] for c in counts):  # matches of these files or of earlier ones
                 enriched = named.filter("outcome = 'enriched'").select(F.col("match_id").alias("id"), "kickoff_utc", "dedupe_key")
                 unit.added["matches"] = updated(unit.added["matches"], enriched)
                 if enriched.filter(F.col("id") <= last).limit(1).count():
                     unit.update("matches", enriched)
             unit.add("sources", sources, ["row_index"])
             unit.add("odds", quotes, ["row_index", "pos"])
-            unit.add("notes", import_notes(outcomes, res, import_id))
-            told = json.dumps({"filename": filename, "profile_name": profile.name, **counts.asDict()})
-            unit.add("imports", spark.createDataFrame([(import_id, filename, profile.name, counts.rows_total, counts.rows_imported, counts.rows_duplicate, counts.rows_enriched, counts.rows_rejected, told)], SCHEMAS["imports"].replace(", created_at timestamp_ntz", "")).withColumn("created_at", F.localtimestamp()))
+            unit.add("notes", import_notes(outcomes, res, first_import))
+            imports = []
+            for k, ((_, filename), c) in enumerate(zip(files, counts)):
+                own = dict(zip(columns, c))
+                told = json.dumps({"filename": filename, "profile_name": profile.name, **own})
+                imports.append((first_import + k, filename, profile.name, own["rows_total"], own["rows_imported"], own["rows_duplicate"], own["rows_enriched"], own["rows_rejected"], told))
+            unit.add("imports", spark.createDataFrame(imports, SCHEMAS["imports"].replace(", created_at timestamp_ntz", "")).withColumn("created_at", F.localtimestamp()))
             unit.commit()
-            return spark.createDataFrame([tuple(counts)], report.schema)
+            return spark.createDataFrame(counts, report.drop("file").schema)
         finally:
             outcomes.unpersist()

@@ -189,3 +189,26 @@ def test_notes_and_report(importer):
     notes = sorted((r.kind, r.row_index, r.import_id) for r in t["notes"].collect())
     assert ("rejection", 1, 1) in notes and ("warning", 0, 1) in notes and sum(k == "resolution" for k, _, _ in notes) == 3
     assert t["imports"].first().created_at is not None
+
+
+def test_many_files_in_one_plan_equal_one_after_another(spark, tmp_path):
+    from kickmill.sources.store import import_files
+
+    teams = ["Newcastle", "Fulham", "Newcastel", "Arsenal FC", "Arsenal", "Leeds United", "Leeds Utd"]
+    frames = []
+    for k in range(6):
+        rows = []
+        for i in range(7):
+            row = NARROW | {"HomeTeam": teams[(k + i) % 7], "AwayTeam": teams[(k + 2 * i + 1) % 7], "Date": f"{17 + (i + k) % 3}/08/2025", "FTHG": str(i % 2), "B365H": str(1.9 + 0.1 * (k % 2))}
+            rows.append(row | ({"Time": "14:00"} if (i + k) % 3 == 0 else {"Time": ""}))
+        path = tmp_path / f"g{k}.csv"
+        path.write_text("\n".join([",".join(rows[0]), *[",".join(r.values()) for r in rows]]))
+        frames.append((read_table(spark, f"file://{path}"), path.name))
+    one, many = Store(spark, f"file://{tmp_path}/one"), Store(spark, f"file://{tmp_path}/many")
+    reports = [import_file(spark, one, raw, SEASON_FILES, name).first() for raw, name in frames]
+    assert import_files(spark, many, frames, SEASON_FILES).collect() == reports and sum(r.rows_imported for r in reports) > 10
+    for name in ("leagues", "teams", "matches", "odds", "sources"):
+        assert sorted(map(str, one.tables()[name].collect())) == sorted(map(str, many.tables()[name].collect())), name
+    keys = ("team_id", "alias", "normalized_alias", "confidence")
+    assert sorted(map(str, one.tables()["aliases"].select(*keys).collect())) == sorted(map(str, many.tables()["aliases"].select(*keys).collect()))
+    assert [tuple(r)[:-1] for r in import_history(one.tables()["imports"]).collect()] == [tuple(r)[:-1] for r in import_history(many.tables()["imports"]).collect()]

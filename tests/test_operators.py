@@ -321,3 +321,16 @@ def test_tabular_by_hand(spark):
         assert [r[f"p_{s}"] for s in labels] == pytest.approx(p[r.match_id].tolist())
     y = np.array([[r[3] == s for s in labels] for r in rows], float)
     assert np.abs((p - y).T @ z / len(rows) + T.regularisation(1.0, len(rows)) * weights).max() < 1e-4
+
+
+def test_large_league_fits_like_a_small_one(spark):
+    rng = np.random.default_rng(7)
+    rows = [("L" if h < 14 else "S", h, a, int(rng.poisson(1.5)), int(rng.poisson(1.1))) for h in range(18) for a in range(18) if h != a and (h < 14) == (a < 14) for _ in range(3)]
+    df = spark.createDataFrame(rows, "league_key string, home_team_id long, away_team_id long, ft_home int, ft_away int")
+    want = {(r.league_key, r.team_id): r for r in GM.fit(df).collect()}
+    got = {(r.league_key, r.team_id): r for r in GM.fit(df, many_teams=10).collect()}
+    assert got.keys() == want.keys()
+    for k, r in want.items():
+        for c in ("attack", "defense", "home_advantage", "rho"):
+            assert got[k][c] == pytest.approx(r[c], abs=2e-4), (k, c)
+        assert got[k].n_matches == r.n_matches
