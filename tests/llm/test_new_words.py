@@ -278,3 +278,9 @@ def test_machine_keeps_an_open_session_over_batches():
         parts = [pd.DataFrame(x, columns=cols).astype({"late": bool, "final": bool}) for x in (rows[:cut], rows[cut:])]
         got = pd.concat(list(S.machine(iter(parts), 20)))
         assert got[["session_id", "n_clicks", "n_late", "closed_by"]].values.tolist() == [[1, 2, 1, "length"], [3, 1, 0, "end"]]
+
+
+def test_op12_equals_sql(spark):
+    from tests.oracle import compare
+
+    compare(spark, S.op12_gap_sessions, S.OP12_SQL, SMALL)
