@@ -620,7 +620,9 @@ FROM (SELECT *, {_sum(f'coalesce((p_{s} * o_{s} > 1.02::DOUBLE)::INT, 0)' for s
 @query(_CORE + ", " + SCORED_SQL[SCORED_SQL.index("sp AS (") : SCORED_SQL.index("sc AS (")].rstrip().rstrip(",") + " " + " UNION ALL ".join(_report_sql(m) for m in ("power", "proportional", "shin")))
 def backtest_report(spark, sf_dir):
     frame = D.with_labels(LG.flat(spark, sf_dir))
-    frame = _split(X.with_features(frame, ["odds_core"]))
+    shared_folder(spark)
+    # pivot, split and features once for all reports
+    frame = _split(X.with_features(frame, ["odds_core"])).filter("split = 'test'").checkpoint()
     return B.comparison([B.report(B.MarketBaseline(m), frame, "1x2") for m in O.devig_methods()])
 
 

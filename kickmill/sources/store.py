@@ -35,8 +35,9 @@ def open_store(spark: SparkSession, url: str | None = None) -> Store:
 class Store:
     """Tables as lists of Parquet parts.  A version is one JSON file that names every table's parts.
 
-    ``commit`` writes only what is new, then creates the next version's file; a version of that number that another
-    writer has made meanwhile is an error, and what was written stays invisible.  Readers see the last version.
+    ``commit`` writes only what is new, then claims the next version's number and publishes its file by renaming it; a number that another
+    writer has claimed meanwhile is an error, and what was written stays invisible.  Readers see the last version, never a part of it.
+    A claim whose writer was lost before it published has to be deleted by hand.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -66,12 +67,25 @@ class Store:
             part = f"{name}/{number + 1:08d}-{uuid.uuid4().hex}"
             df.write.parquet(f"{self.folder}/{part}")
             parts[name] = [*(parts[name] if name in added else []), part]
-        fs, path = self._fs(f"{self.folder}/versions/{number + 1:08d}.json")
-        out = fs.create(path, False)
-        out.write(json.dumps(parts).encode())
-        out.close()
+        self._publish(number + 1, json.dumps(parts))
         return number + 1
 
+    def _publish(self, number: int, text: str) -> None:
+        """The version's file appears whole, under a name that only the writer that claimed its number uses."""
+        name = f"{self.folder}/versions/{number:08d}"
+        fs, claim = self._fs(f"{name}.claim")
+        fs.create(claim, False).close()  # an error if another writer has the number
+        try:
+            _, aside = self._fs(f"{name}.{uuid.uuid4().hex}.tmp")
+            out = fs.create(aside, False)
+            out.write(text.encode())
+            out.close()
+            if not fs.rename(aside, self._fs(f"{name}.json")[1]):
+                raise OSError(f"{name}.json can't be made")
+        except BaseException:
+            fs.delete(claim, False)
+            raise
+
     def compact(self) -> int:
         """Every table as one part."""
         return self.commit({}, self.tables())
