@@ -194,6 +194,22 @@ def validated_rows(spark, sf_dir):
     return v.select("row_index", "error", "match_date", "kickoff_time", "ft_home", "ft_away", "ht_home", "ht_away", "league_raw")
 
 
+#: A file layout as users write it, and the season file's columns under its names.
+CLUB_PROFILE = """{"name": "club_file", "source_name": "club", "date_col": "Datum", "home_col": "Heim", "away_col": "Gast", "fthg_col": "T1", "ftag_col": "T2", "hthg_col": "H1", "htag_col": "H2", "time_col": "Zeit", "league_col": "Liga",
+  "odds_columns": {"Q1": {"bookmaker": "bet365", "market": "1x2", "selection": "home"}, "QX": {"bookmaker": "bet365", "market": "1x2", "selection": "draw"}, "Q2": {"bookmaker": "bet365", "market": "1x2", "selection": "away"}}}"""
+CLUB_COLUMNS = {"Date": "Datum", "HomeTeam": "Heim", "AwayTeam": "Gast", "FTHG": "T1", "FTAG": "T2", "HTHG": "H1", "HTAG": "H2", "Time": "Zeit", "Div": "Liga", "B365H": "Q1", "B365D": "QX", "B365A": "Q2"}
+
+
+@query(RAW_SQL + """ SELECT row_index, CAST(fth AS INTEGER) AS ft_home, CAST(fta AS INTEGER) AS ft_away, CAST(coalesce((h >= 1.01)::INT, 0) + coalesce((d >= 1.01)::INT, 0) + coalesce((a >= 1.01)::INT, 0) AS BIGINT) AS n_odds,
+  league_raw, 'club_file' AS profile, CAST(1.0 AS DOUBLE) AS score FROM val WHERE error IS NULL""")
+def custom_profile(spark, sf_dir):
+    """The season file under other names, recognised and read by a profile from its JSON text."""
+    raw = LG.season_file(spark, sf_dir).withColumnsRenamed(CLUB_COLUMNS)
+    profile, score = MP.detect_profile([c for c in raw.columns if c != "row_index"], [*MP.PROFILES, MP.parse_profile(CLUB_PROFILE)])
+    v = V.validate(raw, profile).filter("error IS NULL")
+    return v.select("row_index", "ft_home", "ft_away", F.size("odds").cast("long").alias("n_odds"), "league_raw", F.lit(profile.name).alias("profile"), F.lit(float(score)).alias("score"))
+
+
 @query(RAW_SQL + """, q AS (
   SELECT row_index, 'bet365' AS bookmaker, '1x2' AS market, unnest(['home', 'draw', 'away']) AS selection, unnest([h, d, a]) AS price FROM val WHERE error IS NULL
   UNION ALL SELECT row_index, 'market_avg', 'ou_2.5', unnest(['over', 'under']), unnest([ov, un]) FROM val WHERE error IS NULL)
