@@ -129,8 +129,8 @@ def solve(kernel: np.ndarray, y: np.ndarray, cost: float) -> tuple[np.ndarray, f
     return beta, float(bias)
 
 
-def train_machine(plus: str, minus: str, x: np.ndarray, kernel: np.ndarray, y: np.ndarray, cost: float) -> Machine:
-    """Fit on all rows; the slope is set on rows left out of a first fit."""
+def train_machine(plus: str, minus: str, x: np.ndarray, at: np.ndarray, kernel: np.ndarray, y: np.ndarray, cost: float) -> Machine:
+    """Fit on the rows ``at``; the slope is set on rows left out of a first fit."""
     out = np.arange(len(y)) % 5 == 4
     slope = 4.0
     if len(set(y[~out])) == 2 and out.any():
@@ -139,7 +139,9 @@ def train_machine(plus: str, minus: str, x: np.ndarray, kernel: np.ndarray, y: n
         slopes = np.geomspace(0.5, 16, 21)
         slope = float(slopes[np.argmin([np.mean(np.log1p(np.exp(-s * margin))) for s in slopes])])
     beta, bias = solve(kernel, y, cost)
-    return Machine(plus, minus, beta @ x, bias, slope)
+    # by columns, so that x is never copied whole
+    weights = np.concatenate([beta @ x[at, lo : lo + 1024] for lo in range(0, x.shape[1], 1024)])
+    return Machine(plus, minus, weights, bias, slope)
 
 
 def train(texts: list[str], langs: list[str], cost: float = 10.0) -> Model:
@@ -152,7 +154,8 @@ def train(texts: list[str], langs: list[str], cost: float = 10.0) -> Model:
         x[i] = counts / max(1, counts.sum())
     lang = np.array(langs, dtype=object)
     use = np.flatnonzero(letters)
-    x, lang = x[use], lang[use]
+    if len(use) < len(x):
+        x, lang = x[use], lang[use]
     # features are small fractions; one common factor puts the kernel near 1
     factor = 1.0 / max(1e-9, float(np.sqrt(np.mean(np.einsum("ij,ij->i", x, x))))) if len(x) else 1.0
     x *= np.float32(factor)
@@ -165,7 +168,7 @@ def train(texts: list[str], langs: list[str], cost: float = 10.0) -> Model:
         found = []
         for a, b in combinations(names, 2):
             at = np.flatnonzero((label == a) | (label == b))
-            m = train_machine(a, b, x[at], kernel[np.ix_(at, at)], np.where(label[at] == a, 1.0, -1.0), cost)
+            m = train_machine(a, b, x, at, kernel[np.ix_(at, at)], np.where(label[at] == a, 1.0, -1.0), cost)
             m.weights = m.weights * factor
             found.append(m)
         return found
@@ -265,6 +268,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     sample = training_sample(docs, id_col, text_col, lang_col, per_language)
     model = train([t for t, _ in sample], [lang for _, lang in sample])
     table = model.table()
+    release()  # the driver's memory, too
 
     @F.arrow_udf("lang_pred string, lang_score double")
     def judge(texts: pa.Array) -> pa.Array:
