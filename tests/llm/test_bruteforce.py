@@ -101,20 +101,25 @@ class PlainLicences:
     def __init__(self, spark):
         self.classes, table, self.intercepts, self.least = LS.train(spark)
         self.weights = {r.g: r.w for r in table.collect()}
-        self.templates = {f: [{g for g in grams(t) if " " in g} for t in ts] for f, ts in LS.templates().items()}
+        self.templates = {f: [({g for g in grams(t.text) if " " in g}, set(t.marks), t.whole) for t in ts] for f, ts in LS.templates().items()}
+        self.notices = [t for ts in self.templates.values() for t, _, whole in ts if t and not whole]
 
-    def agreement(self, own, families):
+    def agreement(self, own, family):
         two = {g for g in own if " " in g}
-        return max((len(two & t) / max(1, min(len(two), len(t))) for f in families for t in self.templates.get(f, []) if t), default=0.0)
+        return max((len(two & t) / (len(t) if whole else max(1, min(len(two), len(t)))) for t, marks, whole in self.templates.get(family, []) if t and marks <= set(own)), default=0.0)
+
+    def agrees(self, own):
+        two = {g for g in own if " " in g}
+        return any(len(two & t) / max(1, min(len(two), len(t))) >= LS.AGREEMENT for t in self.notices)
 
     def judged(self, text, at, lines):
         own = grams(text)
-        if not any(c in text.lower() for c in LS.CUES) and self.agreement(own, self.templates) < LS.AGREEMENT:
+        if not any(c in text.lower() for c in LS.CUES) and not self.agrees(own):
             return None
         scores = np.array(self.intercepts) + sum((np.array(self.weights[g]) for g in own if g in self.weights), np.zeros(len(self.classes)))
         p = np.exp(scores - scores.max())
         p /= p.sum()
-        family, agreement = self.classes[int(p.argmax())], self.agreement(own, [self.classes[int(p.argmax())]])
+        family, agreement = self.classes[int(p.argmax())], self.agreement(own, self.classes[int(p.argmax())])
         return at, lines, family, float(p.max()), agreement, family != LS.UNKNOWN and p.max() >= self.least and agreement >= LS.AGREEMENT
 
     def scan(self, text):

@@ -1,6 +1,7 @@
 """Packing, language ID, licences and decontamination."""
 
 import random
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -194,12 +195,49 @@ def test_licences(spark):
     assert got[99] == [] and got[98] == ["MIT"]
 
 
+def confirmed(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: sorted({x.family for x in r.licences if x.confirmed}) for r in LS.scan(df).collect()}
+    return [(t, got[i]) for i, t in enumerate(texts)]
+
+
 def test_licences_of_every_template(spark):
-    """Every notice and sentence is found, with or without a cue."""
-    rows = [(f, t) for f, ts in LS.templates().items() for t in ts]
-    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
-    got = {r.doc_id: [x.family for x in r.licences if x.confirmed] for r in LS.scan(df).collect()}
-    assert [(t, got[i]) for i, (_, t) in enumerate(rows)] == [(t, [f]) for f, t in rows]
+    """Every notice, sentence and whole paragraph is found, with or without a cue."""
+    rows = {t.text: [f] for f, ts in LS.templates().items() for t in ts}
+    assert confirmed(spark, list(rows)) == list(rows.items())
+
+
+def test_licences_near_a_family(spark):
+    """Other versions, other licences and names without a version are none of the families."""
+    want = {
+        "Licensed under the Apache License, Version 1.1.": [], "It is free under the Apache License, Version 1.1": [], "Released under the BSD license.": [], "The code is under the BSD license": [],
+        "SPDX-License-Identifier: GPL-2.0-or-later": ["GPL-2.0"], "// SPDX-License-Identifier: LGPL-2.1-only": ["LGPL-2.1"], "This work is licensed under CC BY-NC-ND 4.0.": ["CC-BY-NC-ND-4.0"],
+        "This work is licensed under CC BY-NC-ND 3.0.": [], "Licensed under CC BY 2.5.": [], "Licensed under the Mozilla Public License, Version 1.0.": [], "Released under the GNU General Public License.": [],
+        "Released under the GNU Lesser General Public License, version 2.1.": ["LGPL-2.1"], "This project is distributed under the terms of the GNU Affero General Public License, version 3.": ["AGPL-3.0"],
+        "This work is licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": ["CC-BY-NC-SA-4.0"],
+        "This work is licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 2.0 Generic License.": [],
+    }
+    assert confirmed(spark, list(want)) == list(want.items())
+
+
+def test_licences_whole_texts(spark):
+    """Wrapped texts; what both licences share tells neither."""
+    wrapped = lambda t: "\n".join(" * " + x for x in textwrap.wrap(t, 60))
+    two, three = LS.TEXTS["BSD-2-Clause"][0], LS.TEXTS["BSD-3-Clause"][0]
+    want = {wrapped(two): ["BSD-2-Clause"], wrapped(three): ["BSD-3-Clause"], two[:150]: [], wrapped(LS.TEXTS["MIT"][0]): ["MIT"], wrapped(LS.TEXTS["BSL-1.0"][0]): ["BSL-1.0"], wrapped(LS.TEXTS["Zlib"][0]): ["Zlib"]}
+    assert confirmed(spark, list(want)) == list(want.items())
+
+
+def test_licence_calibration_is_held_out():
+    """No two training rows have equal words, and a held-out sentence's pattern has no row in the calibrating fit."""
+    rows = LS.training_rows()
+    assert len({tuple(LS.plain_words(t)) for t, _, _ in rows}) == len(rows)
+    assert all(f == LS.UNKNOWN for _, f, g in rows if g >= 0)
+    groups = defaultdict(set)
+    for t, _, g in rows:
+        if g >= 0:
+            groups[g].add(len(t.split()))
+    assert len(groups) == len(LS.LOOKALIKES) // LS.LOOKALIKE_WORDS and all(len(x) == 1 for x in groups.values())
 
 
 def test_licences_over_several_lines(spark):
