@@ -220,6 +220,11 @@ def test_licences_near_a_family(spark):
     assert confirmed(spark, list(want)) == list(want.items())
 
 
+def test_licences_of_no_lookalike(spark):
+    rows = [*LS.LOOKALIKES, *(n.format(name) for name in LS.NEAR for n in LS.NOTICES)]
+    assert [x for x in confirmed(spark, rows) if x[1]] == []
+
+
 def test_licences_whole_texts(spark):
     """Wrapped texts; what both licences share tells neither."""
     wrapped = lambda t: "\n".join(" * " + x for x in textwrap.wrap(t, 60))
