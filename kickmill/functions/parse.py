@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,56 +35,80 @@ TIME_BEHIND = r"(?:[t ,]+|\s+at\s+)\d{1,2}(?:[:.]\d{2}(?:[:.]\d{2}(?:[.,]\d+)?)?
 DAY_NAME = r"\b(?:mon|tue|tues|wed|wednes|thu|thur|thurs|fri|sat|satur|sun)(?:day)?\b\.?,?"
 MONTH_NAME = r"(?<![a-z])(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(?:uary|ruary|ch|il|e|y|ust|t|tember|ober|ember)?(?![a-z])\.?"
 
-
-def day(value: Column, dayfirst: bool = True) -> Column:
-    """A date in one of the known layouts, else in free form; two- and four-digit years can't be mistaken for each other."""
-    text = present(value)
-
-    def read(layout: str) -> Column:
-        date = F.try_to_date(text, layout)
-        # years 70 to 99 without a century belong to the last one
-        return date if "yyyy" in layout else F.when(F.year(date) >= 2070, F.add_months(date, -1200)).otherwise(date)
-
-    return F.coalesce(*[read(f) for f in (DAY_FIRST if dayfirst else MONTH_FIRST)], free_day(text, dayfirst))
+#: Whole numbers in the range of a day or month; a year with or without its century; what separates them.
+DAYS, ABOVE_12, OF_YEAR, SEP = r"0*(?:[1-9]|[12]\d|3[01])", r"0*(?:1[3-9]|2\d|3[01])", r"0*(?:[1-9]|1[0-2])", r"[\s,./-]"
+SHAPES = {"dd": r"(?P<d>0[1-9]|[12]\d|3[01])", "d": f"(?P<d>{DAYS})", "MM": r"(?P<m>0[1-9]|1[0-2])", "M": f"(?P<m>{OF_YEAR})", "yyyy": r"(?P<y>\d{4}|\+\d{5,6}|-\d{4,6})", "yy": r"(?P<y>\d{2})"}
+#: Signed years and needless zeros, which only the known layouts read; all else that they accept, the free form reads alike.
+ODD = re.compile(r"^[+-]\d{4,}-|[/.-][+-]\d{4,}$|^0\d{2,}/|/0\d{2,}/", re.ASCII)
+
+
+def any_of(forms: list[str]) -> tuple[re.Pattern, dict[str, list[int]]]:
+    """One pattern of several forms, and which of its groups are year, month and day."""
+    kinds = [m[1] for m in re.finditer(r"\(\?P<(\w)>", " ".join(forms))]
+    return re.compile("|".join(re.sub(r"\(\?P<\w>", "(", f) for f in forms), re.ASCII), {of: [i + 1 for i, k in enumerate(kinds) if k == of] for of in "ymd"}
+
+
+def layout_forms(layouts: tuple[str, ...]) -> list[str]:
+    return [re.sub(r"([a-zA-Z]+)|(.)", lambda m: SHAPES[m[1]] if m[1] else re.escape(m[2]), layout) for layout in layouts]
+
+
+def free_forms(dayfirst: bool) -> list[str]:
+    """Three numbers, two and a month's name, or eight digits."""
+    to, few = f"{SEP}+", f"{SEP}*"
+    four, short = r"(?P<y>\d{4})(?!\d)", r"(?!\d{4}(?!\d))%s(?P<y>\d{4}|\d{2})"
+    day, month, above = (f"(?P<{k}>{x})(?!\\d)" for k, x in (("d", DAYS), ("m", OF_YEAR), ("d", ABOVE_12)))
+    pairs = ((day, month), (month, above)) if dayfirst else ((month, day), (above, month))
+    forms = [to.join((four, month, day)), to.join((four, above, month)), *[short % "".join(x + to for x in pair) for pair in pairs], r"(?P<y>\d{4})(?P<m>0[1-9]|1[0-2])(?P<d>0[1-9]|[12]\d|3[01])"]
+    name = MONTH_NAME.replace("(jan", "(?P<m>jan", 1)
+    for before, between, behind in ((name + few, to, ""), ("", few + name + few, ""), ("", to, few + name)):
+        forms += [before + four + between + day + behind, before + short % (day + between) + behind]
+    return [f"{few}(?:{f}){few}" for f in forms]
+
+
+LAYOUTS = {True: any_of(layout_forms(DAY_FIRST)), False: any_of(layout_forms(MONTH_FIRST))}
+FREE = {x: any_of(free_forms(x)) for x in (True, False)}
+#: ``$`` of the JVM: also before a last line break of any kind.
+BESIDE = [(re.compile(p.replace("$", r"(?=(?:\r\n|[\n\r\u0085\u2028\u2029])?\Z)"), re.ASCII), to) for p, to in ((TIME_BEHIND, ""), (DAY_NAME, " "), (r"(?<=\d)(?:st|nd|rd|th)\b", ""))]
+
+
+def days_of(text: str, dayfirst: bool = True) -> int | None:
+    """Days since 1970 of a date in one of the known layouts, else in free form."""
+    text = text.strip(" ")
+    found, groups = ODD.search(text) and LAYOUTS[dayfirst][0].fullmatch(text), LAYOUTS[dayfirst][1]
+    if not found:
+        plain = text.lower()
+        for pattern, to in BESIDE:
+            plain = pattern.sub(to, plain)
+        found, groups = FREE[dayfirst][0].fullmatch(plain), FREE[dayfirst][1]
+    if not found:
+        return None
+    y, m, d = (next(x for i in groups[of] if (x := found[i]) is not None) for of in "ymd")
+    # years 70 to 99 without a century belong to the last one
+    year = int(y) + (len(y) == 2) * (1900 if y >= "70" else 2000)
+    month, day = MONTHS.index(m) + 1 if m in MONTHS else int(m), int(d)
+    if day > (29 if month == 2 and year % 4 == 0 and (year % 100 or year % 400 == 0) else (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)[month - 1]):
+        return None
+    # counted from March, so that a leap day is a year's last
+    year, month = (year - 1, month + 9) if month < 3 else (year, month - 3)
+    return 365 * year + year // 4 - year // 100 + year // 400 + (153 * month + 2) // 5 + day - 719469
 
 
-def free_day(text: Column, dayfirst: bool = True) -> Column:
-    """A date of day, month and year as numbers or a month's name, in any order; a time, a zone or a day's name beside it is left out.
+def day(value: Column, dayfirst: bool = True) -> Column:
+    """A date in one of the known layouts, else in free form; two- and four-digit years can't be mistaken for each other.
 
+    Free form: day, month and year as numbers or a month's name, in any order; a time, a zone or a day's name beside them is left out.
     A year has four digits, or is the last of the numbers.  Of two numbers that could both be the month, ``dayfirst`` tells which is
     the day; if only one can, that one is the month.  Eight digits alone are year, month, day.  Anything else beside is no date.
+
+    Each text of a batch is read once, however often it is there; as column expressions, a dozen patterns a cell cost far more.
     """
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(text), TIME_BEHIND, ""), DAY_NAME, " "), r"(?<=\d)(?:st|nd|rd|th)\b", "")
-    return once(plain, lambda p: once(parts_of(p), lambda x: once(year_month_day(x, dayfirst), lambda y: F.when(x["shaped"], F.try_to_date(F.format_string("%04d-%02d-%02d", y["year"], y["month"], y["day"]), "yyyy-MM-dd")))))
-
-
-def once(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of a value that is computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
-def parts_of(plain: Column) -> Column:
-    """Numbers (as text), the month that is named, and whether nothing but these and separators is there."""
-    name, digits = F.regexp_extract(plain, MONTH_NAME, 1), F.regexp_extract_all(plain, F.lit(r"(\d+)"), F.lit(1))
-    shaped = F.rlike(F.regexp_replace(plain, MONTH_NAME, " "), F.lit(r"^[\s,./-]*\d+(?:[\s,./-]+\d+)*[\s,./-]*$")) & ~F.rlike(plain, F.lit(MONTH_NAME + ".*" + MONTH_NAME))
-    numbers = F.transform(digits, lambda d: F.struct(d.try_cast("int").alias("n"), F.char_length(d).alias("size")))
-    return F.struct(numbers.alias("d"), F.array_position(F.array(*[F.lit(m) for m in MONTHS]), name).cast("int").alias("name"), shaped.alias("shaped"))
-
-
-def year_month_day(x: Column, dayfirst: bool) -> Column:
-    """Which number is what; nulls where the numbers make no date."""
-    a, b, c = (F.get(x["d"], F.lit(i))["n"] for i in range(3))
-    of = lambda y, m, d, digits: F.struct(y.alias("y"), m.alias("month"), d.alias("day"), digits.alias("digits"))
-    size, first = F.size(x["d"]), F.get(x["d"], F.lit(0))["size"]
-    swap = (b > 12) & (a <= 12) if dayfirst else (a <= 12) | (b > 12)
-    last = F.get(x["d"], size - 1)["size"]
-    iso = F.when((b > 12) & (c <= 12), of(a, c, b, first)).otherwise(of(a, b, c, first))
-    three = F.when(first == 4, iso).when(swap, of(c, a, b, last)).otherwise(of(c, b, a, last))
-    two = F.when(first == 4, of(a, x["name"], b, first)).otherwise(of(b, x["name"], a, last))
-    eight = of(F.floor(a / 10000).cast("int"), (F.floor(a / 100) % 100).cast("int"), a % 100, F.lit(4))
-    which = F.when((x["name"] > 0) & (size == 2), two).when((x["name"] == 0) & (size == 3), three).when((x["name"] == 0) & (size == 1) & (first == 8), eight)
-    full = lambda w: F.when(w["digits"] == 4, w["y"]).when((w["digits"] == 2) & (w["y"] >= 70), w["y"] + 1900).when(w["digits"] == 2, w["y"] + 2000)
-    return once(which, lambda w: F.struct(full(w).alias("year"), w["month"].alias("month"), w["day"].alias("day")))
+
+    @F.arrow_udf("int")
+    def days(texts: pa.Array) -> pa.Array:
+        coded = texts.dictionary_encode()
+        return pa.array([days_of(t, dayfirst) for t in coded.dictionary.to_pylist()], pa.int32()).take(coded.indices)
+
+    return F.date_from_unix_date(days(value.cast("string")))
 
 
 TIME = r"^(?:\d{4}-\d{2}-\d{2}[t ])?(\d{1,2})(?:[:.h](\d{2})(?:[:.]\d{2}(?:[.,]\d+)?)?)?\s*(?:([ap])\.?m\.?)?\s*(?:z|utc|gmt|[+-]\d{2}:?\d{2})?$"

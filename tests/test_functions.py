@@ -95,3 +95,12 @@ def test_profiles(tmp_path):
     (tmp_path / "p.json").write_text('{"name": "n", "source_name": "s", "date_col": "d", "home_col": "h", "away_col": "a", "fthg_col": "x", "ftag_col": "y"}')
     assert MP.load_profile(tmp_path / "p.json").odds_columns == {} and MP.load_profile(str(tmp_path / "p.json")).fixed_league is None
     assert math.isclose(MP.fit(own, ["d", "h", "a", "x", "y", "O"]).score, 1.0)
+
+
+def test_dates_are_read_once_a_text(spark):
+    day = lambda x, first=True: None if (n := P.days_of(x, first)) is None else str(np.datetime64(n, "D"))
+    for text, want in (("29/02/72", "1972-02-29"), ("29/02/70", None), ("0005/06/2020", "2020-06-05"), ("-2020-01-05", "-2020-01-05"), (" 5 Sept. 99 ", "1999-09-05"), ("20191399", None), ("2020 5 jan", "2020-01-05"), ("jan feb 5 2020", None), ("1st may 2020, 2pm\r", "2020-05-01")):
+        assert day(text) == want
+    assert (day("05/13/2020"), day("05/06/2020", False), day("13/06/2020", False)) == ("2020-05-13", "2020-05-06", "2020-06-13")
+    rows = spark.createDataFrame([("5 jan 2020",)] * 3 + [(None,), ("nan",)], "t string").coalesce(1).select(P.day(F.col("t")).alias("d"))
+    assert [r.d and str(r.d) for r in rows.collect()] == ["2020-01-05"] * 3 + [None] * 2
