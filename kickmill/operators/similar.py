@@ -4,7 +4,8 @@ The measure is that of ``difflib``: twice the matched characters over both lengt
 of that ratio differ by at most ``(1 - cutoff) * (both lengths)`` deletions and insertions.  One name is cut into one chunk more than
 that; each deletion or insertion spoils one chunk at most, so some chunk is in the other name whole, shifted by no more than the
 rest allows.  An equi-join on (length, number of the chunk, chunk) therefore finds all pairs; bounds on the shift are in its keys,
-a bound on common characters follows, and what is left is measured in both directions.  No list of names goes through the driver.
+a bound on common characters, from 128 bits a name, is part of the join, so other candidates are never written; what is left is
+measured in both directions.  No list of names goes through the driver.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql.window import Window
 
 from kickmill.session import shared_folder
 
+SIGNED = "name string, place long, n long, s0 long, s1 long"
 PAIRS = "name string, candidate string, similarity double, recorded double"
 
 
@@ -30,6 +32,25 @@ def bags(names: list[str]) -> np.ndarray:
     return np.bincount(row * 64 + points % 64, minlength=64 * len(names)).reshape(-1, 64)
 
 
+def signature(batches):
+    """Adds 128 bits to names (name, place, n): a character's first, second, ... occurrence flips one bit each.
+
+    Names that differ by so many deletions and insertions differ by at most as many bits.
+    """
+    for batch in batches:
+        names = batch.column(0).to_pylist()
+        points = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32).astype(np.int64)
+        row = np.repeat(np.arange(len(names)), [len(n) for n in names])
+        order = np.lexsort((points, row))
+        points, row = points[order], row[order]
+        first = np.flatnonzero(np.append(True, (points[1:] != points[:-1]) | (row[1:] != row[:-1]))) if len(row) else row
+        turn = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+        bit = (points * 37 + turn * 59) % 128
+        bits = np.zeros(2 * len(names), np.uint64)
+        np.bitwise_xor.at(bits, 2 * row + bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(bits[i::2].view(np.int64)) for i in (0, 1))], ["name", "place", "n", "s0", "s1"])
+
+
 def measured(batches, cutoff: float):
     """Of candidate pairs those at or above the cutoff, as the search (candidate, name) sees it; recorded is the ratio of (name, candidate)."""
     for batch in batches:
@@ -58,7 +79,8 @@ def similar_pairs(names: DataFrame, pool: DataFrame, cutoff: float = 0.92) -> Da
     place = F.min("place") if ordered else F.lit(0)
     sides = []
     for df in (names, pool):
-        sides.append(df.filter(F.col("name").isNotNull() & (F.col("name") != "")).groupBy("name").agg(place.cast("long").alias("place")).withColumn("n", F.char_length("name")))
+        one = df.filter(F.col("name").isNotNull() & (F.col("name") != "")).groupBy("name").agg(place.cast("long").alias("place"))
+        sides.append(one.select("name", "place", F.char_length("name").cast("long").alias("n")).mapInArrow(signature, SIGNED))
     most = 2 * (1 - cutoff) / cutoff
     if most < 1:
         own = f"""transform(sequence(0L, floor({most!r} * n + 1e-9)), i -> named_struct('n', n, 'i', i, 'c',
@@ -69,16 +91,17 @@ def similar_pairs(names: DataFrame, pool: DataFrame, cutoff: float = 0.92) -> Da
             flatten(transform(sequence(0L, floor({most!r} * x + 1e-9)), i ->
               transform(filter(sequence(greatest(0L, i * {q} - {d}), greatest(0L, i * {q} + {d})), p -> p + {q} <= n AND abs(p - i * {q}) + abs(n - x - p + i * {q}) <= {d}),
                 p -> named_struct('n', x, 'i', i, 'c', substring(name, CAST(p AS INT) + 1, CAST({q} AS INT))))))))"""
-        sides = [s.withColumn("n", F.col("n").cast("long")) for s in sides]
         keys = [own, theirs]
     else:
         keys = ["transform(array_distinct(split(name, '')), c -> named_struct('n', 0L, 'i', 0L, 'c', c))"] * 2
-    left, right = (s.select("name", "place", F.explode(F.array_distinct(F.expr(k))).alias("k")) for s, k in zip(sides, keys))
-    right = right.withColumnsRenamed({"name": "candidate", "place": "before"})
-    found = left.join(right, "k").filter("name <> candidate")
+    left, right = (s.select("name", "place", "n", "s0", "s1", F.explode(F.array_distinct(F.expr(k))).alias("k")).select("*", "k.n", "k.i", "k.c").drop("k").toDF(*(f"{x}{c}" for c in ("name", "place", "n", "s0", "s1", "kn", "ki", "kc"))) for x, s, k in zip("ab", sides, keys))
+    apart = F.bit_count(F.col("as0").bitwiseXOR(F.col("bs0"))) + F.bit_count(F.col("as1").bitwiseXOR(F.col("bs1")))
+    near = apart <= F.floor(F.lit(1 - cutoff) * (F.col("an") + F.col("bn")) + 1e-9)
+    same = (F.col("akn") == F.col("bkn")) & (F.col("aki") == F.col("bki")) & (F.col("akc") == F.col("bkc"))
+    found = left.hint("merge").join(right, same & near & (F.col("aname") != F.col("bname")))
     if ordered:
-        found = found.filter("before < place")
-    return found.select("name", "candidate").distinct().mapInArrow(lambda batches: measured(batches, cutoff), PAIRS)
+        found = found.filter("bplace < aplace")
+    return found.select(F.col("aname").alias("name"), F.col("bname").alias("candidate")).distinct().mapInArrow(lambda batches: measured(batches, cutoff), PAIRS)
 
 
 def first_come(places: DataFrame, pairs: DataFrame) -> DataFrame:

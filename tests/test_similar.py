@@ -106,3 +106,14 @@ def test_client_queries_equal_brute_force(spark):
         teams[N.normal_name(r.name)] = r.vendor_id
     got = sorted((r.normal, r.team_id, r.kind, r.matched_key) for r in QUERIES["client_resolution"](spark, SMALL).collect())
     assert got == sorted((x[0], x[1], x[2], x[4]) for x in plain_resolution(seen, teams, {}, 0.92))
+
+
+def test_candidates_that_cannot_be_alike_are_not_written(spark):
+    """Names that share a chunk but few other characters stay inside the join."""
+    r = random.Random(3)
+    names = ["abcdef" + "".join(r.choices("ghijklmnopqrstuvwxyz", k=11)) for _ in range(200)]
+    frame = spark.createDataFrame([(n,) for n in names], "name string")
+    pairs = similar_pairs(frame, frame, 0.92)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "bit_count" in plan
+    assert sorted(map(tuple, pairs.collect())) == plain_pairs(names, names, 0.92)
