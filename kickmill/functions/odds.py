@@ -124,19 +124,20 @@ def _solver(solve):
         import pandas as pd
 
         sizes = values.map(lambda v: -1 if v is None else len(v))
-        out = pd.Series([None] * len(values), index=values.index, dtype=object)
+        out = np.full(len(values), None, object)
         for n in sorted(set(sizes) - {-1, 0}):
             at = np.flatnonzero((sizes == n).to_numpy())
-            p = np.stack(values.iloc[at].to_list()).astype(float)
+            # equal prices are solved once a batch
+            p, back = np.unique(np.stack(values.iloc[at].to_list()).astype(float), axis=0, return_inverse=True)
             good = np.isfinite(p).all(1) & (p > 0).all(1)
             fair = np.full(p.shape, np.nan)
             fair[good] = solve(p[good])
             total = fair.sum(1)[:, None]
             fair = np.where(np.abs(total - 1) <= 1e-6, fair / total, np.nan)
-            for i, row in zip(at, fair):
-                if np.isfinite(row).all():
-                    out.iloc[i] = row
-        return out
+            cells = np.empty(len(fair), object)
+            cells[:] = [row if np.isfinite(row).all() else None for row in fair]
+            out[at] = cells[back]
+        return pd.Series(out, index=values.index)
 
     return apply
 

@@ -270,32 +270,60 @@ def grid_sums(lam: np.ndarray, mu: np.ndarray, rho: np.ndarray) -> np.ndarray:
     return np.stack([grid[:, m].sum(1) for m in (x > y, x == y, x < y, x + y > 2)], 1)
 
 
-def solve_rates(p_home: np.ndarray, p_draw: np.ndarray, rho: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Rates whose grid has these home and draw probabilities: damped Newton steps in logarithms; NaN where it fails."""
-    z = np.tile(np.log([1.3, 1.1]), (len(p_home), 1))
-    target = np.stack([p_home, p_draw], 1)
+def rate_misses(z: np.ndarray, rho: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, 2): home and draw of the grids of logarithmic rates z, less the target; and (rows, 2, 2): their derivatives by z.
 
-    def miss(z):
-        return grid_sums(np.exp(z[:, 0]), np.exp(z[:, 1]), rho)[:, :2] - target
+    Sums over the grid come from running sums of the goals' masses, so a row costs its goals, not its cells.
+    """
+    k = np.arange(MAX_GOALS + 1)
+    log_fact = np.append(0.0, np.cumsum(np.log(k[1:])))
+    rates = np.exp(z)
+    lam, mu = rates.T
+    px, py = (np.exp(k * z[:, j, None] - rates[:, j, None] - log_fact) for j in (0, 1))
+    dx, dy = px * (k - lam[:, None]), py * (k - mu[:, None])
+    below = lambda p: np.cumsum(p, 1) - p
+    sums = []  # home, draw, all; and each by both rates
+    for u, v in ((px, py), (dx, py), (px, dy)):
+        sums.append([(u * below(v)).sum(1), (u * v).sum(1), u.sum(1) * v.sum(1)])
+    # the four corrected cells, never below nothing
+    for i, j, t, t_lam, t_mu in ((0, 0, 1 - lam * mu * rho, -lam * mu * rho, -lam * mu * rho), (1, 0, 1 + mu * rho, 0.0, mu * rho), (0, 1, 1 + lam * rho, lam * rho, 0.0), (1, 1, 1 - rho, 0.0, 0.0)):
+        p, up = px[:, i] * py[:, j], t > 0
+        p_lam, p_mu = dx[:, i] * py[:, j], px[:, i] * dy[:, j]
+        for n, more in enumerate((p * np.maximum(t, 0) - p, np.where(up, p_lam * t + p * t_lam, 0.0) - p_lam, np.where(up, p_mu * t + p * t_mu, 0.0) - p_mu)):
+            sums[n][2] = sums[n][2] + more
+            if i >= j:
+                sums[n][0 if i > j else 1] = sums[n][0 if i > j else 1] + more
+    (home, draw, total), *by_rate = sums
+    share = np.stack([home, draw], 1) / total[:, None]
+    slope = np.stack([(np.stack([h, d], 1) - share * t[:, None]) / total[:, None] for h, d, t in by_rate], 2)
+    return share - target, slope
 
-    for _ in range(rounds):
-        f = miss(z)
-        if np.nanmax(np.abs(f), initial=0.0) < 1e-13:
+
+def solve_rates(p_home: np.ndarray, p_draw: np.ndarray, rho: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Rates whose grid has these home and draw probabilities: damped Newton steps in logarithms; NaN where it fails.
+
+    Rows that are alike are solved once, and a row that is solved takes no part in later rounds.
+    """
+    rows, back = np.unique(np.stack([p_home, p_draw, rho], 1), axis=0, return_inverse=True)
+    target, rho = rows[:, :2], rows[:, 2]
+    z = np.tile(np.log([1.3, 1.1]), (len(rows), 1))
+    at, error = np.arange(len(rows)), np.zeros(len(rows))
+    for turn in range(rounds + 1):
+        f, slope = rate_misses(z[at], rho[at], target[at])
+        error[at] = np.abs(f).max(1)
+        todo = ~(error[at] < 1e-13)
+        if turn == rounds or not todo.any():
             break
-        columns = []
-        for j in range(2):
-            d = np.zeros_like(z)
-            d[:, j] = 1e-6
-            columns.append((miss(z + d) - miss(z - d)) / 2e-6)
-        (a, c), (b, d) = columns[0].T, columns[1].T
+        at, f, slope = at[todo], f[todo], slope[todo]
+        (a, b), (c, d) = slope[:, 0].T, slope[:, 1].T
         det = a * d - b * c
         with np.errstate(divide="ignore", invalid="ignore"):
             step = np.stack([(d * f[:, 0] - b * f[:, 1]) / det, (a * f[:, 1] - c * f[:, 0]) / det], 1)
-        z = np.clip(z - np.clip(np.nan_to_num(step), -0.5, 0.5), -8, 4)
-    bad = np.abs(miss(z)).max(1) > 1e-9
-    lam, mu = np.exp(z[:, 0]), np.exp(z[:, 1])
-    lam[bad] = mu[bad] = np.nan
-    return lam, mu
+        z[at] = np.clip(z[at] - np.clip(np.nan_to_num(step), -0.5, 0.5), -8, 4)
+    bad = ~(error <= 1e-9)
+    lam, mu = np.exp(z).T
+    lam, mu = np.where(bad, np.nan, lam), np.where(bad, np.nan, mu)
+    return lam[back], mu[back]
 
 
 def implied_rates(p_home: Column, p_draw: Column, rho: Column) -> Column:
@@ -303,22 +331,17 @@ def implied_rates(p_home: Column, p_draw: Column, rho: Column) -> Column:
 
     @F.pandas_udf("lam double, mu double, over double")
     def solve(h, d, r):
-        import pandas as pd
-
-        out = pd.DataFrame({"lam": None, "mu": None, "over": None}, index=h.index, dtype=object)
+        out = np.full((len(h), 3), np.nan)
         good = (h.notna() & d.notna() & r.notna()).to_numpy()
         if good.any():
-            rr = r.to_numpy(float)[good]
-            lam, mu = solve_rates(h.to_numpy(float)[good], d.to_numpy(float)[good], rr)
-            fine = np.isfinite(lam)
-            over = np.full(len(lam), np.nan)
-            over[fine] = grid_sums(lam[fine], mu[fine], rr[fine])[:, 3]
-            at = np.flatnonzero(good)[fine]
-            for c, v in (("lam", lam), ("mu", mu), ("over", over)):
-                column = out[c].to_numpy(object, copy=True)
-                column[at] = v[fine]
-                out[c] = column
-        return out
+            asked = np.stack([x.to_numpy(float)[good] for x in (h, d, r)], 1)
+            rows, back = np.unique(asked, axis=0, return_inverse=True)
+            lam, mu = solve_rates(*rows.T)
+            over, fine = np.full(len(rows), np.nan), np.isfinite(lam)
+            over[fine] = grid_sums(lam[fine], mu[fine], rows[fine, 2])[:, 3]
+            out[good] = np.stack([lam, mu, over], 1)[back]
+        # missing, not NaN
+        return pd.DataFrame({c: pd.array(np.ma.masked_invalid(v).filled(0), dtype="Float64") for c, v in zip(("lam", "mu", "over"), out.T)}).mask(np.isnan(out), pd.NA)
 
     return solve(p_home, p_draw, rho)
 

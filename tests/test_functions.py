@@ -8,6 +8,7 @@ from kickmill.functions import goals as G
 from kickmill.functions import names as N
 from kickmill.functions import odds as O
 from kickmill.functions import parse as P
+from kickmill.operators import goalmodel as GM
 from kickmill.operators import mapping as MP
 
 
@@ -104,3 +105,36 @@ def test_dates_are_read_once_a_text(spark):
     assert (day("05/13/2020"), day("05/06/2020", False), day("13/06/2020", False)) == ("2020-05-13", "2020-05-06", "2020-06-13")
     rows = spark.createDataFrame([("5 jan 2020",)] * 3 + [(None,), ("nan",)], "t string").coalesce(1).select(P.day(F.col("t")).alias("d"))
     assert [r.d and str(r.d) for r in rows.collect()] == ["2020-01-05"] * 3 + [None] * 2
+
+
+def test_rates_that_are_alike_are_solved_once(monkeypatch):
+    rows = np.array([[0.45, 0.27, -0.05], [0.2, 0.3, 0.1], [0.4, 1e-9, 0.0]])
+    calls = []
+    misses = GM.rate_misses
+    monkeypatch.setattr(GM, "rate_misses", lambda z, rho, target: calls.append(len(z)) or misses(z, rho, target))
+    many = np.repeat(rows, 1000, 0)
+    lam, mu = GM.solve_rates(*many.T)
+    # three different rows; those solved leave, the impossible one stays
+    assert max(calls) == 3 and calls[-1] == 1
+    sums = GM.grid_sums(lam[[0, 1000]], mu[[0, 1000]], rows[:2, 2])
+    assert np.allclose(sums[:, :2], rows[:2, :2], atol=1e-12) and np.isnan(lam[2000:]).all() and len(set(lam[:1000])) == 1
+
+
+def test_slopes_of_the_grid():
+    z, rho = np.log([[1.3, 1.1], [0.2, 3.0], [2.0, 2.0]]), np.array([0.1, -0.3, 0.9])
+    f, slope = GM.rate_misses(z, rho, np.zeros((3, 2)))
+    assert np.allclose(f, GM.grid_sums(*np.exp(z.T), rho)[:, :2], atol=1e-13)
+    for j in range(2):
+        d = np.zeros(2)
+        d[j] = 1e-6
+        assert np.allclose(slope[:, :, j], (GM.rate_misses(z + d, rho, 0)[0] - GM.rate_misses(z - d, rho, 0)[0]) / 2e-6, atol=1e-8)
+
+
+def test_equal_prices_are_solved_once(spark, monkeypatch):
+    import pandas as pd
+
+    calls = []
+    solve = O._solver(lambda p: calls.append(len(p)) or O.solve_shin(p)).func
+    out = solve(pd.Series([[0.5, 0.3, 0.28], None, [0.6, 0.5], [0.5, 0.3, 0.28], [0.5, -1.0, 0.2]] * 50))
+    assert sum(calls) == 2 and list(out.isna()[:5]) == [False, True, False, False, True]
+    assert list(out[0]) == list(out[3]) and abs(sum(out[0]) - 1) < 1e-9
