@@ -26,11 +26,12 @@ def with_labels(frame: DataFrame) -> DataFrame:
 
 def build(frame: DataFrame, groups: Sequence[str] = ("odds_core", "team_form"), split: S.Split | None = None, guard: bool = True) -> DataFrame:
     """Identity, targets, feature groups, split and raw prices; rows are sorted only when written."""
-    out = X.with_features(with_labels(frame), groups)
-    out = (split or S.FractionSplit(0.7)).assign(out)
+    # split and guard need no feature, so they are done before any is computed
+    base = (split or S.FractionSplit(0.7)).assign(with_labels(frame))
     if guard:
-        S.assert_no_leakage(out, "league_key")
-    return out
+        S.assert_no_leakage(base, "league_key")
+    out = X.with_features(base, groups)
+    return out.select(*[c for c in out.columns if c != "split"], "split")
 
 
 def manifest_stats(dataset: DataFrame) -> DataFrame:

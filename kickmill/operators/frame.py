@@ -17,8 +17,9 @@ def pivot_odds(odds: DataFrame) -> DataFrame:
     """Quotes without a price point as columns, the earliest stored non-null price of each."""
     name = F.concat(F.lit("odds_"), F.regexp_replace("market", r"\.", "_"), F.lit("_"), F.col("selection"), F.lit("_"), F.col("bookmaker"))
     plain = odds.filter(F.col("price_point").isNull()).withColumn("_name", name)
-    # min_by ignores rows whose order is null only, so null prices are dropped before
-    return plain.filter(F.col("decimal_odds").isNotNull()).groupBy("match_id").pivot("_name", odds_columns()).agg(F.min_by("decimal_odds", "id"))
+    # min_by ignores rows whose order is null only, so null prices are dropped before; pivot() would shuffle every quote, then every match
+    own = lambda c, value: F.when(F.col("_name") == c, F.col(value))
+    return plain.filter(F.col("decimal_odds").isNotNull()).groupBy("match_id").agg(*[F.min_by(own(c, "decimal_odds"), own(c, "id")).alias(c) for c in odds_columns()])
 
 
 def with_leagues(matches: DataFrame, leagues: DataFrame) -> DataFrame:

@@ -38,8 +38,8 @@ class CutoffSplit:
 class FractionSplit:
     """The first ``ceil(n * fraction)`` rows of each group by (date, id) train; rows without a group test.
 
-    Groups of up to ``IN_ONE_TASK`` rows are sorted by a task each.  Beyond that only (group, date, id) are sorted, over
-    range partitions; each group's last training row is its cut, and the frame itself stays where it is.
+    Each group's last training row is its cut, found from (group, date, id) alone; the frame itself stays where it is.  Groups of up
+    to ``IN_ONE_TASK`` rows count their dates, and only the date of the cut is sorted.  Beyond that all ids are, over range partitions.
     """
 
     def __init__(self, fraction: float, group: str = "league_key", date: str = "match_date", key: str = "match_id"):
@@ -51,14 +51,33 @@ class FractionSplit:
         return {"strategy": "group_fraction", "train_frac": self.fraction, "group_col": self.group, "date_col": self.date}
 
     def assign(self, frame: DataFrame) -> DataFrame:
-        largest = frame.filter(F.col(self.group).isNotNull()).groupBy(self.group).count().agg(F.max("count")).first()[0] or 0
-        return self.by_window(frame) if largest <= IN_ONE_TASK else self.by_cuts(frame)
+        shared_folder(frame.sparkSession)
+        keys = self.keys(frame).checkpoint()
+        largest = keys.groupBy("_g").count().agg(F.max("count")).first()[0] or 0
+        return self.cut(frame, self.cuts_by_date(keys) if largest <= IN_ONE_TASK else self.cuts_by_range(keys))
+
+    def keys(self, frame: DataFrame) -> DataFrame:
+        return frame.filter(F.col(self.group).isNotNull()).select(F.col(self.group).alias("_g"), F.col(self.date).alias("_d"), F.col(self.key).alias("_k"))
+
+    def cuts_by_date(self, keys: DataFrame) -> DataFrame:
+        days = keys.groupBy("_g", "_d").agg(F.count("*").alias("_c"))
+        whole = Window.partitionBy("_g")
+        days = days.withColumns({"_upto": F.sum("_c").over(whole.orderBy("_d")), "_last": F.ceil(F.sum("_c").over(whole) * F.lit(self.fraction))})
+        cut = days.filter((F.col("_upto") >= F.col("_last")) & (F.col("_upto") - F.col("_c") < F.col("_last"))).select(F.col("_g").alias("_cg"), F.col("_d").alias("_cd"), (F.col("_last") - F.col("_upto") + F.col("_c")).alias("_left")).checkpoint()
+        same = (F.col("_g") == F.col("_cg")) & F.col("_d").eqNullSafe(F.col("_cd"))
+        on_day = keys.join(F.broadcast(cut) if cut.limit(MOST_CUTS + 1).count() <= MOST_CUTS else cut, same)
+        placed = on_day.withColumn("_n", F.row_number().over(Window.partitionBy("_g").orderBy("_k")))
+        return placed.filter("_n = _left").select("_g", F.struct("_d", "_k").alias("_cut")).checkpoint()
 
     def by_cuts(self, frame: DataFrame) -> DataFrame:
-        keys = frame.filter(F.col(self.group).isNotNull()).select(F.col(self.group).alias("_g"), F.col(self.date).alias("_d"), F.col(self.key).alias("_k"))
+        return self.cut(frame, self.cuts_by_range(self.keys(frame)))
+
+    def cuts_by_range(self, keys: DataFrame) -> DataFrame:
         numbered = global_row_number(keys, ["_g", "_d", "_k"])
         ends = numbered.groupBy("_g").agg((F.min("_n") - 1 + F.ceil(F.count("*") * F.lit(self.fraction))).alias("_n"))
-        cuts = numbered.join(ends, ["_g", "_n"]).select("_g", F.struct("_d", "_k").alias("_cut"))
+        return numbered.join(ends, ["_g", "_n"]).select("_g", F.struct("_d", "_k").alias("_cut"))
+
+    def cut(self, frame: DataFrame, cuts: DataFrame) -> DataFrame:
         if cuts.limit(MOST_CUTS + 1).count() <= MOST_CUTS:
             cuts = F.broadcast(cuts)
         out = frame.join(cuts, frame[self.group] == cuts["_g"], "left")

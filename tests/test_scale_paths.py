@@ -97,3 +97,22 @@ def test_entry_without_the_optional_part(tmp_path, left_out):
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True).stdout.split()
     has_llm = os.path.isdir(os.path.join(ROOT, "kickmill/llm")) and "kickmill/llm" not in left_out
     assert int(out[0]) > 70 and out[1:] == [str(False), str(has_llm)]
+
+
+def test_split_and_pivot_leave_rows_in_place(spark):
+    """The wide frame is not dealt by its few groups, and quotes are shuffled once."""
+    from kickmill.operators import frame as R
+    from kickmill.operators import splits as S
+    from kickmill.markets import odds_col
+
+    rows = [(i, "AB"[i % 2] if i % 7 else None, f"2024-01-{1 + i % 3:02d}" if i % 5 else None) for i in range(90)]
+    frame = spark.createDataFrame(rows, "match_id long, league_key string, d string").selectExpr("match_id", "league_key", "CAST(d AS DATE) AS match_date")
+    split = S.FractionSplit(0.6)
+    out = split.assign(frame)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, out.collect())) == sorted(map(str, split.by_window(frame).collect()))
+    quotes = [(1, 2, "bet365", "1x2", "home", 2.0, None), (2, 2, "bet365", "1x2", "home", 3.0, None), (3, 2, "bet365", "1x2", "home", 1.5, "closing"), (4, 3, "bet365", "1x2", "draw", None, None), (5, 4, "other", "1x2", "home", 2.0, None)]
+    wide = R.pivot_odds(spark.createDataFrame(quotes, "id long, match_id long, bookmaker string, market string, selection string, decimal_odds double, price_point string"))
+    home = odds_col("1x2", "home", "bet365")
+    assert {r.match_id: r[home] for r in wide.collect()} == {2: 2.0, 4: None}
+    assert wide._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 2
