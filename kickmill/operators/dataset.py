@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 import json
+import math
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,14 +62,52 @@ def row_hash(df: DataFrame) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[cell_text(c, kinds[c]) for c in sorted(df.columns)]), 256)
 
 
+def double_text(v: float) -> str:
+    """A double as ``cell_text`` has it (Java before 19 takes some doubles above 1e18 for the next lower digits)."""
+    if not math.isfinite(v):
+        return "NaN" if v != v else "Infinity" if v > 0 else "-Infinity"
+    digits, _, exponent = f"{v:.10e}".partition("e")
+    if digits.endswith("5") and float(f"{digits}e{exponent}") == v:
+        # what is written with eleven digits, 5 being the last, is rounded up, whatever its binary value is
+        v = float(f"{digits[:-1]}6e{exponent}")
+    return f"{v:.9e}"
+
+
+def digit_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells, as texts or doubles -> the number of rows (as digit -1) and the sums of the 64 digits of their hashes, once a task."""
+    n, sums = 0, np.zeros((32, 2), np.int64)
+    for batch in batches:
+        texts = []
+        for c in batch.columns:
+            if pa.types.is_floating(c.type):
+                # what is alike in a batch is formatted once
+                d = c.dictionary_encode()
+                c = pa.array(map(double_text, d.dictionary.to_pylist()), pa.string()).take(d.indices).fill_null("null")
+            texts.append(c.cast(pa.binary()))
+        rows = pc.binary_join_element_wise(*texts, b"\x1f").cast(pa.large_binary())
+        ends, text = np.frombuffer(rows.buffers()[1], np.int64, len(rows) + 1).tolist(), memoryview(rows.buffers()[2])
+        own = np.frombuffer(b"".join([hashlib.sha256(text[i:j]).digest() for i, j in zip(ends, ends[1:])]), np.uint8).reshape(-1, 32)
+        n += len(own)
+        sums += np.stack([(own >> 4).sum(0, dtype=np.int64), (own & 15).sum(0, dtype=np.int64)], 1)
+    if n:
+        yield pa.RecordBatch.from_pydict({"digit": pa.array(range(-1, 64), pa.int32()), "total": pa.array([n, *sums.ravel().tolist()], pa.int64())})
+
+
 def content_hash(df: DataFrame) -> str:
-    """Hash of the rows in any order: row hashes are added up in four 16-digit parts, then hashed with the column names."""
-    h = row_hash(df)
-    parts = [F.sum(F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(4)]
-    sums = df.select(h.alias("_h")).agg(F.count("*").alias("n"), *[F.sum(F.conv(F.substring("_h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(4)]).first() if parts else None
-    import hashlib
+    """Hash of the rows in any order: row hashes are added up in four 15-digit parts, then hashed with the column names.
 
-    return hashlib.sha256(json.dumps([sorted(df.columns), *[str(x) for x in sums]]).encode()).hexdigest()
+    The hashes are those of ``row_hash``, computed by batches; their hexadecimal digits are what is added up, as wide
+    decimals take longer than all the rest.
+    """
+    kinds = dict(df.dtypes)
+    cells = []
+    for number, names in groupby(sorted(df.columns), lambda c: kinds[c] in ("double", "float")):
+        # neighbours that are texts go as one
+        cells += [F.col(f"`{c}`") + F.lit(0.0) for c in names] if number else [F.concat_ws("\x1f", *[cell_text(c, kinds[c]) for c in names])]
+    sums = df.select(*[c.alias(f"c{i}") for i, c in enumerate(cells)]).mapInArrow(digit_sums, "digit int, total long").groupBy("digit").agg(F.sum("total").alias("total"))
+    total = {r.digit: r.total for r in sums.collect()}  # 65 rows
+    parts = [sum(total[15 * i + k] * 16 ** (14 - k) for k in range(15)) for i in range(4)] if total else [None] * 4
+    return hashlib.sha256(json.dumps([sorted(df.columns), str(total.get(-1, 0)), *map(str, parts)]).encode()).hexdigest()
 
 
 @dataclass(frozen=True)
@@ -85,10 +129,10 @@ class Manifest:
         return json.dumps(asdict(self), ensure_ascii=False, sort_keys=True)
 
 
-def save(df: DataFrame, folder: str, kind: str = "dataset", extra: dict | None = None, order: Callable[[DataFrame], DataFrame] = lambda df: df.orderBy("match_id"), file_format: str = "parquet") -> dict:
+def save(df: DataFrame, folder: str, kind: str = "dataset", extra: dict | Callable[[DataFrame], dict] | None = None, order: Callable[[DataFrame], DataFrame] = lambda df: df.orderBy("match_id"), file_format: str = "parquet") -> dict:
     """Write the sorted rows and a JSON manifest under an id of UTC time and hash; returns the manifest and the path.
 
-    Rows are hashed and counted as read back, so the manifest tells what was written.
+    Rows are hashed and counted as read back, so the manifest tells what was written; ``extra`` may be a function of them.
     """
     now = datetime.datetime.now(datetime.timezone.utc)
     path = f"{folder.rstrip('/')}/{kind}-{now:%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
@@ -98,7 +142,8 @@ def save(df: DataFrame, folder: str, kind: str = "dataset", extra: dict | None =
     back = spark.read.schema(df.schema).option("header", True).format(file_format).load(filename)
     digest = content_hash(back)
     counted = json.loads(row_counts(back).select(F.to_json(F.struct("*"))).first()[0])
-    manifest = Manifest(SCHEMA_VERSION, kind, f"{now:%Y%m%dT%H%M%S}-{digest[:8]}", now.isoformat(timespec="seconds"), digest, file_format, filename, df.columns, counted, extra or {})
+    extra = extra(back) if callable(extra) else extra or {}
+    manifest = Manifest(SCHEMA_VERSION, kind, f"{now:%Y%m%dT%H%M%S}-{digest[:8]}", now.isoformat(timespec="seconds"), digest, file_format, filename, df.columns, counted, extra)
     spark.createDataFrame([(manifest.to_json(),)], "value string").coalesce(1).write.text(f"{path}/manifest")
     return asdict(manifest) | {"path": path}
 

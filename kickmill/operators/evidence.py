@@ -64,12 +64,18 @@ def logit(p: Column) -> Column:
     return F.when(p.isNotNull(), F.ln(F.greatest(p, F.lit(1e-10))))
 
 
-def softmax(logits: dict[str, Column]) -> dict[str, Column]:
-    """Null for all as soon as one is null."""
-    some = reduce(lambda a, b: a & b, [c.isNotNull() for c in logits.values()])
-    top = F.greatest(*logits.values())
-    total = reduce(lambda a, b: a + b, [F.exp(c - top) for c in logits.values()])
-    return {s: F.when(some, F.exp(c - top) / total) for s, c in logits.items()}
+def with_softmax(frame: DataFrame, logits: dict[str, Column], out: str) -> DataFrame:
+    """Adds ``<out><s>`` of each logit; null for all as soon as one is null.
+
+    In steps, as columns: inside one expression each logit would be computed anew wherever it stands.
+    """
+    own, up = {s: f"_logit_{s}" for s in logits}, {s: f"_exp_{s}" for s in logits}
+    frame = frame.withColumns({own[s]: c for s, c in logits.items()})
+    cols = [F.col(c) for c in own.values()]
+    some, top = reduce(lambda a, b: a & b, [c.isNotNull() for c in cols]), F.greatest(*cols)
+    frame = frame.withColumns({up[s]: F.when(some, F.exp(F.col(own[s]) - top)) for s in logits})
+    total = reduce(lambda a, b: a + b, [F.col(c) for c in up.values()])
+    return frame.withColumns({f"{out}{s}": F.col(up[s]) / total for s in logits}).drop(*own.values(), *up.values())
 
 
 def delta(base: Column, with_finding: Column) -> Column:
@@ -89,7 +95,7 @@ def blend(frame: DataFrame, market: str, findings: Sequence[Finding], base: str
         for f in live(findings, market):
             own = own + F.lit(weight(f)) * F.coalesce(delta(F.col(f"{base}{s}"), F.col(f"{f.finding_id}_{s}")), F.lit(0.0))
         logits[s] = own
-    return frame.withColumns({f"{out}{s}": c for s, c in softmax(logits).items()})
+    return with_softmax(frame, logits, out)
 
 
 def explain(frame: DataFrame, market: str, findings: Sequence[Finding]) -> DataFrame:
@@ -124,21 +130,32 @@ class Canonical:
 
 
 LOG_COLUMNS = ("match_id", "market", "kind", "role", "finding_id", "tier", "weight", "model_hash", "selection", "value")
+ORDER = ("match_id", "market", "kind", "role", "finding_id", "selection")
 
 
 def predictions_log(explained: DataFrame, market: str, findings: Sequence[Finding], hashes: dict[str, str] | None = None) -> DataFrame:
-    """Long log: three roles and each live finding's raw deltas, by selection."""
+    """Long log: three roles and each live finding's raw deltas, by selection; a match's rows come in the log's order."""
     sels = MARKETS[market]["selections"]
-    text = lambda v: F.lit(v).cast("string")
-    entry = lambda kind, role, f, s, value: F.struct(F.lit(kind).alias("kind"), text(role).alias("role"), text(f and f.finding_id).alias("finding_id"), text(f and f.tier).alias("tier"), F.lit(f and weight(f)).cast("double").alias("weight"), text(f and (hashes or {}).get(f.finding_id)).alias("model_hash"), F.lit(s).alias("selection"), F.col(value).alias("value"))
-    rows = [entry("value", role, None, s, f"{prefix}{s}") for role, prefix in (("baseline", "base_"), ("canonical", "canonical_"), ("promoted_only", "promoted_only_")) for s in sels]
-    rows += [entry("contribution", None, f, s, f"delta_{f.finding_id}_{s}") for f in live(findings, market) for s in sels]
-    return explained.select("match_id", F.lit(market).alias("market"), F.explode(F.array(*rows)).alias("_r")).select("match_id", "market", "_r.*").select(*LOG_COLUMNS)
+    names = ("kind", "role", "finding_id", "tier", "weight", "model_hash", "selection")
+    rows = [(("value", role, None, None, None, None, s), f"{prefix}{s}") for role, prefix in (("baseline", "base_"), ("canonical", "canonical_"), ("promoted_only", "promoted_only_")) for s in sels]
+    rows += [(("contribution", None, f.finding_id, f.tier, weight(f), (hashes or {}).get(f.finding_id), s), f"delta_{f.finding_id}_{s}") for f in live(findings, market) for s in sels]
+    rows.sort(key=lambda r: [(v is not None, v or "") for n, v in zip(names, r[0]) if n in ORDER])
+    # only the values are copied out of a match; what else a row has follows from its number
+    out = explained.select("match_id", F.lit(market).alias("market"), F.posexplode(F.array(*[F.col(value) for _, value in rows])).alias("_i", "value"))
+    told = {n: F.get(F.array(*[F.lit(r[0][k]).cast("double" if n == "weight" else "string") for r in rows]), F.col("_i")) for k, n in enumerate(names)}
+    return out.withColumns(told).select(*LOG_COLUMNS)
+
+
+def ordered_predictions(explained: DataFrame, market: str, findings: Sequence[Finding], hashes: dict[str, str] | None = None) -> DataFrame:
+    """The log in its order.  Matches are sorted before they become rows; only where an id repeats all rows are."""
+    if explained.groupBy("match_id").count().filter("count > 1").isEmpty():
+        return predictions_log(explained.orderBy("match_id"), market, findings, hashes)
+    return ordered_log(predictions_log(explained, market, findings, hashes))
 
 
 def ordered_log(log: DataFrame) -> DataFrame:
     """The log in its order: six keys, nulls first."""
-    return log.orderBy("match_id", "market", "kind", "role", "finding_id", "selection")
+    return log.orderBy(*ORDER)
 
 
 def model_hashes(log: DataFrame) -> DataFrame:
@@ -146,11 +163,17 @@ def model_hashes(log: DataFrame) -> DataFrame:
     return log.filter("kind = 'contribution'").select("finding_id", "model_hash").dropDuplicates(["finding_id"])
 
 
-def save_predictions(log: DataFrame, findings: Sequence[Finding], folder: str, mode: str = "backtest") -> dict:
-    """Write the log and a manifest that keeps what its values rest on: registry, tier weights and model hashes."""
-    hashes = {r.finding_id: r.model_hash for r in model_hashes(log).collect()}  # at most one per registered finding
-    meta = {"mode": mode, "tier_weights": TIER_WEIGHTS, "findings_registry_snapshot": [f._asdict() | {"extra_columns": list(f.extra_columns)} for f in findings], "model_hashes": hashes}
-    return D.save(log, folder, "prediction", meta, order=ordered_log)
+def save_predictions(log: DataFrame, findings: Sequence[Finding], folder: str, mode: str = "backtest", order: Callable[[DataFrame], DataFrame] = ordered_log) -> dict:
+    """Write the log and a manifest that keeps what its values rest on: registry, tier weights and model hashes.
+
+    The log is computed once, for writing.  One that is in its order needs no ``order``.
+    """
+
+    def meta(back: DataFrame) -> dict:
+        hashes = {r.finding_id: r.model_hash for r in model_hashes(back).collect()}  # at most one per registered finding
+        return {"mode": mode, "tier_weights": TIER_WEIGHTS, "findings_registry_snapshot": [f._asdict() | {"extra_columns": list(f.extra_columns)} for f in findings], "model_hashes": hashes}
+
+    return D.save(log, folder, "prediction", meta, order=order)
 
 
 def load_predictions(spark, path: str) -> DataFrame:

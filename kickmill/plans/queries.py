@@ -781,7 +781,7 @@ _DEMO = (E.Finding("demo", "provisionally_promoted", "1x2"), E.Finding("idle", "
 
 
 def _blend_input(spark, sf_dir):
-    f = _rates(spark, sf_dir).join(LG.matches(spark, sf_dir).select("match_id", "wa", "wb", "wc"), "match_id")
+    f = LG.matches(spark, sf_dir).select("match_id", "wa", "wb", "wc")
     t = F.col("wa") + F.col("wb") + F.col("wc")
     f = f.withColumns({f"base_{s}": F.when(F.col("match_id") % 11 != 0, F.col(w).cast("double") / t) for s, w in zip(SEL["1x2"], ("wa", "wb", "wc"))})
     t2 = F.col("wa") + F.col("wb") + F.col("wc") + 3
@@ -818,8 +818,8 @@ def predictions_log(spark, sf_dir):
 
 
 def _saved_log(spark, sf_dir):
-    log = E.predictions_log(E.explain(_blend_input(spark, sf_dir), "1x2", _DEMO), "1x2", _DEMO, {"demo": "abc"})
-    return E.save_predictions(log, _DEMO, f"{shared_folder(spark).rstrip('/')}/kickmill-predictions")
+    log = E.ordered_predictions(E.explain(_blend_input(spark, sf_dir), "1x2", _DEMO), "1x2", _DEMO, {"demo": "abc"})
+    return E.save_predictions(log, _DEMO, f"{shared_folder(spark).rstrip('/')}/kickmill-predictions", order=lambda log: log)
 
 
 @query(ORACLES["predictions_log"].replace("kind, role, finding_id, selection,", "kind, role, finding_id, CASE WHEN kind = 'contribution' THEN 'provisionally_promoted' END AS tier, CASE WHEN kind = 'contribution' THEN 0.25::DOUBLE END AS weight, CASE WHEN kind = 'contribution' THEN 'abc' END AS model_hash, selection,"))
