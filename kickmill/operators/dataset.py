@@ -8,6 +8,7 @@ import json
 import math
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 from itertools import groupby
 
@@ -22,6 +23,8 @@ from kickmill.operators import features as X
 from kickmill.operators import splits as S
 
 SCHEMA_VERSION = "2.1"
+#: A written file has at most so many rows: ten million rows of a log may be 20 MB in one row group, which one task has to read.
+FILE_ROWS = 2_000_000
 IDENTITY = ("match_id", "league_key", "league_name", "home_team_id", "away_team_id", "match_date", "kickoff_utc", "ft_home", "ft_away")
 
 
@@ -93,6 +96,18 @@ def digit_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"digit": pa.array(range(-1, 64), pa.int32()), "total": pa.array([n, *sums.ravel().tolist()], pa.int64())})
 
 
+@contextmanager
+def even_tasks(spark) -> Iterator[None]:
+    """Files read inside are dealt to about four tasks a core; by bytes alone it may be one more task than cores, which doubles the time."""
+    key = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, max(int(before or 0), 4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def content_hash(df: DataFrame) -> str:
     """Hash of the rows in any order: row hashes are added up in four 15-digit parts, then hashed with the column names.
 
@@ -105,7 +120,8 @@ def content_hash(df: DataFrame) -> str:
         # neighbours that are texts go as one
         cells += [F.col(f"`{c}`") + F.lit(0.0) for c in names] if number else [F.concat_ws("\x1f", *[cell_text(c, kinds[c]) for c in names])]
     sums = df.select(*[c.alias(f"c{i}") for i, c in enumerate(cells)]).mapInArrow(digit_sums, "digit int, total long").groupBy("digit").agg(F.sum("total").alias("total"))
-    total = {r.digit: r.total for r in sums.collect()}  # 65 rows
+    with even_tasks(df.sparkSession):
+        total = {r.digit: r.total for r in sums.collect()}  # 65 rows
     parts = [sum(total[15 * i + k] * 16 ** (14 - k) for k in range(15)) for i in range(4)] if total else [None] * 4
     return hashlib.sha256(json.dumps([sorted(df.columns), str(total.get(-1, 0)), *map(str, parts)]).encode()).hexdigest()
 
@@ -138,7 +154,7 @@ def save(df: DataFrame, folder: str, kind: str = "dataset", extra: dict | Callab
     path = f"{folder.rstrip('/')}/{kind}-{now:%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
     filename = f"{path}/data.{file_format}"
     spark = df.sparkSession
-    order(df).write.option("header", True).format(file_format).save(filename)
+    order(df).write.option("header", True).option("maxRecordsPerFile", FILE_ROWS).format(file_format).save(filename)
     back = spark.read.schema(df.schema).option("header", True).format(file_format).load(filename)
     digest = content_hash(back)
     counted = json.loads(row_counts(back).select(F.to_json(F.struct("*"))).first()[0])

@@ -57,6 +57,24 @@ def test_log_is_computed_for_writing_only(spark, tmp_path):
     assert seen.value == log.count() and m["extra"]["model_hashes"] == {"f": "x", "d": "y"}
 
 
+def test_saved_rows_are_hashed_in_even_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(D, "FILE_ROWS", 10)
+    log = E.predictions_log(explained(spark, range(40)), "1x2", FOUND)
+    m = E.save_predictions(log, FOUND, f"file://{tmp_path}")
+    back = lambda: spark.read.parquet(m["filename"])
+    assert len(back().inputFiles()) >= 60
+    plain, least = back().rdd.getNumPartitions(), 3 * spark.sparkContext.defaultParallelism
+    with D.even_tasks(spark):
+        assert back().rdd.getNumPartitions() >= least > plain
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+    group, tracker = "hash", spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(group, group)
+    assert D.content_hash(back()) == m["content_hash"] == D.content_hash(log)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) >= least
+
+
 def test_content_hash_adds_up_row_hashes(spark):
     rng = random.Random(2)
     doubles = [0.1, -0.0, 0.12345678905, 1.00000000005, 2.5e-300, 7e22, float("nan"), float("inf"), float("-inf"), None, *[rng.uniform(-1, 1) * 10 ** rng.randrange(-20, 15) for _ in range(300)]]
